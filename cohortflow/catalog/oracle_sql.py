@@ -240,3 +240,121 @@ ORACLE["funnel_cube_pct"] = q(
     f"SELECT {CUBE_DIMS}, total_users, raw_step_01, step_no, users, pct_e4, pct FROM cube", FUNNEL)
 ORACLE["funnel_cube_ratio"] = q(
     f"SELECT {CUBE_DIMS}, step_no, users, prev_users, ratio_e4, ratio FROM cube", FUNNEL)
+
+WIDE = "cube_wide AS (SELECT " + CUBE_DIMS + ", total_users, step_01 AS raw_step_01, " + WIDE_COLS + " FROM cube_w)"
+PCT_SHOWN = [n for n in STEPS if GROUPS[n] != "hint"]
+
+
+def wcw(num: str, w: str = "raw_step_01", e: str = "pct_e4") -> str:
+    """Step-1 weighted mean of an e4 rate (exact integer ratio)."""
+    return (f"CASE WHEN sum({w}) > 0 THEN CAST(sum(coalesce({e}, 0) * {w}) AS DOUBLE) / "
+            f"CAST(sum({w}) * 10000 AS DOUBLE) ELSE coalesce(avg({num}), 0.0) END")
+
+
+ORACLE["funnel_unpivot"] = q(
+    f"SELECT {CUBE_DIMS}, total_users, raw_step_01, metric, value FROM "
+    f"(UNPIVOT cube_wide ON {', '.join(f'pct_{n:02d}_{STEP_NAMES[n]}' for n in PCT_SHOWN)} "
+    f"INTO NAME metric VALUE value)", FUNNEL, WIDE)
+
+_STEP_VALUES = ", ".join(
+    f"({n}, '{STEP_NAMES[n]}', '{ev}', {str(GROUPS[n] == 'hint').upper()}, '{GROUPS[n]}', "
+    f"{'NULL' if PREV[n] is None else PREV[n]})"
+    for n, ev in zip(STEPS, ["signup", "view", "click", "click", "purchase", "error", "click",
+                             "purchase"]))
+ORACLE["step_reference"] = q(
+    "SELECT d.step_no, lpad(CAST(d.step_no AS VARCHAR), 2, '0') || ': ' || d.step_name AS step_label, "
+    "d.step_name, d.event, d.is_branch, d.step_group, d.prev_spine_no, t.users, t.weighted_pct "
+    "FROM sdim d LEFT JOIN (SELECT step_no, CAST(sum(users) AS BIGINT) AS users, "
+    f"{wcw('pct')} AS weighted_pct FROM cube GROUP BY step_no) t ON d.step_no = t.step_no",
+    FUNNEL, "sdim AS (SELECT CAST(c1 AS INTEGER) AS step_no, c2 AS step_name, c3 AS event, "
+    "c4 AS is_branch, c5 AS step_group, CAST(c6 AS INTEGER) AS prev_spine_no FROM (VALUES "
+    + _STEP_VALUES.replace("(", "(", 1) + ") v(c1, c2, c3, c4, c5, c6))")
+ORACLE["step_subset"] = q(
+    f"SELECT install_version, step_no, {wcw('pct')} AS value FROM cube "
+    "WHERE starts_with(install_version, '0.3811') AND step_no BETWEEN 2 AND 6 "
+    "GROUP BY install_version, step_no", FUNNEL)
+ORACLE["cube_load"] = q(
+    "SELECT * FROM cube_wide WHERE install_date >= DATE '2024-01-01' "
+    "AND TRY_CAST(install_version AS DOUBLE) >= 0.38 AND platform <> 'none'", FUNNEL, WIDE)
+ORACLE["cube_load_72h"] = q(
+    "SELECT * FROM cube_wide WHERE install_date >= DATE '2024-01-01' "
+    f"AND install_date < {AS_OF} - 3 "
+    "AND TRY_CAST(install_version AS DOUBLE) >= 0.38 AND platform <> 'none'",
+    funnel_ctes(install_lag=3, event_lag=3, observation=True), WIDE)
+ORACLE["cube_roundtrip"] = q("SELECT * FROM cube_wide", FUNNEL, WIDE)
+
+# ---------------------------------------------------------------- retention
+RET = f"""
+rcohort AS (
+  SELECT distinct_id, install_date, CAST(first_app_version AS VARCHAR) AS install_version,
+         CAST(CASE WHEN first_country = {US} THEN 1 ELSE 0 END AS INTEGER) AS is_usa,
+         first_platform AS platform
+  FROM players
+  WHERE install_date >= DATE '2024-01-01' AND install_date <= {AS_OF}
+    AND first_country NOT IN {EXCLUDED}
+    AND distinct_id NOT IN (SELECT distinct_id FROM excl)
+),
+dact AS (
+  SELECT e.distinct_id, CAST(make_timestamp(e.res_timestamp * 1000) AS DATE) AS activity_date
+  FROM ev e JOIN rcohort c ON e.distinct_id = c.distinct_id
+  WHERE e.date >= DATE '2024-01-01' AND e.date <= {AS_OF} + 91
+  GROUP BY 1, 2
+),
+days AS (SELECT CAST(range AS INTEGER) AS day_num FROM range(0, 91)),
+cdays AS (
+  SELECT c.*, d.day_num AS days_since_install, c.install_date + d.day_num AS activity_date
+  FROM rcohort c CROSS JOIN days d
+  WHERE c.install_date + d.day_num < {AS_OF}
+),
+rcube AS (
+  SELECT cd.install_date, cd.install_version, cd.platform, cd.is_usa, cd.days_since_install,
+         count(DISTINCT cd.distinct_id) AS cohort_size, count(DISTINCT da.distinct_id) AS users_active
+  FROM cdays cd LEFT JOIN dact da
+    ON cd.distinct_id = da.distinct_id AND cd.activity_date = da.activity_date
+  GROUP BY ALL
+)"""
+
+
+def wret(cond: str = "TRUE") -> str:
+    cs = f"sum(CASE WHEN ({cond}) AND users_active > 0 THEN cohort_size END)"
+    ua = f"sum(CASE WHEN ({cond}) AND users_active > 0 THEN users_active END)"
+    return f"CASE WHEN {cs} > 0 THEN CAST({ua} AS DOUBLE) / CAST({cs} AS DOUBLE) ELSE 0.0 END"
+
+
+PERIOD = f"CASE WHEN install_date < {TEST_START_DATE} THEN 'before' ELSE 'after' END"
+
+ORACLE["retention_cohort"] = q("SELECT * FROM rcohort", RET)
+ORACLE["daily_activity"] = q("SELECT * FROM dact", RET)
+ORACLE["retention_cube"] = q("SELECT * FROM rcube", RET)
+ORACLE["retention_weighted"] = q(
+    f"SELECT install_version, days_since_install, {wret()} AS retention, "
+    "CAST(sum(cohort_size) AS BIGINT) AS cohort_size, CAST(sum(users_active) AS BIGINT) AS users_active "
+    "FROM rcube WHERE days_since_install <= 14 GROUP BY 1, 2", RET)
+ORACLE["retention_matrix"] = q(
+    "SELECT platform, install_version, "
+    "CAST(sum(CASE WHEN days_since_install = 0 THEN cohort_size END) AS BIGINT) AS cohort, "
+    + ", ".join(f"CASE WHEN sum(CASE WHEN days_since_install = {d} THEN cohort_size END) > 0 "
+                f"THEN {wret(f'days_since_install = {d}')} END AS d{d}" for d in range(1, 15))
+    + " FROM rcube WHERE days_since_install <= 14 GROUP BY 1, 2 "
+    "HAVING coalesce(sum(CASE WHEN days_since_install = 0 THEN cohort_size END), 0) > 0", RET)
+ORACLE["retention_curve"] = q(
+    "SELECT platform, install_version, days_since_install, "
+    "CAST(sum(users_active) AS DOUBLE) / CAST(sum(cohort_size) AS DOUBLE) AS retention, "
+    "CAST(sum(cohort_size) AS BIGINT) AS cohort FROM rcube "
+    "WHERE days_since_install <= 14 AND users_active > 0 GROUP BY 1, 2, 3", RET)
+ORACLE["retention_curve_split"] = q(
+    f"SELECT platform, install_version, {PERIOD} AS period, days_since_install, "
+    "CAST(sum(users_active) AS DOUBLE) / CAST(sum(cohort_size) AS DOUBLE) AS retention, "
+    "CAST(sum(cohort_size) AS BIGINT) AS cohort FROM rcube "
+    "WHERE days_since_install <= 14 AND users_active > 0 GROUP BY 1, 2, 3, 4", RET)
+ORACLE["daily_retention"] = q(
+    "SELECT r.install_date, r.install_version, r.days_since_install, r.retention, d0.cohort FROM "
+    "(SELECT install_date, install_version, days_since_install, "
+    "CAST(sum(users_active) AS DOUBLE) / CAST(sum(cohort_size) AS DOUBLE) AS retention FROM rcube "
+    "WHERE days_since_install BETWEEN 1 AND 14 AND users_active > 0 GROUP BY 1, 2, 3) r "
+    "LEFT JOIN (SELECT install_date, install_version, CAST(sum(cohort_size) AS BIGINT) AS cohort "
+    "FROM rcube WHERE days_since_install = 0 GROUP BY 1, 2) d0 "
+    "ON r.install_date = d0.install_date AND r.install_version = d0.install_version", RET)
+ORACLE["filter_retention"] = q(
+    "SELECT * FROM rcube WHERE install_date BETWEEN DATE '2024-01-01' AND DATE '2024-01-08' "
+    "AND platform IN ('BUILDING', 'MACHINERY') AND is_usa = 0", RET)

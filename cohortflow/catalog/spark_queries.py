@@ -17,7 +17,10 @@ from cohortflow.config import EngineConfig
 from cohortflow.functions.columns import version_num
 from cohortflow.operators import cohort as co
 from cohortflow.operators import funnel as fu
+from cohortflow.operators import filters as fi
 from cohortflow.operators import metrics as me
+from cohortflow.operators import retention as re
+from cohortflow.sources import cube_store as store
 from cohortflow.plans.steps import demo_funnel
 from cohortflow.session import prepare
 from cohortflow.sources.testdata import TestdataSource
@@ -158,3 +161,115 @@ def funnel_cube_pct(spark, sf_dir):
 def funnel_cube_ratio(spark, sf_dir):
     return funnel(spark, sf_dir).long.select(*fu.CUBE_DIMS, "step_no", "users", "prev_users",
                                              "ratio_e4", "ratio")
+
+
+@register
+def funnel_unpivot(spark, sf_dir):
+    return fu.unpivot_metric(funnel(spark, sf_dir).wide, spec(), "pct")
+
+
+@register
+def step_reference(spark, sf_dir):
+    b = funnel(spark, sf_dir)
+    dim = fu.step_dim(spark, b.spec).drop("description")
+    totals = b.long.groupBy("step_no").agg(F.sum("users").alias("users"),
+                                           me.weighted_value("pct").alias("weighted_pct"))
+    label = F.concat(F.lpad(F.col("step_no").cast("string"), 2, "0"), F.lit(": "),
+                     F.col("step_name"))
+    return (F.broadcast(dim).join(totals, "step_no", "left")
+            .select("step_no", label.alias("step_label"), "step_name", "event", "is_branch",
+                    "step_group", "prev_spine_no", "users", "weighted_pct"))
+
+
+@register
+def step_subset(spark, sf_dir):
+    _, cfg = ctx(spark, sf_dir)
+    long = funnel(spark, sf_dir).long
+    sub = long.filter(F.col("install_version").startswith(cfg.default_version_prefix)
+                      & F.col("step_no").between(2, 6))
+    return me.weighted_steps(sub, ["install_version"]).select(
+        "install_version", "step_no", "value")
+
+
+@register
+def cube_load(spark, sf_dir):
+    _, cfg = ctx(spark, sf_dir)
+    return fi.load_filter(funnel(spark, sf_dir).wide, cfg.cube_start, cfg.min_version)
+
+
+@register
+def cube_load_72h(spark, sf_dir):
+    _, cfg = ctx(spark, sf_dir)
+    wide = fi.load_filter(funnel_72h(spark, sf_dir).wide, cfg.cube_start, cfg.min_version)
+    return wide.filter(F.col("install_date") < F.lit(cfg.as_of - timedelta(days=3)))
+
+
+@register
+def cube_roundtrip(spark, sf_dir):
+    path = store.scratch_path(spark, "demo_cube")
+    store.publish(funnel(spark, sf_dir).wide, path)
+    return store.load(spark, path)
+
+
+# --------------------------------------------------------------------------- retention
+def retention(spark, sf_dir) -> DataFrame:
+    src, cfg = ctx(spark, sf_dir)
+    return re.build_retention(src, cfg)
+
+
+@register
+def retention_cohort(spark, sf_dir):
+    src, cfg = ctx(spark, sf_dir)
+    return re.retention_cohort(src.players(), src.exclusions(), cfg, cfg.retention_start,
+                               cfg.as_of)
+
+
+@register
+def daily_activity(spark, sf_dir):
+    src, cfg = ctx(spark, sf_dir)
+    coh = re.retention_cohort(src.players(), src.exclusions(), cfg, cfg.retention_start,
+                              cfg.as_of)
+    ev = src.events(cfg.retention_start, cfg.as_of + timedelta(days=91))
+    return re.daily_activity(ev, coh)
+
+
+@register
+def retention_cube(spark, sf_dir):
+    return retention(spark, sf_dir)
+
+
+@register
+def retention_weighted(spark, sf_dir):
+    cube = retention(spark, sf_dir).filter(F.col("days_since_install") <= 14)
+    return re.retention_by(cube, ["install_version", "days_since_install"])
+
+
+@register
+def retention_matrix(spark, sf_dir):
+    return re.retention_matrix(retention(spark, sf_dir), ["platform", "install_version"])
+
+
+@register
+def retention_curve(spark, sf_dir):
+    return re.retention_curve(retention(spark, sf_dir), ["platform", "install_version"], 14)
+
+
+@register
+def retention_curve_split(spark, sf_dir):
+    _, cfg = ctx(spark, sf_dir)
+    cube = re.with_period(retention(spark, sf_dir), cfg.test_start.date())
+    return re.retention_curve(cube, ["platform", "install_version", "period"], 14)
+
+
+@register
+def daily_retention(spark, sf_dir):
+    return re.daily_retention(retention(spark, sf_dir))
+
+
+@register
+def filter_retention(spark, sf_dir):
+    from datetime import date
+    cube = retention(spark, sf_dir)
+    cube = cube.filter(F.col("install_date").between(F.lit(date(2024, 1, 1)),
+                                                     F.lit(date(2024, 1, 8))))
+    return fi.dimensions(cube, platform=["BUILDING", "MACHINERY"], is_usa=0)

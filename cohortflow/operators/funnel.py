@@ -196,6 +196,36 @@ def long_cube(counts: DataFrame, spec: FunnelSpec) -> DataFrame:
                     ratio_e.alias("ratio_e4"), from_e(ratio_e).alias("ratio"))
 
 
+def metric_columns(spec: FunnelSpec, family: str = "pct",
+                   include_groups: tuple[str, ...] | None = None) -> list[tuple[Step, str]]:
+    """(step, column) of a metric family in step order; hidden groups left out
+    unless listed in ``include_groups``."""
+    shown = set(include_groups or ())
+    out = []
+    for s in spec.steps:
+        if s.group in spec.hidden_groups and s.group not in shown:
+            continue
+        out.append((s, pct_name(s) if family == "pct" else ratio_name(s, spec)))
+    return out
+
+
+def unpivot_metric(wide: DataFrame, spec: FunnelSpec, family: str = "pct",
+                   include_groups: tuple[str, ...] | None = None) -> DataFrame:
+    """Wide cube -> (cell dims, metric, value) for one metric family."""
+    cols = [c for _, c in metric_columns(spec, family, include_groups)]
+    return wide.unpivot(ids=CUBE_DIMS + ["total_users", "raw_step_01"], values=cols,
+                        variableColumnName="metric", valueColumnName="value")
+
+
+def step_dim(spark, spec: FunnelSpec) -> DataFrame:
+    """Step metadata as a DataFrame (size bounded by the number of steps)."""
+    schema = ("step_no int, step_name string, event string, description string, "
+              "is_branch boolean, step_group string, prev_spine_no int")
+    rows = [(r["step_no"], r["step_name"], r["event"], r["description"], r["is_branch"],
+             r["step_group"], r["prev_spine_no"]) for r in spec.step_rows()]
+    return spark.createDataFrame(rows, schema)
+
+
 @dataclass
 class FunnelBuild:
     spec: FunnelSpec

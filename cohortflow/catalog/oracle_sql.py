@@ -50,7 +50,7 @@ ev AS (
          CAST({K} AS VARCHAR) AS dialog_id
   FROM events
 ),
-sig AS (
+first_signup AS (
   SELECT user_id, min(ts) AS first_ts, arg_min({K}, ts) AS k
   FROM events WHERE event_type = 'signup' GROUP BY user_id
 ),
@@ -61,7 +61,7 @@ players AS (
          c.c_mktsegment AS first_platform, n.n_name AS first_country,
          CASE WHEN s.user_id % 7 = 0 THEN NULL
               ELSE 'Brand#' || CAST(s.user_id % 30 + 1 AS VARCHAR) END AS first_mediasource
-  FROM sig s JOIN customer c ON c.c_custkey = s.user_id
+  FROM first_signup s JOIN customer c ON c.c_custkey = s.user_id
   LEFT JOIN nation n ON n.n_nationkey = c.c_nationkey
 ),
 snm AS (SELECT p_brand AS cost_data_name, min(p_name) AS final_name FROM part GROUP BY p_brand),
@@ -358,3 +358,222 @@ ORACLE["daily_retention"] = q(
 ORACLE["filter_retention"] = q(
     "SELECT * FROM rcube WHERE install_date BETWEEN DATE '2024-01-01' AND DATE '2024-01-08' "
     "AND platform IN ('BUILDING', 'MACHINERY') AND is_usa = 0", RET)
+
+# ---------------------------------------------------------------- filters / metrics
+ORACLE["filter_date_hour"] = q(
+    "SELECT * FROM cube_wide WHERE install_date BETWEEN DATE '2024-01-02' AND DATE '2024-01-05' "
+    "AND NOT coalesce(install_date = DATE '2024-01-02' AND install_hour < 6, false) "
+    "AND NOT coalesce(install_date = DATE '2024-01-05' AND install_hour > 18, false)", FUNNEL, WIDE)
+ORACLE["filter_dimensions"] = q(
+    "SELECT * FROM cube_wide WHERE platform IN ('AUTOMOBILE', 'BUILDING', 'FURNITURE') "
+    "AND install_month IN (DATE '2024-01-01') AND is_low_payers_country = false", FUNNEL, WIDE)
+VKEY = "coalesce(TRY_CAST(install_version AS DOUBLE), 0.0)"
+ORACLE["versions_at_least"] = q(
+    f"SELECT DISTINCT install_version FROM cube_wide WHERE {VKEY} >= 0.3812", FUNNEL, WIDE)
+ORACLE["versions_ordered"] = q(
+    f"SELECT install_version, {VKEY} AS version_key FROM (SELECT install_version FROM cube_wide "
+    "UNION SELECT install_version FROM rcube) ORDER BY 2, 1", FUNNEL, WIDE, RET)
+ORACLE["versions_retention_only"] = q(
+    "SELECT install_version FROM rcube EXCEPT SELECT install_version FROM cube_wide",
+    FUNNEL, WIDE, RET)
+ORACLE["weighted_conversion"] = q(
+    f"SELECT install_version, step_no, {wcw('pct')} AS value, "
+    "CAST(sum(total_users) AS BIGINT) AS users, CAST(sum(raw_step_01) AS BIGINT) AS step1 "
+    "FROM cube GROUP BY 1, 2", FUNNEL)
+ORACLE["monotonic_cap"] = q(
+    "SELECT install_version, step_no, value, min(value) OVER (PARTITION BY install_version "
+    "ORDER BY step_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS capped FROM "
+    f"(SELECT install_version, step_no, {wcw('pct')} AS value FROM cube "
+    "WHERE step_no IN (1, 2, 3, 5, 6, 7, 8) GROUP BY 1, 2)", FUNNEL)
+ORACLE["dimension_counts"] = q(
+    " UNION ALL ".join(
+        f"SELECT '{d}' AS dimension, CAST({d} AS VARCHAR) AS value, "
+        f"CAST(sum(total_users) AS BIGINT) AS users FROM cube_wide WHERE {d} IS NOT NULL GROUP BY {d}"
+        for d in ["platform", "country", "media_type", "mediasource", "install_version"]),
+    FUNNEL, WIDE)
+ORACLE["coverage"] = q(
+    "SELECT total_all, total_selected, total_all - total_selected AS total_excluded, "
+    "CASE WHEN total_all > 0 THEN total_selected / total_all * 100 ELSE 0.0 END AS pct_selected, "
+    "min_date, max_date, has_post_test FROM (SELECT CAST(sum(total_users) AS BIGINT) AS total_all, "
+    "CAST(coalesce(sum(CASE WHEN platform IN ('BUILDING', 'MACHINERY') THEN total_users END), 0) "
+    "AS BIGINT) AS total_selected, min(install_date) AS min_date, max(install_date) AS max_date, "
+    f"bool_or(install_date >= {TEST_START_DATE}) AS has_post_test FROM cube_wide)", FUNNEL, WIDE)
+
+# ---------------------------------------------------------------- before / after
+# before: versions >= 0.381, 2024-01-01 h0 .. 2024-01-03 h11
+# after:  versions >= 0.3811, 2024-01-03 h12 .. 2024-01-29 h23
+BA_WINDOWS = [("before", 0.381, "2024-01-01", 0, "2024-01-03", 11),
+              ("after", 0.3811, "2024-01-03", 12, "2024-01-29", 23)]
+
+
+def tag_sql(src: str, hours: bool = True) -> str:
+    parts = []
+    for name, mv, sd, sh, ed, eh in BA_WINDOWS:
+        cond = f"{VKEY} >= {mv} AND install_date BETWEEN DATE '{sd}' AND DATE '{ed}'"
+        if hours:
+            cond += (f" AND NOT coalesce(install_date = DATE '{sd}' AND install_hour < {sh}, false)"
+                     f" AND NOT coalesce(install_date = DATE '{ed}' AND install_hour > {eh}, false)")
+        parts.append(f"SELECT *, '{name}' AS period FROM {src} WHERE {cond}")
+    return " UNION ALL ".join(parts)
+
+
+SHOWN = "(1, 2, 3, 5, 6, 7, 8)"
+BA = f"""
+tag AS ({tag_sql('cube')}),
+baf0 AS (
+  SELECT period, step_no, {wcw('pct')} AS raw_value, CAST(sum(total_users) AS BIGINT) AS users,
+         CAST(sum(raw_step_01) AS BIGINT) AS step1
+  FROM tag WHERE step_no IN {SHOWN} GROUP BY period, step_no
+),
+baf AS (
+  SELECT period, step_no, raw_value,
+         min(raw_value) OVER (PARTITION BY period ORDER BY step_no
+                              ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS value,
+         users, step1, false AS is_branch
+  FROM baf0
+),
+sbs AS (
+  SELECT coalesce(b.step_no, a.step_no) AS step_no, coalesce(b.is_branch, a.is_branch) AS is_branch,
+         b.value AS before, a.value AS after, b.step1 AS n_before, a.step1 AS n_after
+  FROM (SELECT * FROM baf WHERE period = 'before') b
+  FULL JOIN (SELECT * FROM baf WHERE period = 'after') a ON b.step_no = a.step_no
+),
+lift AS (
+  SELECT step_no, before, after,
+         CASE WHEN NOT (is_branch AND coalesce(before, 0.0) = 0) THEN after - before END AS delta,
+         CASE WHEN NOT (is_branch AND coalesce(before, 0.0) = 0) THEN (after - before) * 100 END AS lift_pp,
+         CASE WHEN NOT (is_branch AND coalesce(before, 0.0) = 0) AND before > 0
+              THEN (after - before) / before * 100 END AS rel_lift_pct
+  FROM sbs
+)"""
+
+_C = [-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398,
+      1.48851587, -0.82215223, 0.17087277]
+
+
+def _poly(t: str) -> str:
+    p = f"({_C[9]})"
+    for c in reversed(_C[1:9]):
+        p = f"(({c}) + {t} * {p})"
+    return p
+
+
+SIG = f"""
+sig0 AS (
+  SELECT *, round_even(before * n_before, 0) AS a, round_even(after * n_after, 0) AS c FROM sbs
+),
+sig1 AS (SELECT *, round_even(n_before - a, 0) AS b, round_even(n_after - c, 0) AS d FROM sig0),
+sig2 AS (
+  SELECT *, a + b + c + d AS n,
+         (n_before >= 10 AND n_after >= 10 AND before IS NOT NULL AND after IS NOT NULL
+          AND least(a, b, c, d) >= 0 AND (a + b) > 0 AND (c + d) > 0 AND (a + c) > 0
+          AND (b + d) > 0) AS valid
+  FROM sig1
+),
+sig3 AS (
+  SELECT *, n * greatest(0.0, abs(a * d - b * c) - n / 2.0) * greatest(0.0, abs(a * d - b * c) - n / 2.0)
+            / ((a + b) * (c + d) * (a + c) * (b + d)) AS chi2_raw
+  FROM sig2
+),
+sig4 AS (SELECT *, sqrt(chi2_raw / 2.0) AS z FROM sig3),
+sig5 AS (SELECT *, 1.0 / (1.0 + z / 2.0) AS t FROM sig4),
+sig6 AS (
+  SELECT *, CASE WHEN coalesce(valid, false)
+            THEN least(1.0, t * exp((-z) * z + ({_C[0]}) + t * {_poly('t')})) ELSE 1.0 END AS p
+  FROM sig5
+),
+sig AS (
+  SELECT step_no, before, after, n_before, n_after,
+         CASE WHEN coalesce(before > 0, false) AND coalesce(valid, false) THEN chi2_raw END AS chi2,
+         CASE WHEN coalesce(before > 0, false) THEN round(p, 9) ELSE 1.0 END AS p_value,
+         CASE WHEN coalesce(before > 0, false)
+              THEN coalesce(valid AND chi2_raw > 3.841458820694124, false) ELSE false END AS is_significant,
+         CASE WHEN NOT coalesce(before > 0, false) THEN 'N/A'
+              WHEN NOT coalesce(valid, false) THEN 'N/A'
+              WHEN p < 0.001 THEN 'p<0.001'
+              WHEN p < 0.05 THEN printf('p=%.3f', p)
+              ELSE printf('p=%.2f', p) END AS p_label
+  FROM sig6
+)"""
+
+ORACLE["ba_users"] = q(
+    "SELECT period, install_version, CAST(sum(total_users) AS BIGINT) AS users, "
+    "CAST(sum(raw_step_01) AS BIGINT) AS step1 FROM tag WHERE step_no = 1 GROUP BY 1, 2",
+    FUNNEL, BA)
+ORACLE["ba_versions"] = q(
+    f"SELECT DISTINCT install_version FROM cube_wide WHERE {VKEY} >= 0.381 OR {VKEY} >= 0.3811",
+    FUNNEL, WIDE)
+ORACLE["ba_funnel"] = q("SELECT * FROM baf", FUNNEL, BA)
+ORACLE["ba_lift"] = q(
+    "SELECT *, CASE WHEN lift_pp > 0.1 THEN 'up' WHEN lift_pp < -0.1 THEN 'down' "
+    "ELSE 'neutral' END AS direction FROM lift", FUNNEL, BA)
+ORACLE["ba_significance"] = q("SELECT * FROM sig", FUNNEL, BA, SIG)
+ORACLE["ba_lift_summary"] = q(
+    "SELECT round(avg(l.lift_pp), 9) AS avg_lift_pp, count_if(l.lift_pp > 0.5) AS steps_improved, "
+    "count_if(l.lift_pp < -0.5) AS steps_declined, count_if(l.lift_pp IS NOT NULL) AS steps_compared, "
+    "arg_max(l.lift_pp, CASE WHEN l.lift_pp IS NOT NULL THEN l.step_no END) AS last_step_lift_pp, "
+    "count_if(s.is_significant) AS significant_steps FROM lift l LEFT JOIN sig s ON l.step_no = s.step_no",
+    FUNNEL, BA, SIG)
+_NAME_CASE = "CASE l.step_no " + " ".join(f"WHEN {n} THEN '{STEP_NAMES[n]}'" for n in STEPS) + " END"
+ORACLE["ba_detail"] = q(
+    "SELECT l.step_no, lpad(CAST(l.step_no AS VARCHAR), 2, '0') || ': ' || " + _NAME_CASE +
+    " AS step_label, l.before, l.after, "
+    "CASE WHEN st = 'compared' THEN l.delta END AS delta, "
+    "CASE WHEN st = 'compared' THEN l.lift_pp END AS lift_pp, "
+    "CASE WHEN st = 'compared' THEN s.p_label END AS p_label, "
+    "CASE WHEN st = 'compared' THEN s.is_significant END AS is_significant, st AS status "
+    "FROM (SELECT l.*, CASE WHEN b.is_branch AND coalesce(l.before, 0.0) = 0 THEN 'new' "
+    "WHEN l.before > 0 THEN 'compared' ELSE 'na' END AS st FROM lift l JOIN sbs b "
+    "ON l.step_no = b.step_no) l LEFT JOIN sig s ON l.step_no = s.step_no", FUNNEL, BA, SIG)
+ORACLE["ba_start_finish"] = q(
+    "SELECT period, started_users, finish_rate, started_users * finish_rate AS completed_users "
+    "FROM (SELECT period, max(users) AS started_users, arg_max(value, step_no) AS finish_rate "
+    "FROM baf WHERE NOT is_branch GROUP BY period)", FUNNEL, BA)
+ORACLE["dropoff_transitions"] = q(
+    "SELECT period, step_no, next_step_no, value, next_value, CASE WHEN value > 0 "
+    "THEN (value - next_value) / value ELSE 0.0 END AS drop_rate FROM (SELECT period, step_no, "
+    "value, lead(step_no) OVER (PARTITION BY period ORDER BY step_no) AS next_step_no, "
+    "lead(value) OVER (PARTITION BY period ORDER BY step_no) AS next_value FROM baf "
+    "WHERE NOT is_branch) WHERE next_step_no IS NOT NULL", FUNNEL, BA)
+
+BA_RET = f"""
+rtag AS ({tag_sql('rcube', hours=False)}),
+hr AS (SELECT DISTINCT install_version, period FROM rtag),
+pdy AS (
+  SELECT install_version, period, days_since_install, {wret()} AS r,
+         sum(CASE WHEN users_active > 0 THEN cohort_size END) AS n
+  FROM rtag WHERE days_since_install BETWEEN 1 AND 14 GROUP BY 1, 2, 3
+),
+grid AS (
+  SELECT v.install_version, CAST(d.range AS INTEGER) AS days_since_install
+  FROM (SELECT DISTINCT install_version FROM hr) v CROSS JOIN range(1, 15) d
+),
+gj AS (
+  SELECT g.install_version, g.days_since_install,
+         CASE WHEN hb.install_version IS NOT NULL THEN coalesce(b.n, 0) END AS nb,
+         CASE WHEN ha.install_version IS NOT NULL THEN coalesce(a.n, 0) END AS na,
+         coalesce(b.r, 0.0) AS rb, coalesce(a.r, 0.0) AS ra
+  FROM grid g
+  LEFT JOIN hr hb ON hb.install_version = g.install_version AND hb.period = 'before'
+  LEFT JOIN hr ha ON ha.install_version = g.install_version AND ha.period = 'after'
+  LEFT JOIN pdy b ON b.install_version = g.install_version AND b.period = 'before'
+       AND b.days_since_install = g.days_since_install
+  LEFT JOIN pdy a ON a.install_version = g.install_version AND a.period = 'after'
+       AND a.days_since_install = g.days_since_install
+)"""
+ORACLE["ba_retention"] = q(
+    "SELECT install_version, days_since_install AS day, CASE WHEN nb > 0 THEN rb END AS before, "
+    "CAST(nb AS BIGINT) AS cohort_before, CASE WHEN na > 0 THEN ra END AS after, "
+    "CAST(na AS BIGINT) AS cohort_after, CASE WHEN nb > 0 AND na > 0 THEN ra - rb END AS delta, "
+    "CASE WHEN nb > 0 AND na > 0 AND rb > 0 THEN (ra - rb) / rb END AS relative FROM gj",
+    RET, BA_RET)
+ORACLE["ba_retention_daily"] = q(
+    "SELECT install_version, days_since_install AS day, "
+    "CASE WHEN coalesce(nb, 0) > 0 THEN rb END AS before, "
+    "CASE WHEN coalesce(na, 0) > 0 THEN ra END AS after, "
+    "CASE WHEN coalesce(nb, 0) > 0 AND coalesce(na, 0) > 0 THEN ra - rb END AS delta FROM ("
+    f"SELECT install_version, days_since_install, {wret(f'install_date < {TEST_START_DATE}')} AS rb, "
+    f"sum(CASE WHEN install_date < {TEST_START_DATE} AND users_active > 0 THEN cohort_size END) AS nb, "
+    f"{wret(f'install_date >= {TEST_START_DATE}')} AS ra, "
+    f"sum(CASE WHEN install_date >= {TEST_START_DATE} AND users_active > 0 THEN cohort_size END) AS na "
+    "FROM rcube WHERE days_since_install BETWEEN 1 AND 14 GROUP BY 1, 2)", RET)

@@ -17,6 +17,7 @@ from cohortflow.config import EngineConfig
 from cohortflow.functions.columns import version_num
 from cohortflow.operators import cohort as co
 from cohortflow.operators import funnel as fu
+from cohortflow.operators import compare as cmpm
 from cohortflow.operators import filters as fi
 from cohortflow.operators import metrics as me
 from cohortflow.operators import retention as re
@@ -273,3 +274,157 @@ def filter_retention(spark, sf_dir):
     cube = cube.filter(F.col("install_date").between(F.lit(date(2024, 1, 1)),
                                                      F.lit(date(2024, 1, 8))))
     return fi.dimensions(cube, platform=["BUILDING", "MACHINERY"], is_usa=0)
+
+
+# --------------------------------------------------------------------------- filters / metrics
+def wide(spark, sf_dir):
+    return funnel(spark, sf_dir).wide
+
+
+def long(spark, sf_dir):
+    return funnel(spark, sf_dir).long
+
+
+@register
+def filter_date_hour(spark, sf_dir):
+    from datetime import date
+    return fi.date_hour_window(wide(spark, sf_dir), date(2024, 1, 2), date(2024, 1, 5), 6, 18)
+
+
+@register
+def filter_dimensions(spark, sf_dir):
+    from datetime import date
+    return fi.dimensions(wide(spark, sf_dir),
+                         platform=["AUTOMOBILE", "BUILDING", "FURNITURE"],
+                         install_month=[date(2024, 1, 1)], media_type=None,
+                         is_low_payers_country=False)
+
+
+def cube_versions(spark, sf_dir) -> DataFrame:
+    return wide(spark, sf_dir).select("install_version").distinct()
+
+
+def retention_versions(spark, sf_dir) -> DataFrame:
+    return retention(spark, sf_dir).select("install_version").distinct()
+
+
+@register
+def versions_at_least(spark, sf_dir):
+    return fi.versions_at_least(cube_versions(spark, sf_dir), "0.3812")
+
+
+@register
+def versions_ordered(spark, sf_dir):
+    from cohortflow.functions.columns import version_sort_key
+    v = cube_versions(spark, sf_dir).union(retention_versions(spark, sf_dir)).distinct()
+    return v.select("install_version", version_sort_key("install_version").alias("version_key")) \
+        .orderBy("version_key", "install_version")
+
+
+@register
+def versions_retention_only(spark, sf_dir):
+    return retention_versions(spark, sf_dir).subtract(cube_versions(spark, sf_dir))
+
+
+@register
+def weighted_conversion(spark, sf_dir):
+    return me.weighted_steps(long(spark, sf_dir), ["install_version"])
+
+
+@register
+def monotonic_cap(spark, sf_dir):
+    b = funnel(spark, sf_dir)
+    spine = [s.no for s in b.spec.spine if s.group not in b.spec.hidden_groups]
+    ws = me.weighted_steps(b.long.filter(F.col("step_no").isin(spine)), ["install_version"])
+    return me.running_min(ws, ["install_version"], "value", out="capped").select(
+        "install_version", "step_no", "value", "capped")
+
+
+@register
+def dimension_counts(spark, sf_dir):
+    from cohortflow.operators import reports as rp
+    return rp.dimension_counts(wide(spark, sf_dir),
+                               ["platform", "country", "media_type", "mediasource",
+                                "install_version"])
+
+
+@register
+def coverage(spark, sf_dir):
+    from cohortflow.operators import reports as rp
+    _, cfg = ctx(spark, sf_dir)
+    w = wide(spark, sf_dir)
+    return rp.coverage(w, F.col("platform").isin("BUILDING", "MACHINERY"), cfg.test_start.date())
+
+
+# --------------------------------------------------------------------------- before / after
+def comparison(spark, sf_dir) -> cmpm.Comparison:
+    _, cfg = ctx(spark, sf_dir)
+    return cmpm.Comparison.around_test_start(cfg, 0.381, 0.3811, cfg.cube_start,
+                                             cfg.as_of - timedelta(days=cfg.install_lag_days))
+
+
+def ba_base(spark, sf_dir):
+    b = funnel(spark, sf_dir)
+    return cmpm.ba_funnel(b.long, b.spec, comparison(spark, sf_dir))
+
+
+@register
+def ba_users(spark, sf_dir):
+    return cmpm.ba_users(long(spark, sf_dir), comparison(spark, sf_dir))
+
+
+@register
+def ba_versions(spark, sf_dir):
+    from cohortflow.functions.columns import version_sort_key
+    c = comparison(spark, sf_dir)
+    v = cube_versions(spark, sf_dir)
+    k = version_sort_key("install_version")
+    return (v.filter(k >= c.before.min_version).union(v.filter(k >= c.after.min_version))
+            .distinct())
+
+
+@register
+def ba_funnel(spark, sf_dir):
+    return ba_base(spark, sf_dir)
+
+
+@register
+def ba_lift(spark, sf_dir):
+    return cmpm.ba_lift(ba_base(spark, sf_dir))
+
+
+@register
+def ba_lift_summary(spark, sf_dir):
+    s = cmpm.ba_lift_summary(ba_base(spark, sf_dir), min_n=10)
+    return s.withColumn("avg_lift_pp", F.round("avg_lift_pp", 9))
+
+
+@register
+def ba_significance(spark, sf_dir):
+    return cmpm.ba_significance(ba_base(spark, sf_dir), min_n=10)
+
+
+@register
+def ba_detail(spark, sf_dir):
+    return cmpm.ba_detail(ba_base(spark, sf_dir), spec(), min_n=10)
+
+
+@register
+def ba_start_finish(spark, sf_dir):
+    return cmpm.ba_start_finish(ba_base(spark, sf_dir))
+
+
+@register
+def dropoff_transitions(spark, sf_dir):
+    return cmpm.dropoff_transitions(ba_base(spark, sf_dir))
+
+
+@register
+def ba_retention(spark, sf_dir):
+    return cmpm.ba_retention(retention(spark, sf_dir), comparison(spark, sf_dir))
+
+
+@register
+def ba_retention_daily(spark, sf_dir):
+    _, cfg = ctx(spark, sf_dir)
+    return cmpm.ba_retention_daily(retention(spark, sf_dir), cfg.test_start.date())

@@ -76,7 +76,7 @@ class EngineConfig:
             min_version=0.38,
             cube_start=date(2024, 1, 1),
             retention_start=date(2024, 1, 1),
-            test_start=datetime(2024, 1, 3, 0),
+            test_start=datetime(2024, 1, 3, 12),
             default_version_prefix="0.3811",
             min_sample_users=10,
             small_version_users=35,

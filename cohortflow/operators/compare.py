@@ -18,8 +18,7 @@ from pyspark.sql import functions as F
 
 from cohortflow.config import EngineConfig
 from cohortflow.functions.columns import version_sort_key
-from cohortflow.functions.stats import significance_columns
-from cohortflow.operators.filters import date_hour_window
+from cohortflow.functions.stats import with_significance
 from cohortflow.operators.metrics import weighted_value
 from cohortflow.operators.retention import weighted_retention
 from cohortflow.plans.steps import FunnelSpec
@@ -54,15 +53,21 @@ class Comparison:
 
 def tag_periods(cube: DataFrame, cmp: Comparison, version_col: str = "install_version",
                 hours: bool = True) -> DataFrame:
-    parts = []
-    for name, p in (("before", cmp.before), ("after", cmp.after)):
-        sub = cube.filter(version_sort_key(version_col) >= F.lit(p.min_version))
+    """Adds ``period``; a row inside both windows is emitted once per period
+    (one pass: an array of matching periods, exploded)."""
+    def inside(p: Period) -> F.Column:
+        c = version_sort_key(version_col) >= F.lit(p.min_version)
+        d = F.col("install_date")
+        c = c & d.between(F.lit(p.start), F.lit(p.end))
         if hours:
-            sub = date_hour_window(sub, p.start, p.end, p.start_hour, p.end_hour)
-        else:
-            sub = sub.filter(F.col("install_date").between(F.lit(p.start), F.lit(p.end)))
-        parts.append(sub.withColumn("period", F.lit(name)))
-    return parts[0].unionByName(parts[1])
+            h = F.col("install_hour")
+            c = c & ~F.coalesce((d == F.lit(p.start)) & (h < p.start_hour), F.lit(False))
+            c = c & ~F.coalesce((d == F.lit(p.end)) & (h > p.end_hour), F.lit(False))
+        return F.coalesce(c, F.lit(False))
+
+    b, a = inside(cmp.before), inside(cmp.after)
+    periods = F.array_compact(F.array(F.when(b, F.lit("before")), F.when(a, F.lit("after"))))
+    return cube.filter(b | a).withColumn("period", F.explode(periods))
 
 
 def shown_steps(spec: FunnelSpec, include_groups: tuple[str, ...] = ()) -> list[int]:
@@ -97,52 +102,55 @@ def ba_funnel(long: DataFrame, spec: FunnelSpec, cmp: Comparison, metric: str =
 
 
 def side_by_side(funnel: DataFrame) -> DataFrame:
-    """One row per step: before/after values and sample sizes."""
-    b = funnel.filter(F.col("period") == "before").select(
-        "step_no", "is_branch", F.col("value").alias("before"),
-        F.col("step1").alias("n_before"), F.col("users").alias("users_before"))
-    a = funnel.filter(F.col("period") == "after").select(
-        "step_no", F.col("is_branch").alias("_ib"), F.col("value").alias("after"),
-        F.col("step1").alias("n_after"), F.col("users").alias("users_after"))
-    j = b.join(a, "step_no", "full")
-    return j.withColumn("is_branch", F.coalesce("is_branch", "_ib")).drop("_ib")
-
-
-def ba_lift(funnel: DataFrame) -> DataFrame:
+    """One row per step: before/after values and sample sizes (a pivot on
+    period by conditional aggregation; no self-join)."""
+    def pick(col, p):
+        return F.max(F.when(F.col("period") == p, F.col(col)))
+    return funnel.groupBy("step_no").agg(
+        F.bool_or("is_branch").alias("is_branch"),
+        pick("value", "before").alias("before"), pick("value", "after").alias("after"),
+        pick("step1", "before").alias("n_before"), pick("step1", "after").alias("n_after"),
+        pick("users", "before").alias("users_before"), pick("users", "after").alias("users_after"))
+
+
+def ba_table(funnel: DataFrame, min_n: int = 10) -> DataFrame:
+    """Side-by-side values with lift, status and significance columns."""
     s = side_by_side(funnel)
     before0 = F.coalesce(F.col("before"), F.lit(0.0))
     new_step = F.col("is_branch") & (before0 == 0)
     diff = F.col("after") - F.col("before")
     lift = F.when(~new_step, diff * 100)
+    s = with_significance(s, "before", "n_before", "after", "n_after", min_n)
+    tested = F.coalesce(F.col("before") > 0, F.lit(False))
+    status = (F.when(new_step, "new").when(F.col("before") > 0, "compared").otherwise("na"))
     return s.select(
-        "step_no", "before", "after",
+        "*",
         F.when(~new_step, diff).alias("delta"),
         lift.alias("lift_pp"),
-        F.when(~new_step & (F.col("before") > 0), diff / F.col("before") * 100).alias("rel_lift_pct"),
+        F.when(~new_step & (F.col("before") > 0), diff / F.col("before") * 100)
+        .alias("rel_lift_pct"),
         F.when(lift > 0.1, "up").when(lift < -0.1, "down").otherwise("neutral").alias("direction"),
-    )
+        status.alias("status"),
+    ).withColumn("chi2", F.when(tested, F.col("chi2"))) \
+        .withColumn("p_value", F.when(tested, F.col("p_value")).otherwise(F.lit(1.0))) \
+        .withColumn("is_significant", F.when(tested, F.col("is_significant")).otherwise(F.lit(False))) \
+        .withColumn("p_label", F.when(tested, F.col("p_label")).otherwise(F.lit("N/A")))
+
+
+def ba_lift(funnel: DataFrame) -> DataFrame:
+    return ba_table(funnel).select("step_no", "before", "after", "delta", "lift_pp",
+                                   "rel_lift_pct", "direction")
 
 
 def ba_significance(funnel: DataFrame, min_n: int = 10) -> DataFrame:
-    s = side_by_side(funnel)
-    sig = significance_columns(F.col("before"), F.col("n_before"), F.col("after"),
-                               F.col("n_after"), min_n)
-    tested = F.coalesce(F.col("before") > 0, F.lit(False))
-    return s.select(
-        "step_no", "before", "after", "n_before", "n_after",
-        F.when(tested, sig["chi2"]).alias("chi2"),
-        F.when(tested, F.round(sig["p_value"], 9)).otherwise(F.lit(1.0)).alias("p_value"),
-        F.when(tested, sig["is_significant"]).otherwise(F.lit(False)).alias("is_significant"),
-        F.when(tested, sig["p_label"]).otherwise(F.lit("N/A")).alias("p_label"),
-    )
+    return ba_table(funnel, min_n).select("step_no", "before", "after", "n_before", "n_after",
+                                          "chi2", "p_value", "is_significant", "p_label")
 
 
 def ba_lift_summary(funnel: DataFrame, min_n: int = 10) -> DataFrame:
-    lift = ba_lift(funnel)
-    sig = ba_significance(funnel, min_n).select("step_no", "is_significant")
-    j = lift.join(sig, "step_no", "left")
+    t = ba_table(funnel, min_n)
     counted = F.col("lift_pp").isNotNull()
-    return j.agg(
+    return t.agg(
         F.avg("lift_pp").alias("avg_lift_pp"),
         F.count_if(F.col("lift_pp") > 0.5).alias("steps_improved"),
         F.count_if(F.col("lift_pp") < -0.5).alias("steps_declined"),
@@ -153,25 +161,18 @@ def ba_lift_summary(funnel: DataFrame, min_n: int = 10) -> DataFrame:
 
 
 def ba_detail(funnel: DataFrame, spec: FunnelSpec, min_n: int = 10) -> DataFrame:
-    lift = ba_lift(funnel)
-    sig = ba_significance(funnel, min_n).select("step_no", "p_label", "is_significant")
-    names = {s.no: s.name for s in spec.steps}
+    t = ba_table(funnel, min_n)
+    names = F.create_map(*[x for s in spec.steps for x in (F.lit(s.no), F.lit(s.name))])
     label = F.concat(F.lpad(F.col("step_no").cast("string"), 2, "0"), F.lit(": "),
-                     F.element_at(F.create_map(*[x for no, n in names.items()
-                                                 for x in (F.lit(no), F.lit(n))]),
-                                  F.col("step_no")))
-    j = lift.join(sig, "step_no", "left").join(
-        side_by_side(funnel).select("step_no", "is_branch"), "step_no", "left")
-    status = (F.when(F.col("is_branch") & (F.coalesce(F.col("before"), F.lit(0.0)) == 0), "new")
-              .when(F.col("before") > 0, "compared").otherwise("na"))
-    compared = status == "compared"
-    return j.select(
+                     F.element_at(names, F.col("step_no")))
+    compared = F.col("status") == "compared"
+    return t.select(
         "step_no", label.alias("step_label"), "before", "after",
         F.when(compared, F.col("delta")).alias("delta"),
         F.when(compared, F.col("lift_pp")).alias("lift_pp"),
         F.when(compared, F.col("p_label")).alias("p_label"),
         F.when(compared, F.col("is_significant")).alias("is_significant"),
-        status.alias("status"))
+        "status")
 
 
 def ba_start_finish(funnel: DataFrame) -> DataFrame:

@@ -577,3 +577,169 @@ ORACLE["ba_retention_daily"] = q(
     f"{wret(f'install_date >= {TEST_START_DATE}')} AS ra, "
     f"sum(CASE WHEN install_date >= {TEST_START_DATE} AND users_active > 0 THEN cohort_size END) AS na "
     "FROM rcube WHERE days_since_install BETWEEN 1 AND 14 GROUP BY 1, 2)", RET)
+
+# ---------------------------------------------------------------- reports
+VS = f"""
+vs AS (
+  SELECT install_version, step_no, {wcw('pct')} AS value, CAST(sum(total_users) AS BIGINT) AS users
+  FROM cube WHERE step_no IN {SHOWN} GROUP BY 1, 2
+),
+vsu AS (
+  SELECT v.*, u.users AS vusers FROM vs v
+  JOIN (SELECT install_version, users FROM vs WHERE step_no = 1) u ON v.install_version = u.install_version
+)"""
+
+
+def vsl(min_users: int) -> str:
+    return f"""
+vsl{min_users} AS (
+  SELECT *, lag(step_no) OVER w AS prev_step_no, lag(value) OVER w AS prev_value
+  FROM vsu WHERE vusers >= {min_users}
+  WINDOW w AS (PARTITION BY install_version ORDER BY step_no)
+)"""
+
+
+def split_sql(group: str) -> str:
+    b = f"install_date < {TEST_START_DATE}"
+    nb = f"NOT ({b})"
+
+    def side(c: str, tag: str) -> str:
+        den = f"sum(CASE WHEN {c} THEN raw_step_01 END)"
+        num = f"sum(CASE WHEN {c} THEN coalesce(pct_e4, 0) * raw_step_01 END)"
+        return (f"CASE WHEN {den} > 0 THEN CAST({num} AS DOUBLE) / CAST({den} * 10000 AS DOUBLE) "
+                f"ELSE coalesce(avg(CASE WHEN {c} THEN pct END), 0.0) END AS {tag}")
+    g = f"{group}, " if group else ""
+    return (f"SELECT {g}step_no, {side(b, 'before')}, {side(nb, 'after')}, "
+            f"CAST(coalesce(sum(CASE WHEN {b} THEN total_users END), 0) AS BIGINT) AS users_before, "
+            f"CAST(coalesce(sum(CASE WHEN {nb} THEN total_users END), 0) AS BIGINT) AS users_after "
+            f"FROM cube WHERE step_no IN {SHOWN} GROUP BY {g}step_no")
+
+
+ORACLE["version_funnel"] = q(
+    "SELECT install_version, max(CASE WHEN step_no = 1 THEN users END) AS users, "
+    + ", ".join(f"max(CASE WHEN step_no = {n} THEN value END) AS s{n:02d}" for n in PCT_SHOWN)
+    + " FROM vs GROUP BY install_version", FUNNEL, VS)
+ORACLE["version_funnel_split"] = q(
+    f"SELECT install_version, {PERIOD} AS period, step_no, {wcw('pct')} AS value, "
+    f"CAST(sum(total_users) AS BIGINT) AS users FROM cube WHERE step_no IN {SHOWN} "
+    "GROUP BY 1, 2, 3", FUNNEL)
+for _name, _col in (("step_trend_day", "install_date"), ("step_trend_week", "install_week"),
+                    ("step_trend_month", "install_month")):
+    ORACLE[_name] = q(
+        f"SELECT {_col} AS period, step_no, {wcw('pct')} AS value, "
+        f"CAST(sum(total_users) AS BIGINT) AS users FROM cube WHERE step_no IN {SHOWN} "
+        "GROUP BY 1, 2 HAVING sum(total_users) > 0", FUNNEL)
+ORACLE["trend_averages"] = q(
+    f"SELECT step_no, round(avg(CASE WHEN period < {TEST_START_DATE} THEN value END), 9) AS avg_before, "
+    f"round(avg(CASE WHEN period >= {TEST_START_DATE} THEN value END), 9) AS avg_after FROM ("
+    f"SELECT install_date AS period, step_no, {wcw('pct')} AS value FROM cube "
+    f"WHERE step_no IN {SHOWN} GROUP BY 1, 2 HAVING sum(total_users) > 0) GROUP BY step_no", FUNNEL)
+ORACLE["trend_ba_summary"] = q(
+    "SELECT step_no, before, CASE WHEN users_after > 0 THEN after END AS after, "
+    "CASE WHEN users_after > 0 THEN after - before END AS delta, "
+    "CASE WHEN users_after > 0 THEN CASE WHEN before > 0 THEN (after - before) / before * 100 "
+    "ELSE 0.0 END END AS pct_change FROM (" + split_sql("") + ")", FUNNEL)
+ORACLE["daily_steps"] = q(
+    f"SELECT install_date, install_version, step_no, {wcw('pct')} AS value, "
+    f"CAST(sum(total_users) AS BIGINT) AS users FROM cube WHERE step_no IN {SHOWN} "
+    "GROUP BY 1, 2, 3", FUNNEL)
+ORACLE["daily_ba_summary"] = q(split_sql("install_version"), FUNNEL)
+for _name, _col, _lim in (("installs_by_version", "install_version", ""),
+                          ("installs_by_media_type", "media_type", ""),
+                          ("top_media_sources", "mediasource", " LIMIT 15")):
+    ORACLE[_name] = q(
+        f"SELECT {_col}, CAST(sum(total_users) AS BIGINT) AS users FROM cube_wide "
+        f"WHERE {_col} IS NOT NULL GROUP BY 1 ORDER BY users DESC, {_col}{_lim}", FUNNEL, WIDE)
+ORACLE["install_summary"] = q(
+    "SELECT install_version, total_installs, days_with_data, "
+    "round(total_installs / sum(total_installs) OVER () * 100, 1) AS share_pct FROM ("
+    "SELECT install_version, CAST(sum(total_users) AS BIGINT) AS total_installs, "
+    "count(DISTINCT install_date) AS days_with_data FROM cube_wide GROUP BY 1)", FUNNEL, WIDE)
+LAST = PCT_SHOWN[-1]
+V_LAST = f"""
+vlast AS (
+  SELECT install_version, {wcw('pct')} AS value, CAST(sum(total_users) AS BIGINT) AS users,
+         {VKEY} AS vkey
+  FROM cube WHERE step_no = {LAST} GROUP BY install_version
+),
+bw AS (
+  SELECT (SELECT install_version FROM vlast ORDER BY value DESC, vkey ASC, install_version DESC LIMIT 1) AS best_version,
+         max(value) AS best_value,
+         (SELECT install_version FROM vlast ORDER BY value ASC, vkey ASC, install_version ASC LIMIT 1) AS worst_version,
+         min(value) AS worst_value, count(*) AS n_versions, max(value) - min(value) AS gap
+  FROM vlast
+)"""
+ORACLE["best_worst_version"] = q("SELECT * FROM bw", FUNNEL, V_LAST)
+
+# ---------------------------------------------------------------- anomalies / alerts
+MIN_SAMPLE = 10
+SMALL = 35
+ORACLE["anomaly_upticks"] = q(
+    "SELECT install_version, step_no, prev_step_no, value, prev_value, "
+    "(value - prev_value) * 100 AS uptick_pct, CASE WHEN step_no IN (9) THEN 'Known / Accepted' "
+    f"ELSE 'Investigate' END AS status FROM vsl{MIN_SAMPLE} "
+    "WHERE prev_value IS NOT NULL AND value > prev_value + 0.0005",
+    FUNNEL, VS, vsl(MIN_SAMPLE))
+
+
+def drops_sql(min_users: int) -> str:
+    return (f"SELECT install_version, prev_step_no, step_no, prev_value AS from_value, "
+            f"value AS to_value, prev_value - value AS drop_abs, "
+            f"(prev_value - value) / prev_value * 100 AS drop_pct FROM vsl{min_users} "
+            f"WHERE prev_value > 0")
+
+
+ORACLE["biggest_dropoffs"] = q(
+    "SELECT *, CASE WHEN drop_pct > 10 THEN 'red' WHEN drop_pct > 5 THEN 'yellow' ELSE 'green' "
+    "END AS severity FROM (SELECT *, CAST(row_number() OVER (PARTITION BY install_version "
+    f"ORDER BY drop_abs DESC, step_no) AS INTEGER) AS rank FROM ({drops_sql(MIN_SAMPLE)})) "
+    "WHERE rank <= 5", FUNNEL, VS, vsl(MIN_SAMPLE))
+ORACLE["top3_drops"] = q(
+    "SELECT install_version, rank, step_no, drop_pct, to_value FROM (SELECT *, "
+    "CAST(row_number() OVER (PARTITION BY install_version ORDER BY drop_pct DESC, step_no) AS INTEGER) "
+    f"AS rank FROM ({drops_sql(0)}) WHERE install_version = (SELECT install_version FROM "
+    f"(SELECT DISTINCT install_version FROM cube) ORDER BY {VKEY}, install_version LIMIT 1)) "
+    "WHERE rank <= 3", FUNNEL, VS, vsl(0))
+ORACLE["alerts_funnel"] = q(
+    "SELECT 'low_sample_version' AS alert, 'yellow' AS severity, install_version AS subject, "
+    f"CAST(users AS DOUBLE) AS value FROM vlast WHERE users > 0 AND users < {SMALL} "
+    "UNION ALL SELECT 'best_worst_gap', 'red', best_version || ' vs ' || worst_version, gap FROM bw "
+    "WHERE best_value > 0 AND worst_value > 0 AND gap > 0.1 "
+    "UNION ALL SELECT 'low_completion', 'yellow', install_version, 1 - value FROM ("
+    "SELECT * FROM vlast WHERE value > 0 AND value < 0.5 ORDER BY vkey, install_version LIMIT 1)",
+    FUNNEL, V_LAST)
+ORACLE["alerts_trend"] = q(
+    "SELECT 'biggest_improvement' AS alert, 'green' AS severity, CAST(g.step_no AS VARCHAR) AS subject, "
+    "g.change_pct AS value FROM (SELECT step_no, change_pct FROM ch ORDER BY change_pct DESC, step_no "
+    "LIMIT 1) g, ok WHERE ok.ok AND g.change_pct > 1 UNION ALL "
+    "SELECT 'biggest_regression', 'red', CAST(d.step_no AS VARCHAR), d.change_pct FROM ("
+    "SELECT step_no, change_pct FROM ch ORDER BY change_pct ASC, step_no LIMIT 1) d, ok "
+    "WHERE ok.ok AND d.change_pct < -1", FUNNEL,
+    "ss AS (" + split_sql("") + "), ch AS (SELECT step_no, (after - before) / before * 100 AS "
+    "change_pct FROM ss WHERE before > 0), ok AS (SELECT max(users_before) > 0 AND "
+    "max(users_after) > 0 AS ok FROM ss)")
+ORACLE["alerts_installs"] = q(
+    "SELECT 'dominant_version' AS alert, 'yellow' AS severity, install_version AS subject, "
+    "users / t * 100 AS value FROM bv, (SELECT sum(users) AS t FROM bv) tv WHERE users / t * 100 > 80 "
+    f"UNION ALL SELECT 'small_version', 'yellow', install_version, CAST(users AS DOUBLE) FROM bv "
+    f"WHERE users < {SMALL} UNION ALL "
+    "SELECT 'dominant_media_type', 'yellow', media_type, users / t * 100 FROM ("
+    "SELECT media_type, users FROM bm ORDER BY users DESC, media_type ASC LIMIT 1), "
+    "(SELECT sum(users) AS t FROM bm) tm WHERE t > 0 AND users / t * 100 > 70", FUNNEL, WIDE,
+    "bv AS (SELECT install_version, CAST(sum(total_users) AS BIGINT) AS users FROM cube_wide "
+    "GROUP BY 1), bm AS (SELECT media_type, CAST(sum(total_users) AS BIGINT) AS users FROM "
+    "cube_wide WHERE media_type IS NOT NULL GROUP BY 1)")
+_B = f"install_date < {TEST_START_DATE}"
+ORACLE["alerts_retention"] = q(
+    "SELECT 'd1_retention_improved' AS alert, 'green' AS severity, install_version AS subject, "
+    "ra - rb AS value FROM d1, post WHERE post.post AND nb > 0 AND na > 0 AND ra - rb > 0.02 "
+    "UNION ALL SELECT 'd1_retention_dropped', 'red', install_version, ra - rb FROM d1, post "
+    "WHERE post.post AND nb > 0 AND na > 0 AND ra - rb < -0.02 UNION ALL "
+    "SELECT 'small_cohort', 'yellow', install_version, CAST(cd0 AS DOUBLE) FROM ("
+    "SELECT install_version, sum(cohort_size) AS cd0 FROM rcube WHERE days_since_install = 0 "
+    f"GROUP BY 1) WHERE cd0 > 0 AND cd0 < {SMALL}", RET,
+    f"d1 AS (SELECT install_version, {wret(_B)} AS rb, "
+    f"coalesce(sum(CASE WHEN {_B} THEN cohort_size END), 0) AS nb, {wret('NOT (' + _B + ')')} AS ra, "
+    f"coalesce(sum(CASE WHEN NOT ({_B}) THEN cohort_size END), 0) AS na FROM rcube "
+    "WHERE days_since_install = 1 GROUP BY 1), "
+    f"post AS (SELECT bool_or(NOT ({_B})) AS post FROM rcube)")

@@ -428,3 +428,171 @@ def ba_retention(spark, sf_dir):
 def ba_retention_daily(spark, sf_dir):
     _, cfg = ctx(spark, sf_dir)
     return cmpm.ba_retention_daily(retention(spark, sf_dir), cfg.test_start.date())
+
+
+# --------------------------------------------------------------------------- reports
+def shown(spark, sf_dir) -> list[int]:
+    return cmpm.shown_steps(spec())
+
+
+@register
+def version_funnel(spark, sf_dir):
+    from cohortflow.operators import reports as rp
+    return rp.version_funnel(long(spark, sf_dir), shown(spark, sf_dir))
+
+
+@register
+def version_funnel_split(spark, sf_dir):
+    from cohortflow.operators import reports as rp
+    _, cfg = ctx(spark, sf_dir)
+    lg = long(spark, sf_dir).withColumn("period", rp.period_of(cfg.test_start.date()))
+    ws = rp.weighted_by(lg.filter(F.col("step_no").isin(shown(spark, sf_dir))),
+                        ["install_version", "period"])
+    return ws.select("install_version", "period", "step_no", "value", "users")
+
+
+def _trend(spark, sf_dir, col):
+    from cohortflow.operators import reports as rp
+    return rp.trend(long(spark, sf_dir), col, shown(spark, sf_dir))
+
+
+@register
+def step_trend_day(spark, sf_dir):
+    return _trend(spark, sf_dir, "install_date")
+
+
+@register
+def step_trend_week(spark, sf_dir):
+    return _trend(spark, sf_dir, "install_week")
+
+
+@register
+def step_trend_month(spark, sf_dir):
+    return _trend(spark, sf_dir, "install_month")
+
+
+@register
+def trend_averages(spark, sf_dir):
+    _, cfg = ctx(spark, sf_dir)
+    t = _trend(spark, sf_dir, "install_date")
+    before = F.col("period") < F.lit(cfg.test_start.date())
+    return t.groupBy("step_no").agg(
+        F.round(F.avg(F.when(before, F.col("value"))), 9).alias("avg_before"),
+        F.round(F.avg(F.when(~before, F.col("value"))), 9).alias("avg_after"))
+
+
+@register
+def trend_ba_summary(spark, sf_dir):
+    from cohortflow.operators import reports as rp
+    _, cfg = ctx(spark, sf_dir)
+    s = rp.split_summary(long(spark, sf_dir), [], cfg.test_start.date(), shown(spark, sf_dir))
+    has_after = F.col("users_after") > 0
+    delta = F.col("after") - F.col("before")
+    pct = F.when(F.col("before") > 0, delta / F.col("before") * 100).otherwise(F.lit(0.0))
+    return s.select("step_no", "before", F.when(has_after, F.col("after")).alias("after"),
+                    F.when(has_after, delta).alias("delta"),
+                    F.when(has_after, pct).alias("pct_change"))
+
+
+@register
+def daily_steps(spark, sf_dir):
+    from cohortflow.operators import reports as rp
+    ws = rp.weighted_by(long(spark, sf_dir).filter(F.col("step_no").isin(shown(spark, sf_dir))),
+                        ["install_date", "install_version"])
+    return ws.select("install_date", "install_version", "step_no", "value", "users") \
+        .na.drop(subset=["value"])
+
+
+@register
+def daily_ba_summary(spark, sf_dir):
+    from cohortflow.operators import reports as rp
+    _, cfg = ctx(spark, sf_dir)
+    return rp.split_summary(long(spark, sf_dir), ["install_version"], cfg.test_start.date(),
+                            shown(spark, sf_dir))
+
+
+def _installs_by(spark, sf_dir, col):
+    return (wide(spark, sf_dir).groupBy(col).agg(F.sum("total_users").alias("users"))
+            .filter(F.col(col).isNotNull()).orderBy(F.desc("users"), col))
+
+
+@register
+def installs_by_version(spark, sf_dir):
+    return _installs_by(spark, sf_dir, "install_version")
+
+
+@register
+def installs_by_media_type(spark, sf_dir):
+    return _installs_by(spark, sf_dir, "media_type")
+
+
+@register
+def top_media_sources(spark, sf_dir):
+    return _installs_by(spark, sf_dir, "mediasource").limit(15)
+
+
+@register
+def install_summary(spark, sf_dir):
+    from cohortflow.operators import reports as rp
+    s = wide(spark, sf_dir).groupBy("install_version").agg(
+        F.sum("total_users").alias("total_installs"),
+        F.countDistinct("install_date").alias("days_with_data"))
+    return rp.share_of_total(s, "total_installs", "share_pct", 1)
+
+
+@register
+def best_worst_version(spark, sf_dir):
+    from cohortflow.operators import alerts as al
+    return al.best_worst(long(spark, sf_dir), shown(spark, sf_dir)[-1])
+
+
+# --------------------------------------------------------------------------- anomalies / alerts
+@register
+def anomaly_upticks(spark, sf_dir):
+    from cohortflow.operators import alerts as al
+    _, cfg = ctx(spark, sf_dir)
+    return al.upticks(long(spark, sf_dir), shown(spark, sf_dir), cfg.min_sample_users,
+                      cfg.uptick_tolerance, cfg.known_uptick_steps)
+
+
+@register
+def biggest_dropoffs(spark, sf_dir):
+    from cohortflow.operators import alerts as al
+    _, cfg = ctx(spark, sf_dir)
+    return al.biggest_dropoffs(long(spark, sf_dir), shown(spark, sf_dir), cfg.min_sample_users)
+
+
+@register
+def top3_drops(spark, sf_dir):
+    from cohortflow.operators import alerts as al
+    return al.top_drops_first_version(long(spark, sf_dir), shown(spark, sf_dir), 3)
+
+
+@register
+def alerts_funnel(spark, sf_dir):
+    from cohortflow.operators import alerts as al
+    _, cfg = ctx(spark, sf_dir)
+    return al.funnel_alerts(long(spark, sf_dir), shown(spark, sf_dir)[-1],
+                            cfg.small_version_users)
+
+
+@register
+def alerts_trend(spark, sf_dir):
+    from cohortflow.operators import alerts as al
+    _, cfg = ctx(spark, sf_dir)
+    return al.trend_alerts(long(spark, sf_dir), shown(spark, sf_dir), cfg.test_start.date())
+
+
+@register
+def alerts_installs(spark, sf_dir):
+    from cohortflow.operators import alerts as al
+    _, cfg = ctx(spark, sf_dir)
+    return al.install_alerts(wide(spark, sf_dir), cfg.small_version_users)
+
+
+@register
+def alerts_retention(spark, sf_dir):
+    from cohortflow.operators import alerts as al
+    _, cfg = ctx(spark, sf_dir)
+    return al.retention_alerts(retention(spark, sf_dir), cfg.test_start.date(),
+                               cfg.small_version_users)

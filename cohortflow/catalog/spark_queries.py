@@ -125,6 +125,7 @@ def events_observation_window(spark, sf_dir):
     return b.events.select("distinct_id", "mp_event_name", "res_timestamp", "install_ms")
 
 
+
 @register
 def first_event_ts(spark, sf_dir):
     b = funnel(spark, sf_dir)
@@ -134,7 +135,9 @@ def first_event_ts(spark, sf_dir):
 # --------------------------------------------------------------------------- funnel
 @register
 def funnel_anchors(spark, sf_dir):
-    return funnel(spark, sf_dir).anchors
+    b = funnel(spark, sf_dir)
+    return b.anchors.select("distinct_id", "n_events",
+                            *[fu.anchor_col(a.name) for a in b.spec.anchors])
 
 
 @register

@@ -50,15 +50,17 @@ def low_payer_countries(countries: DataFrame) -> DataFrame:
 def not_in(df: DataFrame, excluded: DataFrame, key: str) -> DataFrame:
     """SQL ``key NOT IN (SELECT key FROM excluded)`` without a broadcast-only plan.
 
-    Null-aware semantics: a NULL in the list empties the result, a NULL key
-    is never kept.  The list is joined with a shuffle anti join (it may be
-    large); the NULL check is a scalar existence probe.
+    Null-aware semantics: a NULL in the list empties the result, a NULL key is
+    never kept.  The list itself goes through a shuffle anti join (it may be
+    large).  The NULL rule is a one-row aggregate (``count of NULL keys``)
+    joined on a constant key: exactly one row is broadcast, no driver action.
     """
-    has_null = excluded.filter(F.col(key).isNull()).limit(1).count() > 0
-    if has_null:
-        return df.limit(0)
-    return (df.filter(F.col(key).isNotNull())
-            .join(excluded.filter(F.col(key).isNotNull()).select(key), key, "left_anti"))
+    keep = (excluded.agg(F.count_if(F.col(key).isNull()).alias("_nulls"))
+            .filter(F.col("_nulls") == 0).select(F.lit(1).alias("_one")))
+    out = (df.filter(F.col(key).isNotNull())
+           .join(excluded.filter(F.col(key).isNotNull()).select(key), key, "left_anti"))
+    return out.withColumn("_one", F.lit(1)).join(F.broadcast(keep), "_one", "left_semi") \
+        .drop("_one")
 
 
 def is_buggy_version(version: F.Column, band: tuple[float, float]) -> F.Column:

@@ -31,6 +31,7 @@ from cohortflow.config import EngineConfig
 from cohortflow.functions.columns import exact_ratio_e, from_e
 from cohortflow.operators.cohort import COHORT_DIMS, cohort_from_source, media_type_lookup
 from cohortflow.plans.steps import EventMatch, FunnelSpec, Step
+from cohortflow.session import checkpoint_dir
 
 CUBE_DIMS = COHORT_DIMS + ["media_type"]
 T = "res_timestamp"
@@ -50,13 +51,17 @@ def event_window(cfg: EngineConfig, event_lag_days: int | None = None):
 
 
 def funnel_events(events: DataFrame, cohort: DataFrame, spec: FunnelSpec) -> DataFrame:
-    """Events of cohort players, with the columns the predicates need."""
+    """Events of cohort players with every cohort column the build needs."""
     c = cohort.select("distinct_id", "is_buggy_version",
-                      F.unix_millis("first_event_time").alias("install_ms"))
+                      F.unix_millis("first_event_time").alias("install_ms"), *COHORT_DIMS)
     ev = events.join(c, "distinct_id", "inner")
-    if spec.observation_ms is not None:
-        ev = ev.filter(F.col(T) <= F.col("install_ms") + F.lit(spec.observation_ms))
-    return ev
+    return observed(ev, spec)
+
+
+def observed(ev: DataFrame, spec: FunnelSpec) -> DataFrame:
+    if spec.observation_ms is None:
+        return ev
+    return ev.filter(F.col(T) <= F.col("install_ms") + F.lit(spec.observation_ms))
 
 
 def user_events(events: DataFrame, cohort: DataFrame) -> DataFrame:
@@ -79,11 +84,17 @@ def _match(m: EventMatch) -> Column:
     return cond
 
 
+USER_COLS = ["is_buggy_version", "install_ms"] + COHORT_DIMS
+
+
 def anchors(ev: DataFrame, spec: FunnelSpec) -> DataFrame:
-    """First timestamp of every anchor event per user (+ event count)."""
+    """One row per cohort user with events: first timestamp of every anchor,
+    the event count, and the user's cohort columns (carried with
+    ``any_value`` - they are functionally dependent on the user)."""
     aggs = [F.min(F.when(_match(a.match), F.col(T))).alias(anchor_col(a.name))
             for a in spec.anchors]
-    return ev.groupBy("distinct_id").agg(F.count(F.lit(1)).alias("n_events"), *aggs)
+    carry = [F.any_value(c).alias(c) for c in USER_COLS]
+    return ev.groupBy("distinct_id").agg(F.count(F.lit(1)).alias("n_events"), *aggs, *carry)
 
 
 def step_predicate(step: Step, spec: FunnelSpec) -> Column:
@@ -108,16 +119,21 @@ def step_predicate(step: Step, spec: FunnelSpec) -> Column:
     return cond
 
 
-def user_flags(ev: DataFrame, spec: FunnelSpec, anc: DataFrame | None = None) -> DataFrame:
-    """Raw 0/1 flag per step for every user with at least one event."""
-    anc = anchors(ev, spec) if anc is None else anc
-    rel = ev.filter(F.col("mp_event_name").isin(spec.event_names()))
-    j = rel.join(anc.drop("n_events"), "distinct_id", "inner")
+def user_flags(events: DataFrame, spec: FunnelSpec, users: DataFrame) -> DataFrame:
+    """Raw 0/1 flag per step for every user of ``users`` (the anchors table).
+
+    ``events`` is the event log in the date band; only the event names the
+    spec mentions are read (pushed to the scan).  Joining to ``users``
+    restricts the events to the cohort, so the cohort is built only once.
+    """
+    rel = events.filter(F.col("mp_event_name").isin(spec.event_names()))
+    keep = ["distinct_id", "is_buggy_version", "install_ms"] + [anchor_col(a.name)
+                                                                for a in spec.anchors]
+    j = observed(rel.join(users.select(*keep), "distinct_id", "inner"), spec)
     flags = j.groupBy("distinct_id").agg(*[
         F.max(F.when(step_predicate(s, spec), F.lit(1)).otherwise(F.lit(0))).alias(step_col(s.no))
         for s in spec.steps])
-    users = anc.select("distinct_id")
-    out = users.join(flags, "distinct_id", "left")
+    out = users.select("distinct_id").join(flags, "distinct_id", "left")
     return out.select("distinct_id", *[F.coalesce(F.col(step_col(s.no)), F.lit(0))
                                        .alias(step_col(s.no)) for s in spec.steps])
 
@@ -139,10 +155,11 @@ def monotonic(flags: DataFrame, spec: FunnelSpec) -> DataFrame:
     return d.select("distinct_id", F.col("_depth").cast("int").alias("depth"), *cols)
 
 
-def cube_counts(mono: DataFrame, cohort: DataFrame, spec: FunnelSpec,
+def cube_counts(mono: DataFrame, users: DataFrame, spec: FunnelSpec,
                 source_names: DataFrame) -> DataFrame:
-    """Per-cell user counts (wide): dims, total_users, step_NN counts."""
-    u = mono.join(cohort.select("distinct_id", *COHORT_DIMS), "distinct_id", "inner")
+    """Per-cell user counts (wide): dims, total_users, step_NN counts.
+    ``users`` is any per-user table carrying the cohort dimensions."""
+    u = mono.join(users.select("distinct_id", *COHORT_DIMS), "distinct_id", "inner")
     counts = u.groupBy(*COHORT_DIMS).agg(
         F.count(F.lit(1)).alias("total_users"),
         *[F.sum(step_col(s.no)).cast("long").alias(step_col(s.no)) for s in spec.steps])
@@ -247,15 +264,26 @@ class FunnelBuild:
 
 def build_funnel(src, cfg: EngineConfig, spec: FunnelSpec,
                  install_lag_days: int | None = None,
-                 event_lag_days: int | None = None) -> FunnelBuild:
-    """The whole funnel job over a source; every stage stays lazy."""
+                 event_lag_days: int | None = None,
+                 materialize: bool = True) -> FunnelBuild:
+    """The whole funnel job over a source.
+
+    With ``materialize`` the per-user anchors table (one row per cohort user
+    with events) is checkpointed to the shared checkpoint folder: it is read
+    three times downstream (flags join, user list, cube dimensions), and a
+    checkpoint both avoids recomputing the first event scan for each use and
+    cuts the lineage, so a lost executor re-reads the checkpoint instead of
+    re-running the scan.  Everything else stays lazy."""
     cohort = cohort_from_source(src, cfg, install_lag_days)
     lo, hi = event_window(cfg, event_lag_days)
     ev = funnel_events(src.events(lo, hi), cohort, spec)
     anc = anchors(ev, spec)
-    flags = user_flags(ev, spec, anc)
+    if materialize:
+        checkpoint_dir(anc.sparkSession)
+        anc = anc.checkpoint(eager=True)
+    flags = user_flags(src.events(lo, hi, names=spec.event_names()), spec, anc)
     mono = monotonic(flags, spec)
-    counts = cube_counts(mono, cohort, spec, src.source_names())
+    counts = cube_counts(mono, anc, spec, src.source_names())
     return FunnelBuild(spec, cohort, ev, anc, flags, mono, counts)
 
 

@@ -24,14 +24,14 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import timedelta
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortflow.config import EngineConfig
 from cohortflow.functions.columns import exact_ratio_e, from_e
 from cohortflow.operators.cohort import COHORT_DIMS, cohort_from_source, media_type_lookup
 from cohortflow.plans.steps import EventMatch, FunnelSpec, Step
-from cohortflow.session import checkpoint_dir
+from cohortflow.sources import cube_store
 
 CUBE_DIMS = COHORT_DIMS + ["media_type"]
 T = "res_timestamp"
@@ -138,6 +138,25 @@ def user_flags(events: DataFrame, spec: FunnelSpec, users: DataFrame) -> DataFra
                                        .alias(step_col(s.no)) for s in spec.steps])
 
 
+def user_flags_window(ev: DataFrame, spec: FunnelSpec) -> tuple[DataFrame, DataFrame]:
+    """Alternative plan: anchors as window minima over each user's events,
+    then one aggregation per user.  One event scan and one exchange, but every
+    user's whole history must fit one task (no split for a hot user), so the
+    aggregate form above is the default.  Returns (users, flags)."""
+    w = Window.partitionBy("distinct_id")
+    with_anchors = ev.select("*", *[F.min(F.when(_match(a.match), F.col(T))).over(w)
+                                    .alias(anchor_col(a.name)) for a in spec.anchors])
+    agg = with_anchors.groupBy("distinct_id").agg(
+        F.count(F.lit(1)).alias("n_events"),
+        *[F.first(anchor_col(a.name)).alias(anchor_col(a.name)) for a in spec.anchors],
+        *[F.any_value(c).alias(c) for c in USER_COLS],
+        *[F.max(F.when(step_predicate(s, spec), F.lit(1)).otherwise(F.lit(0)))
+          .alias(step_col(s.no)) for s in spec.steps])
+    users = agg.drop(*[step_col(s.no) for s in spec.steps])
+    flags = agg.select("distinct_id", *[step_col(s.no) for s in spec.steps])
+    return users, flags
+
+
 def monotonic(flags: DataFrame, spec: FunnelSpec) -> DataFrame:
     """Gate every step by the spine before it (optional branches do not gate)."""
     spine = spec.spine
@@ -265,22 +284,26 @@ class FunnelBuild:
 def build_funnel(src, cfg: EngineConfig, spec: FunnelSpec,
                  install_lag_days: int | None = None,
                  event_lag_days: int | None = None,
-                 materialize: bool = True) -> FunnelBuild:
+                 materialize: bool = True, strategy: str = "aggregate") -> FunnelBuild:
     """The whole funnel job over a source.
 
     With ``materialize`` the per-user anchors table (one row per cohort user
-    with events) is checkpointed to the shared checkpoint folder: it is read
-    three times downstream (flags join, user list, cube dimensions), and a
-    checkpoint both avoids recomputing the first event scan for each use and
-    cuts the lineage, so a lost executor re-reads the checkpoint instead of
-    re-running the scan.  Everything else stays lazy."""
+    with events) is written as a Parquet table in the shared checkpoint
+    folder: it is read three times downstream (flags join, user list, cube
+    dimensions); writing it once avoids recomputing the first event scan for
+    each use and cuts the lineage, so a lost executor re-reads files instead
+    of re-running the scan.  Everything else stays lazy."""
     cohort = cohort_from_source(src, cfg, install_lag_days)
     lo, hi = event_window(cfg, event_lag_days)
     ev = funnel_events(src.events(lo, hi), cohort, spec)
+    if strategy == "window":
+        anc, flags = user_flags_window(ev, spec)
+        mono = monotonic(flags, spec)
+        counts = cube_counts(mono, anc, spec, src.source_names())
+        return FunnelBuild(spec, cohort, ev, anc, flags, mono, counts)
     anc = anchors(ev, spec)
     if materialize:
-        checkpoint_dir(anc.sparkSession)
-        anc = anc.checkpoint(eager=True)
+        anc = cube_store.materialize(anc, f"anchors_{spec.name}")
     flags = user_flags(src.events(lo, hi, names=spec.event_names()), spec, anc)
     mono = monotonic(flags, spec)
     counts = cube_counts(mono, anc, spec, src.source_names())

@@ -42,6 +42,9 @@ def prepare(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+    # split a hot user's partition even when the join feeds a per-user
+    # aggregation (the extra shuffle then moves partially aggregated rows)
+    spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
     checkpoint_dir(spark)
     return spark
 

@@ -33,3 +33,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint directory."""
     base = checkpoint_dir(spark).rstrip("/")
     return f"{base}/cohortflow/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as a Parquet table under the shared checkpoint folder and
+    read it back: cuts the lineage (a lost executor re-reads files instead of
+    recomputing the upstream scan), lets later reads prune columns, and keeps
+    no physical partitioning, so skewed keys can still be split by AQE."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

@@ -89,3 +89,11 @@ def test_retention_matches_per_user_cross_join(spark, rcube):
     cols = ref.columns
     assert ref.select(cols).exceptAll(rcube.select(cols)).count() == 0
     assert rcube.select(cols).exceptAll(ref.select(cols)).count() == 0
+
+
+def test_window_strategy_equals_aggregate(spark, build):
+    alt = fu.build_funnel(TestdataSource(spark, SF01), EngineConfig.for_testdata(), demo_funnel(),
+                          strategy="window")
+    cols = build.long.columns
+    assert alt.long.select(cols).exceptAll(build.long.select(cols)).count() == 0
+    assert build.long.select(cols).exceptAll(alt.long.select(cols)).count() == 0

@@ -743,3 +743,17 @@ ORACLE["alerts_retention"] = q(
     f"coalesce(sum(CASE WHEN NOT ({_B}) THEN cohort_size END), 0) AS na FROM rcube "
     "WHERE days_since_install = 1 GROUP BY 1), "
     f"post AS (SELECT bool_or(NOT ({_B})) AS post FROM rcube)")
+
+ORACLE["ba_funnel_ratio"] = q(
+    "SELECT period, step_no, raw_value, min(raw_value) OVER (PARTITION BY period ORDER BY step_no "
+    "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS value, users, step1, false AS is_branch "
+    f"FROM (SELECT period, step_no, {wcw('ratio', e='ratio_e4')} AS raw_value, "
+    "CAST(sum(total_users) AS BIGINT) AS users, CAST(sum(raw_step_01) AS BIGINT) AS step1 "
+    f"FROM tag WHERE step_no IN {SHOWN} GROUP BY period, step_no)", FUNNEL, BA)
+ORACLE["ba_funnel_hints"] = q(
+    "SELECT period, step_no, raw_value, CASE WHEN step_no = 4 THEN "
+    "CASE WHEN raw_value = 0 THEN NULL ELSE raw_value END ELSE min(raw_value) OVER ("
+    "PARTITION BY period, step_no = 4 ORDER BY step_no ROWS BETWEEN UNBOUNDED PRECEDING AND "
+    "CURRENT ROW) END AS value, users, step1, step_no = 4 AS is_branch FROM ("
+    f"SELECT period, step_no, {wcw('pct')} AS raw_value, CAST(sum(total_users) AS BIGINT) AS users, "
+    "CAST(sum(raw_step_01) AS BIGINT) AS step1 FROM tag GROUP BY period, step_no)", FUNNEL, BA)

@@ -599,3 +599,15 @@ def alerts_retention(spark, sf_dir):
     _, cfg = ctx(spark, sf_dir)
     return al.retention_alerts(retention(spark, sf_dir), cfg.test_start.date(),
                                cfg.small_version_users)
+
+
+@register
+def ba_funnel_ratio(spark, sf_dir):
+    b = funnel(spark, sf_dir)
+    return cmpm.ba_funnel(b.long, b.spec, comparison(spark, sf_dir), metric="ratio")
+
+
+@register
+def ba_funnel_hints(spark, sf_dir):
+    b = funnel(spark, sf_dir)
+    return cmpm.ba_funnel(b.long, b.spec, comparison(spark, sf_dir), include_groups=("hint",))

@@ -118,15 +118,15 @@ def trend_alerts(long: DataFrame, steps: list[int], test_start: date,
                  limit_pct: float = 1.0) -> DataFrame:
     from cohortflow.operators.reports import split_summary
     s = split_summary(long, [], test_start, steps)
-    has = s.agg(F.max("users_before").alias("ub"), F.max("users_after").alias("ua"))
+    ub = s.agg(F.max("users_before")).scalar()
+    ua = s.agg(F.max("users_after")).scalar()
     ch = s.filter(F.col("before") > 0).withColumn(
         "change_pct", (F.col("after") - F.col("before")) / F.col("before") * 100)
     agg = ch.agg(F.max_by(F.struct("change_pct", "step_no"),
                           F.struct(F.col("change_pct"), -F.col("step_no"))).alias("g"),
                  F.min_by(F.struct("change_pct", "step_no"),
                           F.struct(F.col("change_pct"), F.col("step_no"))).alias("d"))
-    agg = agg.withColumn("_one", F.lit(1)).join(
-        has.withColumn("_one", F.lit(1)), "_one").filter((F.col("ub") > 0) & (F.col("ua") > 0))
+    agg = agg.filter((ub > 0) & (ua > 0))
     gain = _rows(agg.filter(F.col("g.change_pct") > limit_pct), "biggest_improvement", "green",
                  F.col("g.step_no"), F.col("g.change_pct"))
     drop = _rows(agg.filter(F.col("d.change_pct") < -limit_pct), "biggest_regression", "red",
@@ -171,9 +171,8 @@ def retention_alerts(cube: DataFrame, test_start: date, small_cohort: int,
     ra, na = side(~before)
     v = d1.groupBy("install_version").agg(rb.alias("rb"), nb.alias("nb"), ra.alias("ra"),
                                           na.alias("na"))
-    has_post = cube.agg(F.bool_or(~before).alias("post"))
-    v = v.withColumn("_one", F.lit(1)).join(has_post.withColumn("_one", F.lit(1)), "_one") \
-        .filter(F.col("post") & (F.col("nb") > 0) & (F.col("na") > 0))
+    has_post = cube.agg(F.bool_or(~before)).scalar()
+    v = v.filter(has_post & (F.col("nb") > 0) & (F.col("na") > 0))
     delta = F.col("ra") - F.col("rb")
     up = _rows(v.filter(delta > delta_limit), "d1_retention_improved", "green",
                F.col("install_version"), delta)

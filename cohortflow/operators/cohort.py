@@ -52,15 +52,13 @@ def not_in(df: DataFrame, excluded: DataFrame, key: str) -> DataFrame:
 
     Null-aware semantics: a NULL in the list empties the result, a NULL key is
     never kept.  The list itself goes through a shuffle anti join (it may be
-    large).  The NULL rule is a one-row aggregate (``count of NULL keys``)
-    joined on a constant key: exactly one row is broadcast, no driver action.
+    large).  The NULL rule is a scalar subquery (count of NULL keys),
+    evaluated once by the executors; no driver round trip, no join.
     """
-    keep = (excluded.agg(F.count_if(F.col(key).isNull()).alias("_nulls"))
-            .filter(F.col("_nulls") == 0).select(F.lit(1).alias("_one")))
+    nulls = excluded.agg(F.count_if(F.col(key).isNull())).scalar()
     out = (df.filter(F.col(key).isNotNull())
            .join(excluded.filter(F.col(key).isNotNull()).select(key), key, "left_anti"))
-    return out.withColumn("_one", F.lit(1)).join(F.broadcast(keep), "_one", "left_semi") \
-        .drop("_one")
+    return out.filter(nulls == 0)
 
 
 def is_buggy_version(version: F.Column, band: tuple[float, float]) -> F.Column:

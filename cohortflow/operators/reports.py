@@ -40,11 +40,10 @@ def coverage(cube: DataFrame, selected: F.Column, test_start: date) -> DataFrame
 
 
 def with_total(df: DataFrame, value: str, out: str = "_total") -> DataFrame:
-    """Attach the grand total of ``value``: a one-row aggregate joined on a
-    constant key (broadcast of exactly one row)."""
-    total = df.agg(F.sum(value).alias(out)).withColumn("_one", F.lit(1))
-    return (df.withColumn("_one", F.lit(1)).join(F.broadcast(total), "_one", "inner")
-            .drop("_one"))
+    """Attach the grand total of ``value`` (a scalar subquery: one global
+    aggregate, partially aggregated per task, no join and no single-partition
+    window)."""
+    return df.withColumn(out, df.agg(F.sum(value)).scalar())
 
 
 def share_of_total(df: DataFrame, value: str, out: str = "share_pct", digits: int = 1

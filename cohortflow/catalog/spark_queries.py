@@ -6,6 +6,7 @@ Every query reads the driver's tables in ``sf_dir`` through
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 from datetime import timedelta
 from functools import lru_cache
@@ -53,6 +54,30 @@ def funnel_72h(spark, sf_dir) -> fu.FunnelBuild:
     return fu.build_funnel_72h(src, cfg, spec())
 
 
+# The analytics layer reads published cubes, as the dashboard reads the daily
+# table: the first query that needs a cube builds it from the whole tables and
+# publishes it (Parquet, partitioned by install_date, under the shared
+# checkpoint folder); later queries of the same application read it.  Only the
+# location is remembered here, never data.
+_PUBLISHED: dict[tuple, str] = {}
+
+
+def published(spark, sf_dir, kind: str) -> DataFrame:
+    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), kind)
+    path = _PUBLISHED.get(key)
+    if path is None:
+        build = {
+            "funnel_long": lambda: funnel(spark, sf_dir).long,
+            "funnel_wide": lambda: funnel(spark, sf_dir).wide,
+            "funnel_72h_wide": lambda: funnel_72h(spark, sf_dir).wide,
+            "retention": lambda: re.build_retention(*ctx(spark, sf_dir)),
+        }[kind]
+        path = store.scratch_path(spark, f"published_{kind}")
+        store.publish(build(), path)
+        _PUBLISHED[key] = path
+    return store.load(spark, path)
+
+
 def all_players(spark, sf_dir) -> DataFrame:
     src, cfg = ctx(spark, sf_dir)
     return co.with_cohort_dims(src.players(), src.source_names(), src.countries(), cfg)
@@ -169,14 +194,13 @@ def funnel_cube_ratio(spark, sf_dir):
 
 @register
 def funnel_unpivot(spark, sf_dir):
-    return fu.unpivot_metric(funnel(spark, sf_dir).wide, spec(), "pct")
+    return fu.unpivot_metric(wide(spark, sf_dir), spec(), "pct")
 
 
 @register
 def step_reference(spark, sf_dir):
-    b = funnel(spark, sf_dir)
-    dim = fu.step_dim(spark, b.spec).drop("description")
-    totals = b.long.groupBy("step_no").agg(F.sum("users").alias("users"),
+    dim = fu.step_dim(spark, spec()).drop("description")
+    totals = long(spark, sf_dir).groupBy("step_no").agg(F.sum("users").alias("users"),
                                            me.weighted_value("pct").alias("weighted_pct"))
     label = F.concat(F.lpad(F.col("step_no").cast("string"), 2, "0"), F.lit(": "),
                      F.col("step_name"))
@@ -188,8 +212,7 @@ def step_reference(spark, sf_dir):
 @register
 def step_subset(spark, sf_dir):
     _, cfg = ctx(spark, sf_dir)
-    long = funnel(spark, sf_dir).long
-    sub = long.filter(F.col("install_version").startswith(cfg.default_version_prefix)
+    sub = long(spark, sf_dir).filter(F.col("install_version").startswith(cfg.default_version_prefix)
                       & F.col("step_no").between(2, 6))
     return me.weighted_steps(sub, ["install_version"]).select(
         "install_version", "step_no", "value")
@@ -198,14 +221,15 @@ def step_subset(spark, sf_dir):
 @register
 def cube_load(spark, sf_dir):
     _, cfg = ctx(spark, sf_dir)
-    return fi.load_filter(funnel(spark, sf_dir).wide, cfg.cube_start, cfg.min_version)
+    return fi.load_filter(wide(spark, sf_dir), cfg.cube_start, cfg.min_version)
 
 
 @register
 def cube_load_72h(spark, sf_dir):
     _, cfg = ctx(spark, sf_dir)
-    wide = fi.load_filter(funnel_72h(spark, sf_dir).wide, cfg.cube_start, cfg.min_version)
-    return wide.filter(F.col("install_date") < F.lit(cfg.as_of - timedelta(days=3)))
+    w72 = fi.load_filter(published(spark, sf_dir, "funnel_72h_wide"), cfg.cube_start,
+                         cfg.min_version)
+    return w72.filter(F.col("install_date") < F.lit(cfg.as_of - timedelta(days=3)))
 
 
 @register
@@ -217,8 +241,7 @@ def cube_roundtrip(spark, sf_dir):
 
 # --------------------------------------------------------------------------- retention
 def retention(spark, sf_dir) -> DataFrame:
-    src, cfg = ctx(spark, sf_dir)
-    return re.build_retention(src, cfg)
+    return published(spark, sf_dir, "retention")
 
 
 @register
@@ -239,7 +262,8 @@ def daily_activity(spark, sf_dir):
 
 @register
 def retention_cube(spark, sf_dir):
-    return retention(spark, sf_dir)
+    src, cfg = ctx(spark, sf_dir)
+    return re.build_retention(src, cfg)
 
 
 @register
@@ -281,11 +305,11 @@ def filter_retention(spark, sf_dir):
 
 # --------------------------------------------------------------------------- filters / metrics
 def wide(spark, sf_dir):
-    return funnel(spark, sf_dir).wide
+    return published(spark, sf_dir, "funnel_wide")
 
 
 def long(spark, sf_dir):
-    return funnel(spark, sf_dir).long
+    return published(spark, sf_dir, "funnel_long")
 
 
 @register
@@ -336,9 +360,9 @@ def weighted_conversion(spark, sf_dir):
 
 @register
 def monotonic_cap(spark, sf_dir):
-    b = funnel(spark, sf_dir)
-    spine = [s.no for s in b.spec.spine if s.group not in b.spec.hidden_groups]
-    ws = me.weighted_steps(b.long.filter(F.col("step_no").isin(spine)), ["install_version"])
+    sp = spec()
+    spine = [s.no for s in sp.spine if s.group not in sp.hidden_groups]
+    ws = me.weighted_steps(long(spark, sf_dir).filter(F.col("step_no").isin(spine)), ["install_version"])
     return me.running_min(ws, ["install_version"], "value", out="capped").select(
         "install_version", "step_no", "value", "capped")
 
@@ -367,8 +391,7 @@ def comparison(spark, sf_dir) -> cmpm.Comparison:
 
 
 def ba_base(spark, sf_dir):
-    b = funnel(spark, sf_dir)
-    return cmpm.ba_funnel(b.long, b.spec, comparison(spark, sf_dir))
+    return cmpm.ba_funnel(long(spark, sf_dir), spec(), comparison(spark, sf_dir))
 
 
 @register
@@ -603,11 +626,10 @@ def alerts_retention(spark, sf_dir):
 
 @register
 def ba_funnel_ratio(spark, sf_dir):
-    b = funnel(spark, sf_dir)
-    return cmpm.ba_funnel(b.long, b.spec, comparison(spark, sf_dir), metric="ratio")
+    return cmpm.ba_funnel(long(spark, sf_dir), spec(), comparison(spark, sf_dir), metric="ratio")
 
 
 @register
 def ba_funnel_hints(spark, sf_dir):
-    b = funnel(spark, sf_dir)
-    return cmpm.ba_funnel(b.long, b.spec, comparison(spark, sf_dir), include_groups=("hint",))
+    return cmpm.ba_funnel(long(spark, sf_dir), spec(), comparison(spark, sf_dir),
+                          include_groups=("hint",))

@@ -64,8 +64,8 @@ _PUBLISHED: dict[tuple, str] = {}
 
 def published(spark, sf_dir, kind: str) -> DataFrame:
     key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), kind)
-    path = _PUBLISHED.get(key)
-    if path is None:
+    hit = _PUBLISHED.get(key)
+    if hit is None:
         build = {
             "funnel_long": lambda: funnel(spark, sf_dir).long,
             "funnel_wide": lambda: funnel(spark, sf_dir).wide,
@@ -73,9 +73,10 @@ def published(spark, sf_dir, kind: str) -> DataFrame:
             "retention": lambda: re.build_retention(*ctx(spark, sf_dir)),
         }[kind]
         path = store.scratch_path(spark, f"published_{kind}")
-        store.publish(build(), path)
-        _PUBLISHED[key] = path
-    return store.load(spark, path)
+        df = build()
+        store.publish(df, path)
+        hit = _PUBLISHED[key] = (path, store.published_schema(df))
+    return store.load(spark, *hit)
 
 
 def all_players(spark, sf_dir) -> DataFrame:

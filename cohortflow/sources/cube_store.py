@@ -25,8 +25,19 @@ def publish(df: DataFrame, path: str, partition_col: str = "install_date",
     return path
 
 
-def load(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def load(spark: SparkSession, path: str, schema=None) -> DataFrame:
+    """Read a published table; with a known ``schema`` (partition column
+    included) no footer-inference job is needed."""
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    return reader.parquet(path)
+
+
+def published_schema(df: DataFrame, partition_col: str = "install_date"):
+    """Schema of ``df`` as read back after ``publish`` (partition column last)."""
+    from pyspark.sql.types import StructType
+    fields = [f for f in df.schema.fields if f.name != partition_col]
+    part = [f for f in df.schema.fields if f.name == partition_col]
+    return StructType(fields + part)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -43,4 +54,4 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

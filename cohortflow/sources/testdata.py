@@ -24,6 +24,11 @@ from pyspark.sql import functions as F
 from cohortflow.sources.base import EventSource
 
 
+# One reader per (application, file): Parquet schema inference runs a small
+# Spark job, so every table's footer is read once per application.
+_READERS: dict[tuple[str, str], DataFrame] = {}
+
+
 def _ntz(d: date) -> F.Column:
     return F.to_timestamp_ntz(F.lit(datetime.combine(d, time()).strftime("%Y-%m-%d %H:%M:%S")))
 
@@ -36,7 +41,12 @@ class TestdataSource(EventSource):
         self.dir = sf_dir.rstrip("/")
 
     def _t(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        key = (self.spark.sparkContext.applicationId, f"{self.dir}/{name}.parquet")
+        df = _READERS.get(key)
+        if df is None or df.sparkSession is not self.spark:
+            df = self.spark.read.parquet(key[1])
+            _READERS[key] = df
+        return df
 
     @staticmethod
     def _k(col: str = "props") -> F.Column:

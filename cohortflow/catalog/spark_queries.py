@@ -7,6 +7,7 @@ Every query reads the driver's tables in ``sf_dir`` through
 from __future__ import annotations
 
 import os
+import threading
 from collections.abc import Callable
 from datetime import timedelta
 from functools import lru_cache
@@ -59,26 +60,32 @@ def funnel_72h(spark, sf_dir) -> fu.FunnelBuild:
 # publishes it (Parquet, partitioned by install_date, under the shared
 # checkpoint folder); later queries of the same application read it.  Only the
 # location is remembered here, never data.
-_PUBLISHED: dict[tuple, str] = {}
+_PUBLISHED: dict[tuple, tuple] = {}
+_PUBLISH_LOCK = threading.Lock()
 
 
 def published(spark, sf_dir, kind: str) -> DataFrame:
     key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), kind)
-    hit = _PUBLISHED.get(key)
-    if hit is None:
-        build = {
-            "funnel_long": lambda: funnel(spark, sf_dir).long,
-            "funnel_wide": lambda: funnel(spark, sf_dir).wide,
-            "funnel_72h_wide": lambda: funnel_72h(spark, sf_dir).wide,
-            "retention": lambda: re.build_retention(*ctx(spark, sf_dir)),
-        }[kind]
-        path = store.scratch_path(spark, f"published_{kind}")
-        df = build()
-        store.publish(df, path)
-        hit = _PUBLISHED[key] = (path, store.published_schema(df))
+    with _PUBLISH_LOCK:   # one build per cube even when queries run in threads
+        hit = _PUBLISHED.get(key)
+        if hit is None:
+            hit = _PUBLISHED[key] = _publish(spark, sf_dir, kind)
     return store.load(spark, *hit)
 
 
+def _publish(spark, sf_dir, kind: str) -> tuple:
+    build = {
+        "funnel_long": lambda: funnel(spark, sf_dir).long,
+        "funnel_wide": lambda: funnel(spark, sf_dir).wide,
+        "funnel_72h_wide": lambda: funnel_72h(spark, sf_dir).wide,
+        "retention": lambda: re.build_retention(*ctx(spark, sf_dir)),
+    }[kind]
+    path = store.scratch_path(spark, f"published_{kind}")
+    df = build()
+    store.publish(df, path)
+    return path, store.published_schema(df)
+
+
 def all_players(spark, sf_dir) -> DataFrame:
     src, cfg = ctx(spark, sf_dir)
     return co.with_cohort_dims(src.players(), src.source_names(), src.countries(), cfg)

@@ -60,3 +60,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(path)
     return spark.sparkContext.getCheckpointDir() or path
+
+
+def configure_for_scale(spark: SparkSession, input_bytes: int, total_cores: int,
+                        target_partition_bytes: int = 256 << 20) -> int:
+    """Shuffle sizing for a run over ``input_bytes`` of event data.
+
+    Starts with enough shuffle partitions that each holds about
+    ``target_partition_bytes`` of input (never fewer than 3 waves over the
+    cluster's cores); AQE then coalesces small partitions and splits skewed
+    ones at runtime.  Returns the partition count it set."""
+    n = max(3 * total_cores, -(-input_bytes // target_partition_bytes))
+    spark.conf.set("spark.sql.shuffle.partitions", str(n))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(128 << 20))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(256 << 20))
+    return n

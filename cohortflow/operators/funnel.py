@@ -310,10 +310,20 @@ def build_funnel(src, cfg: EngineConfig, spec: FunnelSpec,
     return FunnelBuild(spec, cohort, ev, anc, flags, mono, counts)
 
 
-def build_funnel_72h(src, cfg: EngineConfig, spec: FunnelSpec) -> FunnelBuild:
-    """Observation-window variant: installs and events both up to as_of - 3."""
+def build_funnel_72h(src, cfg: EngineConfig, spec: FunnelSpec, strict: bool = False
+                     ) -> FunnelBuild:
+    """Observation-window variant.
+
+    Reference mode: installs and events both up to ``as_of - 3``, so the
+    newest cohorts see less than the full window.  ``strict``: events up to
+    ``as_of - 1`` and only installs whose whole window has elapsed
+    (``as_of - 1 - ceil(window in days)``)."""
     if spec.observation_ms is None:
         from dataclasses import replace
         spec = replace(spec, observation_ms=cfg.observation_ms)
+    if strict:
+        days = -(-spec.observation_ms // 86_400_000)
+        return build_funnel(src, cfg, spec, install_lag_days=cfg.event_lag_days + days,
+                            event_lag_days=cfg.event_lag_days)
     return build_funnel(src, cfg, spec, install_lag_days=cfg.lag_72h_days,
                         event_lag_days=cfg.lag_72h_days)

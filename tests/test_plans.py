@@ -44,3 +44,23 @@ def test_event_scan_pushdown_and_pruning(spark):
     pushed = " ".join(scans)
     assert "GreaterThanOrEqual(ts," in pushed and "LessThan(ts," in pushed   # date band
     assert "In(event_type," in pushed                                        # spec event names
+
+
+def test_published_cube_read_prunes_partitions(spark):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "10000")
+    plan = _plan(E.queries()["cube_load"](spark, SF001))
+    scan = [line for line in plan.split("\n") if "FileScan parquet" in line][0]
+    assert "PartitionFilters: [isnotnull(install_date" in scan and "install_date#" in scan
+    assert "PushedFilters: [IsNotNull(platform), Not(EqualTo(platform,none))" in scan
+
+
+def test_strict_72h_waits_for_full_window(spark):
+    from datetime import date
+    from cohortflow.config import EngineConfig
+    from cohortflow.operators.funnel import build_funnel_72h
+    from cohortflow.plans.steps import demo_funnel
+    from cohortflow.sources import TestdataSource
+    cfg = EngineConfig.for_testdata()
+    b = build_funnel_72h(TestdataSource(spark, SF001), cfg, demo_funnel(), strict=True)
+    latest = b.cohort.agg({"install_date": "max"}).first()[0]
+    assert latest <= date(2024, 1, 26)          # as_of - 1 - 3 days

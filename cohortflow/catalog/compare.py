@@ -22,7 +22,8 @@ def duck(sf_dir: str):
 
 def _family(t: str) -> str:
     t = t.lower()
-    for k, v in (("bigint", "long"), ("long", "long"), ("hugeint", "long"), ("int", "int"),
+    for k, v in (("hugeint", "hugeint"), ("bigint", "long"), ("long", "long"),
+                 ("smallint", "short"), ("tinyint", "byte"), ("int", "int"),
                  ("double", "double"), ("float", "double"), ("decimal", "decimal"),
                  ("varchar", "string"), ("string", "string"), ("bool", "bool"),
                  ("timestamp", "ts"), ("date", "date")):

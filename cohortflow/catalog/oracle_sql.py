@@ -509,10 +509,13 @@ ORACLE["ba_lift"] = q(
     "ELSE 'neutral' END AS direction FROM lift", FUNNEL, BA)
 ORACLE["ba_significance"] = q("SELECT * FROM sig", FUNNEL, BA, SIG)
 ORACLE["ba_lift_summary"] = q(
-    "SELECT round(avg(l.lift_pp), 9) AS avg_lift_pp, count_if(l.lift_pp > 0.5) AS steps_improved, "
-    "count_if(l.lift_pp < -0.5) AS steps_declined, count_if(l.lift_pp IS NOT NULL) AS steps_compared, "
+    "SELECT round(avg(l.lift_pp), 9) AS avg_lift_pp, "
+    "CAST(count_if(l.lift_pp > 0.5) AS BIGINT) AS steps_improved, "
+    "CAST(count_if(l.lift_pp < -0.5) AS BIGINT) AS steps_declined, "
+    "CAST(count_if(l.lift_pp IS NOT NULL) AS BIGINT) AS steps_compared, "
     "arg_max(l.lift_pp, CASE WHEN l.lift_pp IS NOT NULL THEN l.step_no END) AS last_step_lift_pp, "
-    "count_if(s.is_significant) AS significant_steps FROM lift l LEFT JOIN sig s ON l.step_no = s.step_no",
+    "CAST(count_if(s.is_significant) AS BIGINT) AS significant_steps "
+    "FROM lift l LEFT JOIN sig s ON l.step_no = s.step_no",
     FUNNEL, BA, SIG)
 _NAME_CASE = "CASE l.step_no " + " ".join(f"WHEN {n} THEN '{STEP_NAMES[n]}'" for n in STEPS) + " END"
 ORACLE["ba_detail"] = q(

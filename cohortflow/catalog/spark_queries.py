@@ -175,12 +175,14 @@ def funnel_anchors(spark, sf_dir):
 
 @register
 def funnel_user_flags(spark, sf_dir):
-    return funnel(spark, sf_dir).flags
+    return funnel(spark, sf_dir).flags.select(
+        "distinct_id", *[fu.step_col(s.no) for s in spec().steps])
 
 
 @register
 def funnel_monotonic(spark, sf_dir):
-    return funnel(spark, sf_dir).monotonic
+    return funnel(spark, sf_dir).monotonic.select(
+        "distinct_id", "depth", *[fu.step_col(s.no) for s in spec().steps])
 
 
 @register

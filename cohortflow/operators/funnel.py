@@ -133,9 +133,10 @@ def user_flags(events: DataFrame, spec: FunnelSpec, users: DataFrame) -> DataFra
     flags = j.groupBy("distinct_id").agg(*[
         F.max(F.when(step_predicate(s, spec), F.lit(1)).otherwise(F.lit(0))).alias(step_col(s.no))
         for s in spec.steps])
-    out = users.select("distinct_id").join(flags, "distinct_id", "left")
-    return out.select("distinct_id", *[F.coalesce(F.col(step_col(s.no)), F.lit(0))
-                                       .alias(step_col(s.no)) for s in spec.steps])
+    dims = [c for c in COHORT_DIMS if c in users.columns]
+    out = users.select("distinct_id", *dims).join(flags, "distinct_id", "left")
+    return out.select("distinct_id", *dims, *[F.coalesce(F.col(step_col(s.no)), F.lit(0))
+                                              .alias(step_col(s.no)) for s in spec.steps])
 
 
 def user_flags_window(ev: DataFrame, spec: FunnelSpec) -> tuple[DataFrame, DataFrame]:
@@ -164,6 +165,7 @@ def monotonic(flags: DataFrame, spec: FunnelSpec) -> DataFrame:
     first_fail = F.array_position(arr, 0)
     depth = F.when(first_fail == 0, F.lit(len(spine))).otherwise(first_fail - 1)
     d = flags.withColumn("_depth", depth)
+    dims = [c for c in COHORT_DIMS if c in flags.columns]
     cols = []
     for s in spec.steps:
         need_spine, chain = spec.gate(s)
@@ -171,14 +173,17 @@ def monotonic(flags: DataFrame, spec: FunnelSpec) -> DataFrame:
         for b in chain:
             ok = ok & (F.col(step_col(b)) == 1)
         cols.append(ok.cast("int").alias(step_col(s.no)))
-    return d.select("distinct_id", F.col("_depth").cast("int").alias("depth"), *cols)
+    return d.select("distinct_id", *dims, F.col("_depth").cast("int").alias("depth"), *cols)
 
 
 def cube_counts(mono: DataFrame, users: DataFrame, spec: FunnelSpec,
                 source_names: DataFrame) -> DataFrame:
     """Per-cell user counts (wide): dims, total_users, step_NN counts.
     ``users`` is any per-user table carrying the cohort dimensions."""
-    u = mono.join(users.select("distinct_id", *COHORT_DIMS), "distinct_id", "inner")
+    if all(c in mono.columns for c in COHORT_DIMS):
+        u = mono                       # dimensions already carried per user
+    else:
+        u = mono.join(users.select("distinct_id", *COHORT_DIMS), "distinct_id", "inner")
     counts = u.groupBy(*COHORT_DIMS).agg(
         F.count(F.lit(1)).alias("total_users"),
         *[F.sum(step_col(s.no)).cast("long").alias(step_col(s.no)) for s in spec.steps])

@@ -25,7 +25,7 @@ from cohortflow.operators import metrics as me
 from cohortflow.operators import retention as re
 from cohortflow.sources import cube_store as store
 from cohortflow.plans.steps import demo_funnel
-from cohortflow.session import prepare
+from cohortflow.session import app_id, prepare
 from cohortflow.sources.testdata import TestdataSource
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,7 +65,7 @@ _PUBLISH_LOCK = threading.Lock()
 
 
 def published(spark, sf_dir, kind: str) -> DataFrame:
-    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), kind)
+    key = (app_id(spark), os.path.abspath(sf_dir), kind)
     with _PUBLISH_LOCK:   # one build per cube even when queries run in threads
         hit = _PUBLISHED.get(key)
         if hit is None:

@@ -49,17 +49,29 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def app_id(spark: SparkSession) -> str:
+    """Identifier of the running application (also without a SparkContext)."""
+    try:
+        return spark.sparkContext.applicationId
+    except Exception:  # noqa: BLE001 - e.g. a remote session without a context
+        return spark.conf.get("spark.app.id", "app") or "app"
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder; created under /tmp only when unset."""
     path = spark.conf.get(_CHECKPOINT_KEY, None)
-    if not path:
-        path = spark.sparkContext.getCheckpointDir()
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001
+        sc = None
+    if not path and sc is not None:
+        path = sc.getCheckpointDir()
     if not path:
         path = tempfile.mkdtemp(prefix="cohortflow-ckpt-")
         spark.conf.set(_CHECKPOINT_KEY, path)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(path)
-    return spark.sparkContext.getCheckpointDir() or path
+    if sc is not None and not sc.getCheckpointDir():
+        sc.setCheckpointDir(path)
+    return (sc.getCheckpointDir() if sc is not None else None) or path
 
 
 def configure_for_scale(spark: SparkSession, input_bytes: int, total_cores: int,

@@ -21,6 +21,7 @@ from datetime import date, datetime, time, timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortflow.session import app_id
 from cohortflow.sources.base import EventSource
 
 
@@ -41,7 +42,7 @@ class TestdataSource(EventSource):
         self.dir = sf_dir.rstrip("/")
 
     def _t(self, name: str) -> DataFrame:
-        key = (self.spark.sparkContext.applicationId, f"{self.dir}/{name}.parquet")
+        key = (app_id(self.spark), f"{self.dir}/{name}.parquet")
         df = _READERS.get(key)
         if df is None or df.sparkSession is not self.spark:
             df = self.spark.read.parquet(key[1])

@@ -39,21 +39,22 @@ def affected_install_dates(batch: DataFrame, lookback_days: int) -> tuple[date,
 
 
 def rebuild(src, cfg: EngineConfig, spec: FunnelSpec, out_dir: str,
-            install_range: tuple[date, date] | None = None) -> dict[str, str]:
-    """Recompute and publish the funnel and retention cubes.
+            install_range: tuple[date, date] | None = None,
+            spec_72h: FunnelSpec | None = None) -> dict[str, str]:
+    """Recompute and publish the funnel (and optional 72-hour) and retention cubes.
 
     ``install_range`` limits the published partitions to those install dates
-    (the rest of the table is left untouched)."""
-    b = fu.build_funnel(src, cfg, spec)
-    funnel = b.wide
-    retention = re.build_retention(src, cfg)
-    if install_range is not None:
-        lo, hi = install_range
-        keep = F.col("install_date").between(F.lit(lo), F.lit(hi))
-        funnel, retention = funnel.filter(keep), retention.filter(keep)
-    paths = {"funnel": f"{out_dir}/funnel_cube", "retention": f"{out_dir}/retention_cube"}
-    cube_store.publish(funnel, paths["funnel"])
-    cube_store.publish(retention, paths["retention"])
+    (the rest of each table is left untouched)."""
+    cubes = {"funnel_cube": fu.build_funnel(src, cfg, spec).wide,
+             "retention_cube": re.build_retention(src, cfg)}
+    if spec_72h is not None:
+        cubes["funnel_cube_72h"] = fu.build_funnel_72h(src, cfg, spec_72h).wide
+    paths = {}
+    for name, df in cubes.items():
+        if install_range is not None:
+            lo, hi = install_range
+            df = df.filter(F.col("install_date").between(F.lit(lo), F.lit(hi)))
+        paths[name] = cube_store.publish(df, f"{out_dir}/{name}")
     return paths
 
 

@@ -10,7 +10,6 @@ import os
 import threading
 from collections.abc import Callable
 from datetime import timedelta
-from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F

@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortflow.operators.reports import version_key, weighted_by, with_total
-from cohortflow.operators.retention import weighted_retention
 
 
 def version_steps(long: DataFrame, steps: list[int], min_users: int = 0) -> DataFrame:

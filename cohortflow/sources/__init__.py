@@ -12,8 +12,10 @@ Canonical schemas (what every source must provide):
 """
 
 from cohortflow.sources.base import EventSource
+from cohortflow.sources.catalog import CatalogSource, write_bucketed_events
 from cohortflow.sources.frames import FrameSource
 from cohortflow.sources.tables import TableSource
 from cohortflow.sources.testdata import TestdataSource
 
-__all__ = ["EventSource", "FrameSource", "TableSource", "TestdataSource"]
+__all__ = ["CatalogSource", "EventSource", "FrameSource", "TableSource", "TestdataSource",
+           "write_bucketed_events"]

@@ -18,6 +18,7 @@ def spark():
          .config("spark.ui.enabled", "false")
          .config("spark.sql.session.timeZone", "UTC")
          .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="cf-test-ckpt-"))
+         .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="cf-test-wh-"))
          .getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
     yield s

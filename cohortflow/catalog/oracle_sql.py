@@ -760,3 +760,21 @@ ORACLE["ba_funnel_hints"] = q(
     "CURRENT ROW) END AS value, users, step1, step_no = 4 AS is_branch FROM ("
     f"SELECT period, step_no, {wcw('pct')} AS raw_value, CAST(sum(total_users) AS BIGINT) AS users, "
     "CAST(sum(raw_step_01) AS BIGINT) AS step1 FROM tag GROUP BY period, step_no)", FUNNEL, BA)
+
+# ---------------------------------------------------------------- documented modes
+ORACLE["cube_load_72h_strict"] = q(
+    "SELECT * FROM cube_wide WHERE install_date >= DATE '2024-01-01' "
+    "AND TRY_CAST(install_version AS DOUBLE) >= 0.38 AND platform <> 'none'",
+    funnel_ctes(install_lag=4, event_lag=1, observation=True), WIDE)
+ORACLE["weighted_conversion_exact"] = q(
+    "SELECT install_version, step_no, "
+    "CASE WHEN sum(raw_step_01) > 0 THEN CAST(sum(users) AS DOUBLE) / CAST(sum(raw_step_01) AS DOUBLE) END AS pct_exact, "
+    "CAST(sum(total_users) AS BIGINT) AS users, "
+    "CASE WHEN count(prev_users) = 0 THEN 1.0 WHEN sum(prev_users) > 0 THEN "
+    "CAST(sum(CASE WHEN prev_users IS NOT NULL THEN users END) AS DOUBLE) / CAST(sum(prev_users) AS DOUBLE) "
+    "END AS ratio_exact FROM cube GROUP BY 1, 2", FUNNEL)
+ORACLE["retention_weighted_all_cells"] = q(
+    "SELECT install_version, days_since_install, CASE WHEN sum(cohort_size) > 0 THEN "
+    "CAST(sum(users_active) AS DOUBLE) / CAST(sum(cohort_size) AS DOUBLE) ELSE 0.0 END AS retention, "
+    "CAST(sum(cohort_size) AS BIGINT) AS cohort_size, CAST(sum(users_active) AS BIGINT) AS users_active "
+    "FROM rcube WHERE days_since_install <= 14 GROUP BY 1, 2", RET)

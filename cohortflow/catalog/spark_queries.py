@@ -642,3 +642,29 @@ def ba_funnel_ratio(spark, sf_dir):
 def ba_funnel_hints(spark, sf_dir):
     return cmpm.ba_funnel(long(spark, sf_dir), spec(), comparison(spark, sf_dir),
                           include_groups=("hint",))
+
+
+# --------------------------------------------------------------------------- documented modes
+@register
+def cube_load_72h_strict(spark, sf_dir):
+    """72-hour cube where every install has its whole window observed."""
+    src, cfg = ctx(spark, sf_dir)
+    wide72 = fu.build_funnel_72h(src, cfg, spec(), strict=True).wide
+    return fi.load_filter(wide72, cfg.cube_start, cfg.min_version)
+
+
+@register
+def weighted_conversion_exact(spark, sf_dir):
+    lg = long(spark, sf_dir)
+    pct = me.weighted_steps(lg, ["install_version"], "pct", mode="exact")
+    ratio = me.weighted_steps(lg, ["install_version"], "ratio", mode="exact")
+    return pct.select("install_version", "step_no", F.col("value").alias("pct_exact"), "users") \
+        .join(ratio.select("install_version", "step_no", F.col("value").alias("ratio_exact")),
+              ["install_version", "step_no"])
+
+
+@register
+def retention_weighted_all_cells(spark, sf_dir):
+    cube = retention(spark, sf_dir).filter(F.col("days_since_install") <= 14)
+    return re.retention_by(cube, ["install_version", "days_since_install"],
+                           active_cells_only=False)

@@ -33,10 +33,28 @@ def weighted_value(metric: str = "pct") -> Column:
             .otherwise(F.coalesce(plain, F.lit(0.0))))
 
 
-def weighted_steps(long: DataFrame, group_cols: list[str], metric: str = "pct") -> DataFrame:
-    """group_cols + step_no -> value, users (sum total_users), step1 (sum raw_step_01)."""
+def exact_value(metric: str = "pct") -> Column:
+    """Aggregate expression, exact mode: pooled counts instead of re-weighted
+    rounded rates - sum(users) / sum(step-1 users) for ``pct``,
+    sum(users) / sum(previous-step users) for ``ratio`` (1.0 for the first step)."""
+    den = F.col("raw_step_01") if metric == "pct" else F.col("prev_users")
+    num = F.sum(F.when(den.isNotNull(), F.col("users")))
+    total = F.sum(den)
+    out = F.when(total > 0, num.cast("double") / total.cast("double"))
+    if metric == "ratio":
+        out = F.when(F.count(den) == 0, F.lit(1.0)).otherwise(out)
+    return out
+
+
+def weighted_steps(long: DataFrame, group_cols: list[str], metric: str = "pct",
+                   mode: str = "reference") -> DataFrame:
+    """group_cols + step_no -> value, users (sum total_users), step1 (sum raw_step_01).
+
+    ``mode="reference"`` re-weights the rounded per-cell rates by step-1 users;
+    ``mode="exact"`` pools the counts."""
+    value = weighted_value(metric) if mode == "reference" else exact_value(metric)
     return long.groupBy(*group_cols, "step_no").agg(
-        weighted_value(metric).alias("value"),
+        value.alias("value"),
         F.sum("total_users").alias("users"),
         F.sum("raw_step_01").alias("step1"),
     )

@@ -778,3 +778,10 @@ ORACLE["retention_weighted_all_cells"] = q(
     "CAST(sum(users_active) AS DOUBLE) / CAST(sum(cohort_size) AS DOUBLE) ELSE 0.0 END AS retention, "
     "CAST(sum(cohort_size) AS BIGINT) AS cohort_size, CAST(sum(users_active) AS BIGINT) AS users_active "
     "FROM rcube WHERE days_since_install <= 14 GROUP BY 1, 2", RET)
+ORACLE["ba_funnel_hints_reference_cap"] = q(
+    "SELECT period, step_no, raw_value, CASE WHEN step_no = 4 AND capped = 0 THEN NULL "
+    "ELSE capped END AS value, users, step1, step_no = 4 AS is_branch FROM ("
+    "SELECT *, min(raw_value) OVER (PARTITION BY period ORDER BY step_no ROWS BETWEEN "
+    "UNBOUNDED PRECEDING AND CURRENT ROW) AS capped FROM ("
+    f"SELECT period, step_no, {wcw('pct')} AS raw_value, CAST(sum(total_users) AS BIGINT) AS users, "
+    "CAST(sum(raw_step_01) AS BIGINT) AS step1 FROM tag GROUP BY period, step_no))", FUNNEL, BA)

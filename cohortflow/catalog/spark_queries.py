@@ -668,3 +668,9 @@ def retention_weighted_all_cells(spark, sf_dir):
     cube = retention(spark, sf_dir).filter(F.col("days_since_install") <= 14)
     return re.retention_by(cube, ["install_version", "days_since_install"],
                            active_cells_only=False)
+
+
+@register
+def ba_funnel_hints_reference_cap(spark, sf_dir):
+    return cmpm.ba_funnel(long(spark, sf_dir), spec(), comparison(spark, sf_dir),
+                          include_groups=("hint",), cap="reference")

@@ -83,9 +83,13 @@ def ba_users(long: DataFrame, cmp: Comparison) -> DataFrame:
 
 
 def ba_funnel(long: DataFrame, spec: FunnelSpec, cmp: Comparison, metric: str = "pct",
-              include_groups: tuple[str, ...] = ()) -> DataFrame:
-    """Per (period, step): step-1-weighted rate, capped by a running minimum
-    along the spine; optional-branch zeros become NULL (a new step)."""
+              include_groups: tuple[str, ...] = (), cap: str = "spine") -> DataFrame:
+    """Per (period, step): step-1-weighted rate, capped by a running minimum;
+    optional-branch zeros become NULL (a new step).
+
+    ``cap="spine"`` caps along the spine only (branch steps keep their value);
+    ``cap="reference"`` caps along every shown step in order, branch included,
+    as the analysed dashboard does (a 0 on a branch then zeroes the rest)."""
     steps = shown_steps(spec, include_groups)
     branch = [s.no for s in spec.steps if s.branch]
     sub = tag_periods(long.filter(F.col("step_no").isin(steps)), cmp)
@@ -93,9 +97,14 @@ def ba_funnel(long: DataFrame, spec: FunnelSpec, cmp: Comparison, metric: str =
         weighted_value(metric).alias("raw_value"),
         F.sum("total_users").alias("users"), F.sum("raw_step_01").alias("step1"))
     is_branch = F.col("step_no").isin(branch) if branch else F.lit(False)
-    w = (Window.partitionBy("period", is_branch).orderBy("step_no")
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    capped = F.when(is_branch, F.col("raw_value")).otherwise(F.min("raw_value").over(w))
+    if cap == "reference":
+        w = (Window.partitionBy("period").orderBy("step_no")
+             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        capped = F.min("raw_value").over(w)
+    else:
+        w = (Window.partitionBy("period", is_branch).orderBy("step_no")
+             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        capped = F.when(is_branch, F.col("raw_value")).otherwise(F.min("raw_value").over(w))
     value = F.when(is_branch & (capped == 0), F.lit(None).cast("double")).otherwise(capped)
     return agg.select("period", "step_no", "raw_value", value.alias("value"), "users", "step1",
                       is_branch.alias("is_branch"))

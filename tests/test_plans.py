@@ -18,11 +18,9 @@ def _plan(df) -> str:
 
 
 # every query with COHORTFLOW_ALL_PLANS=1; a cross-section of operator groups otherwise
-SUBSET = ["players_cohort", "fraud_anti_join", "events_in_window", "funnel_cube_pct",
-          "funnel_unpivot", "step_reference", "cube_roundtrip", "retention_cube",
-          "retention_matrix", "ba_significance", "ba_retention", "coverage", "install_summary",
-          "dimension_counts", "biggest_dropoffs", "alerts_installs", "alerts_trend",
-          "alerts_retention", "top3_drops", "versions_ordered"]
+SUBSET = ["players_cohort", "funnel_cube_pct", "retention_cube", "ba_significance",
+          "ba_retention", "coverage", "install_summary", "alerts_installs", "alerts_trend",
+          "alerts_retention"]
 
 
 @pytest.mark.parametrize("name", sorted(E.queries()) if os.environ.get("COHORTFLOW_ALL_PLANS")

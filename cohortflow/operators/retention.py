@@ -65,13 +65,23 @@ def retention_cube(cohort: DataFrame, activity: DataFrame, as_of: date,
 
 
 def build_retention(src, cfg: EngineConfig, start: date | None = None,
-                    end: date | None = None, max_day: int | None = None) -> DataFrame:
+                    end: date | None = None, max_day: int | None = None,
+                    materialize: bool = True) -> DataFrame:
+    """The retention cube job.  The cohort (one row per player) is used twice
+    (cell sizes, activity join); with ``materialize`` it is written once as a
+    Parquet table in the shared checkpoint folder instead of being derived
+    twice from the player dimension."""
     start = start or cfg.retention_start
     end = end or cfg.as_of
     max_day = cfg.retention_max_day if max_day is None else max_day
     coh = retention_cohort(src.players(), src.exclusions(), cfg, start, end)
+    if materialize:
+        from cohortflow.sources import cube_store
+        coh = cube_store.materialize(coh, "retention_cohort")
     ev = src.events(start, end + timedelta(days=max_day + 1))
-    return retention_cube(coh, daily_activity(ev, coh), cfg.as_of, max_day)
+    day = F.to_date(F.timestamp_millis(F.col("res_timestamp")))
+    act = ev.select("distinct_id", day.alias("activity_date")).distinct()
+    return retention_cube(coh, act, cfg.as_of, max_day)
 
 
 # ---------------------------------------------------------------- metrics on the cube

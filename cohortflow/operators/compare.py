@@ -20,7 +20,6 @@ from cohortflow.config import EngineConfig
 from cohortflow.functions.columns import version_sort_key
 from cohortflow.functions.stats import with_significance
 from cohortflow.operators.metrics import weighted_value
-from cohortflow.operators.retention import weighted_retention
 from cohortflow.plans.steps import FunnelSpec
 
 
@@ -207,30 +206,31 @@ def dropoff_transitions(funnel: DataFrame) -> DataFrame:
 
 
 def ba_retention(cube: DataFrame, cmp: Comparison, days: range = range(1, 15)) -> DataFrame:
-    """Per version x day: before/after weighted retention, cohorts, delta, relative."""
+    """Per version x day: before/after weighted retention, cohorts, delta, relative.
+
+    One conditional aggregation per (version, day) gives both periods; a
+    version that has rows in a period but none on some day reports a zero
+    cohort for that day (the grid of days per version is one explode)."""
     tagged = tag_periods(cube, cmp, hours=False)
-    has_rows = tagged.groupBy("install_version", "period").agg(F.lit(True).alias("has_rows"))
+    is_b, is_a = F.col("period") == "before", F.col("period") == "after"
+    active = F.col("users_active") > 0
+
+    def side(cond):
+        cs = F.sum(F.when(cond & active, F.col("cohort_size")))
+        ua = F.sum(F.when(cond & active, F.col("users_active")))
+        return F.when(cs > 0, ua.cast("double") / cs.cast("double")).otherwise(F.lit(0.0)), cs
+
+    rb, nb = side(is_b)
+    ra, na = side(is_a)
     per_day = (tagged.filter(F.col("days_since_install").isin(list(days)))
-               .groupBy("install_version", "period", "days_since_install")
-               .agg(weighted_retention().alias("r"),
-                    F.sum(F.when(F.col("users_active") > 0, F.col("cohort_size"))).alias("n")))
-    grid = (has_rows.select("install_version").distinct()
+               .groupBy("install_version", "days_since_install")
+               .agg(rb.alias("r_before"), nb.alias("n_before"), ra.alias("r_after"),
+                    na.alias("n_after")))
+    grid = (tagged.groupBy("install_version")
+            .agg(F.bool_or(is_b).alias("hb"), F.bool_or(is_a).alias("ha"))
             .withColumn("days_since_install",
                         F.explode(F.sequence(F.lit(min(days)), F.lit(max(days))))))
-
-    def side(p):
-        h = has_rows.filter(F.col("period") == p).select("install_version", "has_rows")
-        d = per_day.filter(F.col("period") == p).select(
-            "install_version", "days_since_install", F.col("r").alias(f"r_{p}"),
-            F.col("n").alias(f"n_{p}"))
-        return h, d
-
-    hb, db = side("before")
-    ha, da = side("after")
-    g = (grid.join(hb.withColumnRenamed("has_rows", "hb"), "install_version", "left")
-         .join(ha.withColumnRenamed("has_rows", "ha"), "install_version", "left")
-         .join(db, ["install_version", "days_since_install"], "left")
-         .join(da, ["install_version", "days_since_install"], "left"))
+    g = grid.join(per_day, ["install_version", "days_since_install"], "left")
     nb = F.when(F.col("hb"), F.coalesce(F.col("n_before"), F.lit(0)))
     na = F.when(F.col("ha"), F.coalesce(F.col("n_after"), F.lit(0)))
     rb = F.coalesce(F.col("r_before"), F.lit(0.0))

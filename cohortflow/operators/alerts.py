@@ -115,17 +115,19 @@ def funnel_alerts(long: DataFrame, last_step: int, low_sample: int, gap_limit: f
 
 def trend_alerts(long: DataFrame, steps: list[int], test_start: date,
                  limit_pct: float = 1.0) -> DataFrame:
+    """Biggest relative gain / regression of a step's rate, installs from the
+    test date vs before (ties: the earlier step).  One global aggregation over
+    the per-step summary."""
     from cohortflow.operators.reports import split_summary
     s = split_summary(long, [], test_start, steps)
-    ub = s.agg(F.max("users_before")).scalar()
-    ua = s.agg(F.max("users_after")).scalar()
-    ch = s.filter(F.col("before") > 0).withColumn(
-        "change_pct", (F.col("after") - F.col("before")) / F.col("before") * 100)
-    agg = ch.agg(F.max_by(F.struct("change_pct", "step_no"),
-                          F.struct(F.col("change_pct"), -F.col("step_no"))).alias("g"),
-                 F.min_by(F.struct("change_pct", "step_no"),
-                          F.struct(F.col("change_pct"), F.col("step_no"))).alias("d"))
-    agg = agg.filter((ub > 0) & (ua > 0))
+    change = (F.col("after") - F.col("before")) / F.col("before") * 100
+    tested = F.col("before") > 0
+    entry = F.struct(change.alias("change_pct"), F.col("step_no").alias("step_no"))
+    agg = s.agg(
+        F.max_by(entry, F.when(tested, F.struct(change, -F.col("step_no")))).alias("g"),
+        F.min_by(entry, F.when(tested, F.struct(change, F.col("step_no")))).alias("d"),
+        F.max("users_before").alias("ub"), F.max("users_after").alias("ua"))
+    agg = agg.filter((F.col("ub") > 0) & (F.col("ua") > 0))
     gain = _rows(agg.filter(F.col("g.change_pct") > limit_pct), "biggest_improvement", "green",
                  F.col("g.step_no"), F.col("g.change_pct"))
     drop = _rows(agg.filter(F.col("d.change_pct") < -limit_pct), "biggest_regression", "red",

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from cohortflow.llm import textbatch as tb
 from cohortflow.llm.common import arrow_schema, record_batch
-from cohortflow.llm.ordering import in_order
+from cohortflow.llm.ordering import bucketed, sorted_buckets
 from cohortflow.llm.pieces import library_cache
 
 WIDTHS = (10, 6, 16)            # bits of the chunks; each even
@@ -136,7 +136,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
     ascending doc_id order (null ids last, equal ids by text).  Returns each
     bucket's position among all ids of the corpus.  Other columns are
     ignored; repeated rows are written repeatedly; no rows, no shards."""
-    ordered, _ = in_order(docs.select("doc_id", "text"))
+    ordered = sorted_buckets(*bucketed(docs.select("doc_id", "text")))
     target = arrow_schema(docs.sparkSession, SHARD_SCHEMA)
 
     def shard(bucket, number, start, held):
@@ -170,7 +170,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
     ordered.select("doc_id", "text", "bucket").mapInArrow(run, SHARD_SCHEMA).write.mode("overwrite").parquet(path)
     spark = docs.sparkSession
     totals = dict(spark.read.schema(SHARD_SCHEMA).parquet(path).groupBy("bucket").agg(
-        F.sum("n_tokens")).collect())          # a number per bucket, of which in_order bounds the count
+        F.sum("n_tokens")).collect())          # a number per bucket, of which MOST_BUCKETS bounds the count
     bases, at = [], 0
     for b in range(max(totals, default=-1) + 1):
         bases.append(at)

@@ -10,13 +10,12 @@ ROWS_PER_BUCKET = 2_000
 MOST_BUCKETS = 20_000
 
 
-def in_order(df: DataFrame, key: str = "doc_id", tie: str = "text",
+def bucketed(df: DataFrame, key: str = "doc_id",
              rows_per_bucket: int = ROWS_PER_BUCKET) -> tuple[DataFrame, int]:
     """``df`` with a column ``bucket`` (consecutive ranges of ``key``, nulls in
-    the last one), each bucket in one partition and the partitions sorted by
-    bucket, ``key``, ``tie``; and the number of buckets.  The bounds come
-    from approximate quantiles (at most MOST_BUCKETS of them on the driver);
-    which bucket a row is in follows from the bounds alone, so a recomputed
+    the last one), and the number of buckets.  The bounds come from
+    approximate quantiles (at most MOST_BUCKETS of them on the driver); which
+    bucket a row is in follows from the bounds alone, so a recomputed
     partition has the same rows."""
     n = df.count()
     want = max(1, min(MOST_BUCKETS, n // rows_per_bucket))
@@ -24,11 +23,14 @@ def in_order(df: DataFrame, key: str = "doc_id", tie: str = "text",
         "k", [i / want for i in range(1, want)], 0.1 / want) if want > 1 else []
     cuts = [float("-inf"), *sorted(set(marks)), float("inf")]
     if len(cuts) < 3:
-        bucketed = df.withColumn("bucket", F.col(key).isNull().cast("int"))
+        out = df.withColumn("bucket", F.col(key).isNull().cast("int"))
     else:
-        bucketed = Bucketizer(splits=cuts, inputCol="_k", outputCol="_b", handleInvalid="keep").transform(
+        out = Bucketizer(splits=cuts, inputCol="_k", outputCol="_b", handleInvalid="keep").transform(
             df.withColumn("_k", F.col(key).cast("double"))).withColumn("bucket", F.col("_b").cast("int"))
-    buckets = len(cuts)                     # one more than ranges: the nulls
-    out = (bucketed.select(*df.columns, "bucket").repartition(buckets, "bucket")
-           .sortWithinPartitions("bucket", F.col(key).asc_nulls_last(), tie))
-    return out, buckets
+    return out.select(*df.columns, "bucket"), len(cuts)
+
+
+def sorted_buckets(df: DataFrame, buckets: int, key: str = "doc_id", tie: str = "text") -> DataFrame:
+    """Each bucket in one partition, partitions sorted by bucket, key and tie."""
+    return df.repartition(buckets, "bucket").sortWithinPartitions(
+        "bucket", F.col(key).asc_nulls_last(), tie)

@@ -7,9 +7,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortflow.llm import bpe_automaton, direct_codes, jaccard_join, packing
+from cohortflow.llm import (bpe_automaton, chat_format, direct_codes, jaccard_join, merkle, packing,
+                            secrets)
 from cohortflow.llm.common import ship, table
-from cohortflow.sources.cube_store import scratch_path
+from cohortflow.sources.cube_store import materialize, scratch_path
 
 
 def tokenizer_path() -> str:
@@ -23,10 +24,18 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
+def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_documents(_documents(spark, sf_dir))
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(_documents(spark, sf_dir))
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.document_fingerprints(_documents(spark, sf_dir))
+
+
 def op5_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_automaton.encode_digests(_documents(spark, sf_dir), tokenizer_path())
 
@@ -42,6 +51,16 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return direct_codes.read_documents(spark, path, bases)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_ngram_jaccard_join, op5_bpe_encode_decode, op7_packing, op9_token_files)}
+def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = r"\### Assistant: </turn> ok"
+    added = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], turns.schema)
+    done = materialize(chat_format.format_conversations(turns.union(added)), "formatted")
+    return chat_format.read_back(done)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
+    op1_secret_scans, op2_ngram_jaccard_join, op4_fingerprints, op5_bpe_encode_decode, op7_packing,
+    op9_token_files, op10_chat_formatting)}
 ORACLE: dict[str, str] = {}

@@ -6,9 +6,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cohortflow.llm import (bpe_automaton, chat_format, direct_codes, jaccard_join, merkle, packing,
-                            secrets)
+from cohortflow.llm import (bpe_automaton, chat_format, direct_codes, importance, jaccard_join, merkle,
+                            packing, secrets, site_quality, toxicity)
 from cohortflow.llm.common import ship, table
 from cohortflow.sources.cube_store import materialize, scratch_path
 
@@ -32,6 +33,12 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(_documents(spark, sf_dir))
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    trusted = table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0")
+    return importance.quality_rules(docs, trusted)
+
+
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.document_fingerprints(_documents(spark, sf_dir))
 
@@ -40,10 +47,27 @@ def op5_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_automaton.encode_digests(_documents(spark, sf_dir), tokenizer_path())
 
 
+def held_out():
+    """Rows whose labels are never learned from."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    model = toxicity.train(docs, table(spark, sf_dir, "labels").where(~held_out()))
+    return toxicity.score_documents(docs, model, ["doc_id"]).select(
+        "doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_documents(spark, sf_dir), tokenizer_path())
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    return site_quality.classify(docs, table(spark, sf_dir, "labels"), F.col("source"), F.col("lang"), ["doc_id"])
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     path = scratch_path(spark, "token-shards")
@@ -61,6 +85,6 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_secret_scans, op2_ngram_jaccard_join, op4_fingerprints, op5_bpe_encode_decode, op7_packing,
-    op9_token_files, op10_chat_formatting)}
+    op1_secret_scans, op2_ngram_jaccard_join, op3_quality_rules, op4_fingerprints, op5_bpe_encode_decode,
+    op6_toxicity, op7_packing, op8_quality_classifier, op9_token_files, op10_chat_formatting)}
 ORACLE: dict[str, str] = {}

@@ -1,8 +1,8 @@
 """Toxicity by gradient-boosted trees over dense features.
 
 Features: densities of a seed lexicon and of learned lexicons (whole words and
-five-letter sequences within words, both hashed and weighted by their log
-odds in labelled rows), lexicon words near second-person pronouns, capitals,
+sequences of four and of six letters within words, hashed and weighted by
+their log odds in labelled rows), lexicon words near second-person pronouns, capitals,
 punctuation and obfuscation rates.  The labelled rows (a bounded sample) are
 dealt by hash into three parts: one teaches the lexicons, one the trees, one
 the isotonic calibration, so that no step judges rows that it has learned.
@@ -30,10 +30,10 @@ SEED = ("idiot idiots stupid moron morons loser losers trash scum clown pathetic
 SECOND_PERSON = ("you your yours yourself ur u du dich dir dein deine ihr euch tu te toi ton ta tes vous votre vos "
                  "usted ustedes vosotros tus ti").split()
 NEAR = 5
-GRAM = 5
+GRAMS = (4, 6)
 
-FEATURES = ("seed", "seed_count", "word_lexicon", "word_top", "word_count", "gram_lexicon", "gram_top",
-            "gram_count", "near_you", "you", *DENSE)
+FEATURES = ("seed", "seed_count", "word_lexicon", "word_top", "word_count", "near_you", "you",
+            *[f"{name}_{n}" for n in GRAMS for name in ("gram_lexicon", "gram_top", "gram_count")], *DENSE)
 
 
 @dataclass(frozen=True)
@@ -44,7 +44,7 @@ class ToxicityParams:
     ``threshold``: score from which a document counts as toxic."""
 
     labelled: int = 24_000
-    bits: int = 20
+    bits: int = 18
     support: int = 4
     least: float = 2.0
     trees: int = 60
@@ -66,38 +66,43 @@ def _member(h: np.ndarray, table: np.ndarray) -> np.ndarray:
 
 
 def letter_runs(b: Batch, bits: int):
-    """Of the lower-cased letter runs: hash, text, bucket; and of all their
-    five-letter sequences: bucket, text."""
+    """Of the lower-cased letter runs: hash and text; and (bucket, text) of the
+    runs themselves and of all their letter sequences, a pair per kind."""
     low = b.lower()
-    inside = b.kinds() == LETTER
-    starts, ends = tb.runs(inside, b.offsets)
+    starts, ends = tb.runs(b.kinds() == LETTER, b.offsets)
     h = tb.run_hashes(low, starts, ends)
     of = tb.owner(starts, b.offsets)
-    size = np.maximum(0, ends - starts - GRAM + 1)
-    at = np.repeat(starts - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum()) \
-        if len(size) else np.zeros(0, np.int64)
-    g = tb.run_hashes(low, at, at + GRAM)
     shift = np.uint64(64 - bits)
-    return h, of, (h >> shift).astype(np.int64), (g >> shift).astype(np.int64), np.repeat(of, size)
+    kinds = [((h >> shift).astype(np.int64), of)]
+    for n in GRAMS:
+        size = np.maximum(0, ends - starts - n + 1)
+        at = np.repeat(starts - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        kinds.append(((tb.run_hashes(low, at, at + n) >> shift).astype(np.int64), np.repeat(of, size)))
+    return h, of, kinds
 
 
 @dataclass(frozen=True)
 class Lexicons:
-    words: np.ndarray       # weight per bucket, 0 if not an entry
-    grams: np.ndarray
+    """Weight per bucket, 0 if not an entry: of words, then of each of GRAMS."""
+
+    tables: tuple
 
 
 def rates(b: Batch, lexicons: Lexicons, bits: int) -> np.ndarray:
     """A row of FEATURES per text; zeros for an empty text."""
-    h, of, word, gram, gram_of = letter_runs(b, bits)
+    h, of, kinds = letter_runs(b, bits)
     n = b.n
     words = np.maximum(1, np.bincount(of, minlength=n))
     seed, you = _member(h, _SEED), _member(h, _YOU)
-    weight, gram_weight = lexicons.words[word], lexicons.grams[gram]
-    top, gram_top = np.zeros(n), np.zeros(n)
-    hit, gram_hit = weight > 0, gram_weight > 0
-    np.maximum.at(top, of[hit], weight[hit])
-    np.maximum.at(gram_top, gram_of[gram_hit], gram_weight[gram_hit])
+
+    def found(table, bucket, text):
+        weight = table[bucket]
+        hit, top = weight > 0, np.zeros(n)
+        np.maximum.at(top, text[hit], weight[hit])
+        return hit, np.bincount(text[hit], weights=weight[hit], minlength=n) / words, top, np.bincount(
+            text[hit], minlength=n)
+
+    (hit, density, top, hits), *grams = [found(t, *k) for t, k in zip(lexicons.tables, kinds)]
     # lexicon words within NEAR words of a second-person pronoun of the same text
     places = np.flatnonzero(you)
     bad = np.flatnonzero(seed | hit)
@@ -107,9 +112,10 @@ def rates(b: Batch, lexicons: Lexicons, bits: int) -> np.ndarray:
             k = np.clip(other, 0, len(places) - 1)
             close |= (np.abs(places[k] - bad) <= NEAR) & (of[places[k]] == of[bad])
     count = lambda f, o: np.bincount(o[f], minlength=n)
-    cols = (count(seed, of) / words, count(seed, of), np.bincount(of, weights=weight, minlength=n) / words, top,
-            count(hit, of), np.bincount(gram_of, weights=gram_weight, minlength=n) / words, gram_top,
-            count(gram_hit, gram_of) / words, np.bincount(of[bad[close]], minlength=n) / words, count(you, of) / words)
+    cols = [count(seed, of) / words, count(seed, of), density, top, hits,
+            np.bincount(of[bad[close]], minlength=n) / words, count(you, of) / words]
+    for _, gram_density, gram_top, gram_hits in grams:
+        cols += [gram_density, gram_top, gram_hits / words]
     return np.column_stack([*[np.asarray(c, dtype=np.float64) for c in cols], dense(b)])
 
 
@@ -121,40 +127,37 @@ def learn_lexicons(rows: DataFrame, p: ToxicityParams) -> Lexicons:
     size = 1 << p.bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros((2, 2, size), dtype=np.int64)
+        seen = np.zeros((1 + len(GRAMS), 2, size), dtype=np.int32)
         n = np.zeros(2, dtype=np.int64)
         for batch in batches:
             texts, labels = batch.column(0).to_pylist(), np.array(batch.column(1).to_pylist(), dtype=np.int64)
             for lo, hi in tb.steps(texts):
-                _, of, word, gram, gram_of = letter_runs(Batch.of(texts[lo:hi]), p.bits)
                 n += np.bincount(labels[lo:hi], minlength=2)
-                for k, (bucket, text) in enumerate(((word, of), (gram, gram_of))):
+                for k, (bucket, text) in enumerate(letter_runs(Batch.of(texts[lo:hi]), p.bits)[2]):
                     once = np.unique(text * size + bucket)
                     for y in (0, 1):
                         chosen = once[labels[lo:hi][once // size] == y] % size
                         seen[k, y] += np.bincount(chosen, minlength=size)
         if n.sum():
-            yield record_batch({"kind": [2], "bucket": [0], "toxic": [n[1]], "clean": [n[0]]}, target)
-            for k in (0, 1):
-                at = np.flatnonzero(seen[k, 1])
-                some = np.flatnonzero(seen[k, 0] & (seen[k, 1] == 0))
-                at = np.concatenate([at, some])
+            yield record_batch({"kind": [-1], "bucket": [0], "toxic": [n[1]], "clean": [n[0]]}, target)
+            for k in range(len(seen)):
+                at = np.flatnonzero(seen[k, 0] | seen[k, 1])
                 yield record_batch({"kind": np.full(len(at), k, np.int32), "bucket": at.astype(np.int32),
                                     "toxic": seen[k, 1][at], "clean": seen[k, 0][at]}, target)
 
     found = (rows.select("text", "label").mapInArrow(run, schema).groupBy("kind", "bucket")
              .agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-             .where(f"kind = 2 or toxic >= {p.support}").toPandas())
-    whole = found[found["kind"] == 2]
+             .where(f"kind = -1 or toxic >= {p.support}").toPandas())
+    whole = found[found["kind"] == -1]
     toxic, clean = (int(whole[c].sum()) for c in ("toxic", "clean"))
     tables = []
-    for k in (0, 1):
+    for k in range(1 + len(GRAMS)):
         f = found[found["kind"] == k]
         w = np.log((f["toxic"] + 0.5) / (toxic + 1)) - np.log((f["clean"] + 0.5) / (clean + 1))
         table = np.zeros(size, dtype=np.float64)
         table[f["bucket"].to_numpy(dtype=np.int64)] = np.where(w >= p.least, w, 0.0)
         tables.append(table)
-    return Lexicons(*tables)
+    return Lexicons(tuple(tables))
 
 
 @dataclass(frozen=True)

@@ -73,6 +73,8 @@ class Batch:
     def lines(self) -> tuple[np.ndarray, np.ndarray]:
         """(text, hash) of every line that has a word."""
         n = len(self.cp)
+        if n == 0:
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
         cut = np.zeros(n + 1, dtype=bool)
         cut[self.offsets] = True
         feed = np.flatnonzero(self.cp == 10)

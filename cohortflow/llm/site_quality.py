@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortflow.llm.common import map_texts, sample_filter
-from cohortflow.llm.features import Batch, dense
+from cohortflow.llm.features import DENSE, Batch, dense
 
 
 @dataclass(frozen=True)
@@ -79,7 +79,7 @@ def labelled_rates(docs: DataFrame, labels: DataFrame, target: str, bound: int)
 
     rows = map_texts(texts.select("doc_id", "text", F.col("label").cast("double").alias("label")), step,
                      "doc_id long, label double, x array<double>").orderBy("doc_id", "x").toPandas()
-    x = np.array(rows["x"].tolist(), dtype=float).reshape(len(rows), -1)
+    x = np.array(rows["x"].tolist(), dtype=float).reshape(len(rows), len(DENSE))
     return x, rows["label"].to_numpy(dtype=float)
 
 

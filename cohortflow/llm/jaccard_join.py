@@ -14,6 +14,10 @@ join works on regions around pivot documents:
 4. A node stays in a region only while another one there has a size within
    the window that the distance allows (the triangle inequality against the
    empty set, with the symmetric difference as metric).
+   Within regions of bounded size a parity sketch (a bit per hash class, as
+   many as the set has shingles or up to twice that) bounds the symmetric
+   difference from below: only nodes that some member could be linked with
+   stay, in regions of their own, and equal regions become one.
 5. A region of bounded size is joined in one task by Voronoi recursion:
    pivots, nearest-pivot cells, and boundary nodes repeated in every cell
    within ``2 * eps`` of being nearest; small cells compare exactly.
@@ -28,6 +32,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -48,15 +53,18 @@ class JaccardParams:
     ``order_sample``: documents whose shingle counts give the order.
     ``order_size``: shingles in that order's table, most frequent first.
     ``region_nodes`` / ``region_shingles``: bound of what one task joins.
-    ``cell_nodes``: below it a cell compares without further pivots."""
+    ``cell_nodes``: below it a cell compares without further pivots.
+    ``broadcast_ids``: up to so many documents that share a region are looked
+    up by a broadcast of their ids, more by a shuffle."""
 
     words: int = 4
     percent: int = 85
-    order_sample: int = 20_000
+    order_sample: int = 5_000
     order_size: int = 1 << 18
     region_nodes: int = 1024
     region_shingles: int = 2_000_000
     cell_nodes: int = 48
+    broadcast_ids: int = 2_000_000
 
 
 def shingle_sets(texts: list, words: int) -> list[np.ndarray]:
@@ -92,6 +100,37 @@ def _node(s: np.ndarray) -> bytes | None:
     return np.array([a, b], dtype=">u8").tobytes()
 
 
+def parity_sketch(s: np.ndarray) -> bytes:
+    """One bit per hash class: the parity of the set's members in it."""
+    size = 1 << max(6, int(len(s) - 1).bit_length())
+    odd = np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def _fold(sketch: np.ndarray) -> np.ndarray:
+    """The sketches of half as many classes."""
+    half = sketch.shape[1] // 2
+    return sketch[:, :half] ^ sketch[:, half:]
+
+
+def possible_links(sketches: list[bytes], sizes: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Pairs that sizes and sketches do not exclude, each once."""
+    width = np.array([len(b) for b in sketches])
+    out = []
+    for w in np.unique(width):
+        own, wider = np.flatnonzero(width == w), np.flatnonzero(width == 2 * w)
+        a = np.stack([np.frombuffer(sketches[i], np.uint8) for i in own])
+        b = _fold(np.stack([np.frombuffer(sketches[i], np.uint8) for i in wider])) if len(wider) else a[:0]
+        rows, ids = np.concatenate([a, b]), np.concatenate([own, wider])
+        for k in range(len(own)):
+            differ = np.bitwise_count(rows[k + 1:] ^ rows[k]).sum(axis=1, dtype=np.int64)
+            both = sizes[ids[k + 1:]] + sizes[own[k]]
+            hit = (100 + percent) * np.maximum(differ, np.abs(sizes[ids[k + 1:]] - sizes[own[k]])) <= (
+                100 - percent) * both
+            out += [(int(own[k]), int(j)) for j in ids[k + 1:][hit]]
+    return out
+
+
 def shingle_order(docs: DataFrame, p: JaccardParams) -> tuple[np.ndarray, np.ndarray]:
     """The frequent shingles of a bounded sample (sorted), and their counts."""
     def count(batch, texts):
@@ -107,10 +146,10 @@ def shingle_order(docs: DataFrame, p: JaccardParams) -> tuple[np.ndarray, np.nda
     return gram[by], rows["n"].to_numpy(dtype=np.int64)[by]
 
 
-def document_sets(docs: DataFrame, p: JaccardParams) -> DataFrame:
-    """doc_id, n (set size), node (identity of the set; null if empty), grams
-    (the set), keys (its first shingles in the order), central (how much of
-    it is frequent)."""
+def document_keys(docs: DataFrame, p: JaccardParams) -> DataFrame:
+    """doc_id, n (set size), node (identity of the set; null if empty), keys
+    (its first shingles in the order), central (how much of it is frequent),
+    sketch."""
     grams, counts = shingle_order(docs, p)
     order = docs.sparkSession.sparkContext.broadcast((grams, counts))
 
@@ -135,10 +174,23 @@ def document_sets(docs: DataFrame, p: JaccardParams) -> DataFrame:
             keys.append(s[first].view(np.int64))
             central.append(int(1e6 * np.log1p(w).mean()))
         return {"doc_id": batch.column(0), "n": sizes, "node": [_node(s) for s in sets],
-                "grams": [s.tobytes() for s in sets], "keys": keys, "central": central}
+                "keys": keys, "central": central, "sketch": [parity_sketch(s) if len(s) else None for s in sets]}
 
     return map_texts(docs.select("doc_id", "text"), step,
-                     "doc_id long, n long, node binary, grams binary, keys array<long>, central long")
+                     "doc_id long, n long, node binary, keys array<long>, central long, sketch binary")
+
+
+def node_sets(docs: DataFrame, wanted: DataFrame, p: JaccardParams) -> DataFrame:
+    """node, grams (the set's hashes as bytes) of the ``wanted`` (node, doc_id)."""
+    def step(batch, texts):
+        sets = shingle_sets(texts, p.words)
+        return {"node": [_node(s) for s in sets], "grams": [s.tobytes() for s in sets]}
+
+    ids = wanted.select(F.col("doc_id").alias("id")).distinct()
+    if ids.count() <= p.broadcast_ids:
+        ids = F.broadcast(ids)
+    texts = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").select("text")
+    return map_texts(texts, step, "node binary, grams binary").where("node is not null")
 
 
 def _overlaps(sets: list[np.ndarray], rows: list[int], cols: list[int]) -> np.ndarray:
@@ -259,6 +311,39 @@ def region_members(entries: DataFrame, p: JaccardParams) -> DataFrame:
             .select("pivot", "node", "n"))
 
 
+def possible_regions(members: DataFrame, nodes: DataFrame, p: JaccardParams) -> DataFrame:
+    """(region, pivot, node, n): regions of at most ``region_nodes`` members
+    reduced to members that sketches (``nodes``: node, sketch) leave possible
+    links for, a region per connected part; larger ones as they are."""
+    size = members.groupBy("pivot").agg(F.count("*").alias("m"))
+    sized = members.join(size, "pivot")
+    large = sized.where(F.col("m") > p.region_nodes).select(F.col("pivot").alias("region"), "pivot", "node", "n")
+
+    def reduce(rows):
+        sizes = np.array([r["n"] for r in rows], dtype=np.int64)
+        parts, degree = _Parts(len(rows)), np.zeros(len(rows), np.int64)
+        for i, j in possible_links([r["sketch"] for r in rows], sizes, p.percent):
+            parts.link(i, j)
+            degree[[i, j]] += 1
+        held: dict[int, list[int]] = {}
+        for i in np.flatnonzero(degree).tolist():
+            held.setdefault(parts.find(i), []).append(i)
+        out = {"region": [], "pivot": [], "node": [], "n": []}
+        for group in held.values():
+            names = sorted(rows[i]["node"] for i in group)
+            name = blake2b(b"".join(names), digest_size=16).digest()
+            top = rows[max(group, key=lambda i: (degree[i], rows[i]["node"]))]["node"]
+            for i in group:
+                for k, v in (("region", name), ("pivot", top), ("node", rows[i]["node"]), ("n", rows[i]["n"])):
+                    out[k].append(v)
+        return out
+
+    small = _grouped(sized.where(F.col("m") <= p.region_nodes).join(nodes, "node").select(
+        "pivot", "node", "n", "sketch"), ["pivot"], reduce, "region binary, pivot binary, node binary, n long")
+    return small.union(large).groupBy("region", "node").agg(
+        F.max("pivot").alias("pivot"), F.max("n").alias("n")).select("region", "pivot", "node", "n")
+
+
 def _grouped(df: DataFrame, keys: list[str], handle, schema: str) -> DataFrame:
     """Sort by ``keys`` within partitions and hand every group's rows (a list
     of dicts) to ``handle``; one group is held at a time."""
@@ -280,57 +365,68 @@ def _grouped(df: DataFrame, keys: list[str], handle, schema: str) -> DataFrame:
     return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
 
 
+def _once(rows: list[dict]) -> list[dict]:
+    """The rows without repeated nodes (of documents that share their id)."""
+    return list({r["node"]: r for r in rows}.values())
+
+
 def _load(rows: list[dict]) -> list[np.ndarray]:
     return [np.frombuffer(r["grams"], dtype=np.uint64) for r in rows]
 
 
-def links(sets: DataFrame, p: JaccardParams) -> DataFrame:
+def links(docs: DataFrame, keyed: DataFrame, p: JaccardParams) -> DataFrame:
     """(a, b): links between nodes, enough of them to connect every component.
-
-    ``sets``: node, n, grams, keys, central; one row per document."""
-    entries = (sets.where("node is not null").select("node", "n", "central", F.explode("keys").alias("key")))
-    members = materialize(region_members(entries, p), "regions")
-    size = (members.groupBy("pivot").agg(F.count("*").alias("m"), F.sum("n").alias("total"))
-            .select("pivot", F.greatest(F.ceil(F.col("m") / p.region_nodes),
-                                        F.ceil(F.col("total") / p.region_shingles)).cast("int").alias("slices")))
-    slots = (members.join(size, "pivot")
+    ``keyed``: the document_keys of ``docs``."""
+    entries = (keyed.where("node is not null").select("node", "n", "central", F.explode("keys").alias("key")))
+    nodes = keyed.where("node is not null").select("node", "doc_id", "sketch")
+    sketches = nodes.groupBy("node").agg(F.max("sketch").alias("sketch"))
+    found = materialize(region_members(entries, p), "region-members")
+    sketches = sketches.join(found.select("node").distinct(), "node", "left_semi")
+    members = materialize(possible_regions(found, sketches, p), "regions")
+    size = (members.groupBy("region").agg(F.count("*").alias("m"), F.sum("n").alias("total"),
+                                          F.max("pivot").alias("pivot"))
+            .select("region", "pivot", F.greatest(F.ceil(F.col("m") / p.region_nodes), F.ceil(
+                F.col("total") / p.region_shingles)).cast("int").alias("slices")))
+    slots = (members.select("region", "node").join(size, "region")
              .withColumn("slice", F.when(F.col("slices") == 1, F.lit(0))
                          .otherwise(F.pmod(F.xxhash64("node"), F.col("slices")).cast("int"))))
     # the pivot's own set goes to every slice of a larger region
-    repeated = (size.where("slices > 1")
-                .select("pivot", F.col("pivot").alias("node"), "slices",
-                        F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice")))
-    slots = slots.select("pivot", "slices", "slice", "node").union(
-        repeated.select("pivot", "slices", "slice", "node")).distinct()
-    wanted = members.select("node").union(members.select(F.col("pivot").alias("node"))).distinct()
-    held = materialize(sets.where("node is not null").select("node", "grams")
-                       .join(wanted, "node", "left_semi").dropDuplicates(["node"]), "region-sets")
+    repeated = size.where("slices > 1").withColumn("node", F.col("pivot")).withColumn(
+        "slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+    cols = ["region", "pivot", "slices", "slice", "node"]
+    slots = materialize(slots.select(*cols).union(repeated.select(*cols)).distinct(), "region-slots")
+    wanted = nodes.select("node", "doc_id").join(slots.select("node").distinct(), "node", "left_semi").groupBy(
+        "node").agg(F.min("doc_id").alias("doc_id"))
+    held = materialize(node_sets(docs, wanted, p), "region-sets")
+    if slots.count() <= p.broadcast_ids:
+        slots = F.broadcast(slots)
     percent = p.percent
 
     def first(rows):
+        rows = _once(rows)
         s = _load(rows)
         sizes = np.array([len(x) for x in s], dtype=np.int64)
         nodes, pivot = [r["node"] for r in rows], rows[0]["pivot"]
         if rows[0]["slices"] == 1:
             parts = _Parts(len(rows))
             voronoi_join(s, list(range(len(rows))), p, parts, sizes)
-            return {"pivot": [None] * len(parts.links), "a": [nodes[i] for i, _ in parts.links],
+            return {"region": [None] * len(parts.links), "a": [nodes[i] for i, _ in parts.links],
                     "b": [nodes[j] for _, j in parts.links], "d": [0.0] * len(parts.links)}
         at = nodes.index(pivot)
         both, union = _measure(s, sizes, list(range(len(rows))), [at])
-        out = {"pivot": [], "a": [], "b": [], "d": []}
+        out = {"region": [], "a": [], "b": [], "d": []}
         for i, node in enumerate(nodes):
             linked = 100 * both[i, 0] >= percent * union[i, 0]
-            out["pivot"].append(pivot)
+            out["region"].append(rows[0]["region"])
             out["a"].append(node)
             out["b"].append(pivot if linked else None)
             out["d"].append(1.0 - both[i, 0] / union[i, 0])
         return out
 
-    found = materialize(_grouped(slots.join(held, "node"), ["pivot", "slice"], first,
-                                 "pivot binary, a binary, b binary, d double"), "region-links")
+    found = materialize(_grouped(held.join(slots, "node"), ["region", "slice"], first,
+                                 "region binary, a binary, b binary, d double"), "region-links")
     edges = found.where("b is not null").select("a", "b")
-    far = found.where("pivot is not null").dropDuplicates(["pivot", "a"])
+    far = found.where("region is not null").dropDuplicates(["region", "a"])
     if far.isEmpty():
         return edges
     return edges.union(_large_regions(far, held, p))
@@ -341,35 +437,35 @@ def _large_regions(far: DataFrame, held: DataFrame, p: JaccardParams) -> DataFra
     distance to the pivot, joined with the slices within ``eps`` of them.
     Two slices of nodes that are all linked with the pivot need no join."""
     eps = 1 - p.percent / 100 + 1e-9
-    far = far.join(held.select(F.col("node").alias("a"), (F.length("grams") / 8).alias("n")), "a")
-    by_pivot = far.groupBy("pivot").agg(F.count("*").alias("m"), F.sum("n").alias("total"))
+    sizes = held.groupBy(F.col("node").alias("a")).agg(F.max(F.length("grams") / 8).alias("n"))
+    far = far.join(sizes, "a")
     # fine steps of distance, packed into slices of half a task's bound
     fine = far.withColumn("near", F.col("b").isNotNull()).withColumn(
         "salt", F.pmod(F.xxhash64("a"), F.lit(64)).cast("int")).withColumn(
         "step", F.floor(F.col("d") * 200).cast("int"))
-    counts = fine.groupBy("pivot", "near", "step", "salt").agg(
+    counts = fine.groupBy("region", "near", "step", "salt").agg(
         F.count("*").alias("k"), F.sum("n").alias("kn"))
     load = F.greatest(F.col("k") / (p.region_nodes / 2), F.col("kn") / (p.region_shingles / 2))
-    order = Window.partitionBy("pivot", "near").orderBy("step", "salt")
+    order = Window.partitionBy("region", "near").orderBy("step", "salt")
     packed = counts.withColumn("load", load).withColumn(
         "slice", F.floor(F.sum("load").over(order) - F.col("load") / 2).cast("int")).select(
-        "pivot", "near", "step", "salt", "slice")
-    placed = fine.join(packed, ["pivot", "near", "step", "salt"])
-    cells = placed.groupBy("pivot", "near", "slice").agg(
+        "region", "near", "step", "salt", "slice")
+    placed = fine.join(packed, ["region", "near", "step", "salt"])
+    cells = placed.groupBy("region", "near", "slice").agg(
         F.min("d").alias("lo"), F.max("d").alias("hi"))
-    left = cells.select("pivot", *[F.col(c).alias(f"l_{c}") for c in ("near", "slice", "lo", "hi")])
-    right = cells.select("pivot", *[F.col(c).alias(f"r_{c}") for c in ("near", "slice", "lo", "hi")])
-    meet = (left.join(right, "pivot")
+    left = cells.select("region", *[F.col(c).alias(f"l_{c}") for c in ("near", "slice", "lo", "hi")])
+    right = cells.select("region", *[F.col(c).alias(f"r_{c}") for c in ("near", "slice", "lo", "hi")])
+    meet = (left.join(right, "region")
             .where("not l_near and (r_near or r_slice >= l_slice)")
             .where((F.col("r_lo") <= F.col("l_hi") + eps) & (F.col("l_lo") <= F.col("r_hi") + eps))
-            .withColumn("task", F.concat_ws("/", F.hex("pivot"), "l_slice", "r_near", "r_slice")))
-    del by_pivot
-    one = meet.select("task", "pivot", F.col("l_near").alias("near"), F.col("l_slice").alias("slice"))
-    two = meet.select("task", "pivot", F.col("r_near").alias("near"), F.col("r_slice").alias("slice"))
-    rows = (one.union(two).distinct().join(placed, ["pivot", "near", "slice"])
+            .withColumn("task", F.concat_ws("/", F.hex("region"), "l_slice", "r_near", "r_slice")))
+    one = meet.select("task", "region", F.col("l_near").alias("near"), F.col("l_slice").alias("slice"))
+    two = meet.select("task", "region", F.col("r_near").alias("near"), F.col("r_slice").alias("slice"))
+    rows = (one.union(two).distinct().join(placed, ["region", "near", "slice"])
             .select("task", F.col("a").alias("node"), "near").join(held, "node"))
 
     def join(rows):
+        rows = _once(rows)
         s = _load(rows)
         parts = _Parts(len(rows))
         near = [i for i, r in enumerate(rows) if r["near"]]
@@ -394,9 +490,10 @@ def jaccard_components(docs: DataFrame, params: JaccardParams | None = None) ->
     component_id is null if no document with an id is reachable.  The input
     may be empty."""
     p = params or JaccardParams()
-    sets = materialize(document_sets(docs.select("doc_id", "text"), p), "shingle-sets")
-    found = components(links(sets, p))
-    plain = sets.select("doc_id", "n", "node")
+    docs = docs.select("doc_id", "text")
+    keyed = materialize(document_keys(docs, p), "shingle-keys")
+    found = components(links(docs, keyed, p))
+    plain = keyed.select("doc_id", "n", "node")
     nodes = plain.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
     labelled = nodes.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     roots = labelled.groupBy("root").agg(F.min("least").alias("component_id"))

@@ -24,11 +24,12 @@ def main(argv: list[str] | None = None) -> None:
     ap.add_argument("--out", required=True)
     ap.add_argument("--as-of", type=date.fromisoformat, default=None)
     ap.add_argument("--master", default=None)
+    ap.add_argument("--checkpoint", help="folder of the refresher's progress (default: under --out)")
     a = ap.parse_args(argv)
 
     from cohortflow.config import EngineConfig
     from cohortflow.plans.steps import demo_funnel, funnel_72h, main_funnel
-    from cohortflow.session import get_session, checkpoint_dir
+    from cohortflow.session import get_session
     from cohortflow.sources import TableSource, TestdataSource
     from cohortflow.streaming import rebuild, refresh_stream
 
@@ -54,7 +55,7 @@ def main(argv: list[str] | None = None) -> None:
     events_dir = f"{a.warehouse.rstrip('/')}/events"
     schema = spark.read.parquet(events_dir).schema
     q = refresh_stream(spark, events_dir, schema, make_source, cfg, spec, a.out,
-                       f"{checkpoint_dir(spark).rstrip('/')}/cohortflow/refresh-stream")
+                       a.checkpoint or f"{a.out.rstrip('/')}/_refresh_progress", spec_72h=spec72)
     q.awaitTermination()
 
 

@@ -64,8 +64,14 @@ players AS (
   FROM first_signup s JOIN customer c ON c.c_custkey = s.user_id
   LEFT JOIN nation n ON n.n_nationkey = c.c_nationkey
 ),
-snm AS (SELECT p_brand AS cost_data_name, min(p_name) AS final_name FROM part GROUP BY p_brand),
-mtm AS (SELECT lower(p_name) AS mediasource, min(p_type) AS media_type FROM part GROUP BY lower(p_name)),
+srcn AS (
+  SELECT p_brand, p_type, CASE WHEN p_brand IN ('Brand#3', 'Brand#13', 'Brand#23') AND p_partkey % 2 = 0
+         THEN NULL ELSE p_name END AS p_name FROM part
+),
+snm AS (SELECT p_brand AS cost_data_name, list(p_name ORDER BY p_name NULLS FIRST)[1] AS final_name
+        FROM srcn GROUP BY p_brand),
+mtm AS (SELECT lower(p_name) AS mediasource, list(p_type ORDER BY p_type NULLS FIRST)[1] AS media_type
+        FROM srcn GROUP BY lower(p_name)),
 lpc AS (
   SELECT DISTINCT n_name AS country_code FROM nation JOIN region ON n_regionkey = r_regionkey
   WHERE r_name = 'AFRICA'
@@ -429,7 +435,7 @@ baf AS (
   SELECT period, step_no, raw_value,
          min(raw_value) OVER (PARTITION BY period ORDER BY step_no
                               ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS value,
-         users, step1, false AS is_branch
+         value AS plot_value, users, step1, false AS is_branch
   FROM baf0
 ),
 sbs AS (
@@ -536,8 +542,7 @@ ORACLE["dropoff_transitions"] = q(
     "SELECT period, step_no, next_step_no, value, next_value, CASE WHEN value > 0 "
     "THEN (value - next_value) / value ELSE 0.0 END AS drop_rate FROM (SELECT period, step_no, "
     "value, lead(step_no) OVER (PARTITION BY period ORDER BY step_no) AS next_step_no, "
-    "lead(value) OVER (PARTITION BY period ORDER BY step_no) AS next_value FROM baf "
-    "WHERE NOT is_branch) WHERE next_step_no IS NOT NULL", FUNNEL, BA)
+    "lead(value) OVER (PARTITION BY period ORDER BY step_no) AS next_value FROM baf) WHERE next_step_no IS NOT NULL", FUNNEL, BA)
 
 BA_RET = f"""
 rtag AS ({tag_sql('rcube', hours=False)}),
@@ -602,15 +607,15 @@ vsl{min_users} AS (
 )"""
 
 
-def split_sql(group: str) -> str:
+def split_sql(group: str, metric: str = "pct") -> str:
     b = f"install_date < {TEST_START_DATE}"
     nb = f"NOT ({b})"
 
     def side(c: str, tag: str) -> str:
         den = f"sum(CASE WHEN {c} THEN raw_step_01 END)"
-        num = f"sum(CASE WHEN {c} THEN coalesce(pct_e4, 0) * raw_step_01 END)"
+        num = f"sum(CASE WHEN {c} THEN coalesce({metric}_e4, 0) * raw_step_01 END)"
         return (f"CASE WHEN {den} > 0 THEN CAST({num} AS DOUBLE) / CAST({den} * 10000 AS DOUBLE) "
-                f"ELSE coalesce(avg(CASE WHEN {c} THEN pct END), 0.0) END AS {tag}")
+                f"ELSE coalesce(avg(CASE WHEN {c} THEN {metric} END), 0.0) END AS {tag}")
     g = f"{group}, " if group else ""
     return (f"SELECT {g}step_no, {side(b, 'before')}, {side(nb, 'after')}, "
             f"CAST(coalesce(sum(CASE WHEN {b} THEN total_users END), 0) AS BIGINT) AS users_before, "
@@ -677,6 +682,7 @@ ORACLE["best_worst_version"] = q("SELECT * FROM bw", FUNNEL, V_LAST)
 # ---------------------------------------------------------------- anomalies / alerts
 MIN_SAMPLE = 10
 SMALL = 35
+LOW_SAMPLE = 10
 ORACLE["anomaly_upticks"] = q(
     "SELECT install_version, step_no, prev_step_no, value, prev_value, "
     "(value - prev_value) * 100 AS uptick_pct, CASE WHEN step_no IN (9) THEN 'Known / Accepted' "
@@ -705,7 +711,7 @@ ORACLE["top3_drops"] = q(
     "WHERE rank <= 3", FUNNEL, VS, vsl(0))
 ORACLE["alerts_funnel"] = q(
     "SELECT 'low_sample_version' AS alert, 'yellow' AS severity, install_version AS subject, "
-    f"CAST(users AS DOUBLE) AS value FROM vlast WHERE users > 0 AND users < {SMALL} "
+    f"CAST(users AS DOUBLE) AS value FROM vlast WHERE users > 0 AND users < {LOW_SAMPLE} "
     "UNION ALL SELECT 'best_worst_gap', 'red', best_version || ' vs ' || worst_version, gap FROM bw "
     "WHERE best_value > 0 AND worst_value > 0 AND gap > 0.1 "
     "UNION ALL SELECT 'low_completion', 'yellow', install_version, 1 - value FROM ("
@@ -740,7 +746,7 @@ ORACLE["alerts_retention"] = q(
     "WHERE post.post AND nb > 0 AND na > 0 AND ra - rb < -0.02 UNION ALL "
     "SELECT 'small_cohort', 'yellow', install_version, CAST(cd0 AS DOUBLE) FROM ("
     "SELECT install_version, sum(cohort_size) AS cd0 FROM rcube WHERE days_since_install = 0 "
-    f"GROUP BY 1) WHERE cd0 > 0 AND cd0 < {SMALL}", RET,
+    f"GROUP BY 1) WHERE cd0 > 0 AND cd0 < {LOW_SAMPLE}", RET,
     f"d1 AS (SELECT install_version, {wret(_B)} AS rb, "
     f"coalesce(sum(CASE WHEN {_B} THEN cohort_size END), 0) AS nb, {wret('NOT (' + _B + ')')} AS ra, "
     f"coalesce(sum(CASE WHEN NOT ({_B}) THEN cohort_size END), 0) AS na FROM rcube "
@@ -749,17 +755,37 @@ ORACLE["alerts_retention"] = q(
 
 ORACLE["ba_funnel_ratio"] = q(
     "SELECT period, step_no, raw_value, min(raw_value) OVER (PARTITION BY period ORDER BY step_no "
-    "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS value, users, step1, false AS is_branch "
+    "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS value, value AS plot_value, users, step1, "
+    "false AS is_branch "
     f"FROM (SELECT period, step_no, {wcw('ratio', e='ratio_e4')} AS raw_value, "
     "CAST(sum(total_users) AS BIGINT) AS users, CAST(sum(raw_step_01) AS BIGINT) AS step1 "
     f"FROM tag WHERE step_no IN {SHOWN} GROUP BY period, step_no)", FUNNEL, BA)
-ORACLE["ba_funnel_hints"] = q(
-    "SELECT period, step_no, raw_value, CASE WHEN step_no = 4 THEN "
-    "CASE WHEN raw_value = 0 THEN NULL ELSE raw_value END ELSE min(raw_value) OVER ("
-    "PARTITION BY period, step_no = 4 ORDER BY step_no ROWS BETWEEN UNBOUNDED PRECEDING AND "
-    "CURRENT ROW) END AS value, users, step1, step_no = 4 AS is_branch FROM ("
-    f"SELECT period, step_no, {wcw('pct')} AS raw_value, CAST(sum(total_users) AS BIGINT) AS users, "
-    "CAST(sum(raw_step_01) AS BIGINT) AS step1 FROM tag GROUP BY period, step_no)", FUNNEL, BA)
+# The same with the optional step 4 shown: it keeps its own value, the spine is capped.
+BA_HINTS = BA.replace(f" WHERE step_no IN {SHOWN}", "").replace(
+    "PARTITION BY period ORDER BY", "PARTITION BY period, step_no = 4 ORDER BY").replace(
+    "false AS is_branch", "step_no = 4 AS is_branch").replace(
+    "value AS plot_value", "CASE WHEN step_no <> 4 OR value > 0 THEN value END AS plot_value")
+ORACLE["ba_funnel_hints"] = q("SELECT * FROM baf", FUNNEL, BA_HINTS)
+for _name in ("ba_lift", "ba_significance", "ba_detail", "dropoff_transitions"):
+    ORACLE[f"{_name}_hints"] = ORACLE[_name].replace(BA.strip(), BA_HINTS.strip())
+# ... and with the conversion against the previous step.
+BA_RATIO = BA.replace(wcw('pct'), wcw('ratio', e='ratio_e4'))
+for _name in ("ba_lift", "ba_significance", "ba_detail"):
+    ORACLE[f"{_name}_ratio"] = ORACLE[_name].replace(BA.strip(), BA_RATIO.strip())
+
+_RATIO = (wcw('pct'), wcw('ratio', e='ratio_e4'))
+ORACLE["version_funnel_ratio"] = ORACLE["version_funnel"].replace(*_RATIO)
+ORACLE["step_trend_day_ratio"] = ORACLE["step_trend_day"].replace(*_RATIO)
+ORACLE["daily_ba_summary_ratio"] = q(split_sql("install_version", "ratio"), FUNNEL)
+ORACLE["version_delta"] = q(
+    "SELECT install_version, step_no, before, after, CASE WHEN before > 0 AND after > 0 THEN after - before "
+    f"END AS delta FROM ({split_sql('install_version')})", FUNNEL)
+_FUNNEL_72H = funnel_ctes(install_lag=3, event_lag=3, observation=True)
+ORACLE["ba_funnel_72h"] = ORACLE["ba_funnel"].replace(FUNNEL.strip(), _FUNNEL_72H.strip())
+ORACLE["ba_lift_72h"] = ORACLE["ba_lift"].replace(FUNNEL.strip(), _FUNNEL_72H.strip())
+_CHOSEN = ("(SELECT * FROM cube WHERE platform IN ('AUTOMOBILE', 'BUILDING', 'FURNITURE') "
+           "AND install_version IN ('0.3811', '0.3812', '0.3813'))")
+ORACLE["ba_funnel_filtered"] = q("SELECT * FROM baf", FUNNEL, BA.replace(tag_sql('cube'), tag_sql(_CHOSEN)))
 
 # ---------------------------------------------------------------- documented modes
 ORACLE["cube_load_72h_strict"] = q(
@@ -779,8 +805,8 @@ ORACLE["retention_weighted_all_cells"] = q(
     "CAST(sum(cohort_size) AS BIGINT) AS cohort_size, CAST(sum(users_active) AS BIGINT) AS users_active "
     "FROM rcube WHERE days_since_install <= 14 GROUP BY 1, 2", RET)
 ORACLE["ba_funnel_hints_reference_cap"] = q(
-    "SELECT period, step_no, raw_value, CASE WHEN step_no = 4 AND capped = 0 THEN NULL "
-    "ELSE capped END AS value, users, step1, step_no = 4 AS is_branch FROM ("
+    "SELECT period, step_no, raw_value, capped AS value, CASE WHEN step_no = 4 AND capped = 0 THEN NULL "
+    "ELSE capped END AS plot_value, users, step1, step_no = 4 AS is_branch FROM ("
     "SELECT *, min(raw_value) OVER (PARTITION BY period ORDER BY step_no ROWS BETWEEN "
     "UNBOUNDED PRECEDING AND CURRENT ROW) AS capped FROM ("
     f"SELECT period, step_no, {wcw('pct')} AS raw_value, CAST(sum(total_users) AS BIGINT) AS users, "

@@ -6,7 +6,6 @@ Every query reads the driver's tables in ``sf_dir`` through
 
 from __future__ import annotations
 
-import os
 import threading
 from collections.abc import Callable
 from datetime import timedelta
@@ -63,8 +62,17 @@ _PUBLISHED: dict[tuple, tuple] = {}
 _PUBLISH_LOCK = threading.Lock()
 
 
+def _stamp(spark, sf_dir: str) -> tuple:
+    """Names, sizes and times of the input files: a cube of other files is not
+    taken for one of these."""
+    top = spark._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    fs = top.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    return tuple(sorted((e.getPath().getName(), e.getLen(), e.getModificationTime())
+                        for e in fs.listStatus(top)))
+
+
 def published(spark, sf_dir, kind: str) -> DataFrame:
-    key = (app_id(spark), os.path.abspath(sf_dir), kind)
+    key = (app_id(spark), sf_dir.rstrip("/"), _stamp(spark, sf_dir), kind)
     with _PUBLISH_LOCK:   # one build per cube even when queries run in threads
         hit = _PUBLISHED.get(key)
         if hit is None:
@@ -74,9 +82,8 @@ def published(spark, sf_dir, kind: str) -> DataFrame:
 
 def _publish(spark, sf_dir, kind: str) -> tuple:
     build = {
-        "funnel_long": lambda: funnel(spark, sf_dir).long,
-        "funnel_wide": lambda: funnel(spark, sf_dir).wide,
-        "funnel_72h_wide": lambda: funnel_72h(spark, sf_dir).wide,
+        "funnel": lambda: funnel(spark, sf_dir).counts,
+        "funnel_72h": lambda: funnel_72h(spark, sf_dir).counts,
         "retention": lambda: re.build_retention(*ctx(spark, sf_dir)),
     }[kind]
     path = store.scratch_path(spark, f"published_{kind}")
@@ -236,15 +243,19 @@ def cube_load(spark, sf_dir):
 @register
 def cube_load_72h(spark, sf_dir):
     _, cfg = ctx(spark, sf_dir)
-    w72 = fi.load_filter(published(spark, sf_dir, "funnel_72h_wide"), cfg.cube_start,
+    w72 = fi.load_filter(fu.wide_cube(published(spark, sf_dir, "funnel_72h"), spec()), cfg.cube_start,
                          cfg.min_version)
     return w72.filter(F.col("install_date") < F.lit(cfg.as_of - timedelta(days=3)))
 
 
 @register
 def cube_roundtrip(spark, sf_dir):
+    """The table is replaced: an older, larger cube was published there before."""
     path = store.scratch_path(spark, "demo_cube")
-    store.publish(funnel(spark, sf_dir).wide, path)
+    cube = store.materialize(funnel(spark, sf_dir).wide, "cube")
+    store.publish(cube.union(cube.withColumn("install_date", F.date_add("install_date", 400))
+                             .select(*cube.columns)), path)
+    store.publish(cube, path)
     return store.load(spark, path)
 
 
@@ -314,11 +325,15 @@ def filter_retention(spark, sf_dir):
 
 # --------------------------------------------------------------------------- filters / metrics
 def wide(spark, sf_dir):
-    return published(spark, sf_dir, "funnel_wide")
+    return fu.wide_cube(published(spark, sf_dir, "funnel"), spec())
 
 
 def long(spark, sf_dir):
-    return published(spark, sf_dir, "funnel_long")
+    return fu.long_cube(published(spark, sf_dir, "funnel"), spec())
+
+
+def long_72h(spark, sf_dir):
+    return fu.long_cube(published(spark, sf_dir, "funnel_72h"), spec())
 
 
 @register
@@ -486,9 +501,20 @@ def version_funnel_split(spark, sf_dir):
     return ws.select("install_version", "period", "step_no", "value", "users")
 
 
-def _trend(spark, sf_dir, col):
+@register
+def version_funnel_ratio(spark, sf_dir):
+    from cohortflow.operators import reports as rp
+    return rp.version_funnel(long(spark, sf_dir), shown(spark, sf_dir), metric="ratio")
+
+
+def _trend(spark, sf_dir, col, metric="pct"):
     from cohortflow.operators import reports as rp
-    return rp.trend(long(spark, sf_dir), col, shown(spark, sf_dir))
+    return rp.trend(long(spark, sf_dir), col, shown(spark, sf_dir), metric)
+
+
+@register
+def step_trend_day_ratio(spark, sf_dir):
+    return _trend(spark, sf_dir, "install_date", "ratio")
 
 
 @register
@@ -546,6 +572,22 @@ def daily_ba_summary(spark, sf_dir):
                             shown(spark, sf_dir))
 
 
+@register
+def daily_ba_summary_ratio(spark, sf_dir):
+    from cohortflow.operators import reports as rp
+    _, cfg = ctx(spark, sf_dir)
+    return rp.split_summary(long(spark, sf_dir), ["install_version"], cfg.test_start.date(),
+                            shown(spark, sf_dir), metric="ratio")
+
+
+@register
+def version_delta(spark, sf_dir):
+    """Per version and step: after minus before, NULL unless both are above 0."""
+    s = daily_ba_summary(spark, sf_dir)
+    return s.select("install_version", "step_no", "before", "after", F.when(
+        (F.col("before") > 0) & (F.col("after") > 0), F.col("after") - F.col("before")).alias("delta"))
+
+
 def _installs_by(spark, sf_dir, col):
     return (wide(spark, sf_dir).groupBy(col).agg(F.sum("total_users").alias("users"))
             .filter(F.col(col).isNotNull()).orderBy(F.desc("users"), col))
@@ -608,7 +650,7 @@ def alerts_funnel(spark, sf_dir):
     from cohortflow.operators import alerts as al
     _, cfg = ctx(spark, sf_dir)
     return al.funnel_alerts(long(spark, sf_dir), shown(spark, sf_dir)[-1],
-                            cfg.small_version_users)
+                            cfg.min_sample_users)
 
 
 @register
@@ -630,7 +672,7 @@ def alerts_retention(spark, sf_dir):
     from cohortflow.operators import alerts as al
     _, cfg = ctx(spark, sf_dir)
     return al.retention_alerts(retention(spark, sf_dir), cfg.test_start.date(),
-                               cfg.small_version_users)
+                               cfg.min_sample_users)
 
 
 @register
@@ -644,6 +686,68 @@ def ba_funnel_hints(spark, sf_dir):
                           include_groups=("hint",))
 
 
+def ba_hints(spark, sf_dir) -> DataFrame:
+    return cmpm.ba_funnel(long(spark, sf_dir), spec(), comparison(spark, sf_dir),
+                          include_groups=("hint",))
+
+
+def ba_ratio(spark, sf_dir) -> DataFrame:
+    return cmpm.ba_funnel(long(spark, sf_dir), spec(), comparison(spark, sf_dir), metric="ratio")
+
+
+@register
+def ba_lift_hints(spark, sf_dir):
+    return cmpm.ba_lift(ba_hints(spark, sf_dir))
+
+
+@register
+def ba_significance_hints(spark, sf_dir):
+    return cmpm.ba_significance(ba_hints(spark, sf_dir), min_n=10)
+
+
+@register
+def ba_detail_hints(spark, sf_dir):
+    return cmpm.ba_detail(ba_hints(spark, sf_dir), spec(), min_n=10)
+
+
+@register
+def dropoff_transitions_hints(spark, sf_dir):
+    return cmpm.dropoff_transitions(ba_hints(spark, sf_dir))
+
+
+@register
+def ba_lift_ratio(spark, sf_dir):
+    return cmpm.ba_lift(ba_ratio(spark, sf_dir))
+
+
+@register
+def ba_significance_ratio(spark, sf_dir):
+    return cmpm.ba_significance(ba_ratio(spark, sf_dir), min_n=10)
+
+
+@register
+def ba_detail_ratio(spark, sf_dir):
+    return cmpm.ba_detail(ba_ratio(spark, sf_dir), spec(), min_n=10)
+
+
+@register
+def ba_funnel_72h(spark, sf_dir):
+    return cmpm.ba_funnel(long_72h(spark, sf_dir), spec(), comparison(spark, sf_dir))
+
+
+@register
+def ba_lift_72h(spark, sf_dir):
+    return cmpm.ba_lift(ba_funnel_72h(spark, sf_dir))
+
+
+@register
+def ba_funnel_filtered(spark, sf_dir):
+    """Platforms and a version list chosen before the comparison."""
+    chosen = fi.dimensions(long(spark, sf_dir), platform=["AUTOMOBILE", "BUILDING", "FURNITURE"],
+                           install_version=["0.3811", "0.3812", "0.3813"])
+    return cmpm.ba_funnel(chosen, spec(), comparison(spark, sf_dir))
+
+
 # --------------------------------------------------------------------------- documented modes
 @register
 def cube_load_72h_strict(spark, sf_dir):

@@ -21,15 +21,22 @@ COHORT_DIMS = ["install_date", "install_hour", "install_week", "install_month",
                "mediasource"]
 
 
+def pick_first(col: str) -> F.Column:
+    """Aggregate: the first value in ascending order, where a NULL comes first."""
+    return F.when(F.count_if(F.col(col).isNull()) == 0, F.min(col))
+
+
 def source_name_map(source_names: DataFrame) -> DataFrame:
-    """One final name per raw source name: the smallest one."""
-    return source_names.groupBy("cost_data_name").agg(F.min("final_name").alias("final_name"))
+    """One final name per raw source name: the first one, NULL before any name
+    (the raw name is used then)."""
+    return source_names.groupBy("cost_data_name").agg(pick_first("final_name").alias("final_name"))
 
 
 def media_type_map(source_names: DataFrame) -> DataFrame:
-    """One media type per normalised (lower-case) final name: the smallest one."""
+    """One media type per normalised (lower-case) final name: the first one,
+    NULL before any type."""
     return (source_names.groupBy(F.lower("final_name").alias("mediasource"))
-            .agg(F.min("media_type").alias("media_type")))
+            .agg(pick_first("media_type").alias("media_type")))
 
 
 def media_type_lookup(df: DataFrame, source_names: DataFrame) -> DataFrame:
@@ -51,14 +58,14 @@ def not_in(df: DataFrame, excluded: DataFrame, key: str) -> DataFrame:
     """SQL ``key NOT IN (SELECT key FROM excluded)`` without a broadcast-only plan.
 
     Null-aware semantics: a NULL in the list empties the result, a NULL key is
-    never kept.  The list itself goes through a shuffle anti join (it may be
-    large).  The NULL rule is a scalar subquery (count of NULL keys),
-    evaluated once by the executors; no driver round trip, no join.
+    kept only if the list is empty.  The list itself goes through a shuffle
+    anti join (it may be large).  The NULL rules are scalar subqueries (counts
+    over the list), evaluated once by the executors; no driver round trip.
     """
     nulls = excluded.agg(F.count_if(F.col(key).isNull())).scalar()
-    out = (df.filter(F.col(key).isNotNull())
-           .join(excluded.filter(F.col(key).isNotNull()).select(key), key, "left_anti"))
-    return out.filter(nulls == 0)
+    rows = excluded.agg(F.count(F.lit(1))).scalar()
+    out = df.join(excluded.filter(F.col(key).isNotNull()).select(key), key, "left_anti")
+    return out.filter((nulls == 0) & (F.col(key).isNotNull() | (rows == 0)))
 
 
 def is_buggy_version(version: F.Column, band: tuple[float, float]) -> F.Column:

@@ -83,8 +83,9 @@ def ba_users(long: DataFrame, cmp: Comparison) -> DataFrame:
 
 def ba_funnel(long: DataFrame, spec: FunnelSpec, cmp: Comparison, metric: str = "pct",
               include_groups: tuple[str, ...] = (), cap: str = "spine") -> DataFrame:
-    """Per (period, step): step-1-weighted rate, capped by a running minimum;
-    optional-branch zeros become NULL (a new step).
+    """Per (period, step): step-1-weighted rate, capped by a running minimum.
+    ``plot_value`` is NULL where an optional branch has 0 (a gap in the
+    chart); statistics use ``value``, which stays numeric.
 
     ``cap="spine"`` caps along the spine only (branch steps keep their value);
     ``cap="reference"`` caps along every shown step in order, branch included,
@@ -104,9 +105,9 @@ def ba_funnel(long: DataFrame, spec: FunnelSpec, cmp: Comparison, metric: str =
         w = (Window.partitionBy("period", is_branch).orderBy("step_no")
              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
         capped = F.when(is_branch, F.col("raw_value")).otherwise(F.min("raw_value").over(w))
-    value = F.when(is_branch & (capped == 0), F.lit(None).cast("double")).otherwise(capped)
-    return agg.select("period", "step_no", "raw_value", value.alias("value"), "users", "step1",
-                      is_branch.alias("is_branch"))
+    plot = F.when(is_branch & (capped == 0), F.lit(None).cast("double")).otherwise(capped)
+    return agg.select("period", "step_no", "raw_value", capped.alias("value"),
+                      plot.alias("plot_value"), "users", "step1", is_branch.alias("is_branch"))
 
 
 def side_by_side(funnel: DataFrame) -> DataFrame:
@@ -193,8 +194,9 @@ def ba_start_finish(funnel: DataFrame) -> DataFrame:
 
 
 def dropoff_transitions(funnel: DataFrame) -> DataFrame:
-    """Per period, spine transition i -> next: relative drop of the capped rate."""
-    spine = funnel.filter(~F.col("is_branch"))
+    """Per period, transition of shown steps i -> next (shown branch steps
+    included): relative drop of the capped rate."""
+    spine = funnel
     w = Window.partitionBy("period").orderBy("step_no")
     out = (spine.withColumn("next_step_no", F.lead("step_no").over(w))
            .withColumn("next_value", F.lead("value").over(w))

@@ -2,15 +2,17 @@
 
 Plan (per build):
 
-1. ``funnel_events``: the event log in the date band, joined to the cohort on
-   ``distinct_id`` (the cohort is per-player; AQE picks broadcast from the
-   runtime size, otherwise a sort-merge join with skew splitting).
-2. ``anchors``: one ``groupBy(distinct_id)`` with ``min(when(...))`` per
-   anchor.  Partial aggregation runs before the shuffle, so a user with a huge
-   number of events costs one row per map task, not one giant group.
-3. ``user_flags``: only the events whose names occur in the spec are joined
-   back to the anchors (name filter pushed to the scan); every step is a
-   ``max(when(predicate, 1))``, again partially aggregated per map task.
+1. ``first_times``: one ``groupBy(distinct_id)`` over the event log in the
+   date band with the first time of every anchor and of every step that has
+   no lower bound in time (its first match decides it).  The aggregation
+   comes before any join and has numeric buffers only, so it runs as a hash
+   aggregate with partial sums before the shuffle: one row per user and map
+   task moves, never the raw events.
+2. ``anchors``: those rows joined with the cohort (one row per user on either
+   side), which brings the cohort dimensions.
+3. ``user_flags``: steps without a lower bound are read off the first times;
+   for the others, only the events that they name are joined to the users
+   and aggregated (``max(when(predicate, 1))``).
 4. ``monotonic``: the spine flags form an array; the first failing position
    (``array_position(flags, 0)``) gives the depth reached, which gates every
    later spine step; optional branch steps are gated by the spine before them
@@ -87,23 +89,61 @@ def _match(m: EventMatch) -> Column:
 USER_COLS = ["is_buggy_version", "install_ms"] + COHORT_DIMS
 
 
-def anchors(ev: DataFrame, spec: FunnelSpec) -> DataFrame:
-    """One row per cohort user with events: first timestamp of every anchor,
-    the event count, and the user's cohort columns (carried with
-    ``any_value`` - they are functionally dependent on the user)."""
-    aggs = [F.min(F.when(_match(a.match), F.col(T))).alias(anchor_col(a.name))
-            for a in spec.anchors]
-    carry = [F.any_value(c).alias(c) for c in USER_COLS]
-    return ev.groupBy("distinct_id").agg(F.count(F.lit(1)).alias("n_events"), *aggs, *carry)
+def first_col(step: Step, alt: bool = False) -> str:
+    return f"first_{step.no:02d}{'_alt' if alt else ''}"
 
 
-def step_predicate(step: Step, spec: FunnelSpec) -> Column:
-    t = F.col(T)
+def by_first_time(step: Step) -> bool:
+    """Whether a step's first match decides it: it has no lower bound in time,
+    and upper bounds hold for the first match if for any."""
+    return not step.after
+
+
+def first_times(events: DataFrame, spec: FunnelSpec) -> DataFrame:
+    """One row per user of the log: event count, first event, and the first
+    time of every anchor and of every step that is decided by it."""
+    def first(m: EventMatch, name: str) -> Column:
+        return F.min(F.when(_match(m), F.col(T))).alias(name)
+
+    aggs = [first(a.match, anchor_col(a.name)) for a in spec.anchors]
+    for s in spec.steps:
+        if by_first_time(s):
+            aggs.append(first(s.match, first_col(s)))
+            if s.alt is not None:
+                aggs.append(first(s.alt, first_col(s, alt=True)))
+    return events.groupBy("distinct_id").agg(
+        F.count(F.lit(1)).alias("n_events"), F.min(T).alias("first_event_ms"), *aggs)
+
+
+def anchors(events: DataFrame, cohort: DataFrame, spec: FunnelSpec) -> DataFrame:
+    """One row per cohort user with events: the user's ``first_times`` and
+    cohort columns.  With an observation window, a first time counts if it
+    lies within it (the first of the bounded set), and a user if the first
+    event does; ``n_events`` is then that of the whole band."""
+    times = first_times(events, spec)
+    users = cohort.select("distinct_id", "is_buggy_version",
+                          F.unix_millis("first_event_time").alias("install_ms"), *COHORT_DIMS)
+    out = times.join(users, "distinct_id")
+    if spec.observation_ms is not None:
+        end = F.col("install_ms") + F.lit(spec.observation_ms)
+        own = [c for c in times.columns if c.startswith(("ts_", "first_"))]
+        out = out.filter(F.col("first_event_ms") <= end).withColumns(
+            {c: F.when(F.col(c) <= end, F.col(c)) for c in own})
+    return out
+
+
+def step_predicate(step: Step, spec: FunnelSpec, t: Column | None = None) -> Column:
+    """Whether an event is one of the step's, or (with ``t``) whether a match
+    at that time is."""
     w = F.lit(spec.window_ms)
     a = lambda name: F.col(anchor_col(name))
-    cond = _match(step.match)
-    if step.alt is not None:
-        cond = F.when(F.col("is_buggy_version"), _match(step.alt)).otherwise(cond)
+    if t is None:
+        t = F.col(T)
+        cond = _match(step.match)
+        if step.alt is not None:
+            cond = F.when(F.col("is_buggy_version"), _match(step.alt)).otherwise(cond)
+    else:
+        cond = t.isNotNull()
     for x in step.requires:
         cond = cond & a(x).isNotNull()
     for x in step.after:
@@ -119,22 +159,47 @@ def step_predicate(step: Step, spec: FunnelSpec) -> Column:
     return cond
 
 
+def late_events(spec: FunnelSpec) -> list[str]:
+    """Names of the events that steps with a lower bound match."""
+    late = [s for s in spec.steps if not by_first_time(s)]
+    return sorted({m.event for s in late for m in (s.match, s.alt) if m is not None})
+
+
 def user_flags(events: DataFrame, spec: FunnelSpec, users: DataFrame) -> DataFrame:
     """Raw 0/1 flag per step for every user of ``users`` (the anchors table).
 
-    ``events`` is the event log in the date band; only the event names the
-    spec mentions are read (pushed to the scan).  Joining to ``users``
-    restricts the events to the cohort, so the cohort is built only once.
+    ``events`` is the event log in the date band; only the event names of
+    steps with a lower bound are read (pushed to the scan), and only for
+    users that have the anchor of one.  Joining to ``users`` restricts the
+    events to the cohort, so the cohort is built only once.
     """
-    rel = events.filter(F.col("mp_event_name").isin(spec.event_names()))
-    keep = ["distinct_id", "is_buggy_version", "install_ms"] + [anchor_col(a.name)
-                                                                for a in spec.anchors]
-    j = observed(rel.join(users.select(*keep), "distinct_id", "inner"), spec)
-    flags = j.groupBy("distinct_id").agg(*[
-        F.max(F.when(step_predicate(s, spec), F.lit(1)).otherwise(F.lit(0))).alias(step_col(s.no))
-        for s in spec.steps])
+    late = [s for s in spec.steps if not by_first_time(s)]
     dims = [c for c in COHORT_DIMS if c in users.columns]
-    out = users.select("distinct_id", *dims).join(flags, "distinct_id", "left")
+    flag = lambda cond: F.when(cond, F.lit(1)).otherwise(F.lit(0))
+    early = []
+    for s in spec.steps:
+        if by_first_time(s):
+            t = F.col(first_col(s))
+            if s.alt is not None:
+                t = F.when(F.col("is_buggy_version"), F.col(first_col(s, alt=True))).otherwise(t)
+            early.append(flag(step_predicate(s, spec, t)).alias(step_col(s.no)))
+    out = users.select("distinct_id", *dims, *early)
+    if late:
+        needed = sorted({x for s in late for x in (*s.requires, *s.after, *s.within, *s.before, *s.until,
+                                                   *[n for g in s.gap for n in g])})
+        reached = F.lit(False)
+        for s in late:
+            ok = F.lit(True)
+            for x in s.after:
+                ok = ok & F.col(anchor_col(x)).isNotNull()
+            reached = reached | ok
+        rel = events.filter(F.col("mp_event_name").isin(late_events(spec)))
+        j = observed(rel.join(users.filter(reached).select(
+            "distinct_id", "is_buggy_version", "install_ms", *[anchor_col(x) for x in needed]),
+            "distinct_id", "inner"), spec)
+        flags = j.groupBy("distinct_id").agg(*[
+            F.max(flag(step_predicate(s, spec))).alias(step_col(s.no)) for s in late])
+        out = out.join(flags, "distinct_id", "left")
     return out.select("distinct_id", *dims, *[F.coalesce(F.col(step_col(s.no)), F.lit(0))
                                               .alias(step_col(s.no)) for s in spec.steps])
 
@@ -300,16 +365,17 @@ def build_funnel(src, cfg: EngineConfig, spec: FunnelSpec,
     of re-running the scan.  Everything else stays lazy."""
     cohort = cohort_from_source(src, cfg, install_lag_days)
     lo, hi = event_window(cfg, event_lag_days)
-    ev = funnel_events(src.events(lo, hi), cohort, spec)
+    log = src.events(lo, hi)
+    ev = funnel_events(log, cohort, spec)
     if strategy == "window":
         anc, flags = user_flags_window(ev, spec)
         mono = monotonic(flags, spec)
         counts = cube_counts(mono, anc, spec, src.source_names())
         return FunnelBuild(spec, cohort, ev, anc, flags, mono, counts)
-    anc = anchors(ev, spec)
+    anc = anchors(log, cohort, spec)
     if materialize:
         anc = cube_store.materialize(anc, f"anchors_{spec.name}")
-    flags = user_flags(src.events(lo, hi, names=spec.event_names()), spec, anc)
+    flags = user_flags(src.events(lo, hi, names=late_events(spec)), spec, anc)
     mono = monotonic(flags, spec)
     counts = cube_counts(mono, anc, spec, src.source_names())
     return FunnelBuild(spec, cohort, ev, anc, flags, mono, counts)

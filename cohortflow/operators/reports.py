@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortflow.operators.metrics import weighted_value
+from cohortflow.operators.metrics import metric_e4, weighted_value
 
 
 def dimension_counts(cube: DataFrame, dims: list[str], weight: str = "total_users"
@@ -69,36 +69,37 @@ def period_of(test_start: date, date_col: str = "install_date") -> F.Column:
     return F.when(F.col(date_col) < F.lit(test_start), F.lit("before")).otherwise(F.lit("after"))
 
 
-def version_funnel(long: DataFrame, steps: list[int]) -> DataFrame:
-    """Per version: users and the weighted rate of every shown step (one pivot)."""
-    ws = weighted_by(long.filter(F.col("step_no").isin(steps)), ["install_version"])
+def version_funnel(long: DataFrame, steps: list[int], metric: str = "pct") -> DataFrame:
+    """Per version: users and the weighted rate of every shown step (one pivot);
+    ``metric="ratio"`` is the conversion against the previous step."""
+    ws = weighted_by(long.filter(F.col("step_no").isin(steps)), ["install_version"], metric)
     p = (ws.groupBy("install_version").pivot("step_no", steps)
          .agg(F.first("value").alias("v"), F.first("users").alias("u")))
     return p.select("install_version", F.col(f"{steps[0]}_u").alias("users"),
                     *[F.col(f"{s}_v").alias(f"s{s:02d}") for s in steps])
 
 
-def trend(long: DataFrame, time_col: str, steps: list[int]) -> DataFrame:
+def trend(long: DataFrame, time_col: str, steps: list[int], metric: str = "pct") -> DataFrame:
     """Per period bucket x step: weighted rate and users."""
-    ws = weighted_by(long.filter(F.col("step_no").isin(steps)), [time_col])
+    ws = weighted_by(long.filter(F.col("step_no").isin(steps)), [time_col], metric)
     return ws.filter(F.col("users") > 0).select(F.col(time_col).alias("period"), "step_no",
                                                 "value", "users")
 
 
 def split_summary(long: DataFrame, group_cols: list[str], test_start: date,
-                  steps: list[int]) -> DataFrame:
+                  steps: list[int], metric: str = "pct") -> DataFrame:
     """Per group x step: rate for installs before / from the test date; a side
     without rows has rate 0 and users 0 (pandas semantics of the reference)."""
     sub = long.filter(F.col("step_no").isin(steps))
     before = F.col("install_date") < F.lit(test_start)
 
     def side(cond):
-        e = F.col("pct_e4")
+        e = F.col(metric_e4(metric))
         w = F.col("raw_step_01")
         num = F.sum(F.when(cond, F.coalesce(e, F.lit(0)) * w))
         den = F.sum(F.when(cond, w))
         val = F.when(den > 0, num.cast("double") / (den * 10000).cast("double")).otherwise(
-            F.coalesce(F.avg(F.when(cond, F.col("pct"))), F.lit(0.0)))
+            F.coalesce(F.avg(F.when(cond, F.col(metric))), F.lit(0.0)))
         users = F.coalesce(F.sum(F.when(cond, F.col("total_users"))), F.lit(0))
         return val, users
 

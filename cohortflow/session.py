@@ -26,6 +26,9 @@ def get_session(master: str | None = None, app: str = "cohortflow",
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # split a hot user's partition even when the join feeds a per-user
+        # aggregation (the extra shuffle then moves partially aggregated rows)
+        .config("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
     if master:
@@ -38,13 +41,9 @@ def get_session(master: str | None = None, app: str = "cohortflow",
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Runtime settings every job of the engine assumes."""
+    """What every job of the engine assumes of a session that it is handed: a
+    checkpoint folder, and UTC for epoch arithmetic."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    spark.conf.set("spark.sql.adaptive.enabled", "true")
-    spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
-    # split a hot user's partition even when the join feeds a per-user
-    # aggregation (the extra shuffle then moves partially aggregated rows)
-    spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
     checkpoint_dir(spark)
     return spark
 
@@ -58,7 +57,9 @@ def app_id(spark: SparkSession) -> str:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder; created under /tmp only when unset."""
+    """The shared checkpoint folder.  Where none is set, a scratch folder is
+    made for a local master; on a cluster that is an error, since executors
+    do not share a machine's own folders."""
     path = spark.conf.get(_CHECKPOINT_KEY, None)
     try:
         sc = spark.sparkContext
@@ -66,6 +67,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         sc = None
     if not path and sc is not None:
         path = sc.getCheckpointDir()
+    if not path and sc is not None and not (sc.master or "").startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not path:
         path = tempfile.mkdtemp(prefix="cohortflow-ckpt-")
         spark.conf.set(_CHECKPOINT_KEY, path)

@@ -9,7 +9,8 @@ Mapping (documented in README):
   first_event_time / install_date and the version ``'0.38' || (10 + k div 25)``;
   platform = c_mktsegment, country = n_name, media source key
   ``'Brand#' || (user_id % 30 + 1)`` (NULL when ``user_id % 7 = 0``)
-* source_names: part (p_brand, p_name, p_type); several rows per brand
+* source_names: part (p_brand, p_name, p_type); several rows per brand; the
+  final name is NULL for even p_partkey of the brands in UNNAMED_BRANDS
 * countries: nation x region, low-payer = region AFRICA
 * exclusions: customers with a negative account balance
 """
@@ -25,6 +26,9 @@ from cohortflow.session import app_id
 from cohortflow.sources.base import EventSource
 
 
+#: brands whose parts with an even key have no final name
+UNNAMED_BRANDS = ("Brand#3", "Brand#13", "Brand#23")
+
 # One reader per (application, file): Parquet schema inference runs a small
 # Spark job, so every table's footer is read once per application.
 _READERS: dict[tuple[str, str], DataFrame] = {}
@@ -102,7 +106,8 @@ class TestdataSource(EventSource):
     def source_names(self) -> DataFrame:
         return self._t("part").select(
             F.col("p_brand").alias("cost_data_name"),
-            F.col("p_name").alias("final_name"),
+            F.when(F.col("p_brand").isin(*UNNAMED_BRANDS) & (F.col("p_partkey") % 2 == 0), F.lit(None))
+            .otherwise(F.col("p_name")).alias("final_name"),
             F.col("p_type").alias("media_type"),
         )
 

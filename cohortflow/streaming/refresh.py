@@ -43,25 +43,52 @@ def rebuild(src, cfg: EngineConfig, spec: FunnelSpec, out_dir: str,
             spec_72h: FunnelSpec | None = None) -> dict[str, str]:
     """Recompute and publish the funnel (and optional 72-hour) and retention cubes.
 
-    ``install_range`` limits the published partitions to those install dates
-    (the rest of each table is left untouched)."""
-    cubes = {"funnel_cube": fu.build_funnel(src, cfg, spec).wide,
-             "retention_cube": re.build_retention(src, cfg)}
+    Without ``install_range`` the tables are replaced.  With it only those
+    install dates are: players outside the range are left out before the
+    scans are joined, dates of the range without a cell are removed, and the
+    rest of each table is left untouched."""
+    if install_range is not None:
+        src = _InstallRange(src, install_range)
+    cubes = {"retention_cube": re.build_retention(src, cfg)}
+    builds = {"funnel": (spec, fu.build_funnel)}
     if spec_72h is not None:
-        cubes["funnel_cube_72h"] = fu.build_funnel_72h(src, cfg, spec_72h).wide
+        builds["funnel_72h"] = (spec_72h, fu.build_funnel_72h)
+    for name, (own, build) in builds.items():
+        # one build; the counts table is what the analytics operators read (load_long)
+        counts = cube_store.materialize(build(src, cfg, own).counts, name)
+        cubes[name.replace("funnel", "funnel_counts")] = counts
+        cubes[name.replace("funnel", "funnel_cube")] = fu.wide_cube(counts, own)
     paths = {}
     for name, df in cubes.items():
-        if install_range is not None:
-            lo, hi = install_range
-            df = df.filter(F.col("install_date").between(F.lit(lo), F.lit(hi)))
-        paths[name] = cube_store.publish(df, f"{out_dir}/{name}")
+        paths[name] = cube_store.publish(df, f"{out_dir}/{name}", replace_range=install_range)
     return paths
 
 
+def load_long(spark: SparkSession, out_dir: str, spec: FunnelSpec, name: str = "funnel_counts") -> DataFrame:
+    """The long cube (exact rates per cell and step) of a published build: what
+    the comparison, report and alert operators take."""
+    return fu.long_cube(cube_store.load(spark, f"{out_dir}/{name}"), spec)
+
+
+class _InstallRange:
+    """A source whose players are limited to a range of install dates."""
+
+    def __init__(self, src, install_range: tuple[date, date]):
+        self._src, self._range = src, install_range
+
+    def __getattr__(self, name):
+        return getattr(self._src, name)
+
+    def players(self) -> DataFrame:
+        lo, hi = self._range
+        return self._src.players().filter(F.col("install_date").between(F.lit(lo), F.lit(hi)))
+
+
 def refresh_stream(spark: SparkSession, events_dir: str, events_schema,
                    make_source: Callable[[], object], cfg: EngineConfig, spec: FunnelSpec,
                    out_dir: str, checkpoint: str, available_now: bool = True,
-                   clock: Callable[[], date] | None = None):
+                   clock: Callable[[], date] | None = None,
+                   spec_72h: FunnelSpec | None = None):
     """Start the refresher over a ``date``-partitioned canonical event folder.
 
     ``make_source()`` returns the EventSource the rebuild reads (usually a
@@ -74,7 +101,7 @@ def refresh_stream(spark: SparkSession, events_dir: str, events_schema,
         if rng is None:
             return
         run_cfg = cfg if clock is None else replace(cfg, as_of=clock())
-        rebuild(make_source(), run_cfg, spec, out_dir, rng)
+        rebuild(make_source(), run_cfg, spec, out_dir, rng, spec_72h)
 
     writer = stream.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else \

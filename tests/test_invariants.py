@@ -46,8 +46,7 @@ def test_golden_demo_counts_without_filters(spark):
     cfg = EngineConfig.for_testdata()
     spec = demo_funnel()
     pl = with_cohort_dims(src.players(), src.source_names(), src.countries(), cfg)
-    ev = fu.funnel_events(src.events(), pl, spec)
-    anc = fu.anchors(ev, spec)
+    anc = fu.anchors(src.events(), pl, spec)
     mono = fu.monotonic(fu.user_flags(src.events(), spec, anc), spec)
     s = mono.agg(*[F.sum(fu.step_col(n)).alias(str(n)) for n in (1, 2, 3, 5, 6)]).first()
     assert [s[str(n)] for n in (1, 2, 3, 5, 6)] == [150, 81, 54, 38, 23]

@@ -50,7 +50,9 @@ def test_new_branch_step_and_lift(spark):
     ])
     f = cm.ba_funnel(lg, spec5(), CMP, include_groups=("hint",))
     t = {r["step_no"]: r for r in cm.ba_detail(f, spec5()).collect()}
-    assert t[3]["status"] == "new" and t[3]["lift_pp"] is None and t[3]["before"] is None
+    # statistics see the value 0; only the chart has a gap there
+    assert t[3]["status"] == "new" and t[3]["lift_pp"] is None and t[3]["before"] == 0.0
+    assert f.where("step_no = 3 and period = 'before'").first()["plot_value"] is None
     assert t[2]["status"] == "compared"
     assert t[2]["lift_pp"] == pytest.approx((0.9 - 0.8) * 100)
     s = cm.ba_lift_summary(f).first()
@@ -59,6 +61,31 @@ def test_new_branch_step_and_lift(spark):
     assert sig[3]["p_label"] == "N/A" and sig[3]["p_value"] == 1.0
 
 
+def test_branch_step_that_falls_to_zero_is_tested(spark):
+    lg = long_rows(spark, [
+        (date(2024, 1, 1), 10, "1.0", "paid", [100, 80, 50, 60, 50]),
+        (date(2024, 1, 2), 10, "1.1", "paid", [100, 80, 0, 60, 50]),
+    ])
+    f = cm.ba_funnel(lg, spec5(), CMP, include_groups=("hint",))
+    t = {r["step_no"]: r for r in cm.ba_table(f).collect()}
+    assert t[3]["status"] == "compared" and t[3]["lift_pp"] == pytest.approx(-50)
+    assert t[3]["is_significant"] and t[3]["p_label"] == "p<0.001"
+
+
+def test_pick_first_and_not_in(spark):
+    from cohortflow.operators import cohort as co
+    names = spark.createDataFrame([("a", None, "x"), ("a", "zeta", None), ("b", "beta", "y"), ("b", "alpha", "z")],
+                                  "cost_data_name string, final_name string, media_type string")
+    assert {tuple(r) for r in co.source_name_map(names).collect()} == {("a", None), ("b", "alpha")}
+    assert {tuple(r) for r in co.media_type_map(names).collect()} == {
+        (None, "x"), ("zeta", None), ("beta", "y"), ("alpha", "z")}
+    keys = spark.createDataFrame([("k",), (None,)], "distinct_id string")
+    assert co.not_in(keys, keys.where("1 = 0"), "distinct_id").count() == 2
+    other = spark.createDataFrame([("z",)], "distinct_id string")
+    assert [r[0] for r in co.not_in(keys, other, "distinct_id").collect()] == ["k"]
+    assert co.not_in(keys, keys, "distinct_id").count() == 0
+
+
 def test_uptick_and_known_step(spark):
     lg = long_rows(spark, [(date(2024, 1, 1), 10, "1.0", "paid", [100, 50, 0, 60, 40])])
     # rates are not capped here: step 4 (0.60) is above step 2 (0.50)

@@ -42,6 +42,7 @@ def test_hot_user_split_and_exact(spark):
             "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1",
             "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k",
             "spark.sql.adaptive.coalescePartitions.enabled": "false",
+            "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",     # as get_session sets it
             "spark.sql.shuffle.partitions": "8"}
     old = {k: spark.conf.get(k, None) for k in conf}
     try:

@@ -7,11 +7,11 @@ import pytest
 import __spark_entry__ as E
 from conftest import SF001, SF01
 from cohortflow.catalog.compare import compare, duck
+from cohortflow.catalog.oracle_sql import ORACLE
+from cohortflow.catalog.spark_queries import QUERIES
 
-FAST = ["players_cohort", "source_name_dedupe", "funnel_cube_pct", "funnel_cube_ratio",
-        "retention_cube", "weighted_conversion", "ba_significance", "ba_retention",
-        "step_trend_week", "biggest_dropoffs", "alerts_installs", "cube_roundtrip"]
-ALL = os.environ.get("COHORTFLOW_ALL_ORACLES") == "1"
+# every library query at the smallest scale; COHORTFLOW_ALL_ORACLES=1 takes the next one
+SF = SF01 if os.environ.get("COHORTFLOW_ALL_ORACLES") == "1" else SF001
 
 
 def test_entry(spark):
@@ -22,12 +22,12 @@ def test_entry(spark):
 
 
 def test_every_query_has_an_oracle():
-    assert set(E.queries()) == set(E.oracle_sql())
+    assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(E.queries()) and set(ORACLE) <= set(E.oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()) if ALL else FAST)
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_oracle(spark, name):
-    sf = SF01 if ALL else SF001
-    r = compare(spark, sf, name, E.queries()[name], E.oracle_sql()[name], duck(sf))
+    r = compare(spark, SF, name, E.queries()[name], E.oracle_sql()[name], duck(SF))
     assert r["status"] == "exact", r
     assert r.get("types") == "ok", r

@@ -62,3 +62,31 @@ def test_strict_72h_waits_for_full_window(spark):
     b = build_funnel_72h(TestdataSource(spark, SF001), cfg, demo_funnel(), strict=True)
     latest = b.cohort.agg({"install_date": "max"}).first()[0]
     assert latest <= date(2024, 1, 26)          # as_of - 1 - 3 days
+
+
+def test_raw_events_are_aggregated_before_any_exchange(spark):
+    """With broadcasts off: no exchange carries raw events in the first pass,
+    and the anchors run on hash aggregates."""
+    from cohortflow.config import EngineConfig
+    from cohortflow.operators.funnel import build_funnel
+    from cohortflow.plans.steps import main_funnel
+    from cohortflow.sources import TestdataSource
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        b = build_funnel(TestdataSource(spark, SF001), EngineConfig.for_testdata(), main_funnel(),
+                         materialize=False)
+        lines = _plan(b.anchors).split("\n")
+    finally:
+        spark.conf.set(key, old)
+    scans = [i for i, line in enumerate(lines) if "FileScan parquet" in line and "events.parquet" in line]
+    assert scans
+    for i in scans:
+        above = []
+        while i >= 0 and "Exchange" not in lines[i]:
+            above.append(lines[i])
+            i -= 1
+        assert any("Aggregate" in line for line in above), above
+    first = next(line for line in lines if "count(1)" in line)
+    assert "HashAggregate" in first and "SortAggregate" not in first

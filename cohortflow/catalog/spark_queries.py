@@ -22,8 +22,10 @@ from cohortflow.operators import filters as fi
 from cohortflow.operators import metrics as me
 from cohortflow.operators import retention as re
 from cohortflow.sources import cube_store as store
-from cohortflow.plans.steps import demo_funnel
+from cohortflow.plans.steps import demo_funnel, main_funnel
+from cohortflow.plans.steps import funnel_72h as funnel_72h_spec
 from cohortflow.session import app_id, prepare
+from cohortflow.sources.scripted import ScriptedSource
 from cohortflow.sources.testdata import TestdataSource
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -234,6 +236,20 @@ def step_subset(spark, sf_dir):
         "install_version", "step_no", "value")
 
 
+@register
+def main_funnel_cube(spark, sf_dir):
+    """The 50-step funnel over the scripted log."""
+    prepare(spark)
+    return fu.build_funnel(ScriptedSource(spark, sf_dir), EngineConfig.for_testdata(), main_funnel()).counts
+
+
+@register
+def main_funnel_72h_cube(spark, sf_dir):
+    """The 48-step funnel, events within 72 hours of the install."""
+    prepare(spark)
+    return fu.build_funnel_72h(ScriptedSource(spark, sf_dir), EngineConfig.for_testdata(), funnel_72h_spec()).counts
+
+
 @register
 def cube_load(spark, sf_dir):
     _, cfg = ctx(spark, sf_dir)

@@ -196,3 +196,4 @@ MAIN = {
     "main_funnel_cube": main_sql(_rules(), (35, 36), 2, 1, None),
     "main_funnel_72h_cube": main_sql(_rules_72h(), (), 3, 3, o.OBS_MS),
 }
+o.ORACLE.update(MAIN)

@@ -812,7 +812,5 @@ ORACLE["ba_funnel_hints_reference_cap"] = q(
     f"SELECT period, step_no, {wcw('pct')} AS raw_value, CAST(sum(total_users) AS BIGINT) AS users, "
     "CAST(sum(raw_step_01) AS BIGINT) AS step1 FROM tag GROUP BY period, step_no))", FUNNEL, BA)
 
-# the onboarding funnels, over the scripted log (their rules stand in a module of their own)
-from cohortflow.catalog.main_oracle import MAIN  # noqa: E402
-
-ORACLE.update(MAIN)
+# the onboarding funnels, over the scripted log: the module adds its entries to ORACLE
+import cohortflow.catalog.main_oracle  # noqa: E402,F401

@@ -40,7 +40,8 @@ class MergeAutomaton:
 
     def __init__(self, file: TokenizerFile):
         vocab, suffix = file.vocab, file.suffix
-        never = len(file.merges)
+        merges = file.merges()
+        never = len(merges)
         # gadget states: where copied from, the token lost, the merge that made it
         self.origin, self.lost, self.made = [-1], [-1], [-1]
         self.target = np.zeros(file.size, dtype=np.int64)      # state after a token
@@ -50,7 +51,7 @@ class MergeAutomaton:
         self.never = never
         for name, i in vocab.items():
             self.lookup[name] = i
-        for k, (left, right) in enumerate(file.merges):
+        for k, (left, right) in enumerate(merges):
             self._gadget(k, vocab[left], vocab[right], vocab[left + right])
         symbols = byte_symbols()
         self.symbols, self.suffix = symbols, suffix

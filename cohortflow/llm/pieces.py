@@ -59,15 +59,14 @@ class TokenizerFile:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        self.path = path
         self.vocab: dict[str, int] = spec["model"]["vocab"]
-        self.merges: list = [tuple(m) if not isinstance(m, str) else tuple(m.split(" "))
-                             for m in spec["model"]["merges"]]
         self.suffix: str = spec["model"]["end_of_word_suffix"] or ""
         self.specials: dict[str, int] = {a["content"]: a["id"] for a in spec["added_tokens"]}
+        # texts are normalised before they are split, so pieces are not again
         self.library = Tokenizer.from_file(path)
         self.normalizer = self.library.normalizer
-        self.of_pieces = Tokenizer.from_file(path)
-        self.of_pieces.normalizer = normalizers.Sequence([])
+        self.library.normalizer = normalizers.Sequence([])
         self.size = 1 + max([*self.vocab.values(), *self.specials.values()])
         self.names = [""] * self.size
         for name, i in [*self.vocab.items(), *self.specials.items()]:
@@ -75,6 +74,11 @@ class TokenizerFile:
         self.last = np.array([n.endswith(self.suffix) for n in self.names])
         self.special = re.compile("|".join(map(re.escape, self.specials))) if self.specials else None
 
+    def merges(self) -> list[tuple[str, str]]:
+        with open(self.path, encoding="utf-8") as f:
+            return [tuple(m) if not isinstance(m, str) else tuple(m.split(" "))
+                    for m in json.load(f)["model"]["merges"]]
+
 
 @functools.lru_cache(maxsize=2)
 def tokenizer_file(path: str) -> TokenizerFile:
@@ -180,7 +184,7 @@ class PieceCache:
     """Token ids of pieces by hash, for a worker's lifetime; emptied when it
     holds ``bound`` pieces."""
 
-    def __init__(self, file: TokenizerFile, encode, bound: int = 400_000):
+    def __init__(self, file: TokenizerFile, encode, bound: int = 250_000):
         self.file, self.encode, self.bound = file, encode, bound
         self._clear()
 
@@ -250,10 +254,10 @@ def library_encode(file: TokenizerFile, pieces: list[str]) -> list[np.ndarray]:
     out: list[np.ndarray] = []
     for lo in range(0, len(pieces), 2000):
         part = pieces[lo:lo + 2000]
-        ids = np.array(file.of_pieces.encode(" ".join(part), add_special_tokens=False).ids, dtype=np.uint32)
+        ids = np.array(file.library.encode(" ".join(part), add_special_tokens=False).ids, dtype=np.uint32)
         cut = np.flatnonzero(file.last[ids]) + 1
         if len(cut) != len(part):       # a piece that the joined text splits otherwise
-            out += [np.array(file.of_pieces.encode(x, add_special_tokens=False).ids, dtype=np.uint32)
+            out += [np.array(file.library.encode(x, add_special_tokens=False).ids, dtype=np.uint32)
                     for x in part]
         else:
             out += np.split(ids, cut[:-1])

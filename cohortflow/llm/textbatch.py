@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 
 #: characters handled per step; a longer single text forms a step of its own
-STEP_CHARS = 1 << 20
+STEP_CHARS = 1 << 19
 
 _BASE = 0x9E3779B97F4A7C13          # odd, 3 modulo 8
 _BASE_INV = pow(_BASE, -1, 1 << 64)

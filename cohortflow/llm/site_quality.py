@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from cohortflow.llm.common import map_texts, sample_filter
 from cohortflow.llm.features import DENSE, Batch, dense
+from cohortflow.sources.cube_store import materialize
 
 
 @dataclass(frozen=True)
@@ -111,8 +112,8 @@ def site_posteriors(scored: DataFrame) -> DataFrame:
     """host, path, n, host_posterior, path_posterior, prior from ``scored``
     (host, path, logit).  Sums by path first (partial sums before the
     shuffle), then by host and globally over the sums only."""
-    paths = scored.groupBy("host", "path").agg(
-        F.count("*").alias("n"), F.sum(1 / (1 + F.exp(-F.col("logit")))).alias("total"))
+    paths = materialize(scored.groupBy("host", "path").agg(
+        F.count("*").alias("n"), F.sum(1 / (1 + F.exp(-F.col("logit")))).alias("total")), "path-sums")
     hosts = paths.groupBy("host").agg(F.sum("n").alias("host_n"), F.sum("total").alias("host_total"),
                                       F.sum(F.col("total") * F.col("total") / F.col("n")).alias("squares"),
                                       F.count("*").alias("k"))
@@ -161,7 +162,6 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, col
     sites = site_posteriors(with_logits(named, model, ["_host", "_path"]).select(
         F.col("_host").alias("host"), F.col("_path").alias("path"), "logit")).select(
         F.col("host").alias("_host"), F.col("path").alias("_path"), "host_posterior", "path_posterior", "prior")
-    from cohortflow.sources.cube_store import materialize
     sites = materialize(sites, "sites")
     scored = with_logits(named, model, [*columns, "_host", "_path"])
     if sites.count() <= p.broadcast_sites:

@@ -9,7 +9,7 @@ driver's synthetic tables.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 from datetime import date, datetime
 
 # ---------------------------------------------------------------------------
@@ -60,7 +60,6 @@ class EngineConfig:
     uptick_tolerance: float = REFERENCE_UPTICK_TOLERANCE
     known_uptick_steps: tuple[int, ...] = REFERENCE_KNOWN_UPTICK_STEPS
     significance_min_n: int = REFERENCE_SIGNIFICANCE_MIN_N
-    extra: dict = field(default_factory=dict)
 
     def with_(self, **kw) -> "EngineConfig":
         return replace(self, **kw)

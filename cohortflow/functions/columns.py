@@ -40,11 +40,6 @@ def from_e(e: Column, digits: int = 4) -> Column:
     return e.cast("double") / F.lit(float(10 ** digits))
 
 
-def safe_ratio(num: Column, den: Column) -> Column:
-    """num / den as double, NULL when den is 0 or NULL (ANSI-safe)."""
-    return F.when(den != 0, num.cast("double") / den.cast("double"))
-
-
 def guarded_not(pred: Column) -> Column:
     """pandas-style negation: a NULL predicate counts as False before negating."""
     return ~F.coalesce(pred, F.lit(False))

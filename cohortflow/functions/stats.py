@@ -23,15 +23,6 @@ ERFC_COEFFS = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806,
 CHI2_CRITICAL_95 = 3.841458820694124
 
 
-def erfc_approx(z: Column) -> Column:
-    t = F.lit(1.0) / (F.lit(1.0) + z / 2.0)
-    c = ERFC_COEFFS
-    poly = F.lit(c[9])
-    for coef in reversed(c[1:9]):
-        poly = F.lit(coef) + t * poly
-    return t * F.exp(-z * z + F.lit(c[0]) + t * poly)
-
-
 def with_significance(df: DataFrame, pct_before: str, n_before: str, pct_after: str,
                       n_after: str, min_n: int = 10) -> DataFrame:
     """Adds chi2, p_value, is_significant, p_label (and drops its temporaries).

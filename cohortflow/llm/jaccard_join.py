@@ -64,7 +64,7 @@ class JaccardParams:
     region_nodes: int = 1024
     region_shingles: int = 2_000_000
     cell_nodes: int = 48
-    broadcast_ids: int = 2_000_000
+    broadcast_ids: int = 500_000
 
 
 def shingle_sets(texts: list, words: int) -> list[np.ndarray]:
@@ -147,7 +147,8 @@ def shingle_order(docs: DataFrame, p: JaccardParams) -> tuple[np.ndarray, np.nda
 
 
 def document_keys(docs: DataFrame, p: JaccardParams) -> DataFrame:
-    """doc_id, n (set size), node (identity of the set; null if empty), keys
+    """doc_id, n (set size), node (identity of the set; null if empty), its
+    handle, keys
     (its first shingles in the order), central (how much of it is frequent),
     sketch."""
     grams, counts = shingle_order(docs, p)
@@ -173,11 +174,12 @@ def document_keys(docs: DataFrame, p: JaccardParams) -> DataFrame:
             first = np.lexsort((s, w))[:prefix_length(int(n), p.percent)]
             keys.append(s[first].view(np.int64))
             central.append(int(1e6 * np.log1p(w).mean()))
-        return {"doc_id": batch.column(0), "n": sizes, "node": [_node(s) for s in sets],
+        handle = np.array([s.sum(dtype=np.uint64) for s in sets], dtype=np.uint64).view(np.int64)
+        return {"doc_id": batch.column(0), "n": sizes, "node": [_node(s) for s in sets], "handle": handle,
                 "keys": keys, "central": central, "sketch": [parity_sketch(s) if len(s) else None for s in sets]}
 
     return map_texts(docs.select("doc_id", "text"), step,
-                     "doc_id long, n long, node binary, keys array<long>, central long, sketch binary")
+                     "doc_id long, n long, node binary, handle long, keys array<long>, central long, sketch binary")
 
 
 def node_sets(docs: DataFrame, wanted: DataFrame, p: JaccardParams) -> DataFrame:
@@ -294,30 +296,42 @@ def voronoi_join(sets: list[np.ndarray], members: list[int], p: JaccardParams, p
             voronoi_join(sets, cell, p, parts, sizes, depth + 1)
 
 
-def region_members(entries: DataFrame, p: JaccardParams) -> DataFrame:
-    """(pivot, node, n): the nodes of every region, its pivot included, less
-    those that no size window joins with another member."""
+#: an entry carries its node's centrality and size in one number
+_SIZES = 1 << 36
+
+
+def region_members(keyed: DataFrame) -> DataFrame:
+    """(pivot, handle, n): the nodes of every region, by handles (a handle is
+    half of a node's identity; nodes that share one are told apart when the
+    handle is looked up)."""
+    entries = keyed.where("node is not null").select(
+        "handle", (F.col("central") * _SIZES + F.col("n")).alias("rank"), F.explode("keys").alias("key"))
     by_key = Window.partitionBy("key")
-    met = (entries.withColumn("top", F.max(F.struct("central", "node", "n")).over(by_key))
-           .withColumn("low", F.min("node").over(by_key))
-           .withColumn("high", F.max("node").over(by_key))
+    met = (entries.withColumn("top", F.max(F.struct("rank", "handle")).over(by_key))
+           .withColumn("low", F.min("handle").over(by_key))
+           .withColumn("high", F.max("handle").over(by_key))
            .where("low <> high"))
-    pairs = met.select(F.col("top.node").alias("pivot"), "node", "n").dropDuplicates(["pivot", "node"])
-    by_size = Window.partitionBy("pivot").orderBy("n", "node")
-    return (pairs.withColumn("before", F.lag("n").over(by_size))
-            .withColumn("after", F.lead("n").over(by_size))
-            .where((100 * F.col("before") >= p.percent * F.col("n"))
-                   | (100 * F.col("n") >= p.percent * F.col("after")))
-            .select("pivot", "node", "n"))
+    return met.select(F.col("top.handle").alias("pivot"), "handle", F.pmod("rank", F.lit(_SIZES)).alias("n")
+                      ).dropDuplicates(["pivot", "handle"])
 
 
 def possible_regions(members: DataFrame, nodes: DataFrame, p: JaccardParams) -> DataFrame:
-    """(region, pivot, node, n): regions of at most ``region_nodes`` members
-    reduced to members that sketches (``nodes``: node, sketch) leave possible
-    links for, a region per connected part; larger ones as they are."""
+    """(region, pivot, node, n) of ``members`` (pivot, handle, n) and ``nodes``
+    (handle, node, n, sketch): regions of at most ``region_nodes`` members
+    reduced to members that sizes and sketches leave possible links for, a
+    region per connected part; larger ones as they are (there the pivot
+    stands in its own row only)."""
     size = members.groupBy("pivot").agg(F.count("*").alias("m"))
     sized = members.join(size, "pivot")
-    large = sized.where(F.col("m") > p.region_nodes).select(F.col("pivot").alias("region"), "pivot", "node", "n")
+    large = sized.where(F.col("m") > p.region_nodes).drop("n").join(nodes.drop("sketch"), "handle").select(
+        F.hex("pivot").cast("binary").alias("region"),
+        F.when(F.col("pivot") == F.col("handle"), F.col("node")).alias("pivot"), "node", "n")
+    by_size = Window.partitionBy("pivot").orderBy("n", "handle")
+    small = (sized.where(F.col("m") <= p.region_nodes)
+             .withColumn("before", F.lag("n").over(by_size)).withColumn("after", F.lead("n").over(by_size))
+             .where((100 * F.col("before") >= p.percent * F.col("n"))
+                    | (100 * F.col("n") >= p.percent * F.col("after")))
+             .select("pivot", "handle"))
 
     def reduce(rows):
         sizes = np.array([r["n"] for r in rows], dtype=np.int64)
@@ -338,8 +352,8 @@ def possible_regions(members: DataFrame, nodes: DataFrame, p: JaccardParams) ->
                     out[k].append(v)
         return out
 
-    small = _grouped(sized.where(F.col("m") <= p.region_nodes).join(nodes, "node").select(
-        "pivot", "node", "n", "sketch"), ["pivot"], reduce, "region binary, pivot binary, node binary, n long")
+    small = _grouped(small.join(nodes, "handle").select("pivot", "node", "n", "sketch"), ["pivot"], reduce,
+                     "region binary, pivot binary, node binary, n long")
     return small.union(large).groupBy("region", "node").agg(
         F.max("pivot").alias("pivot"), F.max("n").alias("n")).select("region", "pivot", "node", "n")
 
@@ -377,11 +391,10 @@ def _load(rows: list[dict]) -> list[np.ndarray]:
 def links(docs: DataFrame, keyed: DataFrame, p: JaccardParams) -> DataFrame:
     """(a, b): links between nodes, enough of them to connect every component.
     ``keyed``: the document_keys of ``docs``."""
-    entries = (keyed.where("node is not null").select("node", "n", "central", F.explode("keys").alias("key")))
-    nodes = keyed.where("node is not null").select("node", "doc_id", "sketch")
-    sketches = nodes.groupBy("node").agg(F.max("sketch").alias("sketch"))
-    found = materialize(region_members(entries, p), "region-members")
-    sketches = sketches.join(found.select("node").distinct(), "node", "left_semi")
+    nodes = keyed.where("node is not null").select("handle", "node", "doc_id", "n", "sketch")
+    found = materialize(region_members(keyed), "region-members")
+    met = nodes.join(found.select("handle").distinct(), "handle", "left_semi")
+    sketches = met.groupBy("node").agg(*[F.max(c).alias(c) for c in ("handle", "n", "sketch")])
     members = materialize(possible_regions(found, sketches, p), "regions")
     size = (members.groupBy("region").agg(F.count("*").alias("m"), F.sum("n").alias("total"),
                                           F.max("pivot").alias("pivot"))
@@ -506,6 +519,12 @@ def jaccard_components(docs: DataFrame, params: JaccardParams | None = None) ->
 
 
 def keep_one(docs: DataFrame, params: JaccardParams | None = None) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its component."""
-    found = jaccard_components(docs, params).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_semi")
+    """``docs`` without the rows whose doc_id has a smaller one in its
+    component.  Rows without an id stay; of an id that repeats with different
+    texts all rows stay if any of them is the smallest of its component."""
+    p = params or JaccardParams()
+    gone = materialize(jaccard_components(docs, p).where("doc_id is not null").groupBy("doc_id").agg(
+        F.bool_and(F.col("doc_id") != F.col("component_id")).alias("gone")).where("gone").select("doc_id"), "copies")
+    if gone.count() <= p.broadcast_ids:
+        gone = F.broadcast(gone)
+    return docs.join(gone, "doc_id", "left_anti")

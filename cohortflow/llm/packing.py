@@ -38,7 +38,8 @@ class Packs:
 def shortest_pack_first(histogram: dict[int, int], size: int = SIZE) -> list[Packs]:
     """Packs for so many pieces of each length.  Longest first, a length goes
     to the packs with the most room left; where fewer pieces than packs are
-    left, the packs are split into those with and those without it."""
+    left, the packs are split into those with and those without it.  Where no
+    pack has room, new ones are filled with the length."""
     room: dict[int, list[Packs]] = {}
     largest: list[int] = []                 # heap of negated rooms
 
@@ -56,8 +57,12 @@ def shortest_pack_first(histogram: dict[int, int], size: int = SIZE) -> list[Pac
             while largest and not room.get(-largest[0]):
                 heapq.heappop(largest)
             if not largest or -largest[0] < length:
-                # a new pack takes as many pieces of this length as there are for it
-                put(Packs(left, (length,)))
+                # nothing has room: new packs take as many pieces of this length as fit
+                fit = size // length
+                if left >= fit:
+                    put(Packs(left // fit, (length,) * fit))
+                if left % fit:
+                    put(Packs(1, (length,) * (left % fit)))
                 left = 0
                 break
             p = room[-largest[0]].pop()

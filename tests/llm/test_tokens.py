@@ -110,6 +110,22 @@ def test_shortest_pack_first():
         assert placed == histogram
 
 
+def test_packing_leaves_little_padding():
+    assert sum(p.count for p in K.shortest_pack_first({100: 1000})) == 25
+    rng = random.Random(6)
+    for hot in (1, 7, 100, 900):
+        histogram = {rng.randint(1, 4096): rng.randint(1, 9) for _ in range(400)}
+        histogram[hot] = 3000               # more than half of all pieces
+        packs = K.shortest_pack_first(histogram)
+        placed = {}
+        for p in packs:
+            for n in p.lengths:
+                placed[n] = placed.get(n, 0) + p.count
+        assert placed == histogram and all(sum(p.lengths) <= 4096 for p in packs)
+        tokens = sum(n * k for n, k in histogram.items())
+        assert sum(p.count for p in packs) <= 1.1 * tokens / 4096 + 1
+
+
 def test_packing(edge, documents, none, library):
     for df in (edge, documents):
         held = {}

@@ -26,6 +26,10 @@ join works on regions around pivot documents:
    for the rest, slices in order of distance meet only slices within ``eps``
    (triangle inequality), two slices a task, recursively joined as in 5.
 7. Only links that join two parts leave a task; components follow from them.
+8. To count links, the shortcuts by connectivity are left out: a task finds
+   every linked pair and adds the copies of its nodes up per node.  A pair is
+   counted in the first (by hash) of the regions that hold both nodes, and in
+   a larger region by the one task of its two slices.
 """
 
 from __future__ import annotations
@@ -238,20 +242,63 @@ class _Parts:
             self.up[a] = b
             self.links.append((i, j))
 
+    def link_all(self, members: list[int], hit: np.ndarray) -> None:
+        for i, j in np.argwhere(np.triu(hit, 1)):
+            self.link(members[i], members[j])
+
+
+class _Pairs:
+    """Every link between the nodes of a task; none is implied by others."""
+
+    def __init__(self, n: int):
+        self.hit = np.zeros((n, n), dtype=bool)
+
+    def find(self, i: int) -> int:
+        return i
+
+    def link(self, i: int, j: int) -> None:
+        self.hit[i, j] = self.hit[j, i] = i != j
+
+    def link_all(self, members: list[int], hit: np.ndarray) -> None:
+        self.hit[np.ix_(members, members)] |= hit & ~np.eye(len(members), dtype=bool)
+
+    def spanning(self) -> list[tuple[int, int]]:
+        """Enough links to connect every part."""
+        seen, out = np.zeros(len(self.hit), dtype=bool), []
+        for start in range(len(self.hit)):
+            todo = [] if seen[start] else [start]
+            seen[start] = True
+            while todo:
+                i = todo.pop()
+                new = np.flatnonzero(self.hit[i] & ~seen).tolist()
+                seen[new] = True
+                out += [(i, j) for j in new]
+                todo += new
+        return out
+
+    def counts(self, rows: list[dict]) -> np.ndarray:
+        """Per node, the copies of the nodes it is linked with, without the
+        pairs that an earlier region holds too."""
+        own = np.uint64(rows[0]["region_id"] & (1 << 64) - 1)
+        earlier = [np.array(r["regions"], dtype=np.int64).view(np.uint64) for r in rows]
+        earlier = [np.sort(e[e < own]) for e in earlier]
+        hit, every = self.hit, list(range(len(rows)))
+        if any(len(e) for e in earlier):
+            hit = hit & (_overlaps(earlier, every, every) == 0)
+        return hit.astype(np.int64) @ np.array([r["copies"] for r in rows], dtype=np.int64)
+
 
 def _measure(sets, sizes, rows, cols) -> tuple[np.ndarray, np.ndarray]:
     both = _overlaps(sets, rows, cols).astype(np.int64)
     return both, sizes[rows][:, None] + sizes[cols][None, :] - both
 
 
-def _pair_up(sets, sizes, members: list[int], percent: int, parts: _Parts) -> None:
+def _pair_up(sets, sizes, members: list[int], percent: int, parts: _Parts | _Pairs) -> None:
     both, union = _measure(sets, sizes, members, members)
-    hit = np.argwhere(np.triu(100 * both >= percent * union, 1))
-    for i, j in hit:
-        parts.link(members[i], members[j])
+    parts.link_all(members, 100 * both >= percent * union)
 
 
-def voronoi_join(sets: list[np.ndarray], members: list[int], p: JaccardParams, parts: _Parts,
+def voronoi_join(sets: list[np.ndarray], members: list[int], p: JaccardParams, parts: _Parts | _Pairs,
                  sizes: np.ndarray | None = None, depth: int = 0) -> None:
     """Link, in ``parts``, all members whose distance is within the bound.
 
@@ -388,8 +435,20 @@ def _load(rows: list[dict]) -> list[np.ndarray]:
     return [np.frombuffer(r["grams"], dtype=np.uint64) for r in rows]
 
 
-def links(docs: DataFrame, keyed: DataFrame, p: JaccardParams) -> DataFrame:
-    """(a, b): links between nodes, enough of them to connect every component.
+def _counted(rows: list[dict], pairs: _Pairs) -> dict:
+    """Links that connect the parts of a task, and its nodes' link counts."""
+    tree, n = pairs.spanning(), pairs.counts(rows)
+    some = np.flatnonzero(n).tolist()
+    nodes = [r["node"] for r in rows]
+    return {"a": [nodes[i] for i, _ in tree] + [nodes[i] for i in some],
+            "b": [nodes[j] for _, j in tree] + [None] * len(some),
+            "n": [None] * len(tree) + n[some].tolist()}
+
+
+def links(docs: DataFrame, keyed: DataFrame, p: JaccardParams, count: bool = False) -> DataFrame:
+    """(a, b, n): links between nodes, enough of them to connect every
+    component; n is null.  With ``count`` also rows without b, whose n add up
+    to the rows that a node is linked with, its own copies left out.
     ``keyed``: the document_keys of ``docs``."""
     nodes = keyed.where("node is not null").select("handle", "node", "doc_id", "n", "sketch")
     found = materialize(region_members(keyed), "region-members")
@@ -409,8 +468,15 @@ def links(docs: DataFrame, keyed: DataFrame, p: JaccardParams) -> DataFrame:
     cols = ["region", "pivot", "slices", "slice", "node"]
     slots = materialize(slots.select(*cols).union(repeated.select(*cols)).distinct(), "region-slots")
     wanted = nodes.select("node", "doc_id").join(slots.select("node").distinct(), "node", "left_semi").groupBy(
-        "node").agg(F.min("doc_id").alias("doc_id"))
-    held = materialize(node_sets(docs, wanted, p), "region-sets")
+        "node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+    if count:
+        within = members.groupBy("node").agg(F.collect_set(F.xxhash64("region")).alias("regions"))
+        wanted = materialize(wanted.join(within, "node"), "region-nodes")
+    held = node_sets(docs, wanted, p)
+    if count:
+        held = held.join(wanted.select("node", "copies", "regions"), "node")
+        slots = slots.withColumn("region_id", F.xxhash64("region"))
+    held = materialize(held, "region-sets")
     if slots.count() <= p.broadcast_ids:
         slots = F.broadcast(slots)
     percent = p.percent
@@ -420,16 +486,22 @@ def links(docs: DataFrame, keyed: DataFrame, p: JaccardParams) -> DataFrame:
         s = _load(rows)
         sizes = np.array([len(x) for x in s], dtype=np.int64)
         nodes, pivot = [r["node"] for r in rows], rows[0]["pivot"]
+        if count and rows[0]["slices"] == 1:
+            pairs = _Pairs(len(rows))
+            voronoi_join(s, list(range(len(rows))), p, pairs, sizes)
+            out = _counted(rows, pairs)
+            return out | {"region": [None] * len(out["a"]), "d": [0.0] * len(out["a"])}
         if rows[0]["slices"] == 1:
             parts = _Parts(len(rows))
             voronoi_join(s, list(range(len(rows))), p, parts, sizes)
             return {"region": [None] * len(parts.links), "a": [nodes[i] for i, _ in parts.links],
-                    "b": [nodes[j] for _, j in parts.links], "d": [0.0] * len(parts.links)}
+                    "b": [nodes[j] for _, j in parts.links], "d": [0.0] * len(parts.links),
+                    "n": [None] * len(parts.links)}
         at = nodes.index(pivot)
         both, union = _measure(s, sizes, list(range(len(rows))), [at])
-        out = {"region": [], "a": [], "b": [], "d": []}
+        out = {"region": [], "a": [], "b": [], "d": [], "n": [None] * len(nodes)}
         for i, node in enumerate(nodes):
-            linked = 100 * both[i, 0] >= percent * union[i, 0]
+            linked = not count and 100 * both[i, 0] >= percent * union[i, 0]
             out["region"].append(rows[0]["region"])
             out["a"].append(node)
             out["b"].append(pivot if linked else None)
@@ -437,18 +509,19 @@ def links(docs: DataFrame, keyed: DataFrame, p: JaccardParams) -> DataFrame:
         return out
 
     found = materialize(_grouped(held.join(slots, "node"), ["region", "slice"], first,
-                                 "region binary, a binary, b binary, d double"), "region-links")
-    edges = found.where("b is not null").select("a", "b")
-    far = found.where("region is not null").dropDuplicates(["region", "a"])
+                                 "region binary, a binary, b binary, d double, n long"), "region-links")
+    edges = found.where("region is null or b is not null").select("a", "b", "n")
+    far = found.where("region is not null").select("region", "a", "b", "d").dropDuplicates(["region", "a"])
     if far.isEmpty():
         return edges
-    return edges.union(_large_regions(far, held, p))
+    return edges.union(materialize(_large_regions(far, held, p, count), "large-region-links"))
 
 
-def _large_regions(far: DataFrame, held: DataFrame, p: JaccardParams) -> DataFrame:
+def _large_regions(far: DataFrame, held: DataFrame, p: JaccardParams, count: bool) -> DataFrame:
     """Links within regions that exceed a task: slices in order of the
     distance to the pivot, joined with the slices within ``eps`` of them.
-    Two slices of nodes that are all linked with the pivot need no join."""
+    Two slices of nodes that are all linked with the pivot need no join
+    (where links are counted, ``far`` says of no node that it is)."""
     eps = 1 - p.percent / 100 + 1e-9
     sizes = held.groupBy(F.col("node").alias("a")).agg(F.max(F.length("grams") / 8).alias("n"))
     far = far.join(sizes, "a")
@@ -471,15 +544,26 @@ def _large_regions(far: DataFrame, held: DataFrame, p: JaccardParams) -> DataFra
     meet = (left.join(right, "region")
             .where("not l_near and (r_near or r_slice >= l_slice)")
             .where((F.col("r_lo") <= F.col("l_hi") + eps) & (F.col("l_lo") <= F.col("r_hi") + eps))
-            .withColumn("task", F.concat_ws("/", F.hex("region"), "l_slice", "r_near", "r_slice")))
-    one = meet.select("task", "region", F.col("l_near").alias("near"), F.col("l_slice").alias("slice"))
-    two = meet.select("task", "region", F.col("r_near").alias("near"), F.col("r_slice").alias("slice"))
+            .withColumn("task", F.concat_ws("/", F.hex("region"), "l_slice", "r_near", "r_slice"))
+            .withColumn("region_id", F.xxhash64("region")))
+    one = meet.select("task", "region", "region_id", F.col("l_near").alias("near"), F.col("l_slice").alias("slice"))
+    two = meet.select("task", "region", "region_id", F.col("r_near").alias("near"), F.col("r_slice").alias("slice"))
     rows = (one.union(two).distinct().join(placed, ["region", "near", "slice"])
-            .select("task", F.col("a").alias("node"), "near").join(held, "node"))
+            .select("task", "region_id", F.col("a").alias("node"), "near", "slice").join(held, "node"))
 
     def join(rows):
         rows = _once(rows)
         s = _load(rows)
+        if count:
+            pairs = _Pairs(len(rows))
+            one, *two = [[i for i, r in enumerate(rows) if r["slice"] == k] for k in {r["slice"] for r in rows}]
+            if two:
+                both, union = _measure(s, np.array([len(x) for x in s], dtype=np.int64), one, two[0])
+                hit = 100 * both >= p.percent * union
+                pairs.hit[np.ix_(one, two[0])], pairs.hit[np.ix_(two[0], one)] = hit, hit.T
+            else:
+                voronoi_join(s, one, p, pairs)
+            return _counted(rows, pairs)
         parts = _Parts(len(rows))
         near = [i for i, r in enumerate(rows) if r["near"]]
         for i in near[1:]:
@@ -487,14 +571,18 @@ def _large_regions(far: DataFrame, held: DataFrame, p: JaccardParams) -> DataFra
         known = len(parts.links)
         voronoi_join(s, list(range(len(rows))), p, parts)
         new = parts.links[known:]
-        return {"a": [rows[i]["node"] for i, _ in new], "b": [rows[j]["node"] for _, j in new]}
+        return {"a": [rows[i]["node"] for i, _ in new], "b": [rows[j]["node"] for _, j in new],
+                "n": [None] * len(new)}
+
+    return _grouped(rows, ["task"], join, "a binary, b binary, n long")
 
-    return _grouped(rows, ["task"], join, "a binary, b binary")
 
+def jaccard_components(docs: DataFrame, params: JaccardParams | None = None, count_links: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id, and with ``count_links`` n_links, for
+    every row of ``docs`` (doc_id, text; other columns are ignored).
 
-def jaccard_components(docs: DataFrame, params: JaccardParams | None = None) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of ``docs`` (doc_id,
-    text; other columns are ignored).
+    n_links is the number of other rows within the bound of this one, copies
+    and repeated rows included.
 
     component_id is the smallest doc_id reachable by links.  A document
     without words (or without text) has no shingles and is linked with
@@ -505,17 +593,25 @@ def jaccard_components(docs: DataFrame, params: JaccardParams | None = None) ->
     p = params or JaccardParams()
     docs = docs.select("doc_id", "text")
     keyed = materialize(document_keys(docs, p), "shingle-keys")
-    found = components(links(docs, keyed, p))
+    linked = links(docs, keyed, p, count_links)
+    found = components(linked)
     plain = keyed.select("doc_id", "n", "node")
-    nodes = plain.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
+    nodes = plain.where("node is not null").groupBy("node").agg(
+        F.min("doc_id").alias("least"), F.count("*").alias("copies"))
     labelled = nodes.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     roots = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
     label = labelled.where("root <> node").join(roots, "root").select("node", "component_id").union(
         roots.select(F.col("root").alias("node"), "component_id"))
-    empty = plain.where("node is null").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return (plain.where("node is not null").join(label, "node")
-            .select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(empty))
+    cols = ["doc_id", F.col("n").alias("n_shingles"), "component_id"]
+    if count_links:
+        counts = linked.where("n is not null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("others"))
+        own = nodes.select("node", "copies").join(counts, "node", "left").select(
+            "node", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+        label = label.join(own, "node")
+        cols.append("n_links")
+    empty = plain.where("node is null").withColumn("component_id", F.col("doc_id")).withColumn(
+        "n_links", F.lit(0).cast("long"))
+    return plain.where("node is not null").join(label, "node").select(*cols).unionByName(empty.select(*cols))
 
 
 def keep_one(docs: DataFrame, params: JaccardParams | None = None) -> DataFrame:

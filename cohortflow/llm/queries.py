@@ -30,7 +30,7 @@ def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.jaccard_components(_documents(spark, sf_dir))
+    return jaccard_join.jaccard_components(_documents(spark, sf_dir), count_links=True)
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

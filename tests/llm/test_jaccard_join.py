@@ -117,3 +117,44 @@ def test_keep_one(spark):
     want = {c for _, _, c in plain(rows, 5, 80)}
     kept = J.keep_one(df, J.JaccardParams(words=5, percent=80))
     assert {str(r.doc_id) for r in kept.collect()} == want
+
+
+def plain_links(rows, words=4, percent=85):
+    """Every row's number of links by comparing all pairs."""
+    sets = [shingles(t, words) for _, t in rows]
+    n = [0] * len(rows)
+    for i, a in enumerate(sets):
+        for j in range(i):
+            k = len(a & sets[j])
+            if a and sets[j] and 100 * k >= percent * (len(a) + len(sets[j]) - k):
+                n[i] += 1
+                n[j] += 1
+    return sorted((str(d), len(s), k) for (d, _), s, k in zip(rows, sets, n))
+
+
+def got_links(df, params=None):
+    out = J.jaccard_components(df, params, count_links=True).collect()
+    assert all(r.n_links == 0 for r in out if r.n_shingles == 0)
+    return sorted((str(r.doc_id), r.n_shingles, r.n_links) for r in out), sorted(
+        (str(r.doc_id), r.n_shingles, str(r.component_id)) for r in out)
+
+
+@pytest.mark.parametrize("bound", [1024, 40])
+def test_every_link_is_counted_once(spark, bound):
+    """Near copies in one group and in chains, with copies of some of them,
+    in many regions; the second bound forces slices."""
+    rows = near_copies(160)
+    rows += [(1000 + i, rows[i % 7][1]) for i in range(20)] + [(None, rows[3][1]), (5, rows[5][1]), (1, rows[90][1])]
+    words = [f"z{i}" for i in range(200)]
+    rows += [(2000 + i, " ".join(words[i:i + 90])) for i in range(0, 110)] + [(3000, None), (3001, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    links, parts = got_links(df, J.JaccardParams(region_nodes=bound, cell_nodes=12))
+    assert links == plain_links(rows)
+    assert parts == plain(rows)
+
+
+def test_links_of_documents_and_edges(documents, edge, none):
+    for df in (documents, edge):
+        rows = [tuple(r) for r in df.select("doc_id", "text").collect()]
+        assert got_links(df)[0] == plain_links(rows)
+    assert got_links(none) == ([], [])

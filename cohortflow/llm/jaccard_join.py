@@ -150,9 +150,13 @@ def shingle_order(docs: DataFrame, p: JaccardParams) -> tuple[np.ndarray, np.nda
     return gram[by], rows["n"].to_numpy(dtype=np.int64)[by]
 
 
+def text_digest():
+    return F.unhex(F.md5("text"))
+
+
 def document_keys(docs: DataFrame, p: JaccardParams) -> DataFrame:
-    """doc_id, n (set size), node (identity of the set; null if empty), its
-    handle, keys
+    """doc_id, digest (of the text), n (set size), node (identity of the set;
+    null if empty), its handle, keys
     (its first shingles in the order), central (how much of it is frequent),
     sketch."""
     grams, counts = shingle_order(docs, p)
@@ -179,11 +183,11 @@ def document_keys(docs: DataFrame, p: JaccardParams) -> DataFrame:
             keys.append(s[first].view(np.int64))
             central.append(int(1e6 * np.log1p(w).mean()))
         handle = np.array([s.sum(dtype=np.uint64) for s in sets], dtype=np.uint64).view(np.int64)
-        return {"doc_id": batch.column(0), "n": sizes, "node": [_node(s) for s in sets], "handle": handle,
+        return {"doc_id": batch.column(0), "digest": batch.column(2), "n": sizes, "node": [_node(s) for s in sets], "handle": handle,
                 "keys": keys, "central": central, "sketch": [parity_sketch(s) if len(s) else None for s in sets]}
 
-    return map_texts(docs.select("doc_id", "text"), step,
-                     "doc_id long, n long, node binary, handle long, keys array<long>, central long, sketch binary")
+    return map_texts(docs.select("doc_id", "text", text_digest().alias("digest")), step,
+                     "doc_id long, digest binary, n long, node binary, handle long, keys array<long>, central long, sketch binary")
 
 
 def node_sets(docs: DataFrame, wanted: DataFrame, p: JaccardParams) -> DataFrame:
@@ -615,12 +619,30 @@ def jaccard_components(docs: DataFrame, params: JaccardParams | None = None, cou
 
 
 def keep_one(docs: DataFrame, params: JaccardParams | None = None) -> DataFrame:
-    """``docs`` without the rows whose doc_id has a smaller one in its
-    component.  Rows without an id stay; of an id that repeats with different
-    texts all rows stay if any of them is the smallest of its component."""
+    """One row of ``docs`` for each component: of the smallest doc_id (null
+    ones last), then of the least text digest, then the least row.  Repeated
+    rows, rows that share an id and rows without an id go like any other.
+    Rows without words are linked with nothing and all stay."""
     p = params or JaccardParams()
-    gone = materialize(jaccard_components(docs, p).where("doc_id is not null").groupBy("doc_id").agg(
-        F.bool_and(F.col("doc_id") != F.col("component_id")).alias("gone")).where("gone").select("doc_id"), "copies")
-    if gone.count() <= p.broadcast_ids:
-        gone = F.broadcast(gone)
-    return docs.join(gone, "doc_id", "left_anti")
+    keyed = materialize(document_keys(docs.select("doc_id", "text"), p), "shingle-keys")
+    found = components(links(docs.select("doc_id", "text"), keyed, p))
+    rows = keyed.where("node is not null").groupBy("doc_id", "digest").agg(
+        F.first("node").alias("node"), F.count("*").alias("copies"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest"))
+    nodes = keyed.where("node is not null").groupBy("node").agg(least.alias("least"))
+    first = (nodes.join(found, "node", "left").groupBy(F.coalesce("root", "node").alias("root"))
+             .agg(F.min("least").alias("least"))
+             .select(F.col("least.doc_id").alias("first_id"), F.col("least.digest").alias("first_digest")))
+    # a row's doc_id and digest settle whether it goes; all but one row of repeated ones go
+    cut = materialize(
+        rows.join(first, F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("digest") == F.col("first_digest")), "left")
+        .where("first_digest is null or copies > 1")
+        .select(F.col("doc_id").alias("cut_id"), F.col("digest").alias("cut_digest"),
+                F.col("first_digest").isNotNull().alias("repeated")), "copies")
+    repeated = cut.where("repeated")
+    if cut.count() <= p.broadcast_ids:
+        cut, repeated = F.broadcast(cut), F.broadcast(repeated)
+    same = F.col("doc_id").eqNullSafe(F.col("cut_id")) & (text_digest() == F.col("cut_digest"))
+    one = (docs.join(repeated, same, "left_semi").groupBy("doc_id", text_digest().alias("of_text"))
+           .agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*"))
+    return docs.join(cut, same, "left_anti").unionByName(one)

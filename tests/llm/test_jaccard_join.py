@@ -158,3 +158,35 @@ def test_links_of_documents_and_edges(documents, edge, none):
         rows = [tuple(r) for r in df.select("doc_id", "text").collect()]
         assert got_links(df)[0] == plain_links(rows)
     assert got_links(none) == ([], [])
+
+
+@pytest.mark.parametrize("by_broadcast", [500_000, 0])
+def test_keep_one_row_of_repeated_rows_reused_ids_and_null_ids(spark, by_broadcast):
+    base = near_copies(12)
+    a, b = [" ".join(f"{k}{i}" for i in range(60)) for k in "ab"]
+    rows = base + [base[0]] * 3 + [base[2]] * 2           # repeated rows, of the first and of another
+    rows += [(20, a), (5, a), (5, base[7][1]), (5, b), (6, b)]      # ids with different texts
+    rows += [(None, base[1][1])] * 2 + [(None, "no id " + b)] * 3 + [(None, "c " * 40)] * 4
+    rows += [(None, "C  " * 40), (7, "d e f g h"), (7, "D e f g h"), (8, None), (8, None), (None, "")]
+    df = spark.createDataFrame([(t, i, 1) for i, t in rows], "text string, doc_id long, node int")
+    sets = [shingles(t, 5) for _, t in rows]
+    up = list(range(len(rows)))
+    for i, s in enumerate(sets):
+        for j in range(i):
+            k = len(s & sets[j])
+            if s and sets[j] and 100 * k >= 80 * (len(s) + len(sets[j]) - k):
+                old, new = up[i], up[j]
+                up = [new if u == old else u for u in up]
+    of = defaultdict(set)
+    for i, u in enumerate(up):
+        of[rows[i]].add(u)
+    kept = [(r.doc_id, r.text) for r in J.keep_one(
+        df, J.JaccardParams(words=5, percent=80, broadcast_ids=by_broadcast)).select("doc_id", "text").collect()]
+    empty = [r for r, s in zip(rows, sets) if not s]
+    assert sorted((r for r in kept if r in empty), key=str) == sorted(empty, key=str)
+    kept = [r for r in kept if r not in empty]
+    groups = [min(of[r]) for r in kept]
+    assert sorted(groups) == sorted({u for u, s in zip(up, sets) if s})      # one row for each group
+    for (d, _), u in zip(kept, groups):
+        ids = [rows[i][0] for i in range(len(rows)) if up[i] == u and rows[i][0] is not None]
+        assert d == (min(ids) if ids else None)

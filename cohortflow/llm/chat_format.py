@@ -9,6 +9,10 @@ dropping the backslash of every pair gives the text back.
 A batch is assembled at once: the lengths of all headers, texts and trailers
 give every segment's place by a cumulative sum, and bytes are scattered into
 one preallocated buffer that becomes an Arrow column.
+
+Turns are dealt by ranges of their order, so a long conversation is spread
+over tasks.  Each task cuts it between turns into segments of bounded size;
+the segments in order are the conversation.
 """
 
 from __future__ import annotations
@@ -19,6 +23,7 @@ from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +34,9 @@ HEAD, MIDDLE, TAIL = b"### ", b":\n", b"</turn>\n"
 CONTROLS = (b"### ", b"</turn>")
 LOSS_ROLE = "assistant"
 
-SCHEMA = "conv_id long, n_turns long, formatted string, loss_starts array<long>, loss_ends array<long>"
+SEGMENT_CHARS = tb.STEP_CHARS // 8    # a step's batch of records holds many segments
+ROLE_KEY, TEXT_KEY = 32, 200          # characters that deal turns to ranges
+SCHEMA = "conv_id long, segment long, n_turns long, formatted string, loss_starts array<long>, loss_ends array<long>"
 _TURN = re.compile(r"### ((?:[^\\\n]|\\.)*?):\n((?:[^\\<]++|\\.|<(?!/turn>))*+)</turn>\n", re.S)
 _PAIR = re.compile(r"\\(.)", re.S)
 
@@ -122,42 +129,46 @@ def assemble(convs: list, roles: list, texts: list) -> dict:
             "formatted": formatted, "loss_starts": spans[0], "loss_ends": spans[1]}
 
 
+def _in_ranges(turns: DataFrame) -> DataFrame:
+    """Turns dealt by ranges of (conv_id, turn, role, text).  Only the first
+    characters of roles and texts are compared, so bounds stay small; where
+    these are the whole, equal rows are told apart by a number of their own."""
+    long_role = F.coalesce(F.length("role") > ROLE_KEY, F.lit(False))
+    longer = long_role | F.coalesce(F.length("text") > TEXT_KEY, F.lit(False))
+    return (turns.select("conv_id", "turn", "role", "text", F.monotonically_increasing_id().alias("own"))
+            .repartitionByRange("conv_id", F.col("turn").asc_nulls_last(), F.substring("role", 1, ROLE_KEY), long_role,
+                                F.when(~long_role, F.substring("text", 1, TEXT_KEY)), longer, F.when(~longer, F.col("own"))))
+
+
 def format_conversations(turns: DataFrame) -> DataFrame:
-    """conv_id, n_turns, formatted, loss_starts, loss_ends (the assistant
-    texts' code points within ``formatted``, escapes included).
+    """conv_id, segment, n_turns, formatted, loss_starts, loss_ends (the
+    assistant texts' code points within ``formatted``, escapes included), a
+    row for every segment: a conversation is its segments in ascending order.
 
     ``turns`` has conv_id, turn, role, text; other columns are ignored.  Turns
     come in ascending order, null turns last, equal turns by role and text,
     so repeated rows stay.  Null roles and texts are empty; rows without a
-    conv_id form one conversation; no rows give none.  A conversation is one
-    output row, hence held by one task; nothing else is."""
+    conv_id form one conversation; no rows give none.  A segment ends with
+    the turn that fills a step, or with the conversation or its range."""
     target = arrow_schema(turns.sparkSession, SCHEMA)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+        held, size, segment = [], 0, TaskContext.get().partitionId() << 40
         for batch in batches:
-            held += zip(*(batch.column(k).to_pylist() for k in range(3)))
-            last = held[-1][0]
-            cut = len(held)
-            while cut and held[cut - 1][0] == last:
-                cut -= 1
-            if cut:
-                yield from whole(held[:cut])
-                held = held[cut:]
+            for row in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                held.append(row)
+                size += len(row[1] or "") + len(row[2] or "")
+                if size > SEGMENT_CHARS:
+                    yield whole(held, segment)
+                    held, size, segment = [], 0, segment + 1
         if held:
-            yield from whole(held)
-
-    def whole(rows):
-        """Conversations of about a step's size at a time."""
-        lo = size = 0
-        for i, r in enumerate(rows):
-            if i and rows[i - 1][0] != r[0] and size > tb.STEP_CHARS:
-                yield record_batch(assemble(*zip(*rows[lo:i])), target)
-                lo, size = i, 0
-            size += len(r[2] or "")
-        yield record_batch(assemble(*zip(*rows[lo:])), target)
-
-    return (turns.repartition("conv_id").sortWithinPartitions(
+            yield whole(held, segment)
+
+    def whole(rows, segment):
+        out = assemble(*zip(*rows))
+        return record_batch(out | {"segment": [segment] * len(out["conv_id"])}, target)
+
+    return (_in_ranges(turns).sortWithinPartitions(
         "conv_id", F.col("turn").asc_nulls_last(), "role", "text")
         .select("conv_id", "role", "text").mapInArrow(run, SCHEMA))
 
@@ -174,28 +185,53 @@ def parse(formatted: str) -> list[tuple[str, str]]:
     return out
 
 
+class _Digests:
+    """What is read back of a conversation, a segment at a time."""
+
+    def __init__(self, conv_id: int | None):
+        self.conv_id, self.n_turns, self.loss_chars, self.chars = conv_id, 0, 0, 0
+        self.turns, self.loss = sha256(), sha256()
+
+    def add(self, text: str, starts: list[int], ends: list[int]) -> None:
+        for role, said in parse(text):
+            self.turns.update(f"{role}\n{said}\n".encode("utf-8", "surrogatepass"))
+            self.n_turns += 1
+        for a, b in zip(starts, ends):
+            said = unescape(text[a:b])
+            self.loss.update(said.encode("utf-8", "surrogatepass"))
+            self.loss_chars += len(said)
+        self.chars += len(text)
+
+    def row(self) -> tuple:
+        return (self.conv_id, self.n_turns, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars)
+
+
 def read_back(formatted: DataFrame) -> DataFrame:
     """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256,
-    formatted_chars, from formatted conversations alone."""
+    formatted_chars, from the segments of formatted conversations alone.  The
+    segments of a conversation are read one after the other, none is kept."""
     schema = ("conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, "
               "formatted_chars long")
     target = arrow_schema(formatted.sparkSession, schema)
 
-    def digest(s: str) -> str:
-        return sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
+    def rows_of(done: list[_Digests]) -> pa.RecordBatch:
+        cols = zip(*(d.row() for d in done))
+        return record_batch(dict(zip(target.names, map(list, cols))), target)
 
     def run(batches):
+        now = None
         for batch in batches:
-            out = {f.name: [] for f in target}
-            for row in batch.to_pylist():
-                text = row["formatted"]
-                turns = parse(text)
-                loss = "".join(unescape(text[a:b]) for a, b in zip(row["loss_starts"], row["loss_ends"]))
-                for k, v in (("conv_id", row["conv_id"]), ("n_turns", len(turns)),
-                             ("turns_sha256", digest("".join(f"{r}\n{t}\n" for r, t in turns))),
-                             ("loss_chars", len(loss)), ("loss_sha256", digest(loss)),
-                             ("formatted_chars", len(text))):
-                    out[k].append(v)
-            yield record_batch(out, target)
-
-    return formatted.mapInArrow(run, schema)
+            done = []
+            for i in range(batch.num_rows):
+                conv_id, text, starts, ends = (batch.column(k)[i].as_py() for k in range(4))
+                if now is None or now.conv_id != conv_id:
+                    done += [now] if now else []
+                    now = _Digests(conv_id)
+                now.add(text, starts, ends)
+            if done:
+                yield rows_of(done)
+        if now:
+            yield rows_of([now])
+
+    return (formatted.repartition("conv_id").sortWithinPartitions("conv_id", "segment")
+            .select("conv_id", "formatted", "loss_starts", "loss_ends").mapInArrow(run, schema))

@@ -46,3 +46,22 @@ def test_no_control_string_in_an_escaped_text():
         data, at = C.escape([t])
         s = data.tobytes().decode()
         assert "### " not in s and "</turn>" not in s and C.unescape(s) == t
+
+
+def test_a_long_conversation_in_bounded_segments(spark):
+    """One conversation of most rows, and rows without an id, many of them
+    equal; the order of turns holds across segments and ranges."""
+    rng = random.Random(5)
+    rows = [(1, i % 900, rng.choice(["user", "assistant", "r" * 40 + str(i % 3)]), f"{rng.random()} " * (i % 60), i)
+            for i in range(4000)]
+    rows += [(None, rng.choice([0, 1, None]), "assistant", rng.choice([None, "", "same " * 30, "long " * 60 + str(i % 9)]), i)
+             for i in range(3000)]
+    rows += [(k, 0, "user", "hello", 0) for k in range(2, 50)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, own long").repartition(7)
+    check(df)
+    made = C.format_conversations(df).collect()
+    for c in (1, None):
+        own = [r for r in made if r.conv_id == c]
+        assert len(own) > 3 and len({r.segment for r in own}) == len(own)
+    assert max(len(r.formatted) for r in made) < 2 * C.SEGMENT_CHARS

@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortflow.llm import (bpe_automaton, chat_format, direct_codes, importance, jaccard_join, merkle,
-                            packing, secrets, site_quality, toxicity)
+from cohortflow.llm import (bpe_automaton, byte_bpe, centroids, chat_format, direct_codes, fill_middle,
+                            importance, jaccard_join, merkle, packing, secrets, site_quality, toxicity)
 from cohortflow.llm.common import ship, table
 from cohortflow.sources.cube_store import materialize, scratch_path
 
@@ -84,7 +84,25 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_back(done)
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digests(_documents(spark, sf_dir))
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    return byte_bpe.encode_digests(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_secret_scans, op2_ngram_jaccard_join, op3_quality_rules, op4_fingerprints, op5_bpe_encode_decode,
-    op6_toxicity, op7_packing, op8_quality_classifier, op9_token_files, op10_chat_formatting)}
-ORACLE: dict[str, str] = {}
+    op6_toxicity, op7_packing, op8_quality_classifier, op9_token_files, op10_chat_formatting, op11_centroid_clustering,
+    op12_fill_middle, op13_byte_bpe)}
+ORACLE: dict[str, str] = {
+    "op11_centroid_clustering": centroids.cluster_sql(),
+    "op12_fill_middle": fill_middle.digests_sql(),
+}

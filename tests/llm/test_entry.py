@@ -5,7 +5,7 @@ from cohortflow.llm.queries import ORACLE, QUERIES
 def test_every_operator_is_registered():
     import __spark_entry__ as entry
     names = entry.queries()
-    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 14)}
     assert set(QUERIES) <= set(names) and "pipeline" in names
     assert set(ORACLE) <= set(entry.oracle_sql())
 

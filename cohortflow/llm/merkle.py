@@ -1,18 +1,23 @@
 """Document fingerprints: a Merkle tree over sections and paragraphs.
 
-A paragraph is a line.  Sections are runs of paragraphs, ended by a paragraph
-whose own hash says so, and leaves are runs of words within a paragraph,
-ended by a word whose hash says so; both ends move with the content, so an
-edit changes the leaves it touches and the nodes above them, no others.
-The fingerprint is a string: the root, then the leaves by paragraph and
-section.  Inner nodes follow from the leaves; equal roots mean equal texts,
-and where roots differ the walk goes down differing branches only.
+A paragraph is a line; its node is a 128-bit digest of its own bytes.  Sections
+are runs of paragraphs, ended by a paragraph whose digest says so, so that their
+ends move with the content; a section's node is the digest of its paragraphs'
+nodes, the root that of the sections' nodes.  Equal roots therefore mean equal
+texts (but for a collision of 128-bit BLAKE2b).
+
+The fingerprint is a string: the root, then by section and paragraph the nodes,
+and below each paragraph short codes of its leaves.  Leaves are runs of words
+ended by a word whose hash says so; their codes serve to place an edit within a
+paragraph and never to call texts equal.  Comparing goes down the tree: equal
+sections and paragraphs are not entered, only differing branches are.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from hashlib import blake2b, sha256
 
 import numpy as np
@@ -26,124 +31,168 @@ from cohortflow.llm.ordering import bucketed, sorted_buckets
 
 LEAF_WORDS = 8              # mean words of a leaf
 SECTION_PARAGRAPHS = 4      # mean paragraphs of a section
+NODE_HEX = 32
 LEAF_HEX = 8
 
 SCHEMA = ("doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
           "near_edited double, near_next double")
 
 
-def _node(children: list[bytes]) -> bytes:
-    return blake2b(b"".join(children), digest_size=16).digest()
+def _node(data: bytes) -> bytes:
+    return blake2b(data, digest_size=16).digest()
 
 
-def leaf_hashes(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a batch: every leaf's 32-bit hash, whether a paragraph and whether a
-    section ends with it, and per-text offsets.  Leaves cover every code
-    point of a text, white space included."""
+def paragraphs(text: str) -> list[bytes]:
+    """The lines of a text, each with the line feed that ends it."""
+    lines = text.encode("utf-8", "surrogatepass").split(b"\n")
+    return [x + b"\n" for x in lines[:-1]] + ([lines[-1]] if lines[-1] else [])
+
+
+def leaf_codes(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a batch: every leaf's 32-bit code, the index of the first leaf of
+    every paragraph, and per-text offsets into the paragraphs.  Leaves cover
+    every code point, white space included."""
     cp, offsets = tb.code_points(texts)
     n = len(cp)
     if n == 0:
-        z = np.zeros(0, bool)
-        return np.zeros(0, np.uint32), z, z, np.zeros(len(texts) + 1, np.int64)
-    starts, ends, h = tb.words(cp, offsets)
-    cut = np.zeros(n + 1, dtype=bool)
-    cut[offsets] = True
-    line = np.flatnonzero(cp == 10) + 1
-    cut[line] = True
-    last = ends[h % np.uint64(LEAF_WORDS) == 0]
-    cut[last[(last < n)]] = True
+        return np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(len(texts) + 1, np.int64)
+    _, ends, h = tb.words(cp, offsets)
+    line = np.zeros(n + 1, dtype=bool)
+    line[offsets] = True
+    line[np.flatnonzero(cp == 10) + 1] = True
+    cut = line.copy()
+    cut[ends[h % np.uint64(LEAF_WORDS) == 0]] = True
     bounds = np.flatnonzero(cut[:n])
-    leaf_end = np.append(bounds[1:], n)
-    leaves = tb.run_hashes(cp, bounds, leaf_end)
-    of = np.searchsorted(offsets, bounds, side="right") - 1
-    text_end = np.append(of[1:] != of[:-1], True)
-    is_line = np.zeros(n + 1, dtype=bool)
-    is_line[line] = True
-    paragraph = text_end | is_line[leaf_end]
-    # a paragraph's hash, for the sections' ends: a prefix sum of its leaves
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(leaves, dtype=np.uint64)])
-    stop = np.flatnonzero(paragraph) + 1
-    own = tb.mix64(total[stop] - total[np.concatenate([[0], stop[:-1]])])
-    section = text_end.copy()
-    section[stop[own % np.uint64(SECTION_PARAGRAPHS) == 0] - 1] = True
-    return (leaves >> np.uint64(32)).astype(np.uint32), paragraph, section, np.searchsorted(bounds, offsets)
-
-
-def _string(leaves: np.ndarray, paragraph: np.ndarray, section: np.ndarray) -> str:
-    """The fingerprint of one text's leaves."""
-    data = leaves.astype(">u4").tobytes()
-    text, parts, nodes, sections, at = data.hex(), [], [], [], 0
-    for i in np.flatnonzero(paragraph).tolist():
-        nodes.append(_node([data[4 * at:4 * i + 4]]))
-        parts.append(text[8 * at:8 * i + 8])
-        at = i + 1
-        if section[i]:
-            sections.append((".".join(parts), _node(nodes)))
-            parts, nodes = [], []
-    return _node([d for _, d in sections]).hex() + ":" + "/".join(s for s, _ in sections)
-
-
-def fingerprints(texts: list) -> tuple[list[str], list[np.ndarray]]:
-    """Fingerprint and leaves of every text."""
-    leaves, paragraph, section, at = leaf_hashes(texts)
-    out, own = [], []
-    for a, b in zip(at[:-1], at[1:]):
-        out.append(_string(leaves[a:b], paragraph[a:b], section[a:b]))
-        own.append(leaves[a:b])
-    return out, own
-
-
-def parse(fingerprint: str) -> list[list[list[str]]]:
-    """Sections, paragraphs, leaves."""
-    body = fingerprint.partition(":")[2]
-    return [[[p[i:i + LEAF_HEX] for i in range(0, len(p), LEAF_HEX)] for p in s.split(".")]
-            for s in body.split("/")] if body else []
+    leaves = tb.run_hashes(cp, bounds, np.append(bounds[1:], n))
+    starts = np.flatnonzero(line[:n])
+    return ((leaves >> np.uint64(32)).astype(np.uint32), np.append(np.searchsorted(bounds, starts), len(bounds)),
+            np.searchsorted(starts, offsets))
+
+
+@dataclass(frozen=True)
+class Tree:
+    """One text's nodes: sections of (paragraph node, leaf codes)."""
+
+    root: bytes
+    sections: list[tuple[bytes, list[tuple[bytes, np.ndarray]]]]
+
+    @property
+    def leaves(self) -> int:
+        return sum(len(codes) for _, s in self.sections for _, codes in s)
+
+    def __str__(self) -> str:
+        return self.root.hex() + ":" + "/".join(
+            ".".join(node.hex() + codes.astype(">u4").tobytes().hex() for node, codes in s)
+            for _, s in self.sections)
+
+    @classmethod
+    def parse(cls, fingerprint: str) -> Tree:
+        root, _, body = fingerprint.partition(":")
+        sections = []
+        for section in body.split("/") if body else []:
+            held = [(bytes.fromhex(x[:NODE_HEX]), np.frombuffer(bytes.fromhex(x[NODE_HEX:]), ">u4"))
+                    for x in section.split(".")]
+            sections.append((_node(b"".join(node for node, _ in held)), held))
+        return cls(bytes.fromhex(root), sections)
+
+
+def trees(texts: list) -> list[Tree]:
+    """The tree of every text (null: empty)."""
+    texts = [t or "" for t in texts]
+    codes, first, at = leaf_codes(texts)
+    out = []
+    for i, t in enumerate(texts):
+        sections, held = [], []
+        for k, line in enumerate(paragraphs(t), int(at[i])):
+            node = _node(line)
+            held.append((node, codes[first[k]:first[k + 1]]))
+            if node[0] % SECTION_PARAGRAPHS == 0:
+                sections.append((_node(b"".join(x for x, _ in held)), held))
+                held = []
+        if held:
+            sections.append((_node(b"".join(x for x, _ in held)), held))
+        out.append(Tree(_node(b"".join(x for x, _ in sections)), sections))
+    return out
+
+
+def fingerprints(texts: list) -> list[str]:
+    return [str(t) for t in trees(texts)]
+
+
+def _unmatched(a: list, b: list) -> tuple[list, list]:
+    """What is left of the (node, content) of ``a`` and of ``b`` when equal
+    nodes are paired off, with multiplicity."""
+    seen = Counter(x[0] for x in a)
+    rest_b = []
+    for x in b:
+        if seen[x[0]] > 0:
+            seen[x[0]] -= 1
+        else:
+            rest_b.append(x)
+    if len(rest_b) == len(b):
+        return a, b
+    rest_a = []
+    for x in reversed(a):           # the last ones of a node are those left over
+        if seen[x[0]] > 0:
+            seen[x[0]] -= 1
+            rest_a.append(x)
+    return rest_a[::-1], rest_b
+
+
+def differing_paragraphs(a: Tree, b: Tree) -> tuple[list, list]:
+    """The (node, codes) of paragraphs that one tree has and the other has
+    not, found through differing sections only."""
+    if a.root == b.root:
+        return [], []
+    left, right = _unmatched(a.sections, b.sections)
+    return _unmatched([p for _, s in left for p in s], [p for _, s in right for p in s])
 
 
 def locate_edits(a: str, b: str) -> list[tuple[int, int, int]]:
     """(section, paragraph, leaf) of the leaves of ``b`` that differ from
     ``a``: equal roots give none, equal sections and paragraphs are not
-    entered."""
-    if a.partition(":")[0] == b.partition(":")[0]:
-        return []
-    old, out = parse(a), []
-    sections = Counter(str(s) for s in old)
-    paragraphs = Counter(str(p) for s in old for p in s)
-    leaves = Counter(x for s in old for p in s for x in p)
-
-    def take(seen: Counter, key: str) -> bool:
-        if seen[key] <= 0:
-            return False
-        seen[key] -= 1
-        return True
-
-    for i, s in enumerate(parse(b)):
-        if take(sections, str(s)):
-            continue
-        for j, p in enumerate(s):
-            if not take(paragraphs, str(p)):
-                out += [(i, j, k) for k, x in enumerate(p) if not take(leaves, x)]
+    entered.  Paragraphs that differ while their leaves' codes do not (leaves
+    moved, or a shared code) give all their leaves."""
+    x, y = Tree.parse(a), Tree.parse(b)
+    old, new = differing_paragraphs(x, y)
+    left = {id(codes) for _, codes in new}
+    seen = Counter(c for _, codes in old for c in codes.tolist())
+    out = []
+    for i, (_, section) in enumerate(y.sections):
+        for j, (_, codes) in enumerate(section):
+            if id(codes) not in left:
+                continue
+            changed = []
+            for k, c in enumerate(codes.tolist()):
+                if seen[c] > 0:
+                    seen[c] -= 1
+                else:
+                    changed.append((i, j, k))
+            out += changed or [(i, j, k) for k in range(len(codes))]
     return out
 
 
-def likeness(a: str, b: str) -> float:
-    """Twice the common leaves (with multiplicity) over all leaves; 1 for equal
-    roots, 0 if only one of them has leaves."""
-    if a.partition(":")[0] == b.partition(":")[0]:
+def tree_likeness(a: Tree, b: Tree) -> float:
+    """Twice the leaves in common over all leaves.  Leaves below equal nodes
+    are in common; below differing paragraphs those of equal code are.  1 for
+    equal roots and for nothing else; 0 if only one of them has leaves."""
+    if a.root == b.root:
         return 1.0
-    x, y = (Counter(leaf for s in parse(f) for p in s for leaf in p) for f in (a, b))
-    return 2 * sum((x & y).values()) / max(1, sum(x.values()) + sum(y.values()))
+    total = a.leaves + b.leaves
+    left, right = differing_paragraphs(a, b)
+    x = np.concatenate([c for _, c in left]) if left else np.zeros(0, np.uint32)
+    y = np.concatenate([c for _, c in right]) if right else np.zeros(0, np.uint32)
+    common = total - len(x) - len(y)
+    u, nu = np.unique(x, return_counts=True)
+    v, nv = np.unique(y, return_counts=True)
+    _, i, j = np.intersect1d(u, v, assume_unique=True, return_indices=True)
+    common += 2 * int(np.minimum(nu[i], nv[j]).sum())
+    return min(common / total, 1 - 1 / (total + 1))
 
 
-def _likeness(fa: str, fb: str, a: np.ndarray, b: np.ndarray) -> float:
-    if fa[:32] == fb[:32]:
-        return 1.0
-    if len(a) + len(b) == 0:
-        return 0.0
-    x, nx = np.unique(a, return_counts=True)
-    y, ny = np.unique(b, return_counts=True)
-    _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
-    return 2 * int(np.minimum(nx[i], ny[j]).sum()) / (len(a) + len(b))
+def likeness(a: str, b: str) -> float:
+    """``tree_likeness`` of two fingerprints."""
+    return tree_likeness(Tree.parse(a), Tree.parse(b))
 
 
 def edited(text: str, following: str) -> str:
@@ -156,18 +205,17 @@ def edited(text: str, following: str) -> str:
 def _rows(keys: list, texts: list, following: list) -> dict:
     """Result columns of documents and the texts that follow them."""
     changed = [edited(t, f) for t, f in zip(texts, following)]
-    marks, leaves = fingerprints(texts)
-    edit_marks, edit_leaves = fingerprints(changed)
+    own, after = trees(texts), trees(changed)
     # a document is mostly followed by the next of the same batch
     rest = [i for i in range(len(texts)) if i + 1 >= len(texts) or following[i] is not texts[i + 1]]
-    other_marks, other_leaves = [*marks[1:], ""], [*leaves[1:], np.zeros(0, np.uint32)]
-    for i, m, x in zip(rest, *fingerprints([following[i] for i in rest])):
-        other_marks[i], other_leaves[i] = m, x
+    other = [*own[1:], None]
+    for i, tree in zip(rest, trees([following[i] for i in rest])):
+        other[i] = tree
     return {"doc_id": keys, "n_chars": [len(t) for t in texts],
             "edited_sha256": [sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in changed],
-            "fingerprint": marks, "edited_fingerprint": edit_marks,
-            "near_edited": [_likeness(*x) for x in zip(marks, edit_marks, leaves, edit_leaves)],
-            "near_next": [_likeness(*x) for x in zip(marks, other_marks, leaves, other_leaves)]}
+            "fingerprint": [str(t) for t in own], "edited_fingerprint": [str(t) for t in after],
+            "near_edited": [tree_likeness(*x) for x in zip(own, after)],
+            "near_next": [tree_likeness(*x) for x in zip(own, other)]}
 
 
 def document_fingerprints(docs: DataFrame) -> DataFrame:

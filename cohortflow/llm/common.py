@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +31,21 @@ def sample_filter(df: DataFrame, key: Column, bound: int) -> DataFrame:
     return df.where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int(bound / n * (1 << 30)))
 
 
+def text_slices(batch: pa.RecordBatch, column: int, budget: int = tb.STEP_CHARS
+                ) -> Iterator[tuple[pa.RecordBatch, list]]:
+    """``batch`` in consecutive slices of at most ``budget`` characters of a
+    text column each (one row at least), with the slice's texts.  Only one
+    slice's texts are Python objects at a time."""
+    sizes = np.cumsum(pc.fill_null(pc.utf8_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+    lo = 0
+    while lo < batch.num_rows:
+        before = int(sizes[lo - 1]) if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(sizes, before + budget, side="right")))
+        part = batch.slice(lo, hi - lo)
+        yield part, part.column(column).to_pylist()
+        lo = hi
+
+
 def map_texts(df: DataFrame, step: Callable, schema: str, text: str = "text",
               budget: int = tb.STEP_CHARS) -> DataFrame:
     """Run ``step(batch, texts) -> dict of columns`` over slices of ``df`` of
@@ -36,14 +54,22 @@ def map_texts(df: DataFrame, step: Callable, schema: str, text: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
-            for lo, hi in tb.steps(texts, budget):
-                cols = step(batch.slice(lo, hi - lo), texts[lo:hi])
-                yield record_batch(cols, target)
+            for part, texts in text_slices(batch, batch.schema.get_field_index(text), budget):
+                yield record_batch(step(part, texts), target)
+        release()
 
     return df.mapInArrow(run, schema)
 
 
+def release() -> None:
+    """Hand memory that Arrow and the C library keep for later back: the worker
+    may serve a task of quite another kind next."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def record_batch(cols: dict, schema: pa.Schema) -> pa.RecordBatch:
     arrays = []
     for field in schema:

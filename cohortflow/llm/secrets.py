@@ -4,13 +4,19 @@ Three patterns give the base findings.  The entropy scan adds spans: within
 long runs of token characters, and for each character class apart, a window
 slides over the run; its Shannon entropy follows from counts that change by
 one character in and one out per step.  Windows at or above the class's
-threshold merge into spans.  Allow-listed candidates are suppressed: shapes
+threshold that touch or overlap merge into spans; a span within one of a
+narrower class is left out.  Stretches of one class that are letters only or
+have no letter are no candidates.  Allow-listed candidates are suppressed: shapes
 that are no secrets (words, numbers, identifiers in plain letters, UUIDs,
 dates, versions, paths of words) and strings that the caller names.
 """
 
 from __future__ import annotations
 
+import bisect
+import functools
+import itertools
+import math
 import re
 from dataclasses import dataclass, field
 from hashlib import sha256
@@ -68,25 +74,34 @@ class SecretParams:
     shortest: int = 20
 
 
-def _class_values(window: int) -> np.ndarray:
-    c = np.arange(window + 1, dtype=float)
-    return np.where(c > 0, c * np.log2(np.maximum(c, 1)), 0.0)
+#: entropies are sums of whole numbers of this fraction of a bit, so that they
+#: do not depend on the order in which counts change
+_UNIT = 1 << 40
+#: runs from this length on are counted with numpy, by character
+_LONG = 4096
 
 
-def window_entropies(s: str, window: int) -> list[float]:
-    """Entropy in bits of every window of ``s``: log2(w) - sum(c log2 c) / w,
-    the sum kept up to date as one count grows and one shrinks."""
+@functools.cache
+def _class_values(window: int) -> list[int]:
+    """c log2 c for every count, in units."""
+    return [round(c * math.log2(c) * _UNIT) if c else 0 for c in range(window + 1)]
+
+
+def window_sums(s: str, window: int) -> list[int]:
+    """sum(c log2 c), in units, over the character counts of every window of
+    ``s``: kept up to date as one count grows and one shrinks."""
     if len(s) < window:
         return []
-    value = _class_values(window).tolist()
+    if len(s) >= _LONG:
+        return _long_sums(s, window).tolist()
+    value = _class_values(window)
     counts: dict[str, int] = {}
-    total = 0.0
+    total = 0
     for ch in s[:window]:
         c = counts.get(ch, 0)
         counts[ch] = c + 1
         total += value[c + 1] - value[c]
-    top = float(np.log2(window))
-    out = [top - total / window]
+    out = [total]
     for i in range(window, len(s)):
         new, old = s[i], s[i - window]
         if new != old:
@@ -96,10 +111,41 @@ def window_entropies(s: str, window: int) -> list[float]:
             c = counts[old]
             counts[old] = c - 1
             total += value[c - 1] - value[c]
-        out.append(top - total / window)
+        out.append(total)
+    return out
+
+
+def _long_sums(s: str, window: int) -> np.ndarray:
+    """The same for a long run: a character at a time, its count in every
+    window from a running count."""
+    value = np.array(_class_values(window), dtype=np.int64)
+    cp = np.frombuffer(s.encode("utf-32-le"), np.uint32)
+    out = np.zeros(len(cp) - window + 1, dtype=np.int64)
+    for c in np.unique(cp):
+        seen = np.concatenate([[0], np.cumsum(cp == c, dtype=np.int32)])
+        out += value[seen[window:] - seen[:-window]]
     return out
 
 
+def window_entropies(s: str, window: int) -> list[float]:
+    """Entropy in bits of every window of ``s``: log2(w) - sum(c log2 c) / w."""
+    return [math.log2(window) - x / _UNIT / window for x in window_sums(s, window)]
+
+
+def random_stretches(s: str, window: int, bits: float) -> list[tuple[int, int]]:
+    """Windows of ``s`` with an entropy of ``bits`` or more, those that touch
+    or overlap as one stretch."""
+    limit = math.floor((math.log2(window) - bits) * window * _UNIT)
+    out: list[list[int]] = []
+    for i, total in enumerate(window_sums(s, window)):
+        if total <= limit:
+            if out and i <= out[-1][1]:
+                out[-1][1] = i + window
+            else:
+                out.append([i, i + window])
+    return [(a, b) for a, b in out]
+
+
 class Scanner:
     """Compiled parameters."""
 
@@ -115,27 +161,22 @@ class Scanner:
         """Spans of a candidate run that begins at ``at``."""
         if self.suppressed(s):
             return []
-        out, seen = [], []
+        kept: list[tuple[int, int, str]] = []
         for c, pattern in self.runs:
+            # of the narrower classes' spans by start, the farthest end so far
+            kept.sort()
+            begins = [a for a, _, _ in kept]
+            reach = list(itertools.accumulate((b for _, b, _ in kept), max))
             for m in pattern.finditer(s):
                 part = m.group()
-                if self.suppressed(part) or part.isalpha() or not any(x.isalpha() for x in part):
+                if part.isalpha() or not any(x.isalpha() for x in part) or self.suppressed(part):
                     continue
-                lo = hi = None
-                for i, e in enumerate(window_entropies(part, c.window)):
-                    if e < c.bits:
-                        continue
-                    if hi is not None and i > hi:
-                        out.append((at + m.start() + lo, at + m.start() + hi, c.kind))
-                        lo = None
-                    lo = i if lo is None else lo
-                    hi = i + c.window
-                if lo is not None:
-                    out.append((at + m.start() + lo, at + m.start() + hi, c.kind))
-        for span in out:        # a wider class repeats nothing that a narrower one found
-            if not any(a <= span[0] and span[1] <= b for a, b, _ in seen):
-                seen.append(span)
-        return seen
+                for lo, hi in random_stretches(part, c.window, c.bits):
+                    lo, hi = at + m.start() + lo, at + m.start() + hi
+                    k = bisect.bisect_right(begins, lo)
+                    if not k or reach[k - 1] < hi:      # a wider class repeats nothing that a narrower one found
+                        kept.append((lo, hi, c.kind))
+        return kept
 
     def scan(self, texts: list) -> list[tuple[list, list]]:
         """(base spans, added spans) of every text, as (start, end, kind)."""
@@ -156,8 +197,7 @@ class Scanner:
         for s, e, i in zip(starts[long].tolist(), ends[long].tolist(), tb.owner(starts[long], offsets).tolist()):
             found[i][0].append((s - int(offsets[i]), e - int(offsets[i]), "hex"))
         starts, ends = tb.runs((code & 2) > 0, offsets)
-        digits = np.concatenate([[0], np.cumsum((code & 4) > 0)])
-        long = (ends - starts >= self.p.shortest) & (digits[ends] > digits[starts])
+        long = ends - starts >= self.p.shortest
         for s, e, i in zip(starts[long].tolist(), ends[long].tolist(), tb.owner(starts[long], offsets).tolist()):
             lo = int(offsets[i])
             found[i][1].extend(self.entropy_spans(texts[i][s - lo:e - lo], s - lo))
@@ -170,11 +210,11 @@ class Scanner:
 
 def _class_table() -> np.ndarray:
     """Bits by code point (127 stands for all above): 1 lower-case hex, 2 token
-    character, 4 digit."""
+    character."""
     t = np.zeros(128, dtype=np.uint8)
     for c in range(127):
         ch = chr(c)
-        t[c] = (ch in "0123456789abcdef") | 2 * (ch.isascii() and ch.isalnum() or ch in "+/_.=-") | 4 * ch.isdigit()
+        t[c] = (ch in "0123456789abcdef") | 2 * (ch.isascii() and ch.isalnum() or ch in "+/_.=-")
     return t
 
 

@@ -1,6 +1,7 @@
 import math
 import random
 import re
+import time
 from collections import Counter
 from hashlib import sha256
 
@@ -63,3 +64,54 @@ def test_edges_and_redaction(edge, none):
     assert row.n_chars == len(row.text)
     assert done.where("doc_id = 1").first().text is None
     assert S.redact(none).count() == 0
+
+
+def brute_added(text, p):
+    """Entropy spans from the counts of every single window."""
+    out = []
+    for run in re.finditer(r"[A-Za-z0-9+/_.=-]{%d,}" % p.shortest, text):
+        blocked = lambda s: s in p.known or any(re.fullmatch(a, s) for a in p.allowed)
+        if blocked(run.group()):
+            continue
+        kept = []
+        for c in p.classes:
+            new = []
+            for m in re.finditer(f"[{c.chars}]{{{c.window},}}", run.group()):
+                s = m.group()
+                if s.isalpha() or not any(x.isalpha() for x in s) or blocked(s):
+                    continue
+                hit = [i for i in range(len(s) - c.window + 1) if -sum(
+                    n / c.window * math.log2(n / c.window) for n in Counter(s[i:i + c.window]).values()) >= c.bits - 1e-9]
+                spans = []
+                for i in hit:
+                    if spans and i <= spans[-1][1]:
+                        spans[-1][1] = i + c.window
+                    else:
+                        spans.append([i, i + c.window])
+                new += [(run.start() + m.start() + a, run.start() + m.start() + b, c.kind) for a, b in spans]
+            kept += [x for x in new if not any(a <= x[0] and x[1] <= b for a, b, _ in kept)]
+        out += kept
+    return sorted(out, key=lambda x: (x[0], S.KINDS.index(x[2])))
+
+
+def test_entropy_spans_equal_a_brute_force(texts):
+    rng = random.Random(9)
+    alphabet = "abcdef0123456789" * 3 + "ghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/_=-.  "
+    made = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 400))) for _ in range(150)]
+    made += ["AbCdEfGhIjKlMnOpQrStUvWx+/AbQzRt", "a" * 50, "ab+" * 30]
+    p = S.SecretParams()
+    scanner = S.Scanner(p)
+    for t in [*made, *texts.values()]:
+        t = t or ""
+        assert scanner.scan([t])[0][1] == brute_added(t, p)
+    assert scanner.scan(["AbCdEfGhIjKlMnOpQrStUvWx+/AbQzRt"])[0][1]
+
+
+def test_a_long_run_takes_little_time():
+    rng = random.Random(2)
+    s = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(1 << 20))
+    start = time.process_time()
+    spans = S.Scanner(S.SecretParams()).scan([s])[0][1]
+    assert spans and time.process_time() - start < 10
+    short = s[:5000]
+    assert S._long_sums(short, 20).tolist() == S.window_sums(short[:4000], 20) + S.window_sums(short[3981:], 20)

@@ -13,7 +13,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortflow.llm.common import map_texts, sample_filter
@@ -129,9 +129,8 @@ def site_posteriors(scored: DataFrame) -> DataFrame:
     host_strength = _strength(c(prior), c(r["host_squares"] / r["all_n"] - prior ** 2), c(r["all_n"] / r["hosts"]))
     path_strength = _strength(c(prior), c((r["path_squares"] - r["host_squares"]) / r["all_n"]),
                               c(r["all_n"] / r["paths"]))
-    by_host = Window.partitionBy("host")
-    return (paths.withColumn("host_n", F.sum("n").over(by_host))
-            .withColumn("host_total", F.sum("total").over(by_host))
+    # sums by host joined back: a host with very many paths is no single task
+    return (paths.join(hosts.select("host", "host_n", "host_total"), "host")
             .withColumn("host_posterior", _shrunk(F.col("host_total"), F.col("host_n"), c(prior), host_strength))
             .withColumn("path_posterior", _shrunk(F.col("total"), F.col("n"), F.col("host_posterior"), path_strength))
             .select("host", "path", "n", "host_posterior", "path_posterior", c(prior).alias("prior")))
@@ -159,11 +158,12 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, col
     model = fit_logistic(x, y)
     named = docs.withColumn("_host", F.coalesce(host.cast("string"), F.lit(""))).withColumn(
         "_path", F.coalesce(path.cast("string"), F.lit("")))
-    sites = site_posteriors(with_logits(named, model, ["_host", "_path"]).select(
+    # every text is scored once; what follows reads the scored rows
+    scored = materialize(with_logits(named, model, [*columns, "_host", "_path"]), "scored")
+    sites = site_posteriors(scored.select(
         F.col("_host").alias("host"), F.col("_path").alias("path"), "logit")).select(
         F.col("host").alias("_host"), F.col("path").alias("_path"), "host_posterior", "path_posterior", "prior")
     sites = materialize(sites, "sites")
-    scored = with_logits(named, model, [*columns, "_host", "_path"])
     if sites.count() <= p.broadcast_sites:
         met = scored.join(F.broadcast(sites), ["_host", "_path"])
     else:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from cohortflow.llm.common import map_texts
-from cohortflow.llm.pieces import PieceCache, TokenizerFile, tokenizer_file
+from cohortflow.llm.pieces import PieceCache, TokenizerFile, names_of, tokenizer_file
 
 
 @functools.cache
@@ -165,7 +165,13 @@ def automaton(path: str) -> MergeAutomaton:
 @functools.lru_cache(maxsize=2)
 def automaton_cache(path: str) -> PieceCache:
     made = automaton(path)
-    return PieceCache(tokenizer_file(path), lambda _, pieces: [made.encode(x) for x in pieces])
+
+    def run(_, chars, sizes):
+        ids = [made.encode(x) for x in names_of(chars, sizes)]
+        return (np.array([i for x in ids for i in x], dtype=np.uint32),
+                np.array([len(x) for x in ids], dtype=np.int64))
+
+    return PieceCache(tokenizer_file(path), run)
 
 
 class _Labels:
@@ -178,8 +184,8 @@ class _Labels:
         cache, names = self.cache, self.cache.file.names
         if self.generation != cache.generation:
             self.generation, self.ids, self.labels = cache.generation, [], []
-        for c in range(len(self.ids), len(cache.code)):
-            ids = cache.ids[cache.at[c]:cache.at[c] + cache.size[c]].tolist()
+        for at, size in cache.entry[:2, len(self.ids):cache.count].T.tolist():
+            ids = cache.ids[at:at + size].tolist()
             self.ids.append(" ".join(map(str, ids)))
             self.labels.append(" ".join([names[i] for i in ids]))
         return self.ids, self.labels
@@ -224,7 +230,7 @@ def encode_digests(docs: DataFrame, path: str) -> DataFrame:
         cache = automaton_cache(path)
         codes, bounds = cache.codes(texts)
         ids, labels = _labels(path).upto_date()
-        sizes = np.concatenate([[0], np.cumsum(cache.size[codes])])[bounds]
+        sizes = np.concatenate([[0], np.cumsum(cache.entry[1, codes])])[bounds]
         out = {"doc_id": batch.column(0), "n_tokens": np.diff(sizes), "ids_sha256": [], "decoded_sha256": []}
         for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
             c = codes[a:b].tolist()

@@ -22,8 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortflow.llm import textbatch as tb
-from cohortflow.llm.common import arrow_schema, record_batch
+from cohortflow.llm.common import arrow_schema, record_batch, release, text_slices
 from cohortflow.llm.ordering import bucketed, sorted_buckets
 from cohortflow.llm.pieces import library_cache
 
@@ -152,20 +151,21 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
         cache = library_cache(tokenizer)
         held, size, bucket, number, start = [], 0, None, 0, 0
         for batch in batches:
-            keys, texts, buckets = (batch.column(k).to_pylist() for k in range(3))
-            for lo, hi in tb.steps(texts):
-                ids, bounds = cache.tokens(texts[lo:hi])
-                for i in range(lo, hi):
+            for part, texts in text_slices(batch, 1):
+                keys, buckets = part.column(0).to_pylist(), part.column(2).to_pylist()
+                ids, bounds = cache.tokens(texts)
+                for i in range(len(texts)):
                     if buckets[i] != bucket or size >= SHARD_TOKENS:
                         if held:
                             yield record_batch(shard(bucket, number, start, held), target)
                         start, number = (start + size, number + 1) if buckets[i] == bucket else (0, 0)
                         held, size, bucket = [], 0, buckets[i]
-                    own = np.append(ids[bounds[i - lo]:bounds[i - lo + 1]], np.uint32(end_id))
+                    own = np.append(ids[bounds[i]:bounds[i + 1]], np.uint32(end_id))
                     held.append((keys[i], own.astype(np.uint32)))
                     size += len(own)
         if held:
             yield record_batch(shard(bucket, number, start, held), target)
+        release()
 
     ordered.select("doc_id", "text", "bucket").mapInArrow(run, SHARD_SCHEMA).write.mode("overwrite").parquet(path)
     spark = docs.sparkSession

@@ -4,7 +4,9 @@ Documents are cut into full sequences and one rest; the rests' histogram (at
 most ``size`` numbers, whatever the corpus) is packed on the driver: lengths
 longest first, each into the pack with the most room, a count of equal packs
 at a time.  Every place in a pack then stands for a range of ranks among the
-pieces of its length, and a piece finds its sequence by its own rank.
+pieces of its length.  A task numbers the pieces of each length as it cuts
+them; with the pieces that earlier tasks cut of that length (counts by length
+and task, added up) this is a piece's rank, so no pieces are sorted.
 """
 
 from __future__ import annotations
@@ -15,16 +17,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortflow.llm.common import arrow_schema, map_texts, record_batch
+from cohortflow.llm.common import arrow_schema, record_batch, release, text_slices
 from cohortflow.llm.pieces import library_cache
 from cohortflow.sources.cube_store import materialize
 
 SIZE = 4096
 END_ID = 2
-RANK_PARTS = 64
 
 
 @dataclass
@@ -109,48 +111,74 @@ class Places:
         return self.sequence[at] + rank - self.rank[at], self.offset[at]
 
 
-def cut_documents(docs: DataFrame, tokenizer: str, size: int = SIZE, end_id: int = END_ID) -> DataFrame:
+PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
+
+
+def cut_documents(docs: DataFrame, tokenizer: str, size: int = SIZE, end_id: int = END_ID,
+                  with_ids: bool = False) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens: every document's ids,
-    ``end_id`` after them, in pieces of ``size`` and a rest."""
-    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
-
-    def step(batch, texts):
-        ids, bounds = library_cache(tokenizer).tokens(texts)
-        keys = batch.column(0).to_pylist()
-        out = {k: [] for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")}
-        for i, key in enumerate(keys):
-            own = np.append(ids[bounds[i]:bounds[i + 1]], np.uint32(end_id)).astype("<u4")
-            for at in range(0, len(own), size):
-                piece = own[at:at + size]
-                out["doc_id"].append(key)
-                out["start"].append(at)
-                out["length"].append(len(piece))
-                out["ids_crc32"].append(zlib.crc32(piece.tobytes()))
-                out["doc_tokens"].append(len(own))
-        return out
-
-    return map_texts(docs.select("doc_id", "text"), step, schema)
-
-
-def pack_documents(docs: DataFrame, tokenizer: str, size: int = SIZE) -> DataFrame:
+    ``end_id`` after them, in pieces of ``size`` and a rest; with the task
+    that cut it (``part``) and how many of that length the task had cut
+    before (``own``); with ``ids`` if asked for."""
+    schema = f"{PIECE}, part int, own long" + (", ids array<int>" if with_ids else "")
+    target = arrow_schema(docs.sparkSession, schema)
+
+    def run(batches):
+        cut = np.zeros(size + 1, dtype=np.int64)
+        part = TaskContext.get().partitionId()
+        for batch in batches:
+            for rows, texts in text_slices(batch, 1):
+                ids, bounds = library_cache(tokenizer).tokens(texts)
+                yield record_batch(_pieces(rows.column(0), ids, bounds, size, end_id, cut, part), target)
+        release()
+
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
+
+
+def _pieces(keys, ids, bounds, size: int, end_id: int, cut: np.ndarray, part: int) -> dict:
+    tokens = np.diff(bounds) + 1
+    ends = np.cumsum(tokens)
+    every = np.full(int(ends[-1]) if len(ends) else 0, end_id, dtype="<u4")
+    inner = np.ones(len(every), dtype=bool)
+    inner[ends - 1] = False
+    every[inner] = ids
+    n = -(-tokens // size)
+    of = np.repeat(np.arange(len(tokens)), n)
+    start = (np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)) * size
+    length = np.minimum(size, tokens[of] - start)
+    at = (ends - tokens)[of] + start
+    raw = memoryview(every.tobytes())
+    crc = [zlib.crc32(raw[4 * a:4 * (a + k)]) for a, k in zip(at.tolist(), length.tolist())]
+    # pieces of equal length, numbered in their order
+    by = np.argsort(length, kind="stable")
+    first = np.searchsorted(length[by], length)
+    own = np.empty(len(of), dtype=np.int64)
+    own[by] = np.arange(len(of)) - first[by]
+    own += cut[length]
+    cut += np.bincount(length, minlength=size + 1)
+    return {"doc_id": keys.take(pa.array(of)), "start": start, "length": length, "ids_crc32": crc,
+            "doc_tokens": tokens[of], "part": np.full(len(of), part, dtype=np.int32), "own": own,
+            "ids": pa.ListArray.from_arrays(pa.array(np.append(at, len(every)), pa.int32()),
+                                            pa.array(every.view("<i4")))}
+
+
+def pack_documents(docs: DataFrame, tokenizer: str, size: int = SIZE, with_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens,
-    sequence_id, offset.  ``docs`` has doc_id and text (null: empty, packed as
-    its end id alone); other columns are ignored, repeated rows are packed
+    sequence_id, offset, and with ``with_ids`` its ids (the sequence's tokens
+    from that offset on).  ``docs`` has doc_id and text (null: empty, packed
+    as its end id alone); other columns are ignored, repeated rows are packed
     repeatedly, null doc_ids like any other, and no rows give no pieces."""
-    pieces = materialize(cut_documents(docs, tokenizer, size), "pieces").withColumn(
-        "part", F.pmod(F.xxhash64("doc_id", "start"), F.lit(RANK_PARTS)).cast("int"))
-    per_part = pieces.groupBy("length", "part").agg(F.count("*").alias("n"))
+    pieces = materialize(cut_documents(docs, tokenizer, size, with_ids=with_ids), "pieces")
+    per_part = materialize(pieces.groupBy("length", "part").agg(F.count("*").alias("n")), "piece-counts")
     histogram = {r[0]: r[1] for r in per_part.groupBy("length").agg(F.sum("n")).collect()}
     places = Places.of(shortest_pack_first(histogram, size))
+    # a row per length and task: the window never holds pieces
     earlier = per_part.select("length", "part", (F.sum("n").over(
         Window.partitionBy("length").orderBy("part")) - F.col("n")).alias("before"))
-    ranked = (pieces.withColumn("own", F.row_number().over(
-        Window.partitionBy("length", "part").orderBy("doc_id", "start", "ids_crc32")))
-        .join(earlier, ["length", "part"])
-        .select("doc_id", "start", "length", "ids_crc32", "doc_tokens",
-                (F.col("before") + F.col("own") - 1).alias("rank")))
-    schema = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
-              "sequence_id long, offset long")
+    own = [c.split()[0] for c in PIECE.split(", ")] + (["ids"] if with_ids else [])
+    ranked = pieces.join(earlier, ["length", "part"]).select(
+        *own, (F.col("before") + F.col("own")).alias("rank"))
+    schema = f"{PIECE}, sequence_id long, offset long" + (", ids array<int>" if with_ids else "")
     target = arrow_schema(docs.sparkSession, schema)
 
     def run(batches):

@@ -180,88 +180,204 @@ def _contractions(cp, cls, fresh, first) -> None:
     fresh[stop[stop < n]] = True
 
 
+class HashNumbers:
+    """Numbers by 64-bit hash: a table with open addressing, asked and filled
+    by arrays.  It holds at most half as many entries as it has slots."""
+
+    def __init__(self, bound: int):
+        slots = 1 << max(4, (2 * bound - 1).bit_length())
+        self.mask = slots - 1
+        self.keys = np.zeros(slots, dtype=np.uint64)
+        self.numbers = np.full(slots, -1, dtype=np.int32)
+
+    def _slots(self, h: np.ndarray) -> np.ndarray:
+        return (h >> np.uint64(17)).astype(np.int64) & self.mask
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The number of every hash, -1 where there is none."""
+        out = np.full(len(h), -1, dtype=np.int64)
+        left, slot = np.arange(len(h)), self._slots(h)
+        while len(left):
+            number, same = self.numbers[slot], self.keys[slot] == h[left]
+            hit = (number >= 0) & same
+            out[left[hit]] = number[hit]
+            on = (number >= 0) & ~same
+            left, slot = left[on], (slot[on] + 1) & self.mask
+        return out
+
+    def put(self, h: np.ndarray, number: np.ndarray) -> None:
+        """Add distinct hashes that are not held yet."""
+        slot = self._slots(h)
+        while len(h):
+            free = self.numbers[slot] < 0
+            self.numbers[slot[free]] = number[free]
+            mine = free & (self.numbers[slot] == number)      # of several, one has got the slot
+            self.keys[slot[mine]] = h[mine]
+            h, number, slot = h[~mine], number[~mine], (slot[~mine] + 1) & self.mask
+
+
 class PieceCache:
-    """Token ids of pieces by hash, for a worker's lifetime; emptied when it
-    holds ``bound`` pieces."""
+    """Token ids of pieces, for a worker's lifetime; emptied before it would
+    hold more than ``bound`` pieces.  Pieces are found by hash and compared with the entry's
+    own code points, so a shared hash costs time and changes no ids.
 
-    def __init__(self, file: TokenizerFile, encode, bound: int = 250_000):
+    ``encode(file, chars, sizes)`` gives (ids in a row, ids per piece) of
+    pieces whose code points stand in a row."""
+
+    def __init__(self, file: TokenizerFile, encode, bound: int = 400_000):
         self.file, self.encode, self.bound = file, encode, bound
         self._clear()
 
     def _clear(self) -> None:
-        self.code: dict[int, int] = {}
-        self.size = np.zeros(1024, dtype=np.int64)       # tokens of a piece
-        self.at = np.zeros(1024, dtype=np.int64)         # its first token
+        self.numbers = HashNumbers(self.bound)
+        self.count = 0
+        self.entry = np.zeros((4, 1024), dtype=np.int64)   # first id, ids, first code point, code points
         self.ids = np.zeros(4096, dtype=np.uint32)
-        self.used = 0
+        self.chars = np.zeros(4096, dtype=np.uint32)
+        self.used = self.used_chars = 0
         self.generation = getattr(self, "generation", 0) + 1
 
-    def _store(self, code: int, ids) -> None:
-        if code >= len(self.size):
-            self.size = np.concatenate([self.size, np.zeros_like(self.size)])
-            self.at = np.concatenate([self.at, np.zeros_like(self.at)])
-        while self.used + len(ids) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.size[code], self.at[code] = len(ids), self.used
+    def _store(self, ids: np.ndarray, size: np.ndarray, chars: np.ndarray, width: np.ndarray) -> np.ndarray:
+        """Add entries; returns their numbers."""
+        n = len(size)
+        while self.count + n > self.entry.shape[1]:
+            self.entry = np.concatenate([self.entry, np.zeros_like(self.entry)], axis=1)
+        self.ids = _room(self.ids, self.used + len(ids))
+        self.chars = _room(self.chars, self.used_chars + len(chars))
+        at = slice(self.count, self.count + n)
+        self.entry[0, at] = self.used + np.cumsum(size) - size
+        self.entry[1, at] = size
+        self.entry[2, at] = self.used_chars + np.cumsum(width) - width
+        self.entry[3, at] = width
         self.ids[self.used:self.used + len(ids)] = ids
+        self.chars[self.used_chars:self.used_chars + len(chars)] = chars
         self.used += len(ids)
+        self.used_chars += len(chars)
+        self.count += n
+        return np.arange(self.count - n, self.count)
 
     def codes(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
         """The cache's number of every piece, and per-text offsets."""
-        if len(self.code) > self.bound:
-            self._clear()
         cp, starts, ends, h, bounds, special = split(texts, self.file)
-        which, distinct = pd.factorize(h)
-        if len(distinct) == 0:
+        if len(starts) == 0:
             return np.zeros(0, np.int64), bounds
-        known = self.code
-        found = np.array([known.get(k, -1) for k in distinct.tolist()], dtype=np.int64)
-        new = np.flatnonzero(found < 0)
+        # special strings are known by their id, whatever stood for them in the text
+        cp = np.append(cp, np.arange(len(self.file.specials) + 1, dtype=np.uint32) + 0x110000)
+        if (special >= 0).any():
+            ids = np.array(sorted(self.file.specials.values()))
+            at = special >= 0
+            starts, ends = starts.copy(), ends.copy()
+            starts[at] = len(cp) - len(ids) - 1 + np.searchsorted(ids, special[at])
+            ends[at] = starts[at] + 1
+        which, rep = distinct_runs(cp, starts, ends, h)
+        keys = h[rep]
+        found = self.numbers.find(keys)
+        if self.count + int((found < 0).sum()) > self.bound and self.count:
+            self._clear()
+            found[:] = -1
+        old = np.flatnonzero(found >= 0)
+        first, width = self.entry[2:4, found[old]]
+        alien = old[~_equal(cp, starts[rep[old]], ends[rep[old]] - starts[rep[old]], self.chars, first, width)]
+        new = np.concatenate([np.flatnonzero(found < 0), alien])
         if len(new):
-            # factorize numbers the values in order of first occurrence
-            seen = np.flatnonzero(np.append(True, np.maximum.accumulate(which)[1:] >
-                                            np.maximum.accumulate(which)[:-1]))[new]
-            wide = cp.tobytes()
-            names, own = [], []
-            for i in seen.tolist():
-                if special[i] >= 0:
-                    own.append([int(special[i])])
-                    names.append(None)
-                else:
-                    own.append(None)
-                    names.append(wide[4 * starts[i]:4 * ends[i]].decode("utf-32-le", "surrogatepass"))
-            made = iter(self.encode(self.file, [x for x in names if x is not None]))
-            keys = distinct.tolist()
-            for k, ids in zip(new.tolist(), own):
-                c = len(known)
-                known[keys[k]] = c
-                found[k] = c
-                self._store(c, ids if ids is not None else next(made))
+            s, e, own = starts[rep[new]], ends[rep[new]], special[rep[new]]
+            chars = gather(cp, s, e - s)
+            plain = own < 0
+            ids, size = self.encode(self.file, gather(cp, s[plain], (e - s)[plain]), (e - s)[plain])
+            if not plain.all():
+                every = np.ones(len(new), dtype=np.int64)
+                every[plain] = size
+                mixed = np.zeros(int(every.sum()), dtype=np.uint32)
+                mixed[np.repeat(plain, every)] = ids
+                mixed[np.repeat(~plain, every)] = own[~plain]
+                ids, size = mixed, every
+            found[new] = self._store(ids, size, chars, e - s)
+            named = new[:max(0, min(len(new) - len(alien), self.bound))]
+            named = named[np.unique(keys[named], return_index=True)[1]]
+            self.numbers.put(keys[named], found[named])
         return found[which], bounds
 
     def tokens(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
         """All token ids of the texts in a row, and per-text offsets."""
         codes, bounds = self.codes(texts)
-        sizes = self.size[codes]
-        ends = np.concatenate([[0], np.cumsum(sizes)])
-        shift = np.repeat(self.at[codes] - ends[:-1], sizes)
-        return self.ids[shift + np.arange(ends[-1])], ends[bounds]
-
-
-def library_encode(file: TokenizerFile, pieces: list[str]) -> list[np.ndarray]:
+        at, sizes = self.entry[:2, codes]
+        return gather(self.ids, at, sizes), np.concatenate([[0], np.cumsum(sizes)])[bounds]
+
+
+def _room(a: np.ndarray, n: int) -> np.ndarray:
+    while len(a) < n:
+        a = np.concatenate([a, np.zeros_like(a)])
+    return a
+
+
+def gather(blob: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The stretches ``blob[at:at + size]`` in a row."""
+    ends = np.cumsum(size)
+    return blob[np.repeat(at - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+def _equal(a, a_at, a_size, b, b_at, b_size) -> np.ndarray:
+    """Whether each stretch of ``a`` equals its counterpart of ``b``."""
+    same = a_size == b_size
+    size = a_size[same]
+    if size.sum():
+        differ = gather(a, a_at[same], size) != gather(b, b_at[same], size)
+        bad = np.repeat(np.arange(len(size)), size)[differ]
+        ok = np.ones(len(size), dtype=bool)
+        ok[bad] = False
+        same[same] = ok
+    return same
+
+
+def distinct_runs(cp: np.ndarray, starts: np.ndarray, ends: np.ndarray, h: np.ndarray
+                  ) -> tuple[np.ndarray, np.ndarray]:
+    """(number of its distinct string for every run, a run for each of them):
+    runs are grouped by hash, and compared with the group's first one."""
+    which, values = pd.factorize(h)
+    rep = np.zeros(len(values), dtype=np.int64)
+    rep[which[::-1]] = np.arange(len(which))[::-1]
+    same = _equal(cp, starts, ends - starts, cp, starts[rep][which], (ends - starts)[rep][which])
+    if not same.all():                  # strings that share a hash: by the strings themselves
+        raw = cp.tobytes()
+        names = np.array([raw[4 * s:4 * e] for s, e in zip(starts.tolist(), ends.tolist())], dtype=object)
+        which, values = pd.factorize(names)
+        rep = np.zeros(len(values), dtype=np.int64)
+        rep[which[::-1]] = np.arange(len(which))[::-1]
+    return which, rep
+
+
+def names_of(chars: np.ndarray, sizes: np.ndarray) -> list[str]:
+    """The pieces as strings."""
+    text = chars.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+    ends = np.cumsum(sizes)
+    return [text[a:b] for a, b in zip((ends - sizes).tolist(), ends.tolist())]
+
+
+def library_encode(file: TokenizerFile, chars: np.ndarray, sizes: np.ndarray, part: int = 2000
+                   ) -> tuple[np.ndarray, np.ndarray]:
     """Token ids of pieces by the library: joined by spaces, cut after every
     token that ends a word."""
-    out: list[np.ndarray] = []
-    for lo in range(0, len(pieces), 2000):
-        part = pieces[lo:lo + 2000]
-        ids = np.array(file.library.encode(" ".join(part), add_special_tokens=False).ids, dtype=np.uint32)
-        cut = np.flatnonzero(file.last[ids]) + 1
-        if len(cut) != len(part):       # a piece that the joined text splits otherwise
-            out += [np.array(file.library.encode(x, add_special_tokens=False).ids, dtype=np.uint32)
-                    for x in part]
-        else:
-            out += np.split(ids, cut[:-1])
-    return out
+    out, counts, at = [], [], 0
+    for lo in range(0, len(sizes), part):
+        own = sizes[lo:lo + part]
+        n = int(own.sum())
+        wide = np.full(n + len(own), 0x20, dtype="<u4")
+        inner = np.ones(len(wide), dtype=bool)
+        inner[np.cumsum(own + 1) - 1] = False
+        wide[inner] = chars[at:at + n]
+        text = wide.tobytes().decode("utf-32-le", "surrogatepass")
+        ids = np.array(file.library.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+        ends = np.flatnonzero(file.last[ids]) + 1
+        if len(ends) != len(own):       # a piece that the joined text splits otherwise
+            each = [file.library.encode(x, add_special_tokens=False).ids for x in names_of(chars[at:at + n], own)]
+            ids = np.array([i for x in each for i in x], dtype=np.uint32)
+            ends = np.cumsum([len(x) for x in each])
+        out.append(ids)
+        counts.append(np.diff(ends, prepend=0))
+        at += n
+    if not out:
+        return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+    return np.concatenate(out), np.concatenate(counts)
 
 
 @functools.lru_cache(maxsize=2)

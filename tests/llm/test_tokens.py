@@ -146,3 +146,31 @@ def test_packing(edge, documents, none, library):
             assert at <= 4096
         assert sum(r.length for r in rows) == sum(len(i) for x in held.values() for i in x)
     assert K.pack_documents(none, PATH).count() == 0
+
+
+def test_pieces_that_share_a_hash_keep_their_ids(library, monkeypatch):
+    from cohortflow.llm import textbatch as tb
+    monkeypatch.setattr(tb, "run_hashes", lambda cp, s, e: ((e - s) % 3).astype(np.uint64))
+    cache = P.PieceCache(P.tokenizer_file(PATH), P.library_encode)
+    for part in (["one two six ten seven"], ["cat dog seven ten <|endoftext|> one"], ["a bb ccc dddd", "one"]):
+        ids, at = cache.tokens(part)
+        assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == [
+            e.ids for e in library.encode_batch(part, add_special_tokens=False)]
+
+
+def test_packed_ids_are_the_documents(spark, edge, library):
+    """With ids, the pieces of a document in order are its tokens."""
+    held = {}
+    for d, ids in expected(edge, library):
+        held.setdefault(d, []).append(ids.tolist())
+    rows = K.pack_documents(edge, PATH, size=64, with_ids=True).collect()
+    assert all(len(r.ids) == r.length <= 64 for r in rows)
+    by_doc = {}
+    for r in rows:
+        by_doc.setdefault((r.doc_id, r.doc_tokens), []).append(r)
+    for (d, n), pieces in by_doc.items():
+        texts = [x for x in held[d] if len(x) == n]
+        if len(texts) == 1:
+            assert [i for r in sorted(pieces, key=lambda r: r.start) for i in r.ids] == texts[0]
+    places = {(r.sequence_id, r.offset) for r in rows}
+    assert len(places) == len(rows)

@@ -3,11 +3,13 @@
 The distance of two shingle sets, 1 - |A & B| / |A | B|, is a metric.  The
 join works on regions around pivot documents:
 
-1. Equal sets are one node, whatever the number of copies.
+1. Equal sets are one node, whatever the number of copies; copies are
+   collapsed before anything is entered anywhere.
 2. Documents within the distance ``eps`` have, under any one order of all
    shingles, a common shingle among the first ``floor(eps * n) + 1`` of each.
    So every node is only entered under those few shingles, rare ones first
-   (the order comes from a bounded sample; it affects speed, not results).
+   (the order comes from a share of all documents; it affects speed, not
+   results).
 3. Under every shingle one node is the pivot: the most central one.  The
    region of a pivot holds all nodes entered with it under any shingle: two
    nodes that can be linked always meet in a region.
@@ -44,7 +46,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortflow.llm import textbatch as tb
-from cohortflow.llm.common import arrow_schema, map_texts, record_batch, sample_filter
+from cohortflow.llm.common import arrow_schema, map_texts, record_batch, release, sample_filter
 from cohortflow.llm.components import components
 from cohortflow.sources.cube_store import materialize
 
@@ -54,7 +56,8 @@ SHORT = np.uint64(0x5851F42D4C957F2D)
 @dataclass(frozen=True)
 class JaccardParams:
     """``percent``: link at 100 * intersection >= percent * union.
-    ``order_sample``: documents whose shingle counts give the order.
+    ``order_share``: one of so many documents gives its shingle counts to the
+    order; ``order_sample``: so many documents at least do.
     ``order_size``: shingles in that order's table, most frequent first.
     ``region_nodes`` / ``region_shingles``: bound of what one task joins.
     ``cell_nodes``: below it a cell compares without further pivots.
@@ -63,6 +66,7 @@ class JaccardParams:
 
     words: int = 4
     percent: int = 85
+    order_share: int = 50
     order_sample: int = 5_000
     order_size: int = 1 << 18
     region_nodes: int = 1024
@@ -136,13 +140,16 @@ def possible_links(sketches: list[bytes], sizes: np.ndarray, percent: int) -> li
 
 
 def shingle_order(docs: DataFrame, p: JaccardParams) -> tuple[np.ndarray, np.ndarray]:
-    """The frequent shingles of a bounded sample (sorted), and their counts."""
+    """The frequent shingles of a share of the documents (sorted), and their
+    counts in it: what is left out occurs in fewer than ``3 * order_share``
+    documents or so, whatever the size of the table."""
     def count(batch, texts):
         g = [s for s in shingle_sets(texts, p.words) if len(s)]
         u, c = np.unique(np.concatenate(g), return_counts=True) if g else (np.zeros(0, np.uint64),) * 2
         return {"gram": u.view(np.int64), "n": c.astype(np.int64)}
 
-    sample = sample_filter(docs, F.col("doc_id"), p.order_sample).select("text")
+    sample = sample_filter(docs, F.coalesce(F.col("doc_id"), F.xxhash64("text")),
+                           max(p.order_sample, docs.count() // p.order_share)).select("text")
     rows = (map_texts(sample, count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
             .where("n >= 3").orderBy(F.desc("n"), "gram").limit(p.order_size).toPandas())
     gram = rows["gram"].to_numpy(dtype=np.int64).view(np.uint64)
@@ -210,7 +217,7 @@ def _overlaps(sets: list[np.ndarray], rows: list[int], cols: list[int]) -> np.nd
     other = np.concatenate([sets[i] for i in cols])
     shared = np.intersect1d(flat, other)
     out = np.zeros((len(rows), len(cols)), dtype=np.float32)
-    width = max(1, 6_000_000 // (len(rows) + len(cols)))
+    width = max(1, 3_000_000 // (len(rows) + len(cols)))
 
     def part(ids, lo, block):
         m = np.zeros((len(ids), len(block)), dtype=np.float32)
@@ -351,11 +358,20 @@ def voronoi_join(sets: list[np.ndarray], members: list[int], p: JaccardParams, p
 _SIZES = 1 << 36
 
 
-def region_members(keyed: DataFrame) -> DataFrame:
+def distinct_nodes(keyed: DataFrame) -> DataFrame:
+    """One row per node of ``document_keys``: node, handle, n, central, keys,
+    sketch, doc_id (the smallest of its documents) and copies.  Partial
+    aggregation collapses copies before the shuffle."""
+    return keyed.where("node is not null").groupBy("node").agg(
+        *[F.first(c).alias(c) for c in ("handle", "n", "central", "keys", "sketch")],
+        F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+
+
+def region_members(nodes: DataFrame) -> DataFrame:
     """(pivot, handle, n): the nodes of every region, by handles (a handle is
     half of a node's identity; nodes that share one are told apart when the
     handle is looked up)."""
-    entries = keyed.where("node is not null").select(
+    entries = nodes.select(
         "handle", (F.col("central") * _SIZES + F.col("n")).alias("rank"), F.explode("keys").alias("key"))
     by_key = Window.partitionBy("key")
     met = (entries.withColumn("top", F.max(F.struct("rank", "handle")).over(by_key))
@@ -409,6 +425,13 @@ def possible_regions(members: DataFrame, nodes: DataFrame, p: JaccardParams) ->
         F.max("pivot").alias("pivot"), F.max("n").alias("n")).select("region", "pivot", "node", "n")
 
 
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """The rows of batches, a few at a time as Python objects."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 16):
+            yield from batch.slice(lo, 16).to_pylist()
+
+
 def _grouped(df: DataFrame, keys: list[str], handle, schema: str) -> DataFrame:
     """Sort by ``keys`` within partitions and hand every group's rows (a list
     of dicts) to ``handle``; one group is held at a time."""
@@ -416,16 +439,16 @@ def _grouped(df: DataFrame, keys: list[str], handle, schema: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, key = [], None
-        for batch in batches:
-            for row in batch.to_pylist():
-                k = tuple(row[c] for c in keys)
-                if k != key:
-                    if held:
-                        yield record_batch(handle(held), target)
-                    held, key = [], k
-                held.append(row)
+        for row in _rows(batches):
+            k = tuple(row[c] for c in keys)
+            if k != key:
+                if held:
+                    yield record_batch(handle(held), target)
+                held, key = [], k
+            held.append(row)
         if held:
             yield record_batch(handle(held), target)
+        release()
 
     return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
 
@@ -454,10 +477,10 @@ def links(docs: DataFrame, keyed: DataFrame, p: JaccardParams, count: bool = Fal
     component; n is null.  With ``count`` also rows without b, whose n add up
     to the rows that a node is linked with, its own copies left out.
     ``keyed``: the document_keys of ``docs``."""
-    nodes = keyed.where("node is not null").select("handle", "node", "doc_id", "n", "sketch")
-    found = materialize(region_members(keyed), "region-members")
-    met = nodes.join(found.select("handle").distinct(), "handle", "left_semi")
-    sketches = met.groupBy("node").agg(*[F.max(c).alias(c) for c in ("handle", "n", "sketch")])
+    nodes = materialize(distinct_nodes(keyed), "nodes")
+    found = materialize(region_members(nodes), "region-members")
+    sketches = nodes.select("node", "handle", "n", "sketch").join(
+        found.select("handle").distinct(), "handle", "left_semi")
     members = materialize(possible_regions(found, sketches, p), "regions")
     size = (members.groupBy("region").agg(F.count("*").alias("m"), F.sum("n").alias("total"),
                                           F.max("pivot").alias("pivot"))
@@ -471,8 +494,7 @@ def links(docs: DataFrame, keyed: DataFrame, p: JaccardParams, count: bool = Fal
         "slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
     cols = ["region", "pivot", "slices", "slice", "node"]
     slots = materialize(slots.select(*cols).union(repeated.select(*cols)).distinct(), "region-slots")
-    wanted = nodes.select("node", "doc_id").join(slots.select("node").distinct(), "node", "left_semi").groupBy(
-        "node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+    wanted = nodes.select("node", "doc_id", "copies").join(slots.select("node").distinct(), "node", "left_semi")
     if count:
         within = members.groupBy("node").agg(F.collect_set(F.xxhash64("region")).alias("regions"))
         wanted = materialize(wanted.join(within, "node"), "region-nodes")
@@ -528,19 +550,23 @@ def _large_regions(far: DataFrame, held: DataFrame, p: JaccardParams, count: boo
     (where links are counted, ``far`` says of no node that it is)."""
     eps = 1 - p.percent / 100 + 1e-9
     sizes = held.groupBy(F.col("node").alias("a")).agg(F.max(F.length("grams") / 8).alias("n"))
-    far = far.join(sizes, "a")
+    far = far.join(sizes, "a")      # tables in between are written: one plan of all steps would be too large
     # fine steps of distance, packed into slices of half a task's bound
-    fine = far.withColumn("near", F.col("b").isNotNull()).withColumn(
-        "salt", F.pmod(F.xxhash64("a"), F.lit(64)).cast("int")).withColumn(
-        "step", F.floor(F.col("d") * 200).cast("int"))
-    counts = fine.groupBy("region", "near", "step", "salt").agg(
-        F.count("*").alias("k"), F.sum("n").alias("kn"))
     load = F.greatest(F.col("k") / (p.region_nodes / 2), F.col("kn") / (p.region_shingles / 2))
+    sums = F.count("*").alias("k"), F.sum("n").alias("kn")
+    fine = materialize(far.withColumn("near", F.col("b").isNotNull()).withColumn(
+        "step", F.floor(F.col("d") * 200).cast("int")), "large-region-steps")
+    # as many salts as a step's own load needs
+    salts = fine.groupBy("region", "near", "step").agg(*sums).select(
+        "region", "near", "step", F.greatest(F.lit(1), F.ceil(4 * load)).cast("long").alias("salts"))
+    fine = materialize(fine.join(salts, ["region", "near", "step"]).withColumn(
+        "salt", F.pmod(F.xxhash64("a"), F.col("salts"))).drop("salts"), "large-region-salts")
+    counts = fine.groupBy("region", "near", "step", "salt").agg(*sums)
     order = Window.partitionBy("region", "near").orderBy("step", "salt")
     packed = counts.withColumn("load", load).withColumn(
         "slice", F.floor(F.sum("load").over(order) - F.col("load") / 2).cast("int")).select(
         "region", "near", "step", "salt", "slice")
-    placed = fine.join(packed, ["region", "near", "step", "salt"])
+    placed = materialize(fine.join(packed, ["region", "near", "step", "salt"]), "large-region-slices")
     cells = placed.groupBy("region", "near", "slice").agg(
         F.min("d").alias("lo"), F.max("d").alias("hi"))
     left = cells.select("region", *[F.col(c).alias(f"l_{c}") for c in ("near", "slice", "lo", "hi")])
@@ -550,6 +576,7 @@ def _large_regions(far: DataFrame, held: DataFrame, p: JaccardParams, count: boo
             .where((F.col("r_lo") <= F.col("l_hi") + eps) & (F.col("l_lo") <= F.col("r_hi") + eps))
             .withColumn("task", F.concat_ws("/", F.hex("region"), "l_slice", "r_near", "r_slice"))
             .withColumn("region_id", F.xxhash64("region")))
+    meet = materialize(meet, "large-region-tasks")
     one = meet.select("task", "region", "region_id", F.col("l_near").alias("near"), F.col("l_slice").alias("slice"))
     two = meet.select("task", "region", "region_id", F.col("r_near").alias("near"), F.col("r_slice").alias("slice"))
     rows = (one.union(two).distinct().join(placed, ["region", "near", "slice"])

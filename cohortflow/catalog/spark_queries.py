@@ -292,8 +292,8 @@ def daily_activity(spark, sf_dir):
     src, cfg = ctx(spark, sf_dir)
     coh = re.retention_cohort(src.players(), src.exclusions(), cfg, cfg.retention_start,
                               cfg.as_of)
-    ev = src.events(cfg.retention_start, cfg.as_of + timedelta(days=91))
-    return re.daily_activity(ev, coh)
+    last = cfg.as_of + timedelta(days=91)
+    return re.daily_activity(src.events(cfg.retention_start, last), coh, cfg.retention_start, last)
 
 
 @register

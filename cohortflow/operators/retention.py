@@ -1,16 +1,18 @@
 """Day-N retention cube and the reports built on it.
 
 The reference crosses every cohort *user* with days 0..90 and left-joins the
-distinct (user, activity day) pairs.  Here the expansion happens per *cell*
-(install_date, version, platform, is_usa), never per user:
-
-1. distinct (user, activity_date) pairs, partially aggregated per task;
-2. join to the cohort -> ``n = datediff(activity_date, install_date)``, keep
-   ``0 <= n <= max_day`` and ``activity_date < as_of`` -> count per (cell, n);
-3. cohort size per cell, expanded to the observable days with
-   ``sequence(0, least(max_day, datediff(as_of, install_date) - 1))``;
-4. left join (3) with (2).  Same numbers as the per-user cross join because
-   each (user, day) pair is counted once.
+distinct (user, activity day) pairs.  Here a user is one row throughout:
+
+1. the event log is aggregated by user into activity bitmaps (a bit per
+   calendar day, partial before the shuffle): one row per user moves;
+2. the cohort is left-joined with them, and a user's bits are shifted so that
+   bit n is day n after the install;
+3. per cell (install_date, version, platform, is_usa): users, and the sum of
+   every bit, in one aggregation;
+4. cells are expanded to the days observable by ``as_of`` (never users).
+
+``retention_cube`` takes (user, day) pairs instead of bitmaps and gives the
+same numbers; it is kept for sources that hold such pairs already.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortflow.config import EngineConfig
+from cohortflow.operators import activity
 from cohortflow.operators.cohort import not_in
 
 CELL = ["install_date", "install_version", "platform", "is_usa"]
@@ -40,17 +43,39 @@ def retention_cohort(players: DataFrame, exclusions: DataFrame, cfg: EngineConfi
     )
 
 
-def daily_activity(events: DataFrame, cohort: DataFrame) -> DataFrame:
-    """Distinct (user, activity day) of cohort users."""
-    day = F.to_date(F.timestamp_millis(F.col("res_timestamp")))
-    act = events.select("distinct_id", day.alias("activity_date")).distinct()
-    return act.join(cohort.select("distinct_id"), "distinct_id", "left_semi")
+def daily_activity(events: DataFrame, cohort: DataFrame, start: date | None = None,
+                   end: date | None = None) -> DataFrame:
+    """(user, activity day) of cohort users, each once: the set bits of the
+    users' activity from ``start`` to ``end``, or without a band the distinct
+    pairs of the log."""
+    users = cohort.select("distinct_id")
+    if start is None or end is None:
+        pairs = events.select("distinct_id", activity.event_day().alias("activity_date")).distinct()
+        return pairs.join(users, "distinct_id", "left_semi")
+    days = (end - start).days + 1
+    words = activity.activity_words(events, start, days)
+    return activity.active_days(words.join(users, "distinct_id", "left_semi"), start, days)
+
+
+def retention_cube_from_words(cohort: DataFrame, words: DataFrame, origin: date, n_days: int, as_of: date,
+                              max_day: int = 90) -> DataFrame:
+    """The cube from activity bitmaps over ``[origin, origin + n_days)``; days
+    from ``as_of`` on must not be part of the band."""
+    last = F.least(F.lit(max_day), F.datediff(F.lit(as_of), F.col("install_date")) - 1)
+    cells = (cohort.select("distinct_id", *CELL).join(words, "distinct_id", "left")
+             .select(*CELL, *activity.since_install(origin, n_days, max_day))
+             .groupBy(*CELL).agg(F.count(F.lit(1)).alias("cohort_size"), activity.day_sums(max_day).alias("_active"))
+             .filter(last >= 0))
+    return (cells.select(*CELL, "cohort_size", F.posexplode(F.slice("_active", F.lit(1), (last + 1).cast("int"))))
+            .select(*CELL, F.col("pos").cast("int").alias("days_since_install"), "cohort_size",
+                    F.col("col").alias("users_active")))
 
 
-def retention_cube(cohort: DataFrame, activity: DataFrame, as_of: date,
+def retention_cube(cohort: DataFrame, pairs: DataFrame, as_of: date,
                    max_day: int = 90) -> DataFrame:
+    """The cube from distinct (distinct_id, activity_date) pairs."""
     n = F.datediff(F.col("activity_date"), F.col("install_date"))
-    active = (activity.join(cohort.select("distinct_id", *CELL), "distinct_id", "inner")
+    active = (pairs.join(cohort.select("distinct_id", *CELL), "distinct_id", "inner")
               .filter((F.col("activity_date") < F.lit(as_of)) & n.between(0, max_day))
               .groupBy(*CELL, n.cast("int").alias("days_since_install"))
               .agg(F.count(F.lit(1)).alias("users_active")))
@@ -64,24 +89,30 @@ def retention_cube(cohort: DataFrame, activity: DataFrame, as_of: date,
                     F.coalesce(F.col("users_active"), F.lit(0)).cast("long").alias("users_active")))
 
 
+def activity_band(start: date, as_of: date, end: date, max_day: int) -> int:
+    """Days of activity, from ``start`` on, that the cube can count."""
+    return max(1, min((as_of - start).days, (end - start).days + max_day + 1))
+
+
 def build_retention(src, cfg: EngineConfig, start: date | None = None,
                     end: date | None = None, max_day: int | None = None,
-                    materialize: bool = True) -> DataFrame:
-    """The retention cube job.  The cohort (one row per player) is used twice
-    (cell sizes, activity join); with ``materialize`` it is written once as a
-    Parquet table in the shared checkpoint folder instead of being derived
-    twice from the player dimension."""
+                    strategy: str = "bitmap") -> DataFrame:
+    """The retention cube job: one pass over the event log, which moves one
+    row per user, and one over the cohort.  ``strategy="days"`` moves a row
+    per user and active day, for comparison."""
     start = start or cfg.retention_start
     end = end or cfg.as_of
     max_day = cfg.retention_max_day if max_day is None else max_day
     coh = retention_cohort(src.players(), src.exclusions(), cfg, start, end)
-    if materialize:
+    ev = src.events(start, end + timedelta(days=max_day + 1))
+    if strategy == "days":
         from cohortflow.sources import cube_store
         coh = cube_store.materialize(coh, "retention_cohort")
-    ev = src.events(start, end + timedelta(days=max_day + 1))
-    day = F.to_date(F.timestamp_millis(F.col("res_timestamp")))
-    act = ev.select("distinct_id", day.alias("activity_date")).distinct()
-    return retention_cube(coh, act, cfg.as_of, max_day)
+        pairs = ev.select("distinct_id", activity.event_day().alias("activity_date")).distinct()
+        return retention_cube(coh, pairs, cfg.as_of, max_day)
+    n_days = activity_band(start, cfg.as_of, end, max_day)
+    words = activity.activity_words(ev, start, n_days)
+    return retention_cube_from_words(coh, words, start, n_days, cfg.as_of, max_day)
 
 
 # ---------------------------------------------------------------- metrics on the cube

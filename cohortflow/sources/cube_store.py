@@ -1,10 +1,10 @@
 """Publish / load the published cubes (sink and source of the analytics layer).
 
-A cube is written as Parquet partitioned by ``install_date``.  A full publish
-replaces the table: install dates that the new result no longer has are gone
-afterwards.  A publish of a range of install dates replaces that range alone:
-dates within it that became empty are removed, dates outside it stay.  Reads
-prune partitions on install_date.
+A cube is a snapshot table partitioned by ``install_date``
+(``sources/snapshots.py``): a publish of the whole table, of a range or of
+single install dates becomes visible in one step, dates outside stay, and
+readers keep to the version that they resolved.  Reads prune partitions on
+install_date.
 """
 
 from __future__ import annotations
@@ -13,52 +13,30 @@ import uuid
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from cohortflow.session import checkpoint_dir
+from cohortflow.sources.snapshots import SnapshotTable
 
 
 def publish(df: DataFrame, path: str, partition_col: str = "install_date",
-            replace_range: tuple[date, date] | None = None, files_per_date: int = 1) -> str:
-    """Replace the table at ``path``, or the dates of ``replace_range`` in it.
-
-    The overwrite mode is an option of this one write, the session's setting
-    stays as it is.  Rows are dealt by date before writing, so a date has
-    ``files_per_date`` files at most, whatever the number of shuffle
-    partitions."""
-    if replace_range is not None:
-        lo, hi = replace_range
-        df = df.filter(F.col(partition_col).between(F.lit(lo), F.lit(hi)))
-        df = materialize(df, "publish")      # written once, and read for the dates it has
-    keys = [F.col(partition_col)]
-    if files_per_date > 1:
-        keys.append(F.pmod(F.xxhash64(*df.columns), F.lit(files_per_date)))
-    mode = "static" if replace_range is None else "dynamic"
-    (df.repartition(*keys).write.mode("overwrite").option("partitionOverwriteMode", mode)
-     .partitionBy(partition_col).parquet(path))
-    if replace_range is not None:
-        kept = {r[0] for r in df.select(F.col(partition_col).cast("string")).distinct().collect()}
-        _remove_dates(df.sparkSession, path, partition_col, replace_range, kept)
+            replace_range: tuple[date, date] | None = None, files_per_date: int = 1,
+            replace_dates: list[date] | None = None) -> str:
+    """Replace the table at ``path``, or the dates of ``replace_range``, or
+    exactly ``replace_dates`` in it.  Replaced dates without rows are gone
+    afterwards."""
+    SnapshotTable(df.sparkSession, path, partition_col).publish(
+        df, replace_range, replace_dates, files_per_date)
     return path
 
 
-def _remove_dates(spark: SparkSession, path: str, partition_col: str,
-                  replace_range: tuple[date, date], kept: set[str]) -> None:
-    """Remove the partitions of the range that are not in ``kept``."""
-    top = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = top.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    lo, hi = (d.isoformat() for d in replace_range)
-    for entry in fs.listStatus(top):
-        name, _, value = entry.getPath().getName().partition("=")
-        if name == partition_col and lo <= value <= hi and value not in kept:
-            fs.delete(entry.getPath(), True)
+def load(spark: SparkSession, path: str, schema=None, version: int | None = None) -> DataFrame:
+    """Read a published table: its newest version, or the given one."""
+    return SnapshotTable(spark, path).load(version, schema)
 
 
-def load(spark: SparkSession, path: str, schema=None) -> DataFrame:
-    """Read a published table; with a known ``schema`` (partition column
-    included) no footer-inference job is needed."""
-    reader = spark.read if schema is None else spark.read.schema(schema)
-    return reader.parquet(path)
+def expire(spark: SparkSession, path: str, keep: int = 2, grace_seconds: float = 24 * 3600) -> list[str]:
+    """Remove versions older than the newest ``keep`` and what only they hold."""
+    return SnapshotTable(spark, path).expire(keep, grace_seconds)
 
 
 def published_schema(df: DataFrame, partition_col: str = "install_date"):

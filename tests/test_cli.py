@@ -8,6 +8,12 @@ from cohortflow.__main__ import main
 from cohortflow.sources import cube_store
 
 
+def newest_folder(path: str) -> str:
+    """The snapshot folder that a published table was written to last."""
+    data = os.path.join(path, "data")
+    return max((os.path.join(data, d) for d in os.listdir(data)), key=os.path.getmtime)
+
+
 def test_cli_build_demo(spark, capsys):
     out = os.path.join(tempfile.mkdtemp(prefix="cf-cli-"), "cubes")
     main(["build", "--demo", SF001, "--out", out])
@@ -17,7 +23,7 @@ def test_cli_build_demo(spark, capsys):
     retention = cube_store.load(spark, os.path.join(out, "retention_cube"))
     assert funnel.count() > 0 and retention.count() > 0
     assert "install_date" in funnel.columns and "pct_01_signup" in funnel.columns
-    assert any(d.startswith("install_date=") for d in os.listdir(os.path.join(out, "funnel_cube")))
+    assert any(d.startswith("install_date=") for d in os.listdir(newest_folder(os.path.join(out, "funnel_cube"))))
 
 
 def test_operators_run_on_the_published_folder(spark):
@@ -54,5 +60,7 @@ def test_publish_replaces(spark):
     assert spark.conf.get("spark.sql.sources.partitionOverwriteMode") == before
     many = spark.range(0, 4000, 1, 16).selectExpr("date_add(DATE'2024-01-01', cast(id % 5 as int)) AS install_date", "id AS v")
     cube_store.publish(many, path)
-    assert all(len([f for f in os.listdir(os.path.join(path, d)) if f.endswith(".parquet")]) == 1
-               for d in os.listdir(path) if d.startswith("install_date="))
+    top = newest_folder(path)
+    days = [d for d in os.listdir(top) if d.startswith("install_date=")]
+    assert len(days) == 5 and all(
+        len([f for f in os.listdir(os.path.join(top, d)) if f.endswith(".parquet")]) == 1 for d in days)

@@ -132,11 +132,11 @@ def anchors(events: DataFrame, cohort: DataFrame, spec: FunnelSpec) -> DataFrame
     return out
 
 
-def step_predicate(step: Step, spec: FunnelSpec, t: Column | None = None) -> Column:
+def step_predicate(step: Step, spec: FunnelSpec, t: Column | None = None, prefix: str = "") -> Column:
     """Whether an event is one of the step's, or (with ``t``) whether a match
-    at that time is."""
+    at that time is.  ``prefix`` is that of the anchors' columns."""
     w = F.lit(spec.window_ms)
-    a = lambda name: F.col(anchor_col(name))
+    a = lambda name: F.col(prefix + anchor_col(name))
     if t is None:
         t = F.col(T)
         cond = _match(step.match)
@@ -165,6 +165,39 @@ def late_events(spec: FunnelSpec) -> list[str]:
     return sorted({m.event for s in late for m in (s.match, s.alt) if m is not None})
 
 
+def late_anchors(spec: FunnelSpec) -> list[str]:
+    """Anchors that the steps with a lower bound refer to."""
+    return sorted({x for s in spec.steps if not by_first_time(s) for x in s.anchors_used})
+
+
+def reaches_late(spec: FunnelSpec, prefix: str = "") -> Column:
+    """Whether a user has the anchors of any step with a lower bound."""
+    reached = F.lit(False)
+    for s in spec.steps:
+        if not by_first_time(s):
+            ok = F.lit(True)
+            for x in s.after:
+                ok = ok & F.col(prefix + anchor_col(x)).isNotNull()
+            reached = reached | ok
+    return reached
+
+
+def _flag(cond: Column) -> Column:
+    return F.when(cond, F.lit(1)).otherwise(F.lit(0))
+
+
+def early_flags(spec: FunnelSpec, prefix: str = "") -> list[Column]:
+    """Flags of the steps that the first times decide."""
+    out = []
+    for s in spec.steps:
+        if by_first_time(s):
+            t = F.col(prefix + first_col(s))
+            if s.alt is not None:
+                t = F.when(F.col("is_buggy_version"), F.col(prefix + first_col(s, alt=True))).otherwise(t)
+            out.append(_flag(step_predicate(s, spec, t, prefix)).alias(prefix + step_col(s.no)))
+    return out
+
+
 def user_flags(events: DataFrame, spec: FunnelSpec, users: DataFrame) -> DataFrame:
     """Raw 0/1 flag per step for every user of ``users`` (the anchors table).
 
@@ -175,30 +208,14 @@ def user_flags(events: DataFrame, spec: FunnelSpec, users: DataFrame) -> DataFra
     """
     late = [s for s in spec.steps if not by_first_time(s)]
     dims = [c for c in COHORT_DIMS if c in users.columns]
-    flag = lambda cond: F.when(cond, F.lit(1)).otherwise(F.lit(0))
-    early = []
-    for s in spec.steps:
-        if by_first_time(s):
-            t = F.col(first_col(s))
-            if s.alt is not None:
-                t = F.when(F.col("is_buggy_version"), F.col(first_col(s, alt=True))).otherwise(t)
-            early.append(flag(step_predicate(s, spec, t)).alias(step_col(s.no)))
-    out = users.select("distinct_id", *dims, *early)
+    out = users.select("distinct_id", *dims, *early_flags(spec))
     if late:
-        needed = sorted({x for s in late for x in (*s.requires, *s.after, *s.within, *s.before, *s.until,
-                                                   *[n for g in s.gap for n in g])})
-        reached = F.lit(False)
-        for s in late:
-            ok = F.lit(True)
-            for x in s.after:
-                ok = ok & F.col(anchor_col(x)).isNotNull()
-            reached = reached | ok
         rel = events.filter(F.col("mp_event_name").isin(late_events(spec)))
-        j = observed(rel.join(users.filter(reached).select(
-            "distinct_id", "is_buggy_version", "install_ms", *[anchor_col(x) for x in needed]),
+        j = observed(rel.join(users.filter(reaches_late(spec)).select(
+            "distinct_id", "is_buggy_version", "install_ms", *[anchor_col(x) for x in late_anchors(spec)]),
             "distinct_id", "inner"), spec)
         flags = j.groupBy("distinct_id").agg(*[
-            F.max(flag(step_predicate(s, spec))).alias(step_col(s.no)) for s in late])
+            F.max(_flag(step_predicate(s, spec))).alias(step_col(s.no)) for s in late])
         out = out.join(flags, "distinct_id", "left")
     return out.select("distinct_id", *dims, *[F.coalesce(F.col(step_col(s.no)), F.lit(0))
                                               .alias(step_col(s.no)) for s in spec.steps])

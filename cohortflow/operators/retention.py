@@ -61,9 +61,14 @@ def retention_cube_from_words(cohort: DataFrame, words: DataFrame, origin: date,
                               max_day: int = 90) -> DataFrame:
     """The cube from activity bitmaps over ``[origin, origin + n_days)``; days
     from ``as_of`` on must not be part of the band."""
+    return cube_from_user_words(cohort.select("distinct_id", *CELL).join(words, "distinct_id", "left"),
+                                origin, n_days, as_of, max_day)
+
+
+def cube_from_user_words(users: DataFrame, origin: date, n_days: int, as_of: date, max_day: int = 90) -> DataFrame:
+    """The cube from cohort users that carry their activity words (null: none)."""
     last = F.least(F.lit(max_day), F.datediff(F.lit(as_of), F.col("install_date")) - 1)
-    cells = (cohort.select("distinct_id", *CELL).join(words, "distinct_id", "left")
-             .select(*CELL, *activity.since_install(origin, n_days, max_day))
+    cells = (users.select(*CELL, *activity.since_install(origin, n_days, max_day))
              .groupBy(*CELL).agg(F.count(F.lit(1)).alias("cohort_size"), activity.day_sums(max_day).alias("_active"))
              .filter(last >= 0))
     return (cells.select(*CELL, "cohort_size", F.posexplode(F.slice("_active", F.lit(1), (last + 1).cast("int"))))

@@ -20,12 +20,12 @@ from cohortflow.sources.snapshots import SnapshotTable
 
 def publish(df: DataFrame, path: str, partition_col: str = "install_date",
             replace_range: tuple[date, date] | None = None, files_per_date: int = 1,
-            replace_dates: list[date] | None = None) -> str:
+            replace_dates: list[date] | None = None, note: str | None = None) -> str:
     """Replace the table at ``path``, or the dates of ``replace_range``, or
     exactly ``replace_dates`` in it.  Replaced dates without rows are gone
     afterwards."""
     SnapshotTable(df.sparkSession, path, partition_col).publish(
-        df, replace_range, replace_dates, files_per_date)
+        df, replace_range, replace_dates, files_per_date, note)
     return path
 
 

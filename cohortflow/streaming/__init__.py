@@ -1,5 +1,6 @@
 """Scheduled refresh of the published cubes."""
 
-from cohortflow.streaming.refresh import affected_install_dates, rebuild, refresh_stream
+from cohortflow.streaming.partials import DailyPartials
+from cohortflow.streaming.refresh import Refresher, rebuild, refresh_stream
 
-__all__ = ["affected_install_dates", "rebuild", "refresh_stream"]
+__all__ = ["DailyPartials", "Refresher", "rebuild", "refresh_stream"]

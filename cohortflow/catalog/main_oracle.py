@@ -10,6 +10,7 @@ where it exists, ``gap a b``: b at most the window after a.
 from __future__ import annotations
 
 from cohortflow.catalog import oracle_sql as o
+from cohortflow.operators.alerts import OTHER_UPTICK, UPTICK_CAUSES
 from cohortflow.sources.scripted import SCRIPT
 
 # The analysed application's anchors and step rules.
@@ -143,9 +144,9 @@ ev AS (
 )"""
 
 
-def main_sql(steps: list[tuple[int, str]], branch: tuple[int, ...], install_lag: int, event_lag: int,
-             observation_ms: int | None) -> str:
-    """Counts per cell and step.  ``steps``: (number, rule text) in order."""
+def main_ctes(steps: list[tuple[int, str]], branch: tuple[int, ...], install_lag: int, event_lag: int,
+              observation_ms: int | None) -> list[str]:
+    """The tables up to ``counts`` per cell.  ``steps``: (number, rule text) in order."""
     bound = f" AND e.res_timestamp <= epoch_us(c.first_event_time) // 1000 + {observation_ms}" if observation_ms else ""
     anchors = ", ".join(f"min(CASE WHEN {_event(e)} THEN res_timestamp END) AS {a}"
                         for a, e in (line.split() for line in ANCHORS.split("\n") if line))
@@ -161,7 +162,7 @@ def main_sql(steps: list[tuple[int, str]], branch: tuple[int, ...], install_lag:
             gates.append((no, list(passed)))
     mono = ", ".join(f"{' * '.join(f'f{x}' for x in need)} AS {o.s(no)}" for no, need in gates)
     dims = ", ".join("c." + d.strip() for d in o.DIMS.split(","))
-    return o.with_(SCRIPTED, o.cohort_cte(install_lag), f"""
+    return [o.cohort_cte(install_lag), f"""
 uev AS (
   SELECT e.*, c.is_buggy_version FROM ev e JOIN cohort c ON e.distinct_id = c.distinct_id
   WHERE e.date >= {o.AS_OF} - 90 AND e.date <= {o.AS_OF} - {event_lag}{bound}
@@ -174,11 +175,19 @@ counts AS (
   SELECT {dims}, count(DISTINCT m.distinct_id) AS total_users,
          {', '.join(f'CAST(sum(m.{o.s(no)}) AS BIGINT) AS {o.s(no)}' for no, _ in steps)}
   FROM mono m JOIN cohort c ON m.distinct_id = c.distinct_id GROUP BY {dims}
-)""") + """
+)"""]
+
+
+WITH_MEDIA = """
 SELECT v.*, coalesce(mt.media_type, CASE WHEN v.mediasource = 'organic' THEN 'organic' ELSE 'none' END) AS media_type
 FROM counts v LEFT JOIN mtm mt ON v.mediasource = mt.mediasource WHERE coalesce(v.step_01, 0) <> 0"""
 
 
+def main_sql(*spec) -> str:
+    """Counts per cell and step (``main_ctes``)."""
+    return o.with_(SCRIPTED, *main_ctes(*spec)) + WITH_MEDIA
+
+
 def _rules() -> list[tuple[int, str]]:
     return [(int(line.partition(" ")[0]), line.partition(" ")[2]) for line in RULES.split("\n") if line]
 
@@ -197,3 +206,41 @@ MAIN = {
     "main_funnel_72h_cube": main_sql(_rules_72h(), (), 3, 3, o.OBS_MS),
 }
 o.ORACLE.update(MAIN)
+
+# Reports on the 50-step cube: the demo funnel's statements, with this cube in
+# place of that one, the optional steps shown, and this funnel's last step.
+_NUMBERS = [no for no, _ in _rules()]
+_LONG = " UNION ALL ".join(f"SELECT {o.CUBE_DIMS}, total_users, step_01 AS raw_step_01, {n} AS step_no, "
+                           f"{o.s(n)} AS users FROM cube_w" for n in _NUMBERS)
+_MAIN_CUBE = ",".join(c.strip("\n") for c in [
+    *main_ctes(_rules(), (35, 36), 2, 1, None), f"cube_w AS ({WITH_MEDIA})", f"cube_l AS ({_LONG})",
+    f"""cube AS (SELECT *, {o.e4('users', 'raw_step_01')} AS pct_e4, {o.r4('users', 'raw_step_01')} AS pct
+ FROM cube_l)"""])
+
+
+def on_main_cube(sql: str, shown: list[int]) -> str:
+    for old, new in ((o.BASE.strip("\n"), SCRIPTED.strip("\n")), (o.FUNNEL.strip("\n"), _MAIN_CUBE),
+                     (o.SHOWN, "(" + ", ".join(map(str, shown)) + ")"), (f"step_no = {o.LAST}\n", "step_no = 48\n"),
+                     (f"step_no = {o.LAST} ", "step_no = 48 ")):
+        sql = sql.replace(old, new)
+    return sql
+
+
+_SHOWN = [n for n in _NUMBERS if n <= 48]                   # chapters 4 and 5 are hidden
+_SPINE = [n for n in _SHOWN if n not in (35, 36)]
+_CAUSE = "CASE step_no " + " ".join(f"WHEN {n} THEN '{cause}'" for n, (cause, _) in UPTICK_CAUSES.items()) + (
+    f" ELSE '{OTHER_UPTICK[0]}' END AS root_cause")
+_FIX = "CASE step_no " + " ".join(f"WHEN {n} THEN '{fix}'" for n, (_, fix) in UPTICK_CAUSES.items()) + (
+    f" ELSE '{OTHER_UPTICK[1]}' END AS suggested_fix")
+o.ORACLE["main_upticks"] = on_main_cube(o.ORACLE["anomaly_upticks"], _SHOWN).replace(
+    "END AS status FROM", f"END AS status, {_CAUSE}, {_FIX} FROM")
+o.ORACLE["main_dropoffs"] = on_main_cube(o.ORACLE["biggest_dropoffs"], _SHOWN)
+o.ORACLE["main_funnel_alerts"] = on_main_cube(o.ORACLE["alerts_funnel"], _SPINE)
+o.ORACLE["main_trend_alerts"] = on_main_cube(o.ORACLE["alerts_trend"], _SPINE)
+
+# Builds by another way give the cubes of the plain builds.
+o.ORACLE["shared_main_cube"] = MAIN["main_funnel_cube"]
+o.ORACLE["shared_main_72h_cube"] = MAIN["main_funnel_72h_cube"]
+o.ORACLE["shared_retention_cube"] = o.ORACLE["retention_cube"]
+o.ORACLE["partials_funnel_counts"] = o.ORACLE["funnel_cube_counts"]
+o.ORACLE["partials_retention_cube"] = o.ORACLE["retention_cube"]

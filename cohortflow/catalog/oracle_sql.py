@@ -813,4 +813,24 @@ ORACLE["ba_funnel_hints_reference_cap"] = q(
     "CAST(sum(raw_step_01) AS BIGINT) AS step1 FROM tag GROUP BY period, step_no))", FUNNEL, BA)
 
 # the onboarding funnels, over the scripted log: the module adds its entries to ORACLE
+ORACLE["retention_d1_extremes"] = q(
+    f"SELECT platform, count(*) AS n_versions, arg_min(install_version, (-d1, {VKEY}, install_version)) "
+    "FILTER (d1 IS NOT NULL) AS best_version, max(d1) AS best_d1, "
+    f"arg_min(install_version, (d1, {VKEY}, install_version)) FILTER (d1 IS NOT NULL) AS lowest_version, "
+    "min(d1) AS lowest_d1 FROM (SELECT platform, install_version, "
+    f"CASE WHEN sum(CASE WHEN days_since_install = 1 THEN cohort_size END) > 0 THEN {wret('days_since_install = 1')} "
+    "END AS d1 FROM rcube WHERE days_since_install <= 1 GROUP BY 1, 2 "
+    "HAVING coalesce(sum(CASE WHEN days_since_install = 0 THEN cohort_size END), 0) > 0) GROUP BY 1", RET)
+ORACLE["tracking_summary"] = q(
+    "SELECT " + ", ".join(
+        f"(SELECT count(DISTINCT install_date) FROM {t}) AS {p}_days, "
+        f"(SELECT count(DISTINCT install_version) FROM {t}) AS {p}_versions, "
+        f"(SELECT coalesce(bool_or(install_date >= {TEST_START_DATE}), false) FROM {t}) AS {p}_post_test"
+        for t, p in (("cube_wide", "funnel"), ("rcube", "retention"))), FUNNEL, WIDE, RET)
+ORACLE["versions_retention_only_chosen"] = q(
+    f"SELECT install_version FROM rcube EXCEPT SELECT install_version FROM cube_wide WHERE {VKEY} >= 0.3812",
+    FUNNEL, WIDE, RET)
+ORACLE["alerts_installs_one_day"] = ORACLE["alerts_installs"].replace(
+    "FROM cube_wide", "FROM (SELECT * FROM cube_wide WHERE install_date = DATE '2024-01-10')")
+
 import cohortflow.catalog.main_oracle  # noqa: E402,F401

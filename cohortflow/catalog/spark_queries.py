@@ -87,6 +87,7 @@ def _publish(spark, sf_dir, kind: str) -> tuple:
         "funnel": lambda: funnel(spark, sf_dir).counts,
         "funnel_72h": lambda: funnel_72h(spark, sf_dir).counts,
         "retention": lambda: re.build_retention(*ctx(spark, sf_dir)),
+        "main": lambda: main_funnel_cube(spark, sf_dir),
     }[kind]
     path = store.scratch_path(spark, f"published_{kind}")
     df = build()
@@ -794,3 +795,122 @@ def retention_weighted_all_cells(spark, sf_dir):
 def ba_funnel_hints_reference_cap(spark, sf_dir):
     return cmpm.ba_funnel(long(spark, sf_dir), spec(), comparison(spark, sf_dir),
                           include_groups=("hint",), cap="reference")
+
+
+# --------------------------------------------------------------------------- the 50-step cube
+def main_long(spark, sf_dir) -> DataFrame:
+    return fu.long_cube(published(spark, sf_dir, "main"), main_funnel())
+
+
+@register
+def main_upticks(spark, sf_dir):
+    """Upticks over all steps shown, the optional ones included, with causes."""
+    from cohortflow.operators import alerts as al
+    _, cfg = ctx(spark, sf_dir)
+    return al.explained(al.upticks(main_long(spark, sf_dir), cmpm.shown_steps(main_funnel(), ("hint",)),
+                                   cfg.min_sample_users, cfg.uptick_tolerance, cfg.known_uptick_steps))
+
+
+@register
+def main_dropoffs(spark, sf_dir):
+    from cohortflow.operators import alerts as al
+    _, cfg = ctx(spark, sf_dir)
+    return al.biggest_dropoffs(main_long(spark, sf_dir), cmpm.shown_steps(main_funnel(), ("hint",)),
+                               cfg.min_sample_users)
+
+
+@register
+def main_funnel_alerts(spark, sf_dir):
+    from cohortflow.operators import alerts as al
+    _, cfg = ctx(spark, sf_dir)
+    return al.funnel_alerts(main_long(spark, sf_dir), cmpm.shown_steps(main_funnel())[-1], cfg.min_sample_users)
+
+
+@register
+def main_trend_alerts(spark, sf_dir):
+    from cohortflow.operators import alerts as al
+    _, cfg = ctx(spark, sf_dir)
+    return al.trend_alerts(main_long(spark, sf_dir), cmpm.shown_steps(main_funnel()), cfg.test_start.date())
+
+
+# --------------------------------------------------------------------------- totals and extremes
+@register
+def retention_d1_extremes(spark, sf_dir):
+    return re.d1_extremes(retention(spark, sf_dir))
+
+
+@register
+def tracking_summary(spark, sf_dir):
+    from cohortflow.operators import reports as rp
+    _, cfg = ctx(spark, sf_dir)
+    return rp.tracking_summary(wide(spark, sf_dir), retention(spark, sf_dir), cfg.test_start.date())
+
+
+@register
+def versions_retention_only_chosen(spark, sf_dir):
+    """Versions of the retention cube that a minimum version hides in the funnel."""
+    shown = fi.versions_at_least(cube_versions(spark, sf_dir), "0.3812").select("install_version")
+    return retention_versions(spark, sf_dir).subtract(shown)
+
+
+@register
+def alerts_installs_one_day(spark, sf_dir):
+    """Install alerts of a view restricted to one late install date."""
+    from datetime import date
+    from cohortflow.operators import alerts as al
+    _, cfg = ctx(spark, sf_dir)
+    day = wide(spark, sf_dir).filter(F.col("install_date") == F.lit(date(2024, 1, 10)))
+    return al.install_alerts(day, cfg.small_version_users)
+
+
+# --------------------------------------------------------------------------- builds by a shared pass, and from partials
+def _shared(spark, sf_dir, src, main, other):
+    from cohortflow.operators import shared as sh
+    cfg = EngineConfig.for_testdata()
+    return sh.build_all(src, cfg, [sh.FunnelRun.main(cfg, main), sh.FunnelRun.observed(cfg, other)],
+                        sh.Retention.of(cfg))
+
+
+@register
+def shared_main_cube(spark, sf_dir):
+    """The 50-step cube out of the pass that makes three."""
+    prepare(spark)
+    return _shared(spark, sf_dir, ScriptedSource(spark, sf_dir), main_funnel(), funnel_72h_spec()).counts["funnel"]
+
+
+@register
+def shared_main_72h_cube(spark, sf_dir):
+    prepare(spark)
+    return _shared(spark, sf_dir, ScriptedSource(spark, sf_dir), main_funnel(), funnel_72h_spec()).counts["funnel_72h"]
+
+
+@register
+def shared_retention_cube(spark, sf_dir):
+    src, _ = ctx(spark, sf_dir)
+    return _shared(spark, sf_dir, src, spec(), spec()).retention
+
+
+def _from_partials(spark, sf_dir):
+    """Partials of every date, those of one date gathered twice, then the cubes
+    without the log."""
+    from datetime import date
+    from cohortflow.operators import shared as sh
+    from cohortflow.streaming import partials as pa
+    src, cfg = ctx(spark, sf_dir)
+    runs, keep = [sh.FunnelRun.main(cfg, spec())], sh.Retention.of(cfg)
+    held = pa.DailyPartials(spark, store.scratch_path(spark, "partials"), runs)
+    lo, hi = sh.scan_band(cfg, runs, keep)
+    held.update(src, pa.all_dates(lo, hi))
+    held.update(src, [date(2024, 1, 9)])
+    return pa.build_from_partials(held, src, cfg, keep), runs[0]
+
+
+@register
+def partials_funnel_counts(spark, sf_dir):
+    build, run = _from_partials(spark, sf_dir)
+    return fu.long_cube(build.counts[run.name], run.spec).select(*fu.CUBE_DIMS, "total_users", "step_no", "users")
+
+
+@register
+def partials_retention_cube(spark, sf_dir):
+    return _from_partials(spark, sf_dir)[0].retention

@@ -14,6 +14,36 @@ from pyspark.sql import functions as F
 from cohortflow.operators.reports import version_key, weighted_by, with_total
 
 
+# Causes and remedies that the analysed application knows for
+# upticks, by step, and what it says of any other.
+UPTICK_CAUSES = {
+    9: ("Rounding artifact (<0.01%). impression_board and click_board_button_scapes fire at the same millisecond.",
+        "No action needed — difference is negligible."),
+    24: ("Expected: step 23 (click_scapes_button_board) is time-window constrained to only count clicks during the "
+         "FTUE session, while step 24 (ftue_flow2_step0) is an anchor event. Some users reach Flow 2 without the "
+         "scapes click registering within the FTUE window.",
+         "Acceptable — the constraint on step 23 is working correctly. The gap shows ~2% of users enter Flow 2 "
+         "through a slightly different path. No action needed."),
+}
+OTHER_UPTICK = ("Generic event may fire outside FTUE session window.",
+                "Add timestamp constraint to only count this event during the FTUE session.")
+
+
+def explained(ups: DataFrame, causes: dict[int, tuple[str, str]] | None = None,
+              other: tuple[str, str] = OTHER_UPTICK) -> DataFrame:
+    """``upticks`` with the root cause and the suggested fix that a register
+    holds for the step, or those for any other step."""
+    causes = UPTICK_CAUSES if causes is None else causes
+
+    def text(k: int) -> F.Column:
+        out = F.lit(other[k])
+        for step, entry in causes.items():
+            out = F.when(F.col("step_no") == step, F.lit(entry[k])).otherwise(out)
+        return out
+
+    return ups.select("*", text(0).alias("root_cause"), text(1).alias("suggested_fix"))
+
+
 def version_steps(long: DataFrame, steps: list[int], min_users: int = 0) -> DataFrame:
     """Per version x shown step: weighted rate, with the previous shown step's rate."""
     ws = weighted_by(long.filter(F.col("step_no").isin(steps)), ["install_version"])

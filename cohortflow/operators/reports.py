@@ -107,3 +107,17 @@ def split_summary(long: DataFrame, group_cols: list[str], test_start: date,
     va, ua = side(~before)
     return sub.groupBy(*group_cols, "step_no").agg(
         vb.alias("before"), va.alias("after"), ub.alias("users_before"), ua.alias("users_after"))
+
+
+def tracking_summary(funnel: DataFrame, retention: DataFrame, test_start: date) -> DataFrame:
+    """One row: days and versions with data in either cube, and whether any
+    install lies after the test's start."""
+    def totals(cube: DataFrame, prefix: str) -> DataFrame:
+        return cube.agg(
+            F.countDistinct("install_date").alias(f"{prefix}_days"),
+            F.countDistinct("install_version").alias(f"{prefix}_versions"),
+            F.coalesce(F.bool_or(F.col("install_date") >= F.lit(test_start)), F.lit(False)).alias(f"{prefix}_post_test"))
+
+    one = F.lit(1).alias("_one")                # two single rows meet by a key
+    return (totals(funnel, "funnel").select("*", one).join(totals(retention, "retention").select("*", one), "_one")
+            .drop("_one"))

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortflow.config import EngineConfig
+from cohortflow.functions.columns import version_sort_key
 from cohortflow.operators import activity
 from cohortflow.operators.cohort import not_in
 
@@ -178,3 +179,17 @@ def with_period(df: DataFrame, test_start: date, date_col: str = "install_date")
                          .otherwise(F.lit("after")))
 
 
+def d1_extremes(cube: DataFrame) -> DataFrame:
+    """Per platform: versions with a cohort, and the ones with the best and the
+    lowest day-1 retention (ties: the first in version order)."""
+    m = retention_matrix(cube, ["platform", "install_version"], range(1, 2))
+    key = version_sort_key("install_version")
+    seen = F.col("d1").isNotNull()
+    return m.groupBy("platform").agg(
+        F.count(F.lit(1)).alias("n_versions"),
+        F.min_by("install_version", F.when(seen, F.struct(-F.col("d1"), key, F.col("install_version"))))
+        .alias("best_version"),
+        F.max("d1").alias("best_d1"),
+        F.min_by("install_version", F.when(seen, F.struct(F.col("d1"), key, F.col("install_version"))))
+        .alias("lowest_version"),
+        F.min("d1").alias("lowest_d1"))

@@ -58,8 +58,9 @@ def app_id(spark: SparkSession) -> str:
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder.  Where none is set, a scratch folder is
-    made for a local master; on a cluster that is an error, since executors
-    do not share a machine's own folders."""
+    made for a local master; on a cluster, or for a remote session whose
+    master is not known here, that is an error, since executors do not share a
+    machine's own folders."""
     path = spark.conf.get(_CHECKPOINT_KEY, None)
     try:
         sc = spark.sparkContext
@@ -67,7 +68,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
         sc = None
     if not path and sc is not None:
         path = sc.getCheckpointDir()
-    if not path and sc is not None and not (sc.master or "").startswith("local"):
+    if not path and (sc is None or not (sc.master or "").startswith("local")):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not path:
         path = tempfile.mkdtemp(prefix="cohortflow-ckpt-")

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortflow.config import EngineConfig
-from cohortflow.operators import activity
+from cohortflow.operators import activity, idfilter
 from cohortflow.operators import funnel as fu
 from cohortflow.operators import retention as rt
 from cohortflow.operators.cohort import COHORT_DIMS, not_in, with_cohort_dims
@@ -241,20 +241,22 @@ class SharedBuild:
 
 def build_all(src, cfg: EngineConfig, runs: list[FunnelRun], retention: Retention | None,
               rows: DataFrame | None = None, late: DataFrame | None = None,
-              install_dates: list[date] | None = None) -> SharedBuild:
+              install_dates: list[date] | None = None, cohort_filter: bool = False) -> SharedBuild:
     """All cubes over a source.  ``rows`` and ``late`` stand in for the log
     where it has been gathered by day (``daily_firsts``, and the events that
     ``late_names`` lists); ``install_dates`` restricts the players, and with
-    them the cells, to those dates."""
+    them the cells, to those dates.  With ``cohort_filter`` the players are
+    written first, and a Bloom filter of their ids keeps most other users'
+    events out of the first exchange."""
     lo, hi = scan_band(cfg, runs, retention)
     players = all_players(src, cfg, runs, retention, install_dates)
     if rows is None:
         rows = event_rows(src.events(lo, hi), runs)
     if late is None:
         late = src.events(lo, hi, names=late_names(runs))
-    if install_dates is not None:
+    if install_dates is not None or cohort_filter:
         players = cube_store.materialize(players, "shared_players")
-        rows = rows.join(players.select("distinct_id"), "distinct_id", "left_semi")
+        rows = idfilter.restrict(rows, players, players.count())
     users = cube_store.materialize(build_users(players, user_times(rows, cfg, runs, retention), runs), "shared_users")
     flagged = users
     if runs:

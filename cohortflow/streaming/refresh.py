@@ -64,7 +64,8 @@ def rebuild(src, cfg: EngineConfig, spec: FunnelSpec, out_dir: str,
             spec_72h: FunnelSpec | None = None) -> dict[str, str]:
     """Compute all cubes from the log and replace the published tables."""
     runs = funnel_runs(cfg, spec, spec_72h)
-    return _publish(sh.build_all(src, cfg, runs, sh.Retention.of(cfg)), runs, out_dir, _note(cfg))
+    build = sh.build_all(src, cfg, runs, sh.Retention.of(cfg), cohort_filter=True)
+    return _publish(build, runs, out_dir, _note(cfg))
 
 
 def _note(cfg: EngineConfig, partials: dict[str, int] | None = None) -> str:

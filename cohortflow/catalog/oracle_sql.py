@@ -9,6 +9,8 @@ Rates use exact half-up rounding of the integer quotient, like the engine.
 
 from __future__ import annotations
 
+import re
+
 # Parameters of EngineConfig.for_testdata(), spelled out for SQL.
 AS_OF = "DATE '2024-01-31'"
 EXCLUDED = "('NATION_0', 'NATION_1', 'NATION_2')"
@@ -833,4 +835,31 @@ ORACLE["versions_retention_only_chosen"] = q(
 ORACLE["alerts_installs_one_day"] = ORACLE["alerts_installs"].replace(
     "FROM cube_wide", "FROM (SELECT * FROM cube_wide WHERE install_date = DATE '2024-01-10')")
 
+# a view: the same reports over the rows that it has
+_VIEW_BOTH = ("install_date >= DATE '2024-01-01' AND install_date <= DATE '2024-01-06' "
+              "AND platform IN ('AUTOMOBILE', 'BUILDING', 'MACHINERY') "
+              f"AND install_version IN ('0.3810', '0.3812', '0.3813') AND {VKEY} >= 0.3811")
+_VIEW_FUNNEL = (_VIEW_BOTH + " AND NOT coalesce(install_date = DATE '2024-01-01' AND install_hour < 6, false) "
+                "AND NOT coalesce(install_date = DATE '2024-01-06' AND install_hour > 18, false) "
+                "AND NOT is_low_payers_country")
+_OVER = {"cube": f"(SELECT * FROM cube WHERE {_VIEW_FUNNEL})",
+         "cube_wide": f"(SELECT * FROM cube_wide WHERE {_VIEW_FUNNEL})",
+         "rcube": f"(SELECT * FROM rcube WHERE {_VIEW_BOTH} AND is_usa = 0)"}
+
+
+def of_view(name: str, table: str) -> str:
+    """A report's statement over the view's rows of ``table``: every use but
+    the table's own definition."""
+    return re.sub(rf"FROM\s+{table}\b", f"FROM {_OVER[table]}", ORACLE[name])
+
+
+ORACLE["view_version_funnel"] = of_view("version_funnel", "cube")
+ORACLE["view_step_trend_day"] = of_view("step_trend_day", "cube")
+ORACLE["view_dimension_counts"] = of_view("dimension_counts", "cube_wide")
+ORACLE["view_biggest_dropoffs"] = of_view("biggest_dropoffs", "cube").replace(f"vsl{MIN_SAMPLE}", "vsl1").replace(
+    vsl(MIN_SAMPLE).strip("\n").replace(f"vsl{MIN_SAMPLE}", "vsl1"), vsl(1).strip("\n"))
+ORACLE["view_retention_matrix"] = of_view("retention_matrix", "rcube")
+ORACLE["view_alerts_installs"] = of_view("alerts_installs", "cube_wide")
+ORACLE["view_coverage"] = ORACLE["coverage"].replace("platform IN ('BUILDING', 'MACHINERY')", _VIEW_FUNNEL)
+
 import cohortflow.catalog.main_oracle  # noqa: E402,F401

@@ -914,3 +914,63 @@ def partials_funnel_counts(spark, sf_dir):
 @register
 def partials_retention_cube(spark, sf_dir):
     return _from_partials(spark, sf_dir)[0].retention
+
+
+# --------------------------------------------------------------------------- reports of a view
+def chosen_view():
+    """Dates with hours, platforms, versions with a minimum, and flags at once."""
+    from datetime import date
+    from cohortflow.operators.views import View
+    return View.of(start=date(2024, 1, 1), end=date(2024, 1, 6), start_hour=6, end_hour=18,
+                   platform=["AUTOMOBILE", "BUILDING", "MACHINERY"], install_month=[], is_low_payers_country=False,
+                   is_usa=0, versions=["0.3810", "0.3812", "0.3813"], min_version="0.3811")
+
+
+def view_long(spark, sf_dir) -> DataFrame:
+    return chosen_view().apply(long(spark, sf_dir))
+
+
+@register
+def view_version_funnel(spark, sf_dir):
+    from cohortflow.operators import reports as rp
+    return rp.version_funnel(view_long(spark, sf_dir), shown(spark, sf_dir))
+
+
+@register
+def view_step_trend_day(spark, sf_dir):
+    from cohortflow.operators import reports as rp
+    return rp.trend(view_long(spark, sf_dir), "install_date", shown(spark, sf_dir), "pct")
+
+
+@register
+def view_dimension_counts(spark, sf_dir):
+    from cohortflow.operators import reports as rp
+    return rp.dimension_counts(chosen_view().apply(wide(spark, sf_dir)),
+                               ["platform", "country", "media_type", "mediasource", "install_version"])
+
+
+@register
+def view_biggest_dropoffs(spark, sf_dir):
+    from cohortflow.operators import alerts as al
+    return al.biggest_dropoffs(view_long(spark, sf_dir), shown(spark, sf_dir), 1)
+
+
+@register
+def view_retention_matrix(spark, sf_dir):
+    return re.retention_matrix(chosen_view().apply(retention(spark, sf_dir)), ["platform", "install_version"])
+
+
+@register
+def view_alerts_installs(spark, sf_dir):
+    from cohortflow.operators import alerts as al
+    _, cfg = ctx(spark, sf_dir)
+    return al.install_alerts(chosen_view().apply(wide(spark, sf_dir)), cfg.small_version_users)
+
+
+@register
+def view_coverage(spark, sf_dir):
+    """What a view selects of all users."""
+    from cohortflow.operators import reports as rp
+    _, cfg = ctx(spark, sf_dir)
+    w = wide(spark, sf_dir)
+    return rp.coverage(w, chosen_view().predicate(w.columns), cfg.test_start.date())

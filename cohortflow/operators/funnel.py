@@ -258,22 +258,46 @@ def monotonic(flags: DataFrame, spec: FunnelSpec) -> DataFrame:
     return d.select("distinct_id", *dims, F.col("_depth").cast("int").alias("depth"), *cols)
 
 
+def depth_histogram(mono: DataFrame, spec: FunnelSpec) -> DataFrame:
+    """Users per cell, depth reached and branch steps passed: what all step
+    counts of a cell follow from.  One count per user is aggregated, not a sum
+    per step."""
+    branch = [step_col(s.no) for s in spec.steps if s.branch]
+    return mono.groupBy(*COHORT_DIMS, "depth", *branch).agg(F.count(F.lit(1)).alias("n"))
+
+
+def counts_of_histogram(hist: DataFrame, spec: FunnelSpec) -> DataFrame:
+    """Per cell total_users and the users of every step: for a spine step those
+    of its depth or more, for a branch step those who passed it."""
+    place = {s.no: i + 1 for i, s in enumerate(spec.spine)}
+
+    def users(s: Step) -> Column:
+        passed = F.col(step_col(s.no)) == 1 if s.branch else F.col("depth") >= place[s.no]
+        return F.sum(F.when(passed, F.col("n")).otherwise(F.lit(0))).cast("long").alias(step_col(s.no))
+
+    return hist.groupBy(*COHORT_DIMS).agg(F.sum("n").alias("total_users"), *[users(s) for s in spec.steps])
+
+
 def cube_counts(mono: DataFrame, users: DataFrame, spec: FunnelSpec,
-                source_names: DataFrame) -> DataFrame:
+                source_names: DataFrame, strategy: str = "histogram") -> DataFrame:
     """Per-cell user counts (wide): dims, total_users, step_NN counts.
-    ``users`` is any per-user table carrying the cohort dimensions."""
+    ``users`` is any per-user table carrying the cohort dimensions.
+    ``strategy="sums"`` adds up every step's flag over all users instead of
+    going by the histogram of depths."""
     if all(c in mono.columns for c in COHORT_DIMS):
         u = mono                       # dimensions already carried per user
     else:
         u = mono.join(users.select("distinct_id", *COHORT_DIMS), "distinct_id", "inner")
-    counts = u.groupBy(*COHORT_DIMS).agg(
-        F.count(F.lit(1)).alias("total_users"),
-        *[F.sum(step_col(s.no)).cast("long").alias(step_col(s.no)) for s in spec.steps])
+    if strategy == "histogram":
+        counts = counts_of_histogram(depth_histogram(u, spec), spec)
+    else:
+        counts = u.groupBy(*COHORT_DIMS).agg(
+            F.count(F.lit(1)).alias("total_users"),
+            *[F.sum(step_col(s.no)).cast("long").alias(step_col(s.no)) for s in spec.steps])
     first = step_col(spec.steps[0].no)
     counts = counts.filter(F.coalesce(F.col(first), F.lit(0)) != 0)
     return (media_type_lookup(counts, source_names)
-            .select(*COHORT_DIMS, "media_type", "total_users",
-                    *[step_col(s.no) for s in spec.steps]))
+            .select(*CUBE_DIMS, "total_users", *[step_col(s.no) for s in spec.steps]))
 
 
 def pct_name(s: Step) -> str:

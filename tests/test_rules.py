@@ -121,3 +121,34 @@ def test_share_of_total(spark):
     df = spark.createDataFrame([("a", 1), ("b", 3)], "k string, v long")
     got = {r["k"]: r["share_pct"] for r in rp.share_of_total(df, "v").collect()}
     assert got == {"a": 25.0, "b": 75.0}
+
+
+def test_uptick_causes(spark):
+    from cohortflow.operators import alerts as al
+    ups = spark.createDataFrame([("0.38", 9), ("0.38", 24), ("0.38", 37)], "install_version string, step_no int")
+    got = {r.step_no: (r.root_cause, r.suggested_fix) for r in al.explained(ups).collect()}
+    assert got == {9: al.UPTICK_CAUSES[9], 24: al.UPTICK_CAUSES[24], 37: al.OTHER_UPTICK}
+    own = {r.step_no: r.root_cause for r in al.explained(ups, {37: ("a", "b")}, ("c", "d")).collect()}
+    assert own == {9: "c", 24: "c", 37: "a"}
+
+
+def test_d1_extremes(spark):
+    """Ties go to the first version in numeric order; versions without a day-0
+    cohort do not count, those without a day 1 have no rate."""
+    from cohortflow.operators import retention as rt
+    rows = [("ios", v, d, n, k) for v, d, n, k in (
+        ("0.9", 0, 10, 10), ("0.9", 1, 10, 5), ("0.10", 0, 10, 10), ("0.10", 1, 10, 5), ("0.8", 0, 10, 9),
+        ("0.8", 1, 10, 2), ("0.7", 0, 4, 4), ("0.6", 1, 10, 9))]
+    rows += [("web", "0.9", 0, 3, 3)]
+    cube = spark.createDataFrame(rows, "platform string, install_version string, days_since_install int, "
+                                       "cohort_size long, users_active long")
+    got = {r.platform: tuple(r)[1:] for r in rt.d1_extremes(cube).collect()}
+    assert got == {"ios": (4, "0.10", 0.5, "0.8", 0.2), "web": (1, None, None, None, None)}
+
+
+def test_tracking_summary_of_empty_cubes(spark):
+    from datetime import date
+    from cohortflow.operators import reports as rp
+    f = spark.createDataFrame([], "install_date date, install_version string")
+    r = spark.createDataFrame([(date(2026, 1, 1), "a"), (date(2026, 1, 1), "b")], "install_date date, install_version string")
+    assert tuple(rp.tracking_summary(f, r, date(2026, 1, 1)).first()) == (0, 0, False, 1, 2, True)

@@ -21,6 +21,7 @@ from cohortflow.operators import compare as cmpm
 from cohortflow.operators import filters as fi
 from cohortflow.operators import metrics as me
 from cohortflow.operators import retention as re
+from cohortflow.operators import rollup as ro
 from cohortflow.sources import cube_store as store
 from cohortflow.plans.steps import demo_funnel, main_funnel
 from cohortflow.plans.steps import funnel_72h as funnel_72h_spec
@@ -61,7 +62,7 @@ def funnel_72h(spark, sf_dir) -> fu.FunnelBuild:
 # checkpoint folder); later queries of the same application read it.  Only the
 # location is remembered here, never data.
 _PUBLISHED: dict[tuple, tuple] = {}
-_PUBLISH_LOCK = threading.Lock()
+_PUBLISH_LOCK = threading.RLock()     # a cube may be made of another one
 
 
 def _stamp(spark, sf_dir: str) -> tuple:
@@ -88,6 +89,7 @@ def _publish(spark, sf_dir, kind: str) -> tuple:
         "funnel_72h": lambda: funnel_72h(spark, sf_dir).counts,
         "retention": lambda: re.build_retention(*ctx(spark, sf_dir)),
         "main": lambda: main_funnel_cube(spark, sf_dir),
+        "rollup": lambda: ro.rollup(long(spark, sf_dir)),
     }[kind]
     path = store.scratch_path(spark, f"published_{kind}")
     df = build()
@@ -231,7 +233,7 @@ def step_reference(spark, sf_dir):
 @register
 def step_subset(spark, sf_dir):
     _, cfg = ctx(spark, sf_dir)
-    sub = long(spark, sf_dir).filter(F.col("install_version").startswith(cfg.default_version_prefix)
+    sub = rolled(spark, sf_dir).filter(F.col("install_version").startswith(cfg.default_version_prefix)
                       & F.col("step_no").between(2, 6))
     return me.weighted_steps(sub, ["install_version"]).select(
         "install_version", "step_no", "value")
@@ -349,6 +351,11 @@ def long(spark, sf_dir):
     return fu.long_cube(published(spark, sf_dir, "funnel"), spec())
 
 
+def rolled(spark, sf_dir) -> DataFrame:
+    """The published rollup: what the reports by version and date read."""
+    return published(spark, sf_dir, "rollup")
+
+
 def long_72h(spark, sf_dir):
     return fu.long_cube(published(spark, sf_dir, "funnel_72h"), spec())
 
@@ -396,14 +403,14 @@ def versions_retention_only(spark, sf_dir):
 
 @register
 def weighted_conversion(spark, sf_dir):
-    return me.weighted_steps(long(spark, sf_dir), ["install_version"])
+    return me.weighted_steps(rolled(spark, sf_dir), ["install_version"])
 
 
 @register
 def monotonic_cap(spark, sf_dir):
     sp = spec()
     spine = [s.no for s in sp.spine if s.group not in sp.hidden_groups]
-    ws = me.weighted_steps(long(spark, sf_dir).filter(F.col("step_no").isin(spine)), ["install_version"])
+    ws = me.weighted_steps(rolled(spark, sf_dir).filter(F.col("step_no").isin(spine)), ["install_version"])
     return me.running_min(ws, ["install_version"], "value", out="capped").select(
         "install_version", "step_no", "value", "capped")
 
@@ -432,12 +439,12 @@ def comparison(spark, sf_dir) -> cmpm.Comparison:
 
 
 def ba_base(spark, sf_dir):
-    return cmpm.ba_funnel(long(spark, sf_dir), spec(), comparison(spark, sf_dir))
+    return cmpm.ba_funnel(rolled(spark, sf_dir), spec(), comparison(spark, sf_dir))
 
 
 @register
 def ba_users(spark, sf_dir):
-    return cmpm.ba_users(long(spark, sf_dir), comparison(spark, sf_dir))
+    return cmpm.ba_users(rolled(spark, sf_dir), comparison(spark, sf_dir))
 
 
 @register
@@ -505,14 +512,14 @@ def shown(spark, sf_dir) -> list[int]:
 @register
 def version_funnel(spark, sf_dir):
     from cohortflow.operators import reports as rp
-    return rp.version_funnel(long(spark, sf_dir), shown(spark, sf_dir))
+    return rp.version_funnel(rolled(spark, sf_dir), shown(spark, sf_dir))
 
 
 @register
 def version_funnel_split(spark, sf_dir):
     from cohortflow.operators import reports as rp
     _, cfg = ctx(spark, sf_dir)
-    lg = long(spark, sf_dir).withColumn("period", rp.period_of(cfg.test_start.date()))
+    lg = rolled(spark, sf_dir).withColumn("period", rp.period_of(cfg.test_start.date()))
     ws = rp.weighted_by(lg.filter(F.col("step_no").isin(shown(spark, sf_dir))),
                         ["install_version", "period"])
     return ws.select("install_version", "period", "step_no", "value", "users")
@@ -521,12 +528,12 @@ def version_funnel_split(spark, sf_dir):
 @register
 def version_funnel_ratio(spark, sf_dir):
     from cohortflow.operators import reports as rp
-    return rp.version_funnel(long(spark, sf_dir), shown(spark, sf_dir), metric="ratio")
+    return rp.version_funnel(rolled(spark, sf_dir), shown(spark, sf_dir), metric="ratio")
 
 
 def _trend(spark, sf_dir, col, metric="pct"):
     from cohortflow.operators import reports as rp
-    return rp.trend(long(spark, sf_dir), col, shown(spark, sf_dir), metric)
+    return rp.trend(rolled(spark, sf_dir), col, shown(spark, sf_dir), metric)
 
 
 @register
@@ -563,7 +570,7 @@ def trend_averages(spark, sf_dir):
 def trend_ba_summary(spark, sf_dir):
     from cohortflow.operators import reports as rp
     _, cfg = ctx(spark, sf_dir)
-    s = rp.split_summary(long(spark, sf_dir), [], cfg.test_start.date(), shown(spark, sf_dir))
+    s = rp.split_summary(rolled(spark, sf_dir), [], cfg.test_start.date(), shown(spark, sf_dir))
     has_after = F.col("users_after") > 0
     delta = F.col("after") - F.col("before")
     pct = F.when(F.col("before") > 0, delta / F.col("before") * 100).otherwise(F.lit(0.0))
@@ -575,7 +582,7 @@ def trend_ba_summary(spark, sf_dir):
 @register
 def daily_steps(spark, sf_dir):
     from cohortflow.operators import reports as rp
-    ws = rp.weighted_by(long(spark, sf_dir).filter(F.col("step_no").isin(shown(spark, sf_dir))),
+    ws = rp.weighted_by(rolled(spark, sf_dir).filter(F.col("step_no").isin(shown(spark, sf_dir))),
                         ["install_date", "install_version"])
     return ws.select("install_date", "install_version", "step_no", "value", "users") \
         .na.drop(subset=["value"])
@@ -585,7 +592,7 @@ def daily_steps(spark, sf_dir):
 def daily_ba_summary(spark, sf_dir):
     from cohortflow.operators import reports as rp
     _, cfg = ctx(spark, sf_dir)
-    return rp.split_summary(long(spark, sf_dir), ["install_version"], cfg.test_start.date(),
+    return rp.split_summary(rolled(spark, sf_dir), ["install_version"], cfg.test_start.date(),
                             shown(spark, sf_dir))
 
 
@@ -593,7 +600,7 @@ def daily_ba_summary(spark, sf_dir):
 def daily_ba_summary_ratio(spark, sf_dir):
     from cohortflow.operators import reports as rp
     _, cfg = ctx(spark, sf_dir)
-    return rp.split_summary(long(spark, sf_dir), ["install_version"], cfg.test_start.date(),
+    return rp.split_summary(rolled(spark, sf_dir), ["install_version"], cfg.test_start.date(),
                             shown(spark, sf_dir), metric="ratio")
 
 
@@ -637,7 +644,7 @@ def install_summary(spark, sf_dir):
 @register
 def best_worst_version(spark, sf_dir):
     from cohortflow.operators import alerts as al
-    return al.best_worst(long(spark, sf_dir), shown(spark, sf_dir)[-1])
+    return al.best_worst(rolled(spark, sf_dir), shown(spark, sf_dir)[-1])
 
 
 # --------------------------------------------------------------------------- anomalies / alerts
@@ -645,7 +652,7 @@ def best_worst_version(spark, sf_dir):
 def anomaly_upticks(spark, sf_dir):
     from cohortflow.operators import alerts as al
     _, cfg = ctx(spark, sf_dir)
-    return al.upticks(long(spark, sf_dir), shown(spark, sf_dir), cfg.min_sample_users,
+    return al.upticks(rolled(spark, sf_dir), shown(spark, sf_dir), cfg.min_sample_users,
                       cfg.uptick_tolerance, cfg.known_uptick_steps)
 
 
@@ -653,20 +660,20 @@ def anomaly_upticks(spark, sf_dir):
 def biggest_dropoffs(spark, sf_dir):
     from cohortflow.operators import alerts as al
     _, cfg = ctx(spark, sf_dir)
-    return al.biggest_dropoffs(long(spark, sf_dir), shown(spark, sf_dir), cfg.min_sample_users)
+    return al.biggest_dropoffs(rolled(spark, sf_dir), shown(spark, sf_dir), cfg.min_sample_users)
 
 
 @register
 def top3_drops(spark, sf_dir):
     from cohortflow.operators import alerts as al
-    return al.top_drops_first_version(long(spark, sf_dir), shown(spark, sf_dir), 3)
+    return al.top_drops_first_version(rolled(spark, sf_dir), shown(spark, sf_dir), 3)
 
 
 @register
 def alerts_funnel(spark, sf_dir):
     from cohortflow.operators import alerts as al
     _, cfg = ctx(spark, sf_dir)
-    return al.funnel_alerts(long(spark, sf_dir), shown(spark, sf_dir)[-1],
+    return al.funnel_alerts(rolled(spark, sf_dir), shown(spark, sf_dir)[-1],
                             cfg.min_sample_users)
 
 
@@ -674,7 +681,7 @@ def alerts_funnel(spark, sf_dir):
 def alerts_trend(spark, sf_dir):
     from cohortflow.operators import alerts as al
     _, cfg = ctx(spark, sf_dir)
-    return al.trend_alerts(long(spark, sf_dir), shown(spark, sf_dir), cfg.test_start.date())
+    return al.trend_alerts(rolled(spark, sf_dir), shown(spark, sf_dir), cfg.test_start.date())
 
 
 @register
@@ -694,22 +701,22 @@ def alerts_retention(spark, sf_dir):
 
 @register
 def ba_funnel_ratio(spark, sf_dir):
-    return cmpm.ba_funnel(long(spark, sf_dir), spec(), comparison(spark, sf_dir), metric="ratio")
+    return cmpm.ba_funnel(rolled(spark, sf_dir), spec(), comparison(spark, sf_dir), metric="ratio")
 
 
 @register
 def ba_funnel_hints(spark, sf_dir):
-    return cmpm.ba_funnel(long(spark, sf_dir), spec(), comparison(spark, sf_dir),
+    return cmpm.ba_funnel(rolled(spark, sf_dir), spec(), comparison(spark, sf_dir),
                           include_groups=("hint",))
 
 
 def ba_hints(spark, sf_dir) -> DataFrame:
-    return cmpm.ba_funnel(long(spark, sf_dir), spec(), comparison(spark, sf_dir),
+    return cmpm.ba_funnel(rolled(spark, sf_dir), spec(), comparison(spark, sf_dir),
                           include_groups=("hint",))
 
 
 def ba_ratio(spark, sf_dir) -> DataFrame:
-    return cmpm.ba_funnel(long(spark, sf_dir), spec(), comparison(spark, sf_dir), metric="ratio")
+    return cmpm.ba_funnel(rolled(spark, sf_dir), spec(), comparison(spark, sf_dir), metric="ratio")
 
 
 @register
@@ -776,7 +783,7 @@ def cube_load_72h_strict(spark, sf_dir):
 
 @register
 def weighted_conversion_exact(spark, sf_dir):
-    lg = long(spark, sf_dir)
+    lg = rolled(spark, sf_dir)
     pct = me.weighted_steps(lg, ["install_version"], "pct", mode="exact")
     ratio = me.weighted_steps(lg, ["install_version"], "ratio", mode="exact")
     return pct.select("install_version", "step_no", F.col("value").alias("pct_exact"), "users") \

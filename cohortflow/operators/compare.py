@@ -20,6 +20,7 @@ from cohortflow.config import EngineConfig
 from cohortflow.functions.columns import version_sort_key
 from cohortflow.functions.stats import with_significance
 from cohortflow.operators.metrics import weighted_value
+from cohortflow.operators.rollup import is_rollup
 from cohortflow.plans.steps import FunnelSpec
 
 
@@ -94,7 +95,7 @@ def ba_funnel(long: DataFrame, spec: FunnelSpec, cmp: Comparison, metric: str =
     branch = [s.no for s in spec.steps if s.branch]
     sub = tag_periods(long.filter(F.col("step_no").isin(steps)), cmp)
     agg = sub.groupBy("period", "step_no").agg(
-        weighted_value(metric).alias("raw_value"),
+        weighted_value(metric, is_rollup(long)).alias("raw_value"),
         F.sum("total_users").alias("users"), F.sum("raw_step_01").alias("step1"))
     is_branch = F.col("step_no").isin(branch) if branch else F.lit(False)
     if cap == "reference":

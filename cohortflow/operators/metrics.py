@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortflow.operators.rollup import is_rollup
+
 
 def metric_e4(metric: str) -> str:
     if metric not in ("pct", "ratio"):
@@ -22,13 +24,21 @@ def metric_e4(metric: str) -> str:
     return f"{metric}_e4"
 
 
-def weighted_value(metric: str = "pct") -> Column:
-    """Aggregate expression: step-1-weighted mean of a cube rate."""
-    e = F.col(metric_e4(metric))
-    w = F.col("raw_step_01")
-    num = F.sum(F.coalesce(e, F.lit(0)) * w)
-    den = F.sum(w)
-    plain = F.avg(F.col(metric))
+def weighted_value(metric: str = "pct", rolled: bool = False, where: Column | None = None) -> Column:
+    """Aggregate expression: step-1-weighted mean of a cube rate, over the rows
+    of ``where``.  ``rolled``: over a rollup's sums instead of cells."""
+    e, w = metric_e4(metric), F.col("raw_step_01")
+
+    def over(x: Column) -> Column:
+        return x if where is None else F.when(where, x)
+
+    den = F.sum(over(w))
+    if rolled:
+        num = F.sum(over(F.col(f"{metric}_num")))
+        plain = F.try_divide(F.sum(over(F.col(f"{metric}_sum"))), F.sum(over(F.col(f"{metric}_n"))) * 10000)
+    else:
+        num = F.sum(over(F.coalesce(F.col(e), F.lit(0)) * w))
+        plain = F.avg(over(F.col(metric)))
     return (F.when(den > 0, num.cast("double") / (den * 10000).cast("double"))
             .otherwise(F.coalesce(plain, F.lit(0.0))))
 
@@ -52,7 +62,7 @@ def weighted_steps(long: DataFrame, group_cols: list[str], metric: str = "pct",
 
     ``mode="reference"`` re-weights the rounded per-cell rates by step-1 users;
     ``mode="exact"`` pools the counts."""
-    value = weighted_value(metric) if mode == "reference" else exact_value(metric)
+    value = weighted_value(metric, is_rollup(long)) if mode == "reference" else exact_value(metric)
     return long.groupBy(*group_cols, "step_no").agg(
         value.alias("value"),
         F.sum("total_users").alias("users"),

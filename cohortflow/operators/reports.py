@@ -7,7 +7,8 @@ from datetime import date
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortflow.operators.metrics import metric_e4, weighted_value
+from cohortflow.operators.metrics import weighted_value
+from cohortflow.operators.rollup import is_rollup
 
 
 def dimension_counts(cube: DataFrame, dims: list[str], weight: str = "total_users"
@@ -56,7 +57,7 @@ def share_of_total(df: DataFrame, value: str, out: str = "share_pct", digits: in
 
 def weighted_by(long: DataFrame, group_cols: list[str], metric: str = "pct") -> DataFrame:
     return long.groupBy(*group_cols, "step_no").agg(
-        weighted_value(metric).alias("value"), F.sum("total_users").alias("users"),
+        weighted_value(metric, is_rollup(long)).alias("value"), F.sum("total_users").alias("users"),
         F.sum("raw_step_01").alias("step1"))
 
 
@@ -94,14 +95,8 @@ def split_summary(long: DataFrame, group_cols: list[str], test_start: date,
     before = F.col("install_date") < F.lit(test_start)
 
     def side(cond):
-        e = F.col(metric_e4(metric))
-        w = F.col("raw_step_01")
-        num = F.sum(F.when(cond, F.coalesce(e, F.lit(0)) * w))
-        den = F.sum(F.when(cond, w))
-        val = F.when(den > 0, num.cast("double") / (den * 10000).cast("double")).otherwise(
-            F.coalesce(F.avg(F.when(cond, F.col(metric))), F.lit(0.0)))
         users = F.coalesce(F.sum(F.when(cond, F.col("total_users"))), F.lit(0))
-        return val, users
+        return weighted_value(metric, is_rollup(long), cond), users
 
     vb, ub = side(before)
     va, ua = side(~before)

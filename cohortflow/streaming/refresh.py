@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from cohortflow.config import EngineConfig
 from cohortflow.operators import funnel as fu
+from cohortflow.operators import rollup as ro
 from cohortflow.operators import shared as sh
 from cohortflow.plans.steps import FunnelSpec
 from cohortflow.sources import cube_store
@@ -50,11 +51,13 @@ def funnel_runs(cfg: EngineConfig, spec: FunnelSpec, spec_72h: FunnelSpec | None
 def _publish(build: sh.SharedBuild, runs: list[sh.FunnelRun], out_dir: str, note: str,
              dates: list[date] | None = None) -> dict[str, str]:
     """Publish every cube, or its cells of ``dates``.  The counts tables are
-    what the analytics operators read (``load_long``)."""
+    what the analytics operators read (``load_long``), the rollups what the
+    reports by version and date do (``load_rollup``)."""
     cubes = {"retention_cube": build.retention} if build.retention is not None else {}
     for r in runs:
         counts = cube_store.materialize(build.counts[r.name], r.name)
         cubes[r.name.replace("funnel", "funnel_cube")] = fu.wide_cube(counts, r.spec)
+        cubes[r.name.replace("funnel", "funnel_rollup")] = ro.rollup(fu.long_cube(counts, r.spec))
         cubes[r.name.replace("funnel", "funnel_counts")] = counts
     return {name: cube_store.publish(df, f"{out_dir}/{name}", replace_dates=dates, note=note)
             for name, df in cubes.items()}
@@ -78,6 +81,11 @@ def load_long(spark: SparkSession, out_dir: str, spec: FunnelSpec, name: str = "
     return fu.long_cube(cube_store.load(spark, f"{out_dir}/{name}"), spec)
 
 
+def load_rollup(spark: SparkSession, out_dir: str, name: str = "funnel_rollup") -> DataFrame:
+    """The published rollup of a build."""
+    return cube_store.load(spark, f"{out_dir}/{name}")
+
+
 class Refresher:
     """Cubes under ``out_dir``, kept up to date from partials in
     ``out_dir/_partials``."""
@@ -119,7 +127,7 @@ class Refresher:
 
     def _tables(self) -> list[SnapshotTable]:
         names = ["retention_cube", *[r.name.replace("funnel", f"funnel_{k}") for r in self.runs
-                                     for k in ("cube", "counts")]]
+                                     for k in ("cube", "rollup", "counts")]]
         return [SnapshotTable(self.spark, f"{self.out_dir}/{n}") for n in names]
 
     def _made_of(self) -> dict | None:

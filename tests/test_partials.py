@@ -15,7 +15,8 @@ from cohortflow.streaming import refresh as rf
 from cohortflow.streaming.partials import DailyPartials
 
 CFG = EngineConfig.for_testdata()
-CUBES = ("retention_cube", "funnel_cube", "funnel_counts", "funnel_cube_72h", "funnel_counts_72h")
+CUBES = ("retention_cube", "funnel_cube", "funnel_rollup", "funnel_counts", "funnel_cube_72h", "funnel_rollup_72h",
+         "funnel_counts_72h")
 
 
 class Watched(TableSource):

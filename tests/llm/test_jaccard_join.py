@@ -190,3 +190,20 @@ def test_keep_one_row_of_repeated_rows_reused_ids_and_null_ids(spark, by_broadca
     for (d, _), u in zip(kept, groups):
         ids = [rows[i][0] for i in range(len(rows)) if up[i] == u and rows[i][0] is not None]
         assert d == (min(ids) if ids else None)
+
+
+def test_copies_are_one_entry(spark):
+    """A text that is a third of all rows enters no region more than once."""
+    from cohortflow.llm import jaccard_join as J
+    rows = [(i, "one two three four five six seven eight nine ten " * 3) for i in range(300)]
+    rows += [(1000 + i, " ".join(f"w{i}x{j}" for j in range(30))) for i in range(600)]
+    rows += [(5000, "one two three four five six seven eight nine ten " * 3 + "eleven")]
+    p = J.JaccardParams()
+    keyed = J.document_keys(spark.createDataFrame(rows, "doc_id long, text string"), p).cache()
+    nodes = J.distinct_nodes(keyed)
+    hot = nodes.orderBy("copies", ascending=False).first()
+    assert nodes.count() == 602 and (hot.copies, hot.doc_id) == (300, 0)
+    assert J.region_members(nodes).count() == 2
+    got = {r.doc_id: (r.component_id, r.n_links) for r in J.jaccard_components(
+        spark.createDataFrame(rows, "doc_id long, text string"), p, count_links=True).collect()}
+    assert got[7] == (0, 300) and got[5000] == (0, 300) and got[1003] == (1003, 0)

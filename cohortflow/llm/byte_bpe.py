@@ -11,8 +11,9 @@ Texts are cut into pre-tokens by the pattern of these vocabularies,
 ``'s|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+``,
 with array operations over a batch; which code points are letters, numbers or
 white space is asked of the tiktoken library's own matcher.  A worker encodes
-each distinct pre-token once (bounded cache, keyed by the text itself).
-Decoding maps ids back to their bytes.
+each distinct pre-token once, as long as a bounded cache holds it; entries are
+found by hash and compared with the text itself.  Decoding maps ids back to
+their bytes.
 
 Null texts count as empty and give no tokens; rows stay rows (a repeated row is
 encoded again, a null doc_id is carried); extra columns are ignored; an empty
@@ -23,11 +24,11 @@ from __future__ import annotations
 
 import base64
 import functools
+import itertools
 import struct
 from hashlib import sha256
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import sentencepiece
 import tiktoken
@@ -35,6 +36,7 @@ from pyspark.sql import DataFrame
 
 from cohortflow.llm import textbatch as tb
 from cohortflow.llm.common import map_texts
+from cohortflow.llm.pieces import HashNumbers, distinct_runs
 
 _SHIFT = 0x100                    # byte b is the character _SHIFT + b
 SPACE, LETTER, NUMBER, OTHER = range(4)
@@ -135,26 +137,6 @@ def pretokens(cp: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(fresh)
 
 
-def _distinct(cp: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(number of the distinct string of every run, a run for each of them).
-    Runs are grouped by hash and then compared code point by code point."""
-    which, values = pd.factorize(tb.run_hashes(cp, starts, ends))
-    rep = np.full(len(values), -1, dtype=np.int64)
-    rep[which[::-1]] = np.arange(len(which))[::-1]
-    size = ends - starts
-    same = bool((size == size[rep][which]).all())
-    if same:
-        inner = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-        same = bool((cp[np.repeat(starts, size) + inner] ==
-                     cp[np.repeat(starts[rep][which], size) + inner]).all())
-    if not same:                  # two strings of one hash: by the strings themselves
-        raw = cp.tobytes()
-        which, values = pd.factorize(np.array([raw[4 * s:4 * e] for s, e in zip(starts, ends)], dtype=object))
-        rep = np.full(len(values), -1, dtype=np.int64)
-        rep[which[::-1]] = np.arange(len(which))[::-1]
-    return which, rep
-
-
 def gather(blob: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The stretches ``blob[at:at + size]`` in a row, and their offsets."""
     ends = np.concatenate([[0], np.cumsum(size)])
@@ -162,13 +144,74 @@ def gather(blob: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarr
     return blob[shift + np.arange(ends[-1])], ends
 
 
+def utf8_sizes(cp: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Bytes of strings whose code points stand in a row."""
+    width = np.concatenate([[0], np.cumsum(1 + (cp >= 0x80) + (cp >= 0x800).astype(np.int64) + (cp >= 0x10000))])
+    ends = np.cumsum(sizes)
+    return width[ends] - width[ends - sizes]
+
+
+class Known:
+    """Token ids of pre-tokens met before, found by hash and compared with
+    their own code points; emptied before it would hold more than ``bound``."""
+
+    def __init__(self, bound: int):
+        self.bound = bound
+        self.clear()
+
+    def clear(self) -> None:
+        self.numbers = HashNumbers(self.bound)
+        self.count = self.n_ids = self.n_chars = 0
+        self.entry = np.zeros((4, 1024), dtype=np.int64)   # first id, ids, first code point, code points
+        self.ids = np.zeros(4096, dtype=np.int32)
+        self.chars = np.zeros(4096, dtype=np.uint32)
+
+    def find(self, keys: np.ndarray, cp: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The entry of every run; -1: none, -2: the hash is another string's."""
+        found = self.numbers.find(keys)
+        if self.count and self.count + int((found < 0).sum()) > self.bound:
+            self.clear()
+            found[:] = -1
+        old = np.flatnonzero(found >= 0)
+        at, own = self.entry[2:, found[old]]
+        same = own == sizes[old]
+        some = np.flatnonzero(same)
+        a, ends = gather(cp, starts[old[some]], sizes[old[some]])
+        differ = np.concatenate([[0], np.cumsum(a != gather(self.chars, at[some], own[some])[0])])
+        same[some[differ[ends[1:]] > differ[ends[:-1]]]] = False
+        found[old[~same]] = -2
+        return found
+
+    def add(self, keys, ids, size, chars, width) -> np.ndarray:
+        """New entries in a row; ``keys``: hashes of the first of them, which
+        are found from now on."""
+        n = len(size)
+        if self.count + n > self.entry.shape[1]:
+            self.entry = np.concatenate([self.entry, np.zeros((4, max(n, self.entry.shape[1])), np.int64)], axis=1)
+        at = slice(self.count, self.count + n)
+        self.entry[0, at], self.entry[1, at] = self.n_ids + np.cumsum(size) - size, size
+        self.entry[2, at], self.entry[3, at] = self.n_chars + np.cumsum(width) - width, width
+        self.ids = _put(self.ids, self.n_ids, ids)
+        self.chars = _put(self.chars, self.n_chars, chars)
+        self.n_ids, self.n_chars, self.count = self.n_ids + len(ids), self.n_chars + len(chars), self.count + n
+        made = np.arange(self.count - n, self.count)
+        kept = np.sort(np.unique(keys, return_index=True)[1])[:self.bound]
+        self.numbers.put(keys[kept], made[kept])
+        return made
+
+
+def _put(a: np.ndarray, at: int, values: np.ndarray) -> np.ndarray:
+    while len(a) < at + len(values):
+        a = np.concatenate([a, np.zeros_like(a)])
+    a[at:at + len(values)] = values
+    return a
+
+
 class ByteBpe:
     """Encoder and decoder of one vocabulary, for a worker's lifetime."""
 
-    KEPT_CHARS = 32               # longer pre-tokens are encoded each time
-
-    def __init__(self, ranks: dict[bytes, int], bound: int = 100_000):
-        self.ranks, self.bound = ranks, bound
+    def __init__(self, ranks: dict[bytes, int], bound: int = 300_000):
+        self.ranks, self.known = ranks, Known(bound)
         self.model = sentencepiece.SentencePieceProcessor(model_proto=model_proto(ranks))
         words = sorted(ranks, key=ranks.get)
         # a pre-token that is an entry is that entry, also where no merges lead to it
@@ -181,35 +224,41 @@ class ByteBpe:
         self.digits = np.frombuffer(b"".join(digits), np.uint8)
         self.digit_size = np.array([len(d) for d in digits], dtype=np.int64)
         self.digit_at = np.cumsum(self.digit_size) - self.digit_size
-        self.known: dict[str, list[int]] = {}
 
-    def _encode(self, pieces: list[str]) -> list[list[int]]:
-        data = [p.encode() for p in pieces]
-        made = self.model.encode([mapped(b) for b in data], num_threads=1)
+    def encode_runs(self, chars: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids in a row, ids per pre-token) of pre-tokens whose code points
+        stand in a row."""
+        data = np.frombuffer(chars.tobytes().decode("utf-32-le").encode(), np.uint8)
+        text = (data.astype("<u4") + _SHIFT).tobytes().decode("utf-32-le")
+        ends = np.cumsum(utf8_sizes(chars, sizes)).tolist()
+        cuts = list(zip([0, *ends[:-1]], ends))
+        made = self.model.encode([text[a:b] for a, b in cuts], num_threads=1)
         if self.entries:
-            made = [[self.entries[b]] if b in self.entries else ids for b, ids in zip(data, made)]
-        return made
+            raw = data.tobytes()
+            made = [[self.entries[raw[a:b]]] if raw[a:b] in self.entries else ids for (a, b), ids in zip(cuts, made)]
+        size = np.fromiter(map(len, made), dtype=np.int64, count=len(made))
+        flat = np.fromiter(itertools.chain.from_iterable(made), dtype=np.int32, count=int(size.sum()))
+        return flat, size
 
     def ids(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
         """Token ids of all texts in a row, and per-text offsets."""
         cp, offsets = tb.code_points(texts)
         starts = pretokens(cp, offsets)
         if len(starts) == 0:
-            return np.zeros(0, np.int64), np.zeros(len(texts) + 1, np.int64)
+            return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
         ends = np.append(starts[1:], len(cp))
-        which, rep = _distinct(cp, starts, ends)
-        raw = cp.tobytes()
-        names = [raw[4 * s:4 * e].decode("utf-32-le") for s, e in zip(starts[rep].tolist(), ends[rep].tolist())]
-        if len(self.known) > self.bound:
-            self.known.clear()
-        new = [p for p in names if p not in self.known]
-        made = dict(zip(new, self._encode(new)))
-        found = [made[p] if p in made else self.known[p] for p in names]
-        self.known.update((p, ids) for p, ids in made.items() if len(p) <= self.KEPT_CHARS)
-        size = np.array([len(x) for x in found], dtype=np.int64)
-        flat = np.fromiter((i for x in found for i in x), dtype=np.int64, count=int(size.sum()))
-        ids, at = gather(flat, (np.cumsum(size) - size)[which], size[which])
-        return ids, at[tb.per_text(starts, offsets)]
+        h = tb.run_hashes(cp, starts, ends)
+        which, rep = distinct_runs(cp, starts, ends, h)
+        at, sizes, keys = starts[rep], (ends - starts)[rep], h[rep]
+        found = self.known.find(keys, cp, at, sizes)
+        new = np.concatenate([np.flatnonzero(found == -1), np.flatnonzero(found == -2)])
+        if len(new):
+            chars = gather(cp, at[new], sizes[new])[0]
+            ids, n = self.encode_runs(chars, sizes[new])
+            found[new] = self.known.add(keys[new[:int((found == -1).sum())]], ids, n, chars, sizes[new])
+        first, size = self.known.entry[:2, found[which]]
+        ids, place = gather(self.known.ids, first, size)
+        return ids, place[tb.per_text(starts, offsets)]
 
     def decoded(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The bytes of ids in a row, and every id's offset."""

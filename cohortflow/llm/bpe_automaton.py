@@ -8,9 +8,16 @@ the automaton accepts, for every string, exactly the sequence of tokens that
 merging in order produces: encoding is reading the string along its arcs, and
 decoding emits the arc labels.
 
-A state is stored as its gadget: the state it was copied from, the token it
-lost and the merge that made it; an arc's presence follows from these, and is
-kept in a transition table once looked up.
+The table of arcs is compiled in full.  A token is numbered in an order in
+which the tokens derived from it (those that begin with it in their merges)
+follow it, the last made first.  A state that lost ``b`` at merge k lost with
+it what was derived from ``b`` since: one interval of these numbers.  So a
+state's absent arcs are a few disjoint intervals, and all states' interval
+ends in one sorted array are the table: a key of (state, token) is absent if an
+odd number of ends lies at or below it.
+
+The run needs no search: every prefix of a string has exactly one path, so
+every position gets its state once, from whichever position reaches it.
 """
 
 from __future__ import annotations
@@ -23,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from cohortflow.llm.common import map_texts
-from cohortflow.llm.pieces import PieceCache, TokenizerFile, names_of, tokenizer_file
+from cohortflow.llm.pieces import PieceCache, TokenizerFile, gather, tokenizer_file
 
 
 @functools.cache
@@ -36,127 +43,201 @@ def byte_symbols() -> list[str]:
 
 
 class MergeAutomaton:
-    """Compiled merges of one tokenizer file."""
+    """Compiled merges of one tokenizer file.
+
+    Symbols are bytes, and 256 + byte for the last one of a piece."""
 
     def __init__(self, file: TokenizerFile):
-        vocab, suffix = file.vocab, file.suffix
-        merges = file.merges()
-        never = len(merges)
-        # gadget states: where copied from, the token lost, the merge that made it
-        self.origin, self.lost, self.made = [-1], [-1], [-1]
-        self.target = np.zeros(file.size, dtype=np.int64)      # state after a token
-        self.head = np.full(file.size, -1, dtype=np.int64)     # first part of a merged token
-        self.born = np.full(file.size, -1, dtype=np.int64)     # its merge; -1 for base symbols
-        self.lookup: dict[str, int] = {}
-        self.never = never
-        for name, i in vocab.items():
-            self.lookup[name] = i
-        for k, (left, right) in enumerate(merges):
-            self._gadget(k, vocab[left], vocab[right], vocab[left + right])
-        symbols = byte_symbols()
-        self.symbols, self.suffix = symbols, suffix
-        self._prefixes(vocab)
-        self.arcs: dict[int, bool] = {}
-        self.removed: dict[int, dict[int, int]] = {}
+        vocab = file.vocab
+        merges = [(vocab[a], vocab[b], vocab[a + b]) for a, b in file.merges()]
+        spelling: list[tuple[int, ...]] = [()] * file.size
+        for byte, name in enumerate(byte_symbols()):
+            for symbol, token in ((byte, vocab.get(name)), (256 + byte, vocab.get(name + file.suffix))):
+                if token is not None:
+                    spelling[token] = (symbol,)
         self.size = file.size
-
-    def _gadget(self, k: int, a: int, b: int, ab: int) -> None:
-        after_b = int(self.target[b])      # for (a, a): the state before this gadget
-        self.origin.append(int(self.target[a]))
-        self.lost.append(b)
-        self.made.append(k)
-        self.target[a] = len(self.made) - 1
-        self.target[ab] = after_b
-        self.head[ab], self.born[ab] = a, k
-
-    def _prefixes(self, vocab: dict[str, int]) -> None:
-        """Table from a string to the lengths of longer tokens that begin
-        with it: all proper prefixes of tokens, to stop the search early."""
-        self.longer: set[str] = set()
-        for name in vocab:
-            for n in range(1, len(name)):
-                self.longer.add(name[:n])
-
-    def _removals(self, state: int) -> dict[int, int]:
-        """The tokens that a state lost on the way from the first state, with
-        the merge at which it happened."""
-        out = self.removed.get(state)
-        if out is None:
-            out, s = {}, state
-            while s > 0:
-                out.setdefault(self.lost[s], self.made[s])
-                s = self.origin[s]
-            self.removed[state] = out
-        return out
-
-    def reads(self, state: int, token: int) -> bool:
-        """Whether the final automaton has an arc for ``token`` at ``state``:
-        no loss of the token, nor of a part it was derived from before that
-        derivation."""
-        key = state * self.size + token
-        known = self.arcs.get(key)
-        if known is None:
-            lost, until, t, known = self._removals(state), self.never, token, True
-            while t >= 0:
-                k = lost.get(t)
-                if k is not None and k <= until:
-                    known = False
-                    break
-                until, t = int(self.born[t]), int(self.head[t])
-            if len(self.arcs) > 1_000_000:
-                self.arcs.clear()
-            self.arcs[key] = known
-        return known
-
-    def encode(self, piece: str) -> list[int]:
-        """The one path of the automaton that reads the piece."""
-        data = piece.encode("utf-8", "surrogatepass")
-        symbols = self.symbols
-        text = "".join([symbols[c] for c in data]) + self.suffix
-        whole = self.lookup.get(text)
-        if whole is not None and self.born[whole] < 0:
-            return [whole]
-        n = len(data)
-        target, reads = self.target, self.reads
-        dead: set[tuple[int, int]] = set()          # (position, state) without a way on
-        path: list[int] = []
-        places = [(0, 0, self._options(text, 0, n))]
-        while places:
-            at, state, options = places[-1]
-            if not options:
-                dead.add((at, state))
-                places.pop()
-                if path:
-                    path.pop()
-                continue
-            end, token = options.pop()
-            after = int(target[token])
-            if (end, after) in dead or not reads(state, token):
-                continue
-            path.append(token)
-            if end == n:
-                return path
-            places.append((end, after, self._options(text, end, n)))
-        raise ValueError("the automaton does not read this piece")
-
-    def _options(self, text: str, at: int, n: int) -> list[tuple[int, int]]:
-        """Tokens that the text has at ``at``, the longest last, with their ends."""
-        out = []
-        longer, lookup = self.longer, self.lookup
-        for end in range(at + 1, n + 1):
-            s = text[at:end] if end < n else text[at:]
-            token = lookup.get(s)
-            if token is not None:
-                out.append((end, token))
-            if s not in longer:
-                break
-        return out
+        self._compile_arcs(merges, spelling)
+        self.width = np.array([len(x) for x in spelling], dtype=np.int64)
+        self._compile_spellings(spelling)
+
+    def _compile_arcs(self, merges: list[tuple[int, int, int]], spelling: list[tuple[int, ...]]) -> None:
+        # gadgets: the state copied, the token lost, the merge that made it
+        origin, lost, made = [0], [0], [0]
+        target = [0] * self.size               # state after a token
+        head = [-1] * self.size                # first part of a merged token
+        born = [-1] * self.size
+
+        def apart(state, token):
+            """Whether no text has ``token`` at ``state`` by now."""
+            until, k = {}, len(merges)
+            while token >= 0:
+                until[token] = k
+                token, k = head[token], born[token]
+            while state and made[state] > until.get(lost[state], -1):
+                state = origin[state]
+            return state > 0
+
+        applied = []
+        for a, b, ab in merges:
+            if not spelling[a] or not spelling[b] or apart(target[a], b):
+                continue                       # this pair never comes up, its token is never read
+            if spelling[ab]:
+                raise ValueError("two merges make the same token")
+            k = len(applied)
+            applied.append((a, b, ab))
+            spelling[ab] = spelling[a] + spelling[b]
+            born[ab] = k
+            after_b = target[b]                # for (a, a): the state before this gadget
+            origin.append(target[a])
+            lost.append(b)
+            made.append(k)
+            target[a] = len(made) - 1
+            target[ab] = after_b
+            head[ab] = a
+        self.target = np.array(target, dtype=np.int64)
+        self._number(head, applied)
+        origin, lost, made = np.array(origin), np.array(lost), np.array(made)
+        # every loss of every state that a token leads to, along the states it was copied from
+        state = np.unique(self.target)
+        at, found = state, []
+        while len(at := at[(keep := at > 0)]):
+            state = state[keep]
+            found.append((state, lost[at], made[at]))
+            at = origin[at]
+        state, token, k = (np.concatenate(x) for x in zip(*found)) if found else np.zeros((3, 0), np.int64)
+        first, last = self.order[token], self._derived_until(token, k)
+        self.stride = self.size + 1
+        by = np.lexsort((-last, first, state))
+        first, last = (state * self.stride + first)[by], (state * self.stride + last)[by]
+        reach = np.maximum.accumulate(last)
+        outer = np.ones(len(first), dtype=bool)
+        outer[1:] = first[1:] >= reach[:-1]    # intervals nest or lie apart
+        self.ends = np.stack([first[outer], last[outer]], axis=1).ravel()
+
+    def _number(self, head: list[int], merges: list[tuple[int, int, int]]) -> None:
+        """Each token's number, and the children of every token (tokens made
+        from it as first part), the last made first."""
+        span = [1] * self.size                 # the token and all derived from it
+        for _, _, ab in reversed(merges):
+            span[head[ab]] += span[ab]
+        order, free, at = [0] * self.size, [0] * self.size, 0
+        for t in range(self.size):
+            if head[t] < 0:
+                order[t], free[t] = at, at + span[t]
+                at += span[t]
+        for _, _, ab in merges:                # the first made takes the last place
+            free[head[ab]] -= span[ab]
+            order[ab], free[ab] = free[head[ab]], free[head[ab]] + span[ab]
+        self.order = np.array(order, dtype=np.int64)
+        self.until = self.order + np.array(span)
+        child = np.array([ab for _, _, ab in merges], dtype=np.int64)[::-1]
+        self.merges = len(merges)
+        key = np.array([a for a, _, _ in merges], dtype=np.int64)[::-1] * self.merges + np.arange(self.merges)
+        by = np.argsort(key)
+        self.child_key, self.child = key[by], child[by]
+
+    def _derived_until(self, token: np.ndarray, k: np.ndarray) -> np.ndarray:
+        """Where the numbers of the tokens end that were derived from
+        ``token`` at merge ``k`` or later."""
+        if not len(token):
+            return token
+        at = np.searchsorted(self.child_key, token * self.merges + (self.merges - 1 - k), side="right")
+        older = np.minimum(at, self.merges - 1)
+        own = (at < self.merges) & (self.child_key[older] // self.merges == token)
+        return np.where(own, self.order[self.child[older]], self.until[token])
+
+    def _compile_spellings(self, spelling: list[tuple[int, ...]]) -> None:
+        """A trie of the tokens' symbols: the sorted keys (node, symbol) are
+        its edges, the edge at i leads to node i + 1."""
+        flat = np.array([x for s in spelling for x in s], dtype=np.int64)
+        start = np.cumsum(self.width) - self.width
+        token = np.flatnonzero(self.width)
+        node, edges, nodes, ending = np.zeros(len(token), np.int64), [], 1, []
+        depth = 0
+        while len(token):
+            level, which = np.unique(node * 512 + flat[start[token] + depth], return_inverse=True)
+            node = nodes + which
+            edges.append(level)
+            nodes += len(level)
+            depth += 1
+            done = self.width[token] == depth
+            ending.append((node[done], token[done]))
+            node, token = node[~done], token[~done]
+        self.edges = np.concatenate([*edges, [np.iinfo(np.int64).max]])
+        self.token_at = np.full(nodes, -1, dtype=np.int64)
+        for n, t in ending:
+            self.token_at[n] = t
+
+    def reads(self, state: np.ndarray, token: np.ndarray) -> np.ndarray:
+        """Whether the automaton has an arc for each token at its state."""
+        return np.searchsorted(self.ends, state * self.stride + self.order[token], side="right") % 2 == 0
+
+    def _matches(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(tokens in order of the position where the text has them, offset of
+        every position's tokens).  Symbols of a piece's end stop a token."""
+        at = np.arange(len(symbols))
+        node, starts, tokens, depth = np.zeros(len(symbols), np.int64), [], [], 0
+        while len(at):
+            key = node * 512 + symbols[at + depth]
+            edge = np.searchsorted(self.edges, key)
+            on = self.edges[edge] == key
+            at, node = at[on], edge[on] + 1
+            token = self.token_at[node]
+            starts.append(at[token >= 0])
+            tokens.append(token[token >= 0])
+            depth += 1
+            inside = at + depth < len(symbols)
+            at, node = at[inside], node[inside]
+        starts, tokens = np.concatenate(starts), np.concatenate(tokens)
+        offsets = np.concatenate([[0], np.cumsum(np.bincount(starts, minlength=len(symbols)))])
+        return tokens[np.argsort(starts, kind="stable")], offsets
+
+    def encode(self, symbols: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(token ids in a row, ids per piece) of pieces whose symbols stand
+        in a row.  Positions that have got their state hand it on together."""
+        stop = np.cumsum(sizes)
+        if not len(symbols):
+            return np.zeros(0, np.uint32), np.zeros(len(sizes), np.int64)
+        matched, offsets = self._matches(symbols)
+        into = np.full(len(symbols), -1, dtype=np.int64)       # the token that ends before position + 1
+        at = (stop - sizes)[sizes > 0]
+        state = np.zeros(len(at), dtype=np.int64)
+        while len(at):
+            many = offsets[at + 1] - offsets[at]
+            token = gather(matched, offsets[at], many)
+            at, state = np.repeat(at, many), np.repeat(state, many)
+            on = self.reads(state, token)
+            token = token[on]
+            end = at[on] + self.width[token]
+            into[end - 1] = token
+            going = symbols[end - 1] < 256                     # not yet at the piece's end
+            at, state = end[going], self.target[token[going]]
+        if (into < 0).any():
+            raise ValueError("the automaton does not read these pieces")
+        path = np.zeros(len(symbols), dtype=bool)
+        first, at = stop - sizes, stop
+        while (back := at > first).any():
+            first, at = first[back], at[back]
+            path[at - 1] = True
+            at = at - self.width[into[at - 1]]
+        count = np.concatenate([[0], np.cumsum(path)])
+        return into[path].astype(np.uint32), count[stop] - count[stop - sizes]
 
     def decode(self, ids: list[int], names: list[str]) -> list[str]:
         """The labels of the arcs."""
         return [names[i] for i in ids]
 
 
+def piece_symbols(chars: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(symbols in a row, symbols per piece) of pieces whose code points stand in a row."""
+    data = chars.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass")
+    symbols = np.frombuffer(data, dtype=np.uint8).astype(np.int64)
+    width = 1 + (chars >= 0x80).astype(np.int64) + (chars >= 0x800) + (chars >= 0x10000)
+    stop = np.concatenate([[0], np.cumsum(width)])[np.cumsum(sizes)]
+    symbols[stop[sizes > 0] - 1] += 256
+    return symbols, np.diff(stop, prepend=0)
+
+
 @functools.lru_cache(maxsize=2)
 def automaton(path: str) -> MergeAutomaton:
     return MergeAutomaton(tokenizer_file(path))
@@ -167,9 +248,7 @@ def automaton_cache(path: str) -> PieceCache:
     made = automaton(path)
 
     def run(_, chars, sizes):
-        ids = [made.encode(x) for x in names_of(chars, sizes)]
-        return (np.array([i for x in ids for i in x], dtype=np.uint32),
-                np.array([len(x) for x in ids], dtype=np.int64))
+        return made.encode(*piece_symbols(chars, sizes))
 
     return PieceCache(tokenizer_file(path), run)
 

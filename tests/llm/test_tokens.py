@@ -46,6 +46,76 @@ def test_cache_is_emptied_and_stays_right(library):
             e.ids for e in library.encode_batch(part, add_special_tokens=False)]
 
 
+class Small:
+    """A made-up tokenizer file: byte symbols and a few merges over them."""
+
+    def __init__(self, merges):
+        self.suffix = "</w>"
+        names = [n + s for s in ("", self.suffix) for n in B.byte_symbols()]
+        names += [a + b for a, b in merges]
+        self.vocab, self.size, self._merges = {n: i for i, n in enumerate(names)}, len(names), merges
+
+    def merges(self):
+        return self._merges
+
+
+def merged(piece, file):
+    """The ids of a piece by applying the merges in order, each from the left."""
+    parts = [B.byte_symbols()[c] for c in piece.encode()]
+    parts[-1] += file.suffix
+    for a, b in file.merges():
+        i = 0
+        while i + 1 < len(parts):
+            if (parts[i], parts[i + 1]) == (a, b):
+                parts[i:i + 2] = [a + b]
+            i += 1
+    return [file.vocab[x] for x in parts]
+
+
+def encoded(automaton, pieces):
+    chars = np.array([ord(c) for x in pieces for c in x], dtype=np.uint32)
+    ids, sizes = automaton.encode(*B.piece_symbols(chars, np.array([len(x) for x in pieces], dtype=np.int64)))
+    ends = np.cumsum(sizes)
+    return [ids[b - n:b].tolist() for b, n in zip(ends, sizes)]
+
+
+def test_compiled_arcs_read_what_merging_gives():
+    """Random merge lists, such as (a, a) and tokens derived several times, on every string of up to 7 symbols."""
+    rng = random.Random(8)
+    pieces = ["".join("ab"[i >> k & 1] for k in range(n)) for n in range(1, 8) for i in range(1 << n)]
+    for _ in range(40):
+        known, merges = ["a", "b", "a</w>", "b</w>"], []
+        for _ in range(rng.randint(0, 12)):
+            a, b = rng.choice([x for x in known if not x.endswith("</w>")]), rng.choice(known)
+            if a + b not in known:
+                known.append(a + b)
+                merges.append((a, b))
+        file = Small(merges)
+        assert encoded(B.MergeAutomaton(file), pieces) == [merged(x, file) for x in pieces], merges
+
+
+def test_arcs_lead_to_pairs_that_merging_keeps():
+    """An arc for a token pair is there if merging the pair's string gives the pair."""
+    automaton, file = B.automaton(PATH), P.tokenizer_file(PATH)
+    rng = random.Random(3)
+    inner = [i for n, i in file.vocab.items() if not n.endswith(file.suffix) and n.isascii() and n.isalpha()]
+    ending = [i for n, i in file.vocab.items() if n.endswith(file.suffix) and n[:-4].isascii() and n[:-4].isalpha()]
+    pairs = [(rng.choice(inner), rng.choice(ending)) for _ in range(4000)]
+    texts = [file.names[a] + file.names[b][:-4] for a, b in pairs]
+    want = [file.library.encode(t, add_special_tokens=False).ids == [a, b] for t, (a, b) in zip(texts, pairs)]
+    left, right = (np.array(x) for x in zip(*pairs))
+    got = automaton.reads(np.zeros(len(left), np.int64), left) & automaton.reads(automaton.target[left], right)
+    lower = np.array([t == t.lower() for t in texts])
+    assert (got[lower] == np.array(want)[lower]).all() and got[lower].any() and not got[lower].all()
+
+
+def test_one_very_long_piece(library):
+    rng = random.Random(5)
+    for piece in ("a" * 5000, "the" * 3000, "".join(rng.choice("abcdefgh") for _ in range(20000)), "\u4e2d" * 2000):
+        ids, _ = B.automaton_cache(PATH).tokens([piece, None, ""])
+        assert ids.tolist() == library.encode(piece, add_special_tokens=False).ids
+
+
 def test_digests_and_round_trip(edge, none, library):
     rows = sorted(((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256)
                    for r in B.encode_digests(edge, PATH).collect()), key=str)

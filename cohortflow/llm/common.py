@@ -92,6 +92,18 @@ def arrow_schema(spark: SparkSession, ddl: str) -> pa.Schema:
     return _arrow_schema(spark, ddl)
 
 
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession, size: str = "4MB") -> None:
+    """Have Spark hand Arrow data to Python in batches of about ``size``: one
+    batch is held by the JVM and by the worker at once, and a step works on
+    less of it anyway.  A session that has set a size of its own keeps it.  One
+    row larger than that is a batch of its own; results do not depend on it."""
+    if spark.conf.get(_BATCH_BYTES, None) is None:
+        spark.conf.set(_BATCH_BYTES, size)
+
+
 _shipped: set[str] = set()
 
 

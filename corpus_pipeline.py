@@ -12,16 +12,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortflow.llm import jaccard_join, packing, secrets, site_quality, toxicity
-from cohortflow.llm.common import ship, table
+from cohortflow.llm.common import ship, small_batches, table
 from cohortflow.llm.queries import held_out, tokenizer_path
 from cohortflow.sources.cube_store import materialize
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def _ready(spark: SparkSession) -> None:
+    """The package on the executors, and batches small enough that workers of
+    all stages stand beside a full heap."""
+    ship(spark)
+    small_batches(spark)
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model predicts 0 for."""
-    ship(spark)
+    _ready(spark)
     model = toxicity.train(docs, table(spark, sf_dir, "labels").where(~held_out()))
     return toxicity.score_documents(docs, model, COLUMNS).where("predicted = 0").select(*COLUMNS)
 
@@ -29,7 +36,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier keeps, with source as host and
     language as path."""
-    ship(spark)
+    _ready(spark)
     judged = site_quality.classify(docs, table(spark, sf_dir, "labels"), F.col("source"), F.col("lang"), COLUMNS)
     return judged.where("kept").select(*COLUMNS)
 
@@ -37,20 +44,20 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: words in fives, similarity
     of 0.8 or more, the smallest doc_id stays."""
-    ship(spark)
+    _ready(spark)
     return jaccard_join.keep_one(docs.select(*COLUMNS), jaccard_join.JaccardParams(words=5, percent=80))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, every secret's span replaced by a mark."""
-    ship(spark)
+    _ready(spark)
     return secrets.redact(docs.select(*COLUMNS))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents with their token ids, placed in sequences:
     the pieces of a sequence in order of ``offset`` are its tokens."""
-    ship(spark)
+    _ready(spark)
     return packing.pack_documents(docs, tokenizer_path(), with_ids=True)
 
 

@@ -25,3 +25,15 @@ def test_pipeline(spark):
     whole = corpus_pipeline.run(spark, sf).select("doc_id", "start", "length", "ids_crc32").collect()
     assert sorted(map(tuple, whole), key=key) == sorted(
         map(tuple, pieces.select("doc_id", "start", "length", "ids_crc32").collect()), key=key)
+
+
+def test_small_batches_keep_a_size_of_the_session(spark):
+    from cohortflow.llm.common import small_batches
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    own = spark.newSession()
+    own.conf.set(key, "32MB")
+    small_batches(own)
+    assert own.conf.get(key) == "32MB"
+    other = spark.newSession()
+    small_batches(other)
+    assert other.conf.get(key) == "4MB"

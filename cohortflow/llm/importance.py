@@ -1,7 +1,7 @@
 """Quality rules: base rules, and a hashed n-gram likelihood ratio.
 
 Two multinomials over hashed uni- and bigrams (words and runs of marks apart)
-are counted: one over trusted documents, one over the whole raw corpus.  A
+are counted: one over all trusted documents, one over the whole raw corpus.  A
 document's score is the mean, over its n-grams, of the log ratio of the two;
 it is kept if no base rule fails and the score reaches a threshold.  The
 verdict of a document depends on its text and the counts only.
@@ -18,20 +18,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortflow.llm import textbatch as tb
-from cohortflow.llm.common import arrow_schema, map_texts, record_batch, sample_filter
+from cohortflow.llm.common import arrow_schema, map_texts, record_batch, text_slices
 from cohortflow.llm.features import Batch, tokens
+from cohortflow.operators.idfilter import BloomShape, bloom_words, might_contain
 
 
 @dataclass(frozen=True)
 class ImportanceParams:
     """``bits``: buckets of each order are 2 ** bits.  ``smoothing``: share of
-    the uniform distribution in both models.  ``trusted``: bound of the
-    trusted documents that the target model is counted over.  ``threshold``:
-    lowest mean log ratio that is kept."""
+    the uniform distribution in both models.  ``threshold``: lowest mean log
+    ratio that is kept."""
 
     bits: int = 15
     smoothing: float = 0.05
-    trusted: int = 50_000
     threshold: float = -0.3
     least_words: int = 50
     repeat_percent: int = 50
@@ -47,33 +46,49 @@ def hashed_ngrams(b: Batch, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return bucket, tb.owner(np.concatenate([starts, starts[first]]), b.offsets)
 
 
-def corpus_counts(docs: DataFrame, trusted: DataFrame, p: ImportanceParams) -> np.ndarray:
-    """Counts (raw, target) of every bucket.  ``trusted``: doc_id, bounded by
-    ``p.trusted``.  A task sends one row per bucket that it has seen."""
-    spark = docs.sparkSession
-    ids = spark.sparkContext.broadcast(frozenset(
-        r[0] for r in sample_filter(trusted.where("doc_id is not null").select("doc_id").distinct(),
-                                    F.col("doc_id"), p.trusted).collect()))
-    schema = "bucket int, raw long, target long"
-    target = arrow_schema(spark, schema)
+def bucket_counts(docs: DataFrame, p: ImportanceParams) -> DataFrame:
+    """bucket, n: the n-grams of all texts of ``docs``.  A task sends one row
+    per bucket that it has seen."""
+    schema = "bucket int, n long"
+    target = arrow_schema(docs.sparkSession, schema)
     size = 2 << p.bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, good = np.zeros(size, np.int64), np.zeros(size, np.int64)
+        n = np.zeros(size, np.int64)
         for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for lo, hi in tb.steps(texts):
-                bucket, of = hashed_ngrams(Batch.of(texts[lo:hi]), p.bits)
-                raw += np.bincount(bucket, minlength=size)
-                chosen = np.array([k in ids.value for k in keys[lo:hi]], dtype=bool)
-                good += np.bincount(bucket[chosen[of]], minlength=size) if len(of) else 0
-        seen = np.flatnonzero(raw)
+            for _, texts in text_slices(batch, 0):
+                n += np.bincount(hashed_ngrams(Batch.of(texts), p.bits)[0], minlength=size)
+        seen = np.flatnonzero(n)
         if len(seen):
-            yield record_batch({"bucket": seen.astype(np.int32), "raw": raw[seen], "target": good[seen]}, target)
+            yield record_batch({"bucket": seen.astype(np.int32), "n": n[seen]}, target)
+
+    return docs.select("text").mapInArrow(run, schema)
+
 
-    rows = (docs.select("doc_id", "text").mapInArrow(run, schema).groupBy("bucket")
-            .agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas())
-    out = np.zeros((2, size), dtype=np.float64)
+def trusted_rows(docs: DataFrame, trusted: DataFrame) -> DataFrame:
+    """Every row of ``docs`` whose doc_id is one of ``trusted``.  The ids grow
+    with the labels, so they are neither collected nor broadcast: a Bloom
+    filter of bounded size (one row, sent once) keeps most other texts out of
+    the exchange, a hash join per partition (no sort of texts) decides."""
+    kind = docs.schema["doc_id"].dataType
+    ids = (trusted.select(F.col("doc_id").try_cast(kind).alias("doc_id"))
+           .where("doc_id is not null").distinct())
+    rows = docs.select("doc_id", "text")
+    shape = BloomShape.of(ids.count())
+    if shape is not None:
+        words = bloom_words(ids, "doc_id", shape)
+        rows = rows.join(F.broadcast(words), might_contain(F.col("words"), F.col("doc_id"), shape), "left_semi")
+    return rows.join(ids.hint("shuffle_hash"), "doc_id", "left_semi")
+
+
+def corpus_counts(docs: DataFrame, trusted: DataFrame, p: ImportanceParams) -> np.ndarray:
+    """Counts (raw, target) of every bucket: over all rows of ``docs``, and
+    over all whose doc_id is one of ``trusted``."""
+    none = F.lit(0).cast("long")
+    raw = bucket_counts(docs, p).select("bucket", F.col("n").alias("raw"), none.alias("target"))
+    good = bucket_counts(trusted_rows(docs, trusted), p).select("bucket", none.alias("raw"), F.col("n").alias("target"))
+    rows = raw.union(good).groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
+    out = np.zeros((2, 2 << p.bits), dtype=np.float64)
     out[0, rows["bucket"]], out[1, rows["bucket"]] = rows["raw"], rows["target"]
     return out
 

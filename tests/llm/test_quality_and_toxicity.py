@@ -59,6 +59,32 @@ def test_ratio_by_hand(documents, labels, texts):
         assert abs(r.score - want) < 1e-9
 
 
+def test_every_trusted_row_is_counted(spark):
+    """Over 50,000 trusted ids, some twice, null or unknown; rows without an
+    id or with a repeated one: counts are those of plain sums."""
+    p = I.ImportanceParams(bits=4)
+    rows = [*range(51_000), 0, 1, 2]
+    docs = spark.createDataFrame([(None if i % 10_000 == 7 else i, f"w{i % 97}") for i in rows], "doc_id long, text string")
+    good = [i for i in range(51_500) if i % 1000] + [1, 1, -1, None]
+    kept = [i for i in rows if i % 1000 and i % 10_000 != 7]
+    assert len(set(kept)) > 50_000
+    grams = [np.bincount(I.hashed_ngrams(I.Batch.of([f"w{k}"]), p.bits)[0], minlength=32) for k in range(97)]
+    want = [sum(n * grams[k] for k, n in Counter(i % 97 for i in of).items()) for of in (rows, kept)]
+    got = I.corpus_counts(docs, spark.createDataFrame([(i,) for i in good], "doc_id int"), p)
+    assert (got == np.array(want)).all()
+
+
+def test_trusted_rows_without_a_filter(spark, monkeypatch):
+    """Ids too many for a filter: the join alone gives the same rows."""
+    docs = spark.createDataFrame([(i % 5 or None, str(i)) for i in range(20)], "doc_id long, text string")
+    good = spark.createDataFrame([(1,), (1,), (3,), (9,), (None,)], "doc_id long")
+    want = sorted((i % 5, str(i)) for i in range(20) if i % 5 in (1, 3))
+    assert sorted(map(tuple, I.trusted_rows(docs, good).collect())) == want
+    assert I.trusted_rows(docs, good.where("doc_id = 9")).count() == 0
+    monkeypatch.setattr(I.BloomShape, "of", lambda n: None)
+    assert sorted(map(tuple, I.trusted_rows(docs, good).collect())) == want
+
+
 def test_edges(spark, edge, none, labels):
     no_labels = labels.where("1 = 0")
     rows = I.quality_rules(edge, no_labels).collect()
